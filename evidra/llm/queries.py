@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidra.llm import syntax
+from evidra.llm import corpus_tokens, mixing, syntax
+from evidra.session import saved
 from evidra.sources.tables import table
 
 
@@ -24,5 +26,34 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.parse_rates(files, syntax.parse_verdicts(files))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return corpus_tokens.encode(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its number of tokens, and whether decoding gives its text again."""
+    texts = table(spark, folder, "documents").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("wanted"))
+    decoded = corpus_tokens.decode(p8_ids(spark, folder)).select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("text").alias("got"))
+    return decoded.join(texts, "doc_id").select("doc_id", "n_tokens", (F.col("got") == F.col("wanted")).alias("same"))
+
+
+def _drawn(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    counts = corpus_tokens.encode(documents.select("doc_id", "text")).select("doc_id", F.size("ids").alias("n_tokens"))
+    sizes = saved(documents.select("doc_id", "source").join(counts, "doc_id"))
+    return mixing.mix(sizes, table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn documents with their repeats."""
+    return _drawn(spark, folder)
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.shares(saved(_drawn(spark, folder)), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
 ORACLES: dict[str, str] = {}
