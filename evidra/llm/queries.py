@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import corpus_tokens, mixing, syntax
+from evidra.llm import corpus_tokens, mixing, shared_spans, syntax
 from evidra.session import saved
 from evidra.sources.tables import table
 
@@ -55,5 +55,15 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(saved(_drawn(spark, folder)), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that share a long verbatim span."""
+    return shared_spans.sharing_pairs(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document how much of it also stands elsewhere."""
+    return shared_spans.shared_parts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
