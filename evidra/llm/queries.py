@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import corpus_tokens, mixing, shared_spans, syntax
+from evidra.llm import corpus_tokens, credentials, mixing, shared_spans, syntax
 from evidra.session import saved
 from evidra.sources.tables import table
 
@@ -65,5 +65,17 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_parts(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines on which a credential starts."""
+    rows = credentials.located(table(spark, folder, "files"), table(spark, folder, "redaction_configs"))
+    return rows.select("table_name", "record_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with content as redacted text, with the number of credentials in it."""
+    rows = credentials.scan_files(table(spark, folder, "files"))
+    return rows.select("record_id", F.size("hits").alias("n_credentials"), "redacted").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_redacted, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
