@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import corpus_tokens, credentials, mixing, shared_spans, syntax
+from evidra.llm import corpus_tokens, credentials, mixing, provenance, shared_spans, syntax
 from evidra.session import saved
 from evidra.sources.tables import table
 
@@ -77,5 +77,20 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", F.size("hits").alias("n_credentials"), "redacted").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_redacted, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that nobody wrote by hand in their repo."""
+    return provenance.classify(table(spark, folder, "files")).where("kind is not null").select(F.col("id").alias("file_id")).distinct()
+
+
+def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with its kind."""
+    return provenance.classify(table(spark, folder, "files")).select("id", F.coalesce("kind", F.lit("hand-written")).alias("kind"))
+
+
+def p7_walked(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths of directory walks with their kind."""
+    return provenance.walked(table(spark, folder, "directory_walks"), table(spark, folder, "files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_failures, p1_rates, p2_found, p2_redacted, p7_found, p7_kinds, p7_walked, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
 ORACLES: dict[str, str] = {}
