@@ -1,2 +1,506 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries for the operators of a quality-evidence engine over the tables, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from evidra.functions import scalars as S
+from evidra.operators import compare, graph, matching, query_dsl, sql_inventory, text_rules
+from evidra.sources.tables import table
+from evidra.streaming import windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query with its SQL."""
+
+    def keep(run: Callable) -> Callable:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return keep
+
+
+def _findings(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Findings, redelivered rows once, with only the columns that are needed."""
+    return table(spark, folder, "findings").select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"])
+
+
+def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "files").select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"])
+
+
+#: Findings and files once each, for SQL.
+_F = "with f as (select * from findings qualify row_number() over (partition by id order by loaded_at) = 1), "
+_FILES = "with fi as (select * from files qualify row_number() over (partition by id order by observed_at) = 1), "
+_RANK = "case lower(trim(severity)) when 'info' then 0 when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 end"
+
+
+# -- query language
+@query(_F + f"q as (select id, run_id, rule_id, severity from f where coalesce({_RANK} >= 3, false)) select * from q")
+def query_severity_ge(spark, folder):
+    """``finding where severity >= high``."""
+    rows = _findings(spark, folder, "run_id", "rule_id", "severity")
+    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where severity >= high")))
+
+
+@query(_F + "q as (select id, category, confidence from f where coalesce(confidence < 0.35, false)) select * from q")
+def query_confidence_lt(spark, folder):
+    """``finding where confidence < 0.35``."""
+    rows = _findings(spark, folder, "category", "confidence")
+    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where confidence < 0.35")))
+
+
+@query(_F + "q as (select id, fingerprint from f where fingerprint is distinct from 'none') select * from q")
+def query_field_ne_null_safe(spark, folder):
+    """``!=`` holds for missing values."""
+    rows = _findings(spark, folder, "fingerprint")
+    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where fingerprint != 'none'")))
+
+
+@query(_F + "q as (select id, evidence[1].kind as kind from f where coalesce(evidence[1].kind = 'ast', false)) select * from q")
+def query_dotted_path(spark, folder):
+    """A dotted path through an array: ``evidence.0.kind = ast``."""
+    rows = _findings(spark, folder, "evidence")
+    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where evidence.0.kind = ast"))).select("id", F.get("evidence", F.lit(0))["kind"].alias("kind"))
+
+
+@query(_F + f"q as (select id, run_id, row_number() over (partition by run_id order by id) - 1 as locator from f where coalesce({_RANK} >= 3, false)) select * from q")
+def query_locator_index(spark, folder):
+    """The place of each answer among the answers of its run."""
+    rows = _findings(spark, folder, "run_id", "severity")
+    return query_dsl.run(rows, "finding where severity >= high", ["run_id"], ["id"]).select("id", "run_id", "locator")
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where coalesce(cast(json_extract_string(props, '$.k') as bigint) >= 90, false)")
+def query_nested_json_field(spark, folder):
+    """A condition on a member of a JSON column."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, folder, "events").select("event_id", k.alias("k")).where("k >= 90")
+
+
+@query(_F + "q as (select id, title from f where contains(lower(coalesce(title,'') || ' ' || coalesce(summary,'') || ' ' || coalesce(rule_id,'') || ' ' || coalesce(category,'')), 'release')) select * from q")
+def text_search(spark, folder):
+    """Case-insensitive search over several columns."""
+    rows = _findings(spark, folder, "title", "summary", "rule_id", "category")
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", "title", "summary", "rule_id", "category")), F.lit("release"))).select("id", "title")
+
+
+# -- aggregations
+@query(_F + "q as (select run_id, " + ", ".join(f"count(*) filter (lower(trim(severity)) = '{s}') as {s}" for s in ("critical", "high", "medium", "low")) + " from f group by run_id) select * from q")
+def count_by_severity_dense(spark, folder):
+    """Counts of the four severities per run, zero-filled."""
+    level = F.lower(F.trim("severity"))
+    return _findings(spark, folder, "run_id", "severity").groupBy("run_id").agg(*[F.count_if(level == s).alias(s) for s in ("critical", "high", "medium", "low")])
+
+
+@query(_F + "q as (select category, count(*) as n from f group by category) select * from q")
+def count_by_category(spark, folder):
+    """Findings per category; only categories that occur."""
+    return _findings(spark, folder, "category").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(_F + "q as (select severity, rule_id, count(*) as n from f group by grouping sets ((severity), (rule_id))) select * from q")
+def count_severity_and_rule(spark, folder):
+    """Both counts in one pass by grouping sets."""
+    rows = _findings(spark, folder, "severity", "rule_id")
+    return rows.groupingSets([["severity"], ["rule_id"]], "severity", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query(_F + "q as (select category, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in ("critical", "high", "medium", "low")) + " from f group by category) select * from q")
+def severity_category_pivot(spark, folder):
+    """Category by severity, dense."""
+    return _findings(spark, folder, "category", "severity").groupBy("category").pivot("severity", ["critical", "high", "medium", "low"]).agg(F.count("id")).na.fill(0)
+
+
+@query(_F + "q as (select run_id, count(*) as n_high from f where severity in ('high', 'critical') group by run_id having count(*) > 2) select * from q")
+def count_threshold_having(spark, folder):
+    """Runs with more severe findings than a threshold allows."""
+    return _findings(spark, folder, "run_id", "severity").where(F.col("severity").isin("high", "critical")).groupBy("run_id").agg(F.count("*").alias("n_high")).where("n_high > 2")
+
+
+@query(_F + "c as (select repo_root, category, count(*) as n from f group by all) select repo_root, category, n, row_number() over (partition by repo_root order by n desc, category) as place from c qualify place <= 3")
+def top3_categories(spark, folder):
+    """The three most frequent categories per repo; ties by name."""
+    counts = _findings(spark, folder, "repo_root", "category").groupBy("repo_root", "category").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy("repo_root").orderBy(F.desc("n"), "category"))).where("place <= 3")
+
+
+@query(_F + f"q as (select id, rule_id, {_RANK} as rank, confidence from f where confidence >= 0.6 order by rank desc nulls last, rule_id, id limit 500) select * from q")
+def sort_severity_topk(spark, folder):
+    """The 500 most severe confident findings: severity down, then rule and id."""
+    rows = _findings(spark, folder, "rule_id", "severity", "confidence").where("confidence >= 0.6").withColumn("rank", S.severity_rank("severity"))
+    return rows.orderBy(F.desc_nulls_last("rank"), "rule_id", "id").limit(500).select("id", "rule_id", "rank", "confidence")
+
+
+@query(_F + "d as (select rule_id, run_id, severity from f) select rule_id, count(*) as n, count(distinct run_id) as n_runs, array_to_string(list_sort(list(distinct severity) filter (severity is not null)), ',') as severities from d group by rule_id having count(distinct run_id) > 1")
+def drift_recurrence_having(spark, folder):
+    """Rules that come back in several runs, with their distinct sorted severities."""
+    return _findings(spark, folder, "rule_id", "run_id", "severity").groupBy("rule_id").agg(
+        F.count("*").alias("n"), F.count_distinct("run_id").alias("n_runs"), F.array_join(F.array_sort(F.collect_set("severity")), ",").alias("severities")
+    ).where("n_runs > 1")
+
+
+@query(_F + "p as (select coalesce(nullif(regexp_extract(coalesce(evidence[1].path, ''), '^(packages/[^/]+)/', 1), ''), '.') as package, severity from f) select package, count(*) as n_findings, count(*) filter (severity = 'critical') as n_critical from p group by package")
+def package_summary(spark, folder):
+    """Findings per package folder."""
+    rows = _findings(spark, folder, "evidence", "severity").select(S.package_of(S.primary_path()).alias("package"), "severity")
+    return rows.groupBy("package").agg(F.count("*").alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"))
+
+
+@query(_F + "q as (select repo_root, count(*) as total, round(100.0 * count(*) filter (confidence < 0.5) / count(*), 2) as low_rate from f group by repo_root) select * from q")
+def confidence_rate(spark, folder):
+    """Share of findings of low confidence per repo, in percent."""
+    return _findings(spark, folder, "repo_root", "confidence").groupBy("repo_root").agg(
+        F.count("*").alias("total"), F.round(100.0 * F.count_if(F.col("confidence") < 0.5) / F.count("*"), 2).alias("low_rate")
+    )
+
+
+@query("select repo_root, substr(sha256(string_agg(hash, ',' order by hash)), 1, 64) as combined from (select distinct id, repo_root, hash from files) where hash is not null group by repo_root")
+def combined_file_hash(spark, folder):
+    """One hash per repo over the sorted hashes of its files."""
+    return _files(spark, folder, "repo_root", "hash").where("hash is not null").groupBy("repo_root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("combined"))
+
+
+# -- scalars and classifiers
+_FP = "substr(sha256('rule:' || rule_id || case when len(coalesce(affected_symbols, [])) > 0 then '|symbols:' || array_to_string(list_sort(affected_symbols), ',') else '' end || coalesce('|excerpt:' || evidence[1].excerpt_hash, '') || case when len(coalesce(affected_symbols, [])) = 0 and evidence[1].excerpt_hash is null then '|path:' || coalesce(evidence[1].path, '') else '' end), 1, 16)"
+
+
+def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _findings(spark, folder, "run_id", "rule_id", "affected_symbols", "evidence").where("rule_id is not null")
+    return rows.select("id", "run_id", S.fingerprint(F.col("rule_id"), F.col("affected_symbols"), F.get("evidence", F.lit(0))["excerpt_hash"], S.primary_path()).alias("fp"))
+
+
+@query(_F + f"q as (select id, run_id, {_FP} as fp from f where rule_id is not null) select * from q")
+def fingerprint_findings(spark, folder):
+    """The fingerprint of every finding."""
+    return _fingerprints(spark, folder)
+
+
+@query(_F + f"q as (select run_id, {_FP} as fp, id from f where rule_id is not null) select run_id, fp, count(*) as n from q group by run_id, fp having count(*) > 1")
+def fingerprint_duplicates(spark, folder):
+    """Fingerprints that stand more than once in a run."""
+    return _fingerprints(spark, folder).groupBy("run_id", "fp").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(_FILES + r"""q as (select id, lower(regexp_extract(path, '\.([^./]+)$', 1)) as ext, regexp_extract(path, '([^/]*)$', 1) as base,
+ case when position('/' in path) > 0 then regexp_extract(path, '^(.*)/[^/]*$', 1) else '.' end as dir,
+ case lower(regexp_extract(path, '\.([^./]+)$', 1)) when 'ts' then 'ts' when 'js' then 'js' when 'mjs' then 'js' when 'py' then 'py' when 'go' then 'go' when 'java' then 'java' when 'rb' then 'rb' else 'unknown' end as language,
+ case when regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$|_test\.(go|py)$') then 'test' when regexp_matches(lower(path), '(^|/)fixtures?/') then 'fixture'
+ when regexp_matches(lower(path), '(^|/)docs?/|\.(md|rst)$') then 'docs' when regexp_matches(lower(path), '(^|/)(config|settings)/|\.(json|ya?ml|toml|ini|env|properties)$') then 'config'
+ when regexp_matches(lower(path), '(^|/)(dist|build|generated|__generated__)/|[.-]min\.m?js$') then 'generated' else 'source' end as role from fi) select * from q""")
+def classify_files(spark, folder):
+    """Extension, name, folder, language and role of each file by its path."""
+    return _files(spark, folder, "path").select("id", S.extension("path").alias("ext"), S.basename("path").alias("base"), S.dirname("path").alias("dir"), S.language_of("path").alias("language"), S.role_of("path").alias("role"))
+
+
+@query(_F + r"""q as (select id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) as title_key,
+ regexp_replace(regexp_replace(upper(rule_id), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as rule_key from f where title is not null and rule_id is not null) select * from q""")
+def normalised_keys(spark, folder):
+    """Normalised titles and rule ids."""
+    return _findings(spark, folder, "title", "rule_id").where("title is not null and rule_id is not null").select("id", S.title_key("title").alias("title_key"), S.rule_key("rule_id").alias("rule_key"))
+
+
+# -- pattern joins
+_MODULES = "m as (select distinct repo_root, regexp_extract(path, '^(packages/[^/]+|src/[^/]+|src)/', 1) as module from fi where regexp_matches(path, '^(packages/[^/]+|src/[^/]+|src)/') union select distinct repo_root, 'src' from fi), "
+
+
+@query(_FILES + _MODULES + "q as (select fi.repo_root, fi.path, coalesce(max_by(m.module, length(m.module)), '.') as module from fi left join m on m.repo_root = fi.repo_root and starts_with(fi.path, m.module || '/') group by fi.repo_root, fi.path) select * from q")
+def longest_prefix_module(spark, folder):
+    """The module of each file: the longest module folder that holds it."""
+    files = _files(spark, folder, "repo_root", "path")
+    name = F.regexp_extract("path", r"^(packages/[^/]+|src/[^/]+|src)/", 1)
+    modules = files.select("repo_root", name.alias("module")).where("module != ''").unionByName(files.select("repo_root", F.lit("src").alias("module")))
+    return matching.longest_prefix(files.select("repo_root", "path").distinct(), modules)
+
+
+_SUPPRESSIONS = [
+    {"rule_id": "RAW_SQL", "path": "src/api/**", "reason": "old", "expiry": "2025-01-01"},
+    {"rule_id": "RAW_SQL", "path": "src/**", "reason": "legacy", "expiry": "2025-06-20"},
+    {"rule_id": "DEBT_MARKER", "path": "**/*.ts", "reason": "planned", "expiry": None},
+    {"rule_id": "LARGE_MODULE", "path": "packages/*/src/**", "reason": "split later", "expiry": "2026-01-01"},
+]
+_NOW = "2025-06-01"
+_SUPPRESS_SQL = """select id, {0} as suppression, {1} as suppression_status from (select id, rule_id, coalesce(evidence[1].path, '') as path from f)"""
+
+
+def _suppression_case(skip: bool, what: str) -> str:
+    rows = [] if skip else [("rule_id = 'RAW_SQL' and starts_with(path, 'src/api/')", "old", "expired")]
+    rows += [
+        ("rule_id = 'RAW_SQL' and starts_with(path, 'src/')", "legacy", "expiring"),
+        (r"rule_id = 'DEBT_MARKER' and regexp_matches(path, '\.ts$')", "planned", "active"),
+        ("rule_id = 'LARGE_MODULE' and regexp_matches(path, '^packages/[^/]*/src/')", "split later", "active"),
+    ]
+    body = " ".join(f"when {c} then '{r if what == 'reason' else s}'" for c, r, s in rows)
+    return f"case {body} else {'null' if what == 'reason' else chr(39) + 'not_matched' + chr(39)} end"
+
+
+def _with_path(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    rows = _findings(spark, folder, "evidence", *columns)
+    return rows.withColumn("path", S.primary_path()).drop("evidence")
+
+
+@query(_F + "q as (" + _SUPPRESS_SQL.format(_suppression_case(False, "reason"), _suppression_case(False, "status")) + ") select * from q")
+def suppression_matcher_mode(spark, folder):
+    """The first matching suppression decides, even an expired one."""
+    return matching.suppress(_with_path(spark, folder, "rule_id"), _SUPPRESSIONS, _NOW, skip_expired=False).select("id", "suppression", "suppression_status")
+
+
+@query(_F + "q as (" + _SUPPRESS_SQL.format(_suppression_case(True, "reason"), _suppression_case(True, "status")) + ") select * from q")
+def suppression_policy_mode(spark, folder):
+    """Expired suppressions are passed over."""
+    return matching.suppress(_with_path(spark, folder, "rule_id"), _SUPPRESSIONS, _NOW, skip_expired=True).select("id", "suppression", "suppression_status")
+
+
+@query(_F + "q as (" + _SUPPRESS_SQL.format(_suppression_case(False, "reason"), _suppression_case(False, "status")) + ") select suppression, suppression_status, count(*) as n from q where suppression is not null group by all")
+def suppression_audit(spark, folder):
+    """Findings per suppression and status."""
+    return suppression_matcher_mode(spark, folder).where("suppression is not null").groupBy("suppression", "suppression_status").agg(F.count("*").alias("n"))
+
+
+_OWNERS = [("*.ts", "web"), ("src/", "core"), ("/src/api/", "api"), ("**/tests/**", "qa"), ("*.py", "data")]
+_OWNER_SQL = r"case when regexp_matches(path, '\.py$') then 'data' when regexp_matches(path, '(^|/)tests/') then 'qa' when regexp_matches(path, '^src/api/') then 'api' when regexp_matches(path, '(^|/)src/') then 'core' when regexp_matches(path, '\.ts$') then 'web' end"
+
+
+@query(_FILES + f"q as (select id, path, {_OWNER_SQL} as owner from fi) select * from q")
+def ownership_last_match(spark, folder):
+    """The owner of each file: the last matching rule wins."""
+    return matching.owners(_files(spark, folder, "path"), _OWNERS)
+
+
+@query(_FILES + f"q as (select split_part(path, '/', 1) as folder, {_OWNER_SQL} as owner from fi) select folder, count(*) as n_files, count(*) filter (owner is null) as n_unowned, coalesce(array_to_string(list_sort(list(distinct owner) filter (owner is not null)), ','), '') as owners from q group by folder")
+def module_owner_rollup(spark, folder):
+    """Files, files without an owner and owners per top folder."""
+    rows = ownership_last_match(spark, folder).withColumn("folder", F.split_part("path", F.lit("/"), F.lit(1)))
+    return rows.groupBy("folder").agg(F.count("*").alias("n_files"), F.count_if(F.col("owner").isNull()).alias("n_unowned"), F.array_join(F.array_sort(F.collect_set("owner")), ",").alias("owners"))
+
+
+# -- comparison of runs
+def _two_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The findings of each rule before and from July 2025, as two sides; fingerprint and symbols as delivered."""
+    rows = _with_path(spark, folder, "rule_id", "fingerprint", "affected_symbols", "severity", "category", "confidence", "generated_at", "run_id")
+    rows = rows.withColumn("symbols", F.coalesce("affected_symbols", F.array().cast("array<string>"))).withColumn("ord", F.unix_micros(F.col("generated_at").cast("timestamp")))
+    cut = F.lit("2025-04-15").cast("timestamp_ntz")
+    return rows.where(F.col("generated_at") >= cut), rows.where(F.col("generated_at") < cut)
+
+
+@query()
+def compare_exact(spark, folder):
+    """Greedy one-to-one matching of later against earlier findings of each rule and repo."""
+    current, previous = _two_runs(spark, folder)
+    return compare.compare_exact(current, previous)
+
+
+_SIDES = """s as (select id, rule_id, fingerprint, coalesce(evidence[1].path, '') as path, severity, category, confidence, epoch_us(generated_at) as ord, generated_at >= timestamp '2025-04-15' as cur from f),
+a as (select *, row_number() over (partition by rule_id, fingerprint, cur order by ord, id) as n from s where fingerprint is not null),
+m1 as (select c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from a c join a p on c.rule_id = p.rule_id and c.fingerprint = p.fingerprint and c.n = p.n and c.cur and not p.cur),
+r as (select * from s where not exists (select 1 from m1 where cid = s.id or pid = s.id)),
+b as (select *, row_number() over (partition by rule_id, path, cur order by ord, id) as n from r),
+m2 as (select c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from b c join b p on c.rule_id = p.rule_id and c.path = p.path and c.n = p.n and c.cur and not p.cur),
+m as (select * from m1 union all select * from m2)
+select rule_id, cid as current_id, pid as previous_id, case when same then 'unchanged' else 'modified' end as status from m
+union all select rule_id, id, null, 'new' from s where cur and not exists (select 1 from m where cid = s.id)
+union all select rule_id, null, id, 'resolved' from s where not cur and not exists (select 1 from m where pid = s.id)"""
+
+
+@query(_F + _SIDES)
+def compare_staged(spark, folder):
+    """Set-based matching: fingerprints first, then rule and path."""
+    current, previous = _two_runs(spark, folder)
+    return compare.compare_staged(current, previous)
+
+
+@query("with r as (select distinct run_id, repo_root, branch, generated_at, finding_count from runs) select run_id, lag(run_id) over w as previous_run, finding_count - lag(finding_count) over w as delta from r window w as (partition by repo_root, branch order by generated_at, run_id)")
+def previous_run_lag(spark, folder):
+    """The run before each run of a branch and the change of its count."""
+    w = W.partitionBy("repo_root", "branch").orderBy("generated_at", "run_id")
+    runs = table(spark, folder, "runs").select("run_id", "repo_root", "branch", "generated_at", "finding_count").distinct()
+    return runs.select("run_id", F.lag("run_id").over(w).alias("previous_run"), (F.col("finding_count") - F.lag("finding_count").over(w)).alias("delta"))
+
+
+@query(_F + f"q as (select run_id, sum(case {_RANK} when 4 then 10 when 3 then 5 when 2 then 2 when 1 then 1 else 0 end) as score, count(*) as n from f group by run_id) select run_id, cast(score as bigint) as score, n from q")
+def trend_points(spark, folder):
+    """A weighted risk score per run."""
+    rank = S.severity_rank("severity")
+    weight = F.when(rank == 4, 10).when(rank == 3, 5).when(rank == 2, 2).when(rank == 1, 1).otherwise(0)
+    return _findings(spark, folder, "run_id", "severity").groupBy("run_id").agg(F.sum(weight).alias("score"), F.count("*").alias("n"))
+
+
+# -- lines of source
+@query(_FILES + r"l as (select id, unnest(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10))) as line from fi where content is not null) select id, marker, count(*) as n from (select id, case when regexp_matches(line, '\bFIXME\b') then 'FIXME' when regexp_matches(line, '\bTODO\b') then 'TODO' when regexp_matches(line, '\bkeep\b') then 'keep' when regexp_matches(line, '\bdrop\b') then 'drop' end as marker from l) where marker is not null group by all")
+def debt_marker_first_wins(spark, folder):
+    """Lines with a marker, counted by the first of the ordered list."""
+    lines = text_rules.lines_of(_files(spark, folder, "path", "language", "content"))
+    marker = text_rules.first_marker(F.col("line"), ["FIXME", "TODO", "keep", "drop"])
+    return lines.select("id", marker.alias("marker")).where("marker is not null").groupBy("id", "marker").agg(F.count("*").alias("n"))
+
+
+@query(_FILES + r"l as (select id, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) as ls from fi where content is not null), x as (select id, ls, unnest(range(1, len(ls) + 1)) as line_no from l) select id, cast(line_no as int) as line_no from x where regexp_matches(ls[line_no], 'return') and not regexp_matches(array_to_string(ls[greatest(line_no - 3, 1):line_no + 1], chr(10)), 'null|nil|None')")
+def line_window_veto(spark, folder):
+    """Lines with a pattern and without a veto word in the lines around."""
+    return text_rules.hits_with_veto(_files(spark, folder, "content"), "return", "null|nil|None", 3, 1)
+
+
+@query(_FILES + r"q as (select id, len(string_split(content, chr(10))) as n_lines, len(regexp_extract_all(content, '\bfunction\b|\bdef\b|\bfunc\b')) as n_functions from fi where content <> '') select * from q where n_lines > 40 or n_functions > 5")
+def large_module(spark, folder):
+    """Files with many lines or functions."""
+    rows = _files(spark, folder, "content").where("content != ''")
+    rows = rows.select("id", F.size(F.split("content", "\n")).alias("n_lines"), F.regexp_count("content", F.lit(r"\bfunction\b|\bdef\b|\bfunc\b")).alias("n_functions"))
+    return rows.where("n_lines > 40 or n_functions > 5")
+
+
+_IMPORT = r"""(?:from|require\(|import)\s*\(?["']([^"']+)["']"""
+
+
+@query(_FILES + r"q as (select id, unnest(list_distinct(regexp_extract_all(content, '" + _IMPORT.replace("'", "''") + "', 1))) as target from fi where content is not null and regexp_matches(path, '\\.(ts|js|mjs)$')) select * from q")
+def import_extraction(spark, folder):
+    """Distinct import specifiers of each script."""
+    rows = _files(spark, folder, "path", "content").where(F.col("path").rlike(r"\.(ts|js|mjs)$"))
+    return rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))).alias("target"))
+
+
+# -- joins without a match
+@query(_FILES + "n as (select repo_root, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as key, path, regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/') as is_test from fi where regexp_matches(path, '\\.(ts|js|mjs|py|go|java|rb)$')) select distinct repo_root, path from n where not is_test and not exists (select 1 from n t where t.is_test and t.repo_root = n.repo_root and split_part(t.key, '_', 1) = split_part(n.key, '_', 1))")
+def untested_antijoin(spark, folder):
+    """Source files without a test file whose name begins alike in the same repo."""
+    rows = _files(spark, folder, "repo_root", "path").where(F.col("path").rlike(r"\.(ts|js|mjs|py|go|java|rb)$"))
+    rows = rows.select("repo_root", "path", F.split_part(F.regexp_replace(S.basename("path"), r"\.[^.]*$", ""), F.lit("_"), F.lit(1)).alias("key"), F.lower("path").rlike(r"(^|/)(tests?|__tests__|spec)/").alias("is_test"))
+    tests = rows.where("is_test").select("repo_root", "key").distinct()
+    return rows.where("not is_test").join(tests, ["repo_root", "key"], "left_anti").select("repo_root", "path").distinct()
+
+
+@query(_F + "e as (select f.id, f.repo_root, unnest(f.evidence, max_depth := 2) from (select id, repo_root, evidence from f) f), p as (select distinct repo_root, path, max(line_count) over (partition by repo_root, path) as lines from files) select reason, count(*) as n from (select case when e.path is null or e.path = '' then 'missing' when p.path is null then 'path_not_found' when e.start_line < 1 or e.end_line < e.start_line then 'invalid_lines' else 'ok' end as reason from e left join p on p.repo_root = e.repo_root and p.path = e.path) group by reason")
+def evidence_validity(spark, folder):
+    """Evidence by the first reason why it is invalid."""
+    rows = _findings(spark, folder, "repo_root", "evidence").select("repo_root", F.explode("evidence").alias("e")).select("repo_root", "e.path", "e.start_line", "e.end_line")
+    known = table(spark, folder, "files").select("repo_root", "path").distinct().withColumn("known", F.lit(True))
+    reason = (
+        F.when(F.coalesce("path", F.lit("")) == "", "missing").when(F.col("known").isNull(), "path_not_found")
+        .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "invalid_lines").otherwise("ok")
+    )
+    return rows.join(known, ["repo_root", "path"], "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("with fi as (select distinct repo_root, path from files), w as (select distinct repo_root, unnest(files) as path from directory_walks) select w.repo_root, count(*) as n_missing from w left join fi using (repo_root, path) where w.path is not null and fi.path is null group by w.repo_root")
+def walk_paths_missing(spark, folder):
+    """Walked paths without a row in ``files``, per repo."""
+    walked = table(spark, folder, "directory_walks").select("repo_root", F.explode("files").alias("path")).where("path is not null").distinct()
+    return walked.join(table(spark, folder, "files").select("repo_root", "path"), ["repo_root", "path"], "left_anti").groupBy("repo_root").agg(F.count("*").alias("n_missing"))
+
+
+@query("with fi as (select distinct id, repo_root, path, size_bytes from files) select id, cast(total as bigint) as total from (select id, sum(coalesce(size_bytes, 0)) over (partition by repo_root order by path, id rows unbounded preceding) as total from fi) where total <= 8000")
+def scan_running_byte_cap(spark, folder):
+    """The files of each repo that a scan with a limit on all bytes takes, in the order of paths."""
+    total = F.sum(F.coalesce("size_bytes", F.lit(0))).over(W.partitionBy("repo_root").orderBy("path", "id").rowsBetween(W.unboundedPreceding, 0))
+    return _files(spark, folder, "repo_root", "path", "size_bytes").select("id", total.alias("total")).where("total <= 8000")
+
+
+@query("with old as (select distinct path, hash from files where observed_at < timestamp '2025-06-01'), new as (select distinct repo_root, path, hash from files) select repo_root, path from new where hash is not null and not exists (select 1 from old where old.path = new.path and old.hash = new.hash)")
+def incremental_hash_antijoin(spark, folder):
+    """Files whose path and hash weren't seen before a time: what an incremental scan has to read."""
+    files = table(spark, folder, "files")
+    old = files.where(F.col("observed_at") < F.lit("2025-06-01").cast("timestamp_ntz")).select("path", "hash")
+    return files.where("hash is not null").select("repo_root", "path", "hash").distinct().join(old, ["path", "hash"], "left_anti").select("repo_root", "path")
+
+
+# -- graph
+_EDGES = "with recursive e as (select distinct lower(trim(from_id)) as src, lower(trim(to_id)) as dst from relations where trim(from_id) <> '' and trim(to_id) <> ''), "
+
+
+@query(_EDGES.replace("recursive ", "") + "c as (select distinct lower(trim(id)) as id from files where role = 'config') select distinct e.src as node from e join c on e.dst = c.id")
+def blast_radius_one_hop(spark, folder):
+    """What refers to a configuration file directly."""
+    changed = table(spark, folder, "files").where("role = 'config'").select(F.lower(F.trim("id")).alias("dst"))
+    return graph.edges(table(spark, folder, "relations")).join(changed, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+
+
+@query(_EDGES + "r(node, depth) as (select distinct lower(trim(id)), 0 from files where role = 'config' union select e.src, depth + 1 from r join e on e.dst = r.node where depth < 3) select node, min(depth) as depth from r group by node")
+def blast_radius_depth3(spark, folder):
+    """What refers to a configuration file within three hops, at its least depth."""
+    seeds = table(spark, folder, "files").where("role = 'config'").select(F.lower(F.trim("id")).alias("node"))
+    return graph.reach(graph.edges(table(spark, folder, "relations")), seeds, 3, reverse=True)
+
+
+@query(_EDGES + "r(seed, node, depth) as (select distinct lower(trim(id)), lower(trim(id)), 0 from symbols where kind = 'route' union select seed, e.dst, depth + 1 from r join e on e.src = r.node where depth < 3) select seed, node, min(depth) as depth from r where node <> seed group by seed, node")
+def call_chains(spark, folder):
+    """What each route reaches within three hops, by the shortest way."""
+    seeds = table(spark, folder, "symbols").where("kind = 'route'").select(F.lower(F.trim("id")).alias("node"))
+    return graph.chains(graph.edges(table(spark, folder, "relations")), seeds, 3)
+
+
+@query(_EDGES.replace("recursive ", "") + "g as (select * from e where src <> dst) select x.src as a, x.dst as b, null as c from g x join g y on x.dst = y.src and x.src = y.dst where x.src < x.dst union all select x.src, x.dst, y.dst from g x join g y on x.dst = y.src join g z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst and y.dst <> x.dst")
+def cycles(spark, folder):
+    """Cycles of two or three nodes."""
+    return graph.short_cycles(graph.edges(table(spark, folder, "relations")))
+
+
+@query("with e as (select distinct id, kind, lower(trim(to_id)) as dst from relations where trim(to_id) <> '') select kind, dst, count(*) as n from e group by all having count(*) > 5")
+def hub_targets(spark, folder):
+    """Targets that many edges of a kind name."""
+    rows = table(spark, folder, "relations").select("id", "kind", F.lower(F.trim("to_id")).alias("dst")).where("dst != ''").distinct()
+    return rows.groupBy("kind", "dst").agg(F.count("*").alias("n")).where("n > 5")
+
+
+@query(_F + "n as (select 'run:' || run_id as id, 'run' as kind from runs union select 'finding:' || id, 'finding' from f union select 'file:' || e.path, 'file' from (select unnest(evidence) as e from f) where e.path is not null) select kind, count(*) as n from n group by kind")
+def evidence_dag_nodes(spark, folder):
+    """Nodes of the evidence graph by kind, each once."""
+    found = _findings(spark, folder, "evidence")
+    node = lambda df, kind, col: df.select(F.concat(F.lit(kind + ":"), col).alias("id"), F.lit(kind).alias("kind"))
+    files = found.select(F.explode("evidence.path").alias("p")).where("p is not null")
+    nodes = node(table(spark, folder, "runs"), "run", F.col("run_id")).unionByName(node(found, "finding", F.col("id"))).unionByName(node(files, "file", F.col("p")))
+    return nodes.distinct().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(_F + "e as (select distinct run_id as source, 'contains' as kind, id as target from f union select distinct id, 'located_in', e.path from (select id, unnest(evidence) as e from f) where e.path is not null union select distinct id, 'affects', s from (select id, unnest(affected_symbols) as s from f) where s is not null) select * from e")
+def evidence_dag_edges(spark, folder):
+    """Edges of the evidence graph, each once."""
+    found = _findings(spark, folder, "run_id", "evidence", "affected_symbols")
+    runs = found.select(F.col("run_id").alias("source"), F.lit("contains").alias("kind"), F.col("id").alias("target"))
+    files = found.select(F.col("id").alias("source"), F.lit("located_in").alias("kind"), F.explode("evidence.path").alias("target"))
+    symbols = found.select(F.col("id").alias("source"), F.lit("affects").alias("kind"), F.explode("affected_symbols").alias("target"))
+    return runs.unionByName(files).unionByName(symbols).where("target is not null").distinct()
+
+
+# -- sets, reports, windows
+@query("select artifact, string_agg(k, ',' order by k) as unexpected from (select distinct artifact, unnest(json_keys(payload)) as k from artifact_records where json_valid(payload)) where k not in ('artifact', 'status', 'errors', 'version', 'repoRoot', 'createdAt') group by artifact")
+def schema_drift_except(spark, folder):
+    """Top members of the payloads that the schema doesn't name, per artifact."""
+    rows = table(spark, folder, "artifact_records").select("artifact", F.explode(F.json_object_keys("payload")).alias("k"))
+    known = ["artifact", "status", "errors", "version", "repoRoot", "createdAt"]
+    return rows.where(~F.col("k").isin(known)).groupBy("artifact").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("unexpected"))
+
+
+@query(_F + "k as (select id, run_id, case when category in ('auth', 'security') then 'security' when category in ('validation', 'data') then 'data' when category in ('testing', 'maintainability', 'config') then 'technical' else 'other' end as kind from f where severity in ('critical', 'high') or confidence >= 0.7) select id, kind, row_number() over (partition by run_id, kind order by id) as number from k")
+def invariant_kinds(spark, folder):
+    """Findings that become invariants, numbered per run and kind."""
+    kind = F.when(F.col("category").isin("auth", "security"), "security").when(F.col("category").isin("validation", "data"), "data").when(F.col("category").isin("testing", "maintainability", "config"), "technical").otherwise("other")
+    rows = _findings(spark, folder, "run_id", "category", "severity", "confidence").where("severity in ('critical', 'high') or confidence >= 0.7").withColumn("kind", kind)
+    return rows.select("id", "kind", F.row_number().over(W.partitionBy("run_id", "kind").orderBy("id")).alias("number"))
+
+
+@query("select cast(time_bucket(interval 1 hour, ts) as timestamp) as window_start, event_type, count(*) as n_events, round(sum(value), 2) as total_value from events group by all")
+def stream_tumbling_counts(spark, folder):
+    """Hourly counts of events: the batch twin of the stream."""
+    return windows.tumbling_counts(table(spark, folder, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g) select user_id, min(ts) as session_start, count(*) as n_events from s group by user_id, n")
+def stream_sessions(spark, folder):
+    """Sessions of users: the batch twin of the stream."""
+    return windows.sessions(table(spark, folder, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query()
+def ddl_operations(spark, folder):
+    """Schema operations in all texts and sources that hold SQL definitions."""
+    texts = table(spark, folder, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    files = _files(spark, folder, "path", "content").select("path", "content")
+    return sql_inventory.inventory(texts.unionByName(files).where(F.col("content").rlike(r"(?i)\b(create|drop|alter)\s+(unique\s+|temporary\s+)?(table|index)\b")))
