@@ -55,8 +55,9 @@ target = id | object | array
 func = 'async'? 'function' '*'? id?{t(" tparams?")} params{ann} block
 params = '(' ( param ( ',' param )* ','? )? ')'
 param = {t("decorator* ")}'...'?{t(" id*")} ( target | 'this' ){t(" '?'?")}{ann} ( '=' assign )?
-class = {t("'declare'? 'abstract'? ")}'class' id?{t(" tparams?")} ( 'extends' lhs{t(" targs?")} )?{t(" ( 'implements' type ( ',' type )* )?")} '{{' member* '}}'
+class = {t("'declare'? 'abstract'? ")}'class' id?{t(" tparams?")} ( 'extends' lhs{t(" targs?")} )?{t(" ( 'implements' type ( ',' type )* )?")} '{{' member* lastm? '}}'
 member = ';' | {t("decorator* ")}mod* '*'? key{t(" '?'? tparams?")} params{ann} {t("( block | ';' )", "block")} | {t("decorator* ")}mod* key{t(" ( '?' | '!' )?")}{ann} ( '=' assign )? ';' | 'static' block {t("| mod* '[' id ':' type ']' typeann ';'?")}
+lastm = {t("decorator* ")}mod* key{t(" ( '?' | '!' )?")}{ann} ( '=' assign )? {t("| mod* key '?'? tparams? params typeann? | mod* '[' id ':' type ']' typeann")}
 mod = {mods}
 key = name | STR | NUM | '[' assign ']'
 import = 'import' STR | 'import'{t(" 'type'?")} ( id ( ',' ( named | '*' 'as' id ) )? | named | '*' 'as' id ) 'from' STR ( 'with' object )? {t("| 'import' id '=' expr")}
@@ -151,7 +152,7 @@ interface = 'interface' id tparams? ( 'extends' types )? ( 'permits' types )? bo
 record = 'record' id tparams? params ( 'implements' types )? body
 enum = 'enum' id ( 'implements' types )? '{{' ( constant ( ',' constant )* ','? )? ( ';' member* )? '}}'
 constant = annotation* id args? body?
-body = '{{' member* '}}'
+body = '{{' member* lastm? '}}'
 member = ';' | 'static'? block | typedecl | mod* tparams? ( type | 'void' ) id params dims ( 'throws' types )? ( 'default' aval )? ( block | ';' ) | mod* tparams? id params? ( 'throws' types )? block | mod* type vars ';'
 dims = ( '[' ']' )*
 vars = var ( ',' var )*
@@ -232,15 +233,19 @@ _RB_NAMES = RB_KEYWORDS - {"defined?", "BEGIN", "END"}
 RUBY = f"""
 program = stmts
 stmts = NL? ( stmt NL )* stmt?
-stmt = ( flat | 'alias' aname aname | 'undef' aname ) modifier*
+stmt = ( flat0 | 'alias' aname aname | 'undef' aname ) modifier*
 aname = ID | CONST | SYM | IVAR
 modifier = ( 'if' | 'unless' | 'while' | 'until' | 'rescue' ) flat
+flat0 = opdn0 more? | opdc0 more? | opdc0 juxt
 flat = opdn more? | opdc more? | opdc juxt
 more = op flat
 juxt = jn more? | jc more? | jc juxt
 op = '=' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '<=>' | '=~' | '!~' | '&&' | '||' | '&' | '|' | '^' | '<<' | '>>' | '..' | '...'
   | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&&=' | '||=' | 'and' | 'or' | '?' | ':' | ',' | '=>'
-prefix = '!' | '-' | '+' | '~' | '&' | '*' | '**' | '::' | 'not' | 'defined?' | LABEL | '..'
+prefix0 = '!' | '-' | '+' | '~' | '&' | '*' | '**' | '::' | 'not' | 'defined?' | '..'
+prefix = prefix0 | LABEL
+opdn0 = prefix0* ( basen | ( basen | basec ) post* postn )
+opdc0 = prefix0* ( basec | ( basen | basec ) post* dot )
 opdn = prefix* ( basen | ( basen | basec ) post* postn ) | LABEL
 opdc = prefix* ( basec | ( basen | basec ) post* dot )
 jn = prefix* ( jbase | ( jbase | basec ) post* postn ) | LABEL
