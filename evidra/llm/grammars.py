@@ -37,12 +37,10 @@ def _javascript(ts: bool) -> str:
 program = stmts
 id = ID | {_choice(contextual)}
 name = id | {_choice(keywords - contextual)}
-stmts = full* last?
-full = ';' | block | simple ';' | func | class | 'if' paren ';'? ( full | simple | open ) 'else' full | 'if' paren full | 'for' 'await'? forhead full | 'while' paren full
-  | 'do' ( full | simple ) 'while' paren | 'switch' paren '{{' case* '}}' | 'try' block catch | id ':' full | 'export' ( func | class | 'default' ( func | class ) ) | 'with' paren full {t("| tsfull | 'export' tsfull | 'export' 'default' 'interface' id tparams? heritage members | decorator+ ';'? ( class | 'export' 'default'? class )")}
-open = 'if' paren ( simple | open )
-last = simple | 'if' paren ( simple | last ) | 'if' paren ';'? ( full | simple ) 'else' last | 'for' 'await'? forhead last | 'while' paren last | id ':' last
-simple = decl | expr | 'throw' expr | 'return' expr? | 'break' id? | 'continue' id? | 'debugger' | import | export {t("| 'declare'? 'type' id tparams? '=' type | 'declare' ( decl | 'function' id tparams? params typeann? | 'global' block ) | 'function' id tparams? params typeann? | 'export' ( 'declare'? 'type' id tparams? '=' type | '=' expr | 'declare' decl | 'default'? 'async'? 'function' id? tparams? params typeann? )")}
+stmts = full*
+full = ';' | block | simple ';' | func | class | 'if' paren ';'? full ';'? ( 'else' full )? | 'for' 'await'? forhead ';'? full | 'while' paren ';'? full
+  | 'do' full 'while' paren | 'switch' paren '{{' case* '}}' | 'try' block catch | id ':' full | 'export' ( func | class | 'default' ( func | class | object ) ) | 'with' paren full {t("| tsfull | 'export' tsfull | 'export' 'default' 'interface' id tparams? heritage members | decorator+ ';'? ( class | 'export' 'default'? class )")}
+simple = decl | expr0 | 'throw' expr | 'return' expr? | 'break' id? | 'continue' id? | 'debugger' | import | export {t("| 'declare'? 'type' id tparams? '=' type | 'declare' ( decl | 'function' id tparams? params typeann? | 'global' block ) | 'function' id tparams? params typeann? | 'export' ( 'declare'? 'type' id tparams? '=' type | '=' expr | 'declare' decl | 'default'? 'async'? 'function' id? tparams? params typeann? )")}
 block = '{{' stmts '}}'
 paren = '(' expr ')'
 forhead = '(' ( decl | expr )? ';' expr? ';' expr? ')' | '(' ( ( 'var' | 'let' | 'const' ) target | lhs ) ( 'of' assign | 'in' expr ) ')'
@@ -55,29 +53,32 @@ target = id | object | array
 func = 'async'? 'function' '*'? id?{t(" tparams?")} params{ann} block
 params = '(' ( param ( ',' param )* ','? )? ')'
 param = {t("decorator* ")}'...'?{t(" id*")} ( target | 'this' ){t(" '?'?")}{ann} ( '=' assign )?
-class = {t("'declare'? 'abstract'? ")}'class' id?{t(" tparams?")} ( 'extends' lhs{t(" targs?")} )?{t(" ( 'implements' type ( ',' type )* )?")} '{{' member* lastm? '}}'
+class = {t("'declare'? 'abstract'? ")}'class' id?{t(" tparams?")} ( 'extends' lhs{t(" targs?")} )?{t(" ( 'implements' type ( ',' type )* )?")} '{{' member* '}}'
 member = ';' | {t("decorator* ")}mod* '*'? key{t(" '?'? tparams?")} params{ann} {t("( block | ';' )", "block")} | {t("decorator* ")}mod* key{t(" ( '?' | '!' )?")}{ann} ( '=' assign )? ';' | 'static' block {t("| mod* '[' id ':' type ']' typeann ';'?")}
-lastm = {t("decorator* ")}mod* key{t(" ( '?' | '!' )?")}{ann} ( '=' assign )? {t("| mod* key '?'? tparams? params typeann? | mod* '[' id ':' type ']' typeann")}
 mod = {mods}
 key = name | STR | NUM | '[' assign ']'
 import = 'import' STR | 'import'{t(" 'type'?")} ( id ( ',' ( named | '*' 'as' id ) )? | named | '*' 'as' id ) 'from' STR ( 'with' object )? {t("| 'import' id '=' expr")}
-named = '{{' ( spec ( ',' spec )* ','? )? '}}'
+named = '{{' ( spec ( ',' spec )* ','? )? ';'? '}}'
 spec = {t("'type'? ")}( name | STR ) ( 'as' ( name | STR ) )?
-export = 'export' ( decl | {t("'type'? ")}named ( 'from' STR )? | '*' ( 'as' name )? 'from' STR | 'default' assign )
+export = 'export' ( decl | {t("'type'? ")}named ( 'from' STR )? | '*' ( 'as' name )? 'from' STR | 'default' assign0 )
 expr = assign ( ',' assign )*
 assign = operand ( binary operand )* ( '?' assign ':' assign ( binary operand )* )?
+expr0 = assign0 ( ',' assign )*
+assign0 = operand0 ( binary operand )* ( '?' assign ':' assign ( binary operand )* )?
+operand0 = prefix+ ( primary postfix* | arrow ) | primary0 postfix* | arrow | 'yield' '*'? assign?
 binary = '=' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | '>' '>' | '>' '>' '>' | '>' '>=' | '>' '>' '>='
   | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '&&=' | '||=' | '??=' | 'in' | 'instanceof'
 operand = prefix* primary postfix* | prefix* arrow | 'yield' '*'? assign?
 prefix = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' {t("| '<' type '>'")}
-arrow = 'async'? ( id |{t(" tparams?")} params{ann} ) '=>' ( block | assign )
-primary = ID | {_choice(contextual - {"async", "yield", "await"})} | 'async' | NUM | STR | REGEX | template | '(' expr ')' | array | object | func | {t("decorator* ")}class | 'import' ( '(' assign ( ',' assign )? ','? ')' | '.' name )
+arrow = 'async'? ( id |{t(" tparams?")} params{ann} ) '=>' ( block | assign0 | func | class )
+primary = primary0 | object | func | {t("decorator* ")}class
+primary0 = ID | {_choice(contextual - {"async", "yield", "await"})} | 'async' | NUM | STR | REGEX | template | '(' expr ')' | array | 'import' ( '(' assign ( ',' assign )? ','? ')' | '.' name )
 template = TPL | TPL0 expr ( TPLM expr )* TPLE
 postfix = ( '.' | '?.' ) name | '?.'? '[' expr ']' | '?.'? args | template | '++' | '--' | '.' 'target' {t("| '!' | 'as' ( type | 'const' ) | 'satisfies' type | targs ( args | template )")}
 args = '(' ( arg ( ',' arg )* ','? )? ')'
 arg = '...'? assign
 array = '[' ( ','* arg ( ','+ arg )* ','* | ','+ )? ']'
-object = '{{' ( prop ( ',' prop )* ','? )? '}}'
+object = '{{' ( prop ( ',' prop )* ','? )? ';'? '}}'
 prop = '...' assign | ( 'async' | 'get' | 'set' )? '*'? key{t(" tparams?")} params{ann} block | key ':' assign | id ( '=' assign )?
 """ + (
         f"""
@@ -92,7 +93,7 @@ atom = ( name ( '.' name )* | 'import' '(' STR ')' ( '.' name )* ) targs? | STR
 members = '{{' tmember* '}}'
 tmember = ( 'readonly' | 'get' | 'set' | '-' | '+' )* ( key '?'? ( typeann | tparams? params typeann? )? | 'new'? tparams? params typeann? | '[' id ( ':' | 'in' ) type ( 'as' type )? ']' ( '-' | '+' )? '?'? typeann ) ( ';' | ',' )? | ';'
 heritage = ( 'extends' type ( ',' type )* )?
-tsfull = 'declare'? ( 'interface' id tparams? heritage members | 'const'? 'enum' id '{{' ( enumerator ( ',' enumerator )* ','? )? '}}' | ( 'namespace' | 'module' ) ( id ( '.' id )* | STR ) block )
+tsfull = 'declare'? ( 'interface' id tparams? heritage members | 'const'? 'enum' id '{{' ( enumerator ( ',' enumerator )* ','? )? ';'? '}}' | ( 'namespace' | 'module' ) ( id ( '.' id )* | STR ) block )
 enumerator = key ( '=' assign )?
 """
         if ts
@@ -116,7 +117,7 @@ params = '(' ( param ( ',' param )* ','? )? ')'
 param = type | ID '...'? type | '...' type
 result = type | params
 block = '{' stmts '}'
-stmts = ( stmt? ';' )* stmt?
+stmts = ( stmt ( ';' stmts )? | ';' stmts )?
 stmt = simple | decl | block | 'return' exprs? | 'break' ID? | 'continue' ID? | 'goto' ID | 'fallthrough' | 'go' cexpr | 'defer' cexpr | if | for | switch | select | ID ':' stmt?
 simple = exprs ( ( '=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=' ) exprs | '++' | '--' | '<-' cexpr )?
 if = 'if' ( simple? ';' )? cexpr block ( 'else' ( if | block ) )?
@@ -152,7 +153,7 @@ interface = 'interface' id tparams? ( 'extends' types )? ( 'permits' types )? bo
 record = 'record' id tparams? params ( 'implements' types )? body
 enum = 'enum' id ( 'implements' types )? '{{' ( constant ( ',' constant )* ','? )? ( ';' member* )? '}}'
 constant = annotation* id args? body?
-body = '{{' member* lastm? '}}'
+body = '{{' member* '}}'
 member = ';' | 'static'? block | typedecl | mod* tparams? ( type | 'void' ) id params dims ( 'throws' types )? ( 'default' aval )? ( block | ';' ) | mod* tparams? id params? ( 'throws' types )? block | mod* type vars ';'
 dims = ( '[' ']' )*
 vars = var ( ',' var )*
@@ -196,7 +197,7 @@ aug = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>
 yielded = exprs | 'from' test
 dotted = id ( '.' id )*
 names = id ( 'as' id )? ( ',' id ( 'as' id )? )*
-compound = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? | 'while' named ':' suite ( 'else' ':' suite )? | 'async'? 'for' exprs 'in' exprs ':' suite ( 'else' ':' suite )?
+compound = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? | 'while' named ':' suite ( 'else' ':' suite )? | 'async'? 'for' exprs0 'in' exprs ':' suite ( 'else' ':' suite )?
   | 'try' ':' suite ( ( 'except' '*'? ( exprs ( 'as' id )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite )
   | 'async'? 'with' ( item ( ',' item )* | '(' item ( ',' item )* ','? ')' ) ':' suite | decorated
   | 'match' exprs ':' NEWLINE INDENT ( 'case' pattern ( 'if' named )? ':' suite )+ DEDENT
@@ -215,16 +216,16 @@ lambda = 'lambda' ( lparam ( ',' lparam )* ','? )? ':' test
 lparam = ( id | '*' id? | '**' id | '/' ) ( '=' test )?
 or = operand ( ( 'or' | 'and' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '%' | '//' | '@' | '**' ) operand )*
 operand = ( 'not' | '+' | '-' | '~' | 'await' )* primary postfix*
-primary = id | NUM | STR+ | '...' | '(' ( 'yield' yielded? | comp | exprs )? ')' | '[' ( comp | exprs )? ']' | '{{' ( ( pair ( ',' pair )* ','? | pair for+ ) | comp | exprs )? '}}'
-pair = test ':' test | '**' operand
-comp = star for+
+primary = id | NUM | STR+ | '...' | '(' ( 'yield' yielded? | items )? ')' | '[' items? ']' | '{{' ( star ( ':' test pairs | for+ | ( ',' star )* ','? ) | '**' operand pairs )? '}}'
+items = star ( for+ | ( ',' star )* ','? )
+pairs = for+ | ( ',' ( test ':' test | '**' operand ) )* ','?
 for = 'async'? 'for' exprs0 'in' or ( 'if' ( or | lambda ) )*
 exprs0 = target ( ',' target )* ','?
 target = '*'? primary postfix*
 postfix = '.' id | '(' args? ')' | '[' slice ( ',' slice )* ','? ']'
 args = arg ( ',' arg )* ','?
-arg = '*' test | '**' test | id '=' test | named | named for+
-slice = star | test? ':' test? ( ':' test? )?
+arg = '*' test | '**' test | id '=' test | named for*
+slice = star ( ':' test? ( ':' test? )? )? | ':' test? ( ':' test? )?
 """
 
 _RB_NAMES = RB_KEYWORDS - {"defined?", "BEGIN", "END"}
@@ -232,37 +233,32 @@ _RB_NAMES = RB_KEYWORDS - {"defined?", "BEGIN", "END"}
 #: so each token leaves few stacks. NL stands for line ends and semicolons.
 RUBY = f"""
 program = stmts
-stmts = NL? ( stmt NL )* stmt?
+stmts = NL? seq?
+seq = stmt ( NL seq? )?
 stmt = ( flat0 | 'alias' aname aname | 'undef' aname ) modifier*
 aname = ID | CONST | SYM | IVAR
 modifier = ( 'if' | 'unless' | 'while' | 'until' | 'rescue' ) flat
-flat0 = opdn0 more? | opdc0 more? | opdc0 juxt
-flat = opdn more? | opdc more? | opdc juxt
-more = op flat
-juxt = jn more? | jc more? | jc juxt
+flat0 = prefix0* ( basen tailn | basec tailc )
+flat = prefix* ( basen tailn | basec tailc ) | LABEL ( op flat )?
+tailn = ( postn tailn | dot tailc | op flat )?
+tailc = ( postn tailn | dot tailc | op flat | juxt )?
+juxt = jbase tailn | basec tailc | prefix+ ( jbase tailn | basec tailc | '{{' list '}}' tailn ) | LABEL
 op = '=' | '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '<=>' | '=~' | '!~' | '&&' | '||' | '&' | '|' | '^' | '<<' | '>>' | '..' | '...'
   | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&&=' | '||=' | 'and' | 'or' | '?' | ':' | ',' | '=>'
 prefix0 = '!' | '-' | '+' | '~' | '&' | '*' | '**' | '::' | 'not' | 'defined?' | '..'
 prefix = prefix0 | LABEL
-opdn0 = prefix0* ( basen | ( basen | basec ) post* postn )
-opdc0 = prefix0* ( basec | ( basen | basec ) post* dot )
-opdn = prefix* ( basen | ( basen | basec ) post* postn ) | LABEL
-opdc = prefix* ( basec | ( basen | basec ) post* dot )
-jn = prefix* ( jbase | ( jbase | basec ) post* postn ) | LABEL
-jc = prefix* ( basec | ( jbase | basec ) post* dot )
 basec = ID | CONST | 'yield' | 'super' | 'return' | 'next' | 'break' | 'redo' | 'retry'
-basen = jbase | 'if' flat then stmts ( 'elsif' flat then stmts )* ( 'else' stmts )? 'end' | 'unless' flat then stmts ( 'else' stmts )? 'end' | ( 'while' | 'until' ) flat 'do'? stmts 'end'
-jbase = NUM | STR+ | SYM | IVAR | REGEX | '(' stmts ')' | CALL stmts ')' | '[' list ']' | INDEX list ']' | '{{' list '}}' | '->' ( ( '(' | CALL ) flat? ')' | ID )? block
+basen = jbase | '{{' list '}}' | 'if' flat then stmts ( 'elsif' flat then stmts )* ( 'else' stmts )? 'end' | 'unless' flat then stmts ( 'else' stmts )? 'end' | ( 'while' | 'until' ) flat 'do'? stmts 'end'
+jbase = NUM | STR+ | SYM | IVAR | REGEX | '(' stmts ')' | '[' list ']' | '->' ( ( '(' | CALL ) flat? ')' | ID )? block
   | 'for' flat 'in' flat 'do'? stmts 'end' | 'case' flat? NL? ( ( 'when' | 'in' ) flat then stmts )+ ( 'else' stmts )? 'end' | 'begin' body 'end' | 'class' ( flat | '<<' flat ) body 'end' | 'module' flat body 'end' | 'def' def
 then = NL? 'then'?
 list = NL? ( flat ( NL? ',' )? )? NL?
-post = dot | postn
 dot = ( '.' | '&.' | '::' ) name
-postn = '.'? CALL list ')' | INDEX list ']' | block
+postn = CALL list ')' | INDEX list ']' | block
 name = ID | CONST | IVAR | {_choice(_RB_NAMES)} | '+' | '-' | '*' | '/' | '==' | '<' | '>' | '<<' | '!'
 block = '{{' bparams? stmts '}}' | 'do' bparams? body 'end'
 bparams = '|' ( bparam ( ',' bparam )* ','? )? '|' | '||'
-bparam = ( '*' | '**' | '&' )? ID ( '=' opdn )? | LABEL opdn? | '*' | '(' bparam ( ',' bparam )* ')'
+bparam = ( '*' | '**' | '&' )? ID ( '=' flat )? | LABEL | '*' | '(' bparam ( ',' bparam )* ')'
 body = stmts ( 'rescue' flat? ( '=>' flat )? 'then'? stmts )* ( 'else' stmts )? ( 'ensure' stmts )?
 def = ( ( ID | CONST | IVAR ) '.' )? dname ( ( '(' | CALL ) list ')' )? ( '=' flat | body 'end' )
 dname = ( ID | CONST | {_choice(_RB_NAMES)} ) '='? | '+' | '-' | '*' | '/' | '%' | '==' | '<=>' | '<' | '>' | '<=' | '>=' | '<<' | '>>' | '!' | '[' ']' '='? | INDEX ']' '='? | '=~' | '===' | '~'

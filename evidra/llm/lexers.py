@@ -56,7 +56,7 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 #: After these a slash begins a regular expression.
 _JS_OPERAND_END = frozenset(["ID", "NUM", "STR", "REGEX", "TPL", "TPLE", ")", "]", "}"])
 _JS_NO_BREAK_BEFORE = frozenset(
-    "... => ?. === !== == != <= >= **= ** &&= ||= ??= && || ?? << <<= += -= *= /= %= &= |= ^= + - * / % & | ^ < > = ? : ; , . ) ] } in instanceof of else catch finally as satisfies extends implements is from (".split()
+    "... => ?. === !== == != <= >= **= ** &&= ||= ??= && || ?? << <<= += -= *= /= %= &= |= ^= + - * / % & | ^ < > = ? : ; , . ) ] } in instanceof of catch finally as satisfies extends implements is from (".split()
     + ["["]
 )
 _JS_NO_BREAK_AFTER = frozenset(
@@ -131,7 +131,8 @@ def _javascript(text: str, keywords: frozenset[str]) -> Tokens:
                     cls = m[0]
                     if braces:
                         braces[-1] += (cls == "{") - (cls == "}")
-        if broke and last and last not in _JS_NO_BREAK_AFTER and cls not in _JS_NO_BREAK_BEFORE:
+        # a semicolon may be left out at a line end and before a closing brace
+        if (broke and last and last not in _JS_NO_BREAK_AFTER and cls not in _JS_NO_BREAK_BEFORE) or (cls == "}" and last not in ("{", ";", ",")):
             classes.append(";")
             starts.append(begin)
         broke = False
@@ -140,6 +141,9 @@ def _javascript(text: str, keywords: frozenset[str]) -> Tokens:
         last = cls
         if cls == "BAD":
             break
+    if last not in ("", ";", "BAD"):
+        classes.append(";")
+        starts.append(size)
     return classes, starts
 
 

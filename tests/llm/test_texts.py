@@ -208,3 +208,34 @@ def test_queries_are_registered():
 
     assert {"p1_found", "p2_found", "p7_found", "p8_ids", "p9_mix", "p10_found"} <= set(queries.QUERIES)
     assert json.dumps(sorted(queries.ORACLES)) == "[]"
+
+
+NEST = {
+    "javascript": ("f(function (a) { if (a) { g(() => { x = { k: [", "] } }) } });"),
+    "typescript": ("class A { m<T>(a: Map<string, T[]>): void { const f = (x: number): void => { ", " }; } }\n"),
+    "python": None,
+    "go": ("f(func(a int) { if a > 1 { for { x(T{A: []int{1}}, ", ") } } });"),
+    "java": ("f(() -> { if (a) { for (;;) { new A() { int g() { h(", "); return 1; } }; } } });"),
+    "ruby": ("foo(a) do |x|\n  if x\n    [1].map { |y| z(", ") }\n  end\nend\n"),
+}
+
+
+@pytest.mark.parametrize("language", NEST)
+def test_deep_nesting_stays_cheap(language):
+    from evidra.llm.grammars import grammar
+    from evidra.llm.lexers import tokens
+
+    if language == "python":
+        text = "x = " + "[{'a': (1, [b for c in " * 12 + "d" + "])}]" * 12 + "\n"
+    else:
+        low, high = NEST[language]
+        inner = "1"
+        for _ in range(12):
+            inner = low + inner + high.rstrip(";\n") if language in ("javascript", "go", "java") else low + inner + high
+        wrap = {"go": "package a\nfunc m() {\n%s\n}\n", "java": "class Z { void m() { %s; } }"}.get(language, "%s\n")
+        text = wrap % inner if language != "typescript" else inner
+    state, most = grammar(language).first(), 0
+    for token in tokens(language, text)[0]:
+        state = grammar(language).move(state, token)
+        most = max(most, len(state))
+    assert most <= 64, most
