@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.session import saved
+from evidra.session import hot_keys, saved
 
 #: Length of a span that counts, in Unicode characters.
 MIN_SPAN = 300
@@ -41,6 +41,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` consecutive code points."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
+    hashes = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
+    return hashes | np.uint64(1)
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+
+
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """Best of each ``width`` consecutive values, by doubling."""
     out, done = values, 1
@@ -51,27 +67,21 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors_of(texts: list[str], span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the anchors of the texts, and the text that each stands in.
+def anchors_of(texts: list[str], span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors of the texts, the text that each stands in, and its place there.
 
     With grams of ``span // 2`` characters and windows of ``span - gram + 1`` grams, a
     common span of ``span`` characters holds one whole window in both texts, whose
-    least hash is picked in both.
+    least hash is picked in both. Of equal grams that follow each other directly the
+    first and the last are kept: what lies around the others lies around these.
     """
     gram = max(span // 2, 1)
     width = span - gram + 1
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-    n = len(data)
-    if n < span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(data * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
-    hashes = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1)
-    hashes ^= hashes >> np.uint64(32)
-    hashes *= np.uint64(0xD6E8FEB86659FD93)
-    hashes ^= hashes >> np.uint64(32)
-    hashes |= np.uint64(1)
+    data = _points(texts)
+    if len(data) < span:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _gram_hashes(data, gram)
     least = _sliding(hashes, width, np.minimum)
     # windows that lie in one text
     ends = np.cumsum(sizes)
@@ -81,63 +91,135 @@ def anchors_of(texts: list[str], span: int = MIN_SPAN) -> tuple[np.ndarray, np.n
     pad = np.zeros(width - 1, np.uint64)
     greatest = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero(greatest == hashes)
-    return hashes[at], owner[at]
+    follows = np.zeros(len(at), bool)
+    follows[1:] = (at[1:] == at[:-1] + 1) & (hashes[at[1:]] == hashes[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])
+    inner = follows.copy()
+    inner[:-1] &= follows[1:]
+    inner[-1:] = False
+    at = at[~inner]
+    return hashes[at], owner[at], at - (ends - sizes)[owner[at]]
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about two million characters."""
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (size == 0 or size + len(texts[high]) < 2_000_000):
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
 
 
 def _anchors(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, ids, texts = 0, batch.column(0), batch.column(1).to_pylist()
-            while low < len(texts):  # about two million characters at a time
-                high, size = low, 0
-                while high < len(texts) and (size == 0 or size + len(texts[high]) < 2_000_000):
-                    size += len(texts[high])
-                    high += 1
-                found, owner = anchors_of(texts[low:high], span)
-                keep = np.unique(np.stack([found.view(np.int64), owner], 1), axis=0) if len(found) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keep[:, 0]), ids.slice(low).take(pa.array(keep[:, 1]))], ["anchor", "doc_id"])
-                low = high
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for low, high in _parts(texts):
+                found, owner, place = anchors_of(texts[low:high], span)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), ids.slice(low).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["anchor", "doc_id", "place"]
+                )
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents with a common anchor, within one partition of anchors."""
-    tables = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not tables:
-        return
-    anchor, doc = (np.concatenate(x) for x in zip(*tables, strict=True))
-    order = np.lexsort((doc, anchor))
-    anchor, doc = anchor[order], doc[order]
-    keep = np.ones(len(anchor), bool)
-    keep[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    anchor, doc = anchor[keep], doc[keep]
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([first, [len(anchor)]]))
-    last = np.repeat(first + size, size)  # end of the group of each row
-    row = np.arange(len(anchor))
-    seen: list[np.ndarray] = []
-    step = 1
-    while True:  # each row with the row ``step`` further on in its group
-        row = row[row + step < last[row]]
-        if not len(row):
-            break
-        seen.append(np.stack([doc[row], doc[row + step]], 1))
-        step += 1
-        if sum(map(len, seen)) > 1_000_000:
+#: Anchors in more documents than this aren't paired: their documents are compared by whole spans.
+COMMON_ANCHOR = 64
+
+
+def _pairs(limit: int):
+    """Pairs of documents with a common key, within one partition of keys.
+
+    A key in more than ``limit`` documents gives its rows instead (``b`` is then the place).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+        if not tables:
+            return
+        key, doc, place = (np.concatenate(x) for x in zip(*tables, strict=True))
+        order = np.lexsort((place, doc, key))
+        key, doc, place = key[order], doc[order], place[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.add.reduceat(fresh, first) if len(first) else first  # documents of each key
+        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else first
+
+        def batch(a: np.ndarray, b: np.ndarray, paired: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int64)), pa.array(np.full(len(a), paired))], ["a", "b", "paired"])
+
+        common = size[group] > limit if limit else np.zeros(len(key), bool)
+        if common.any():
+            yield batch(doc[common], place[common], False)
+        keep = fresh & ~common
+        doc, group = doc[keep], group[keep]
+        last = np.searchsorted(group, group, side="right")  # end of the group of each row
+        row = np.arange(len(doc))
+        seen: list[np.ndarray] = []
+        step = 1
+        while True:  # each row with the row ``step`` further on in its group
+            row = row[row + step < last[row]]
+            if not len(row):
+                break
+            seen.append(np.stack([doc[row], doc[row + step]], 1))
+            step += 1
+            if sum(map(len, seen)) > 1_000_000:
+                some = np.unique(np.concatenate(seen), axis=0)
+                yield batch(some[:, 0], some[:, 1], True)
+                seen = []
+        if seen:
             some = np.unique(np.concatenate(seen), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
-            seen = []
-    if seen:
-        some = np.unique(np.concatenate(seen), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+            yield batch(some[:, 0], some[:, 1], True)
+
+    return run
+
+
+def _windows(span: int):
+    """Hashes of all windows of ``span`` characters around the given places of a text."""
+    gram = max(span // 2, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                hashes = _gram_hashes(_points([text]), span)
+                wanted = np.zeros(len(hashes), bool)
+                for place in places:
+                    wanted[max(0, place + gram - span) : place + 1] = True
+                found = np.unique(hashes[wanted])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(np.full(len(found), doc)), pa.array(np.zeros(len(found), np.int32))], ["anchor", "doc_id", "place"]
+                )
+
+    return run
+
+
+_KEYS = "anchor long, doc_id long, place int"
+_FOUND = "a long, b long, paired boolean"
 
 
 def candidates(documents: DataFrame, span: int = MIN_SPAN) -> DataFrame:
-    """``a, b`` (a < b): documents with a common anchor; holds every pair with a common span."""
-    long = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    anchors = long.mapInArrow(_anchors(span), "anchor long, doc_id long")
-    return anchors.repartition("anchor").mapInArrow(_pairs, "a long, b long").distinct()
+    """``a, b`` (a < b): documents that probably share a span; holds every pair that does.
+
+    Anchors that stand in many documents (phrases of the trade, copied passages) don't
+    pair their documents: those are compared by the hashes of all windows of the whole
+    span around the anchor, so the pairs that come out share such a window. Anchors that
+    hold a share of all rows go there without being grouped first.
+    """
+    long = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    anchors = saved(long.mapInArrow(_anchors(span), _KEYS))
+    hot = F.broadcast(hot_keys(anchors, "anchor"))  # at most 1 / HOT_SHARE rows
+    found = saved(anchors.join(hot, "anchor", "left_anti").repartition("anchor").mapInArrow(_pairs(COMMON_ANCHOR), _FOUND))
+    places = anchors.join(hot, "anchor", "left_semi").select("doc_id", "place").unionByName(
+        found.where("not paired").select(F.col("a").alias("doc_id"), F.col("b").cast("int").alias("place"))
+    )
+    # at most one place per character of a document
+    places = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    common = long.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(span), _KEYS)
+    whole = common.repartition("anchor").mapInArrow(_pairs(0), _FOUND)
+    return found.where("paired").unionByName(whole).select("a", "b").distinct()
 
 
 _WORDS = re.compile(r"\w+|\s+|[^\w\s]+")

@@ -177,7 +177,9 @@ def brute_pairs(texts, span):
     return {(a, b) for a in grams for b in grams if a < b and grams[a] & grams[b]}
 
 
-def test_sharing_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("common", [64, 2])
+def test_sharing_pairs_equal_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(shared_spans, "COMMON_ANCHOR", common)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 5, 7, 60])))
     passages = ["".join(word() + " " for _ in range(40))[:n] for n in (59, 60, 61, 90, 200)] + ["z" * 80, "é日" * 40, " " * 70]
