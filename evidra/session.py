@@ -57,7 +57,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*").alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_all") * F.lit(share) + 100).select(key)
+    return counts.where(F.col("_n") > total.scalar() * F.lit(share) + 100).select(key)
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
