@@ -32,7 +32,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: float | None = None) ->
     usable = rows.where("usable").agg(
         F.sum("target_share").alias("_shares"), F.min(F.col("source_tokens") * F.col("max_repeats") / F.col("target_share")).alias("_most")
     )
-    rows = rows.join(F.broadcast(usable))  # one row
+    rows = rows.withColumns({"_shares": usable.select("_shares").scalar(), "_most": usable.select("_most").scalar()})
     whole = F.col("_most") * F.col("_shares") if total is None else F.lit(float(total))
     goal = F.when(F.col("usable"), whole * F.col("target_share") / F.col("_shares")).otherwise(0.0)
     cap = F.when(F.col("usable"), F.col("source_tokens") * F.col("max_repeats")).otherwise(0.0)
@@ -76,7 +76,7 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     )
     rows = targets.select(_named("source").alias("source"), "target_share", "max_repeats").dropDuplicates(["source"]).join(got, "source", "left").na.fill(0)
     whole = got.agg(F.sum("n_tokens").alias("_all"))
-    return rows.join(F.broadcast(whole)).select(
+    return rows.withColumn("_all", whole.scalar()).select(
         "source", "target_share", "max_repeats", "n_docs", "n_tokens", "most_repeats",
         F.round(F.coalesce(F.col("n_tokens") / F.col("_all"), F.lit(0.0)), 6).alias("actual_share"),
     )
