@@ -14,7 +14,7 @@ from evidra.functions.scalars import glob_regex, owner_regex
 
 
 def first_match(path: Column, patterns: list[tuple[Column, str, dict]]) -> Column:
-    """Struct of the first entry whose condition and regex hold, or null."""
+    """Struct of the first entry whose condition and regex hold, or null. There must be an entry."""
     out = None
     for condition, regex, values in reversed(patterns):
         row = F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
@@ -45,6 +45,8 @@ def suppress(findings: DataFrame, suppressions: list[dict], now: str, skip_expir
         for s, st in entries
         if not (skip_expired and st == "expired")
     ]
+    if not rows:
+        return findings.withColumn("suppression", F.lit(None).cast("string")).withColumn("suppression_status", F.lit("not_matched"))
     hit = first_match(F.col("path"), rows)
     return findings.withColumn("_hit", hit).select(
         "*", F.col("_hit.reason").alias("suppression"), F.coalesce("_hit.status", F.lit("not_matched")).alias("suppression_status")
@@ -54,7 +56,7 @@ def suppress(findings: DataFrame, suppressions: list[dict], now: str, skip_expir
 def owners(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """``files`` with ``owner``: that of the last rule whose pattern matches the path, or null."""
     rows = [(F.lit(True), owner_regex(p), {"owner": o}) for p, o in reversed(rules)]
-    return files.withColumn("owner", first_match(F.col("path"), rows)["owner"])
+    return files.withColumn("owner", first_match(F.col("path"), rows)["owner"] if rows else F.lit(None).cast("string"))
 
 
 def longest_prefix(files: DataFrame, modules: DataFrame) -> DataFrame:

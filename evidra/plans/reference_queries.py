@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
-from evidra.operators import compare, graph, matching, query_dsl, sql_inventory, text_rules
+from evidra.operators import compare, diffs, exports, gate, graph, matching, query_dsl, sql_inventory, text_rules
 from evidra.sources.tables import table
 from evidra.streaming import windows
 
@@ -504,3 +504,154 @@ def ddl_operations(spark, folder):
     texts = table(spark, folder, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
     files = _files(spark, folder, "path", "content").select("path", "content")
     return sql_inventory.inventory(texts.unionByName(files).where(F.col("content").rlike(r"(?i)\b(create|drop|alter)\s+(unique\s+|temporary\s+)?(table|index)\b")))
+
+
+# -- gates
+_GATE_SQL = f"""g as (select id, run_id, severity, {_RANK} as rank,
+  list_filter([case when lower(trim(severity)) = 'critical' then 'severity:critical' end, case when rule_id = 'RAW_SQL' and coalesce({_RANK} >= 3, false) then 'rule:RAW_SQL' end,
+   case when category = 'auth' then 'category:auth' end, case when not coalesce(confidence >= 0.95, false) and category = 'security' and severity = 'high' then 'rules' end], lambda x: x is not null) as reasons,
+  coalesce(not (confidence >= 0.95) or confidence is null, true) and category = 'data' as held, coalesce(list_contains(tags, 'legacy'), false) as suppressed, coalesce(confidence < 0.4, false) as low from f),
+b as (select id, run_id, severity, array_to_string(reasons, ',') as reasons, case when suppressed then 'suppressed' when low then 'low_confidence' when len(reasons) > 0 then 'blocked' when coalesce(held, false) then 'held' else 'passed' end as bucket from g)"""
+
+
+def _buckets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _findings(spark, folder, "run_id", "severity", "rule_id", "category", "confidence", "tags")
+    rules = [(F.col("confidence") >= 0.95, "allow"), ((F.col("category") == "security") & (F.col("severity") == "high"), "block"), (F.col("category") == "data", "hold")]
+    return gate.bucket(rows, ["critical"], ["auth"], ["RAW_SQL"], 0.4, rules, F.array_contains("tags", "legacy"))
+
+
+@query(_F + _GATE_SQL + " select id, bucket, reasons from b")
+def policy_bucket(spark, folder):
+    """The bucket of each finding by precedence, with all reasons."""
+    return _buckets(spark, folder).select("id", "bucket", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(_F + _GATE_SQL + """ select run_id, count(*) filter (bucket = 'blocked') as n_blocked, count(*) filter (bucket = 'held') as n_held, count(*) filter (bucket = 'low_confidence') as n_low_confidence,
+ count(*) filter (bucket = 'suppressed') as n_suppressed, count(*) filter (bucket = 'passed') as n_passed,
+ case when count(*) filter (bucket = 'blocked') > 0 then 'blocked' when count(*) filter (lower(trim(severity)) = 'medium' and bucket <> 'suppressed') > 3 then 'over_limit' when count(*) filter (bucket = 'held') > 0 then 'held' else 'passed' end as status from b group by run_id""")
+def policy_status(spark, folder):
+    """The status of each run with the counts of its buckets."""
+    return gate.status(_buckets(spark, folder), ["run_id"], {"medium": 3})
+
+
+@query(_F + _GATE_SQL + ", r as (select run_id, unnest(string_split(reasons, ',')) as reason from b where bucket = 'blocked'), c as (select reason, count(*) as n from r group by reason) select reason, n from c order by n desc, reason limit 3")
+def policy_reasons(spark, folder):
+    """The three most frequent reasons of blocked findings; ties by name."""
+    rows = _buckets(spark, folder).where("bucket = 'blocked'").select(F.explode("reasons").alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(3)
+
+
+# -- snapshots of files
+_SNAPS = "a as (select distinct id, repo_root, path, hash from files where observed_at <= timestamp '2025-02-15' and (deleted_at is null or deleted_at > timestamp '2025-02-15')), b as (select distinct id, repo_root, path, hash from files where observed_at <= timestamp '2025-09-01' and (deleted_at is null or deleted_at > timestamp '2025-09-01'))"
+
+
+def _at(spark: SparkSession, folder: str, time: str, *columns: str) -> DataFrame:
+    moment = F.lit(time).cast("timestamp_ntz")
+    rows = table(spark, folder, "files").where((F.col("observed_at") <= moment) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > moment)))
+    return rows.select("id", "repo_root", "path", *columns).dropDuplicates(["id"])
+
+
+@query("with " + _SNAPS + " select repo_root, path, case when a.id is null then 'A' when b.id is null then 'D' else 'M' end as status from a full join b using (repo_root, path) where a.id is null or b.id is null or a.hash is distinct from b.hash")
+def changed_files(spark, folder):
+    """Files added, removed or changed between two moments."""
+    return diffs.changed_files(_at(spark, folder, "2025-02-15", "hash"), _at(spark, folder, "2025-09-01", "hash"), ["repo_root", "path"])
+
+
+@query("with " + _SNAPS + ", g as (select a.* from a left join b using (repo_root, path) where b.id is null and a.hash is not null), c as (select b.* from b left join a using (repo_root, path) where a.id is null and b.hash is not null) select c.repo_root, min(g.path) as old_name, c.path as new_name from c join g on c.repo_root = g.repo_root and c.hash = g.hash group by c.repo_root, c.path")
+def renamed_files(spark, folder):
+    """Added files that have the content of a removed one."""
+    old, new = _at(spark, folder, "2025-02-15", "hash"), _at(spark, folder, "2025-09-01", "hash")
+    return diffs.renames(diffs.changed_files(old, new, ["repo_root", "path"]), old, new, "repo_root", "path")
+
+
+@query(_FILES + "q as (select id as name, sha256(content) as sha256, octet_length(encode(content)) as n_bytes from fi) select * from q")
+def bundle_manifest(spark, folder):
+    """Hash and size of every file."""
+    return exports.manifest(_files(spark, folder, "content"), "id", "content")
+
+
+@query(_FILES + "q as (select id as name, case when hash is null and content is null then 'ok' when hash = sha256(content) then 'ok' else 'changed' end as state from fi) select state, count(*) as n from q group by state")
+def bundle_validate(spark, folder):
+    """Files against the hashes they were delivered with."""
+    files = _files(spark, folder, "content", "hash")
+    listed = files.select(F.col("id").alias("name"), F.col("hash").alias("sha256"))
+    return exports.check_manifest(listed, exports.manifest(files, "id", "content")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(_F + """q as (select run_id, case when count(*) filter (lower(trim(severity)) = 'critical') > 0 then 'blocked_input' when count(*) filter (lower(trim(severity)) = 'high') > 0 then 'hold' else 'passed' end as verdict, count(*) as n_signals from f group by run_id) select * from q""")
+def export_verdicts(spark, folder):
+    """The verdict of each run for downstream gates."""
+    return exports.verdicts(_findings(spark, folder, "run_id", "severity"), "run_id")
+
+
+@query(_F + """q as (select id, run_id, rule_id, case when lower(trim(severity)) in ('critical', 'high') then 'error' when lower(trim(severity)) = 'medium' then 'warning' else 'note' end as level, coalesce(title, '') as message, coalesce(evidence[1].path, '') as uri, coalesce(evidence[1].start_line, 1) as start_line from f) select * from q""")
+def sarif_results(spark, folder):
+    """Findings as SARIF results, read back from their JSON."""
+    rows = exports.sarif_rows(_findings(spark, folder, "run_id", "rule_id", "severity", "title", "evidence"))
+    member = lambda path: F.get_json_object("result", path)
+    place = "$.locations[0].physicalLocation"
+    return rows.select(
+        "id", "run_id", member("$.ruleId").alias("rule_id"), member("$.level").alias("level"), member("$.message.text").alias("message"),
+        member(f"{place}.artifactLocation.uri").alias("uri"), member(f"{place}.region.startLine").cast("int").alias("start_line"),
+    )
+
+
+# -- derived records
+@query(_F + """q as (select id, run_id, case when category in ('auth', 'security') then 'abuse' when category in ('validation', 'data', 'config') then 'boundary' when category = 'testing' then 'smoke' when category = 'maintainability' then 'regression' else 'negative' end as intent,
+ case lower(trim(severity)) when 'critical' then 'e2e' when 'high' then 'integration' when 'medium' then 'unit' when 'low' then 'manual' else 'unit' end as level, coalesce(confidence < 0.7, false) as gap from f)
+ select id, run_id, intent, level, gap from q union all select 'smoke:' || run_id, run_id, 'smoke', 'unit', false from f where category = 'testing' group by run_id""")
+def test_seeds(spark, folder):
+    """A test seed per finding and a smoke seed per run with findings about tests."""
+    rows = _findings(spark, folder, "run_id", "category", "severity", "confidence")
+    intent = F.when(F.col("category").isin("auth", "security"), "abuse").when(F.col("category").isin("validation", "data", "config"), "boundary").when(F.col("category") == "testing", "smoke").when(F.col("category") == "maintainability", "regression").otherwise("negative")
+    sev = F.lower(F.trim("severity"))
+    level = F.when(sev == "critical", "e2e").when(sev == "high", "integration").when(sev == "medium", "unit").when(sev == "low", "manual").otherwise("unit")
+    seeds = rows.select("id", "run_id", intent.alias("intent"), level.alias("level"), F.coalesce(F.col("confidence") < 0.7, F.lit(False)).alias("gap"))
+    smoke = rows.where("category = 'testing'").select("run_id").distinct()
+    return seeds.unionByName(smoke.select(F.concat(F.lit("smoke:"), "run_id").alias("id"), "run_id", F.lit("smoke").alias("intent"), F.lit("unit").alias("level"), F.lit(False).alias("gap")))
+
+
+@query(_F + """q as (select 'security' as source, id, generated_at + interval 3 day as due_at from f where category = 'security' and severity in ('high', 'critical') union all select 'uncertain', id, generated_at + interval 7 day from f where confidence < 0.3 union all select 'unlocated', id, generated_at + interval 7 day from f where coalesce(len(evidence), 0) = 0) select * from q""")
+def review_queue_union(spark, folder):
+    """What people have to look at, from several sources, with due dates."""
+    rows = _findings(spark, folder, "category", "severity", "confidence", "evidence", "generated_at")
+    part = lambda name, test, days: rows.where(test).select(F.lit(name).alias("source"), "id", (F.col("generated_at") + F.expr(f"interval {days} day")).alias("due_at"))
+    return part("security", "category = 'security' and severity in ('high', 'critical')", 3).unionByName(part("uncertain", "confidence < 0.3", 7)).unionByName(part("unlocated", "coalesce(size(evidence), 0) <= 0", 7))
+
+
+@query(_F + """t as (select distinct lower(trim(from_id)) as test, lower(trim(to_id)) as target from relations where kind = 'tests' and trim(from_id) <> '' and trim(to_id) <> ''), s as (select id, unnest(affected_symbols) as sym from f where severity in ('critical', 'high'))
+ select distinct s.id, lower(trim(s.sym)) as symbol from s where trim(s.sym) <> '' and not exists (select 1 from t where t.target = lower(trim(s.sym)))""")
+def risk_without_test(spark, folder):
+    """Symbols of severe findings that no test relation names."""
+    tests = table(spark, folder, "relations").where("kind = 'tests'").select(F.lower(F.trim("from_id")).alias("test"), F.lower(F.trim("to_id")).alias("symbol")).where("test != '' and symbol != ''")
+    rows = _findings(spark, folder, "severity", "affected_symbols").where("severity in ('critical', 'high')").select("id", F.explode("affected_symbols").alias("s")).select("id", F.lower(F.trim("s")).alias("symbol")).where("symbol != ''").distinct()
+    return rows.join(tests.select("symbol").distinct(), "symbol", "left_anti").select("id", "symbol")
+
+
+@query("with r as (select distinct id, from_id, to_id, kind, confidence from relations) select kind, count(*) as n, round(avg(confidence), 4) as mean, round(min(confidence), 4) as least, round(max(confidence), 4) as most, count(*) filter (confidence is null) as n_null from r group by kind")
+def relation_statistics(spark, folder):
+    """Counts and confidence of relations per kind."""
+    rows = table(spark, folder, "relations").select("id", "from_id", "to_id", "kind", "confidence").distinct()
+    c = F.col("confidence")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.min(c), 4).alias("least"), F.round(F.max(c), 4).alias("most"), F.count_if(c.isNull()).alias("n_null"))
+
+
+@query("with w as (select distinct walk_id, repo_root, partial_walk, reasons from directory_walks) select coalesce(r, '') as reason, count(*) as n from (select walk_id, unnest(case when len(coalesce(reasons, [])) = 0 then [null] else reasons end) as r from w where partial_walk) group by 1")
+def partial_walk_reasons(spark, folder):
+    """Why walks are partial."""
+    walks = table(spark, folder, "directory_walks").select("walk_id", "repo_root", "partial_walk", "reasons").distinct().where("partial_walk")
+    return walks.select(F.explode_outer("reasons").alias("r")).groupBy(F.coalesce("r", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 0) as total from orders group by cube (o_orderstatus, o_orderpriority)")
+def rollup_cube(spark, folder):
+    """Cube over two dimensions of a large fact table."""
+    return table(spark, folder, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total"))
+
+
+@query("select n_name, count(*) as n_lines, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_shipdate >= timestamp '1997-01-01' group by n_name")
+def fact_dimension_join(spark, folder):
+    """A fact table against two dimensions; sizes decide the joins at run time."""
+    lines = table(spark, folder, "lineitem").where(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    joined = lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
