@@ -37,14 +37,15 @@ _OPTION = re.compile(r"(?i)(?<![\w-])--?(?:pass(?:word|wd|phrase)?|pwd|token|sec
 _CALL = re.compile(r"(?i)\b\w*(?:authenticate|login|log_in|sign_?in|connect|basic_?auth|set_?password|credentials?)\((?P<a>[^()\n]*)\)")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n$]*)`")
 _NAMED = re.compile(
-    r"(?<![\w$])(?P<q>[\"']?)(?P<n>[A-Za-z_][\w.-]*)(?P=q)(?:\s*:\s*(?:[A-Za-z]+\b)(?=\s*=)|\s+(?:string|String)(?=\s*=))?\s*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?P<v>[^\n]*)"
+    r"(?<![\w$])(?P<q>\\?[\"']|)(?P<n>[A-Za-z_][\w.-]*)(?P=q)(?:\s*:\s*(?:[A-Za-z]+\b)(?=\s*=)|\s+(?:string|String)(?=\s*=))?\s*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?=(?P<v>[^\n]*))"
 )
 _COMMENT = re.compile(r"(?:^|[\s;])(?://|#|/\*|\*|<!--|--\s)(?P<v>[^\n]*)", re.M)
 
 _SECRET_NAME = re.compile(
-    r"secret|passw|passphrase|pwd|(?:smtp|db|user|mail|ftp|ldap|redis|admin|login|service|root)pass$|^pass$|token|api_?key|(?:encryption|signing|access|private|master|service|account|secret|hmac|shared|auth|crypt)key|hmac|credential|^cred|authorization$|^auth$|kennwort|contrasena|motdepasse"
+    r"secret|passw|passphrase|pwd|(?:smtp|db|user|mail|ftp|ldap|redis|admin|login|service|root)pass|^pass$|token|api_?key|(?:encryption|signing|access|private|master|service|account|secret|hmac|shared|auth|crypt)key|hmac|credential|^cred|authorization$|^auth$|kennwort|contrasena|motdepasse"
 )
 _OTHER_NAME = re.compile(r"public|primary|partition|cache|sort|foreign|hint|label|field|csrf|placeholder|length|policy|count|type|(?:ttl|file|path|id|name|url|hash|digest)$|checksum|tokeniz|expir")
+_DATA_NAME = re.compile(r"sha\d|md5|integrity|commit|revision|digest|fingerprint|etag|pixel|image|icon|data|payload|trace|request|session|build|version|uuid|guid|nonce|salt|seed|cert|pub")
 _COMMENT_WORD = re.compile(r"(?i)passw|pwd|kennwort|token|secret|\bkey\b|api.?key|\bauth|cred|geheim|contraseñ|\bclave|mot de passe|login|パスワード|鍵|トークン|秘密")
 
 #: Values that are none (fixed values).
@@ -113,8 +114,15 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
                 found.append((low, low + len(value), "call"))
     for m in _NAMED.finditer(text):
         name = m["n"].rsplit(".", 1)[-1]
-        plain = re.sub(r"[_.-]", "", re.sub(r"_[A-Za-z0-9]{2,4}$", "", name)).lower()
-        if not _SECRET_NAME.search(plain) or _OTHER_NAME.search(plain):
+        # a name may end in a tag of its own
+        plain, short = (re.sub(r"[_.-]", "", x).lower() for x in (name, re.sub(r"_[A-Za-z0-9]{2,6}$", "", name)))
+        other = _OTHER_NAME.search(plain) or _OTHER_NAME.search(short)
+        if other or not (_SECRET_NAME.search(plain) or _SECRET_NAME.search(short)):
+            # an environment variable that says nothing about itself, with a value like a key
+            if extension in ("env", "sh") and m["op"] == "=" and not other and not _DATA_NAME.search(plain):
+                hit = _value_at(text, m.start("v"), m["v"], extension, "=")
+                if hit and 20 <= len(hit[1]) <= 64 and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", hit[1]) and _works(hit[1]) and _mixed(hit[1]) and unnatural(hit[1]):
+                    found.append((hit[0], hit[0] + len(hit[1]), "variable"))
             continue
         hit = _value_at(text, m.start("v"), m["v"], extension, m["op"])
         if hit and _named_value(hit[1], plain):
@@ -129,7 +137,7 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
             low = m.start("v") + t.start()
             if key:
                 low, value = low + key.end(), value[key.end() :]
-            if t.start() > words.start() and len(value) >= 8 and _works(value) and "/" not in value[:1] and not re.search(r"[a-z]\.[a-z]+(?::\d+)?$|^@|://|^v?\d+\.\d", value):
+            if t.start() >= words.start() and len(value) >= 8 and _works(value) and "/" not in value[:1] and not re.search(r"[a-z]\.[a-z]+(?::\d+)?$|^@|://|^v?\d+\.\d", value):
                 if _mixed(value) and (unnatural(value) or any(not c.isalnum() for c in value)) and value.isascii():
                     found.append((low, low + len(value), "comment"))
     found.sort()
@@ -162,6 +170,9 @@ def _value_at(text: str, at: int, rest: str, extension: str, op: str) -> tuple[i
     if triple:
         start, body = start + triple.end(), body[triple.end() :].split(triple[1])[0]
         return start, body.strip()
+    escaped = re.match(r"\\([\"'])([^\"'\\\n]*)\\\1", body)
+    if escaped:
+        return (start + escaped.start(2), escaped[2]) if escaped[2] else None
     quoted = re.match(r"[rbfRBF]?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)", body)
     if quoted:
         value = quoted[1] or quoted[2] or quoted[3] or ""
