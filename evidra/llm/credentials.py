@@ -34,7 +34,10 @@ _PEM = re.compile(
 _ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'<>]*:(?P<v>[^\s@\"'/<>]+)@(?=[\w\[])")
 _HEADER = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/._~-]{16,}={0,2})")
 _OPTION = re.compile(r"(?i)(?<![\w-])--?(?:pass(?:word|wd|phrase)?|pwd|token|secret|api-?key|auth-?token|access-?token)[= ](?P<v>[^\s\"'`,;)]+)")
-_CALL = re.compile(r"(?i)\b\w*(?:authenticate|login|log_in|sign_?in|connect|basic_?auth|set_?password|credentials?)\((?P<a>[^()\n]*)\)")
+_USER = re.compile(r"(?<![\w-])(?:-u|--user|--basic-auth|--auth)[= ][\"']?[\w.@-]+:(?P<v>[^\s\"'@/:]+)")
+_CALL = re.compile(r"(?i)\b(?P<f>\w+)\((?P<a>[^()\n]*)\)")
+_LOGIN = re.compile(r"(?i)(?:authenticate|login|log_in|sign_?in|connect|session|basic_?auth|set_?password|credentials?)$")
+_HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)+(?::\d+)?$")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n$]*)`")
 _NAMED = re.compile(
     r"(?<![\w$])(?P<q>\\?[\"']|)(?P<n>[A-Za-z_][\w.-]*)(?P=q)(?:\s*:\s*(?:[A-Za-z]+\b)(?=\s*=)|\s+(?:string|String)(?=\s*=))?\s*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?=(?P<v>[^\n]*))"
@@ -46,7 +49,7 @@ _SECRET_NAME = re.compile(
 )
 _OTHER_NAME = re.compile(r"public|primary|partition|cache|sort|foreign|hint|label|field|csrf|placeholder|length|policy|count|type|(?:ttl|file|path|id|name|url|hash|digest)$|checksum|tokeniz|expir")
 _DATA_NAME = re.compile(r"sha\d|md5|integrity|commit|revision|digest|fingerprint|etag|pixel|image|icon|data|payload|trace|request|session|build|version|uuid|guid|nonce|salt|seed|cert|pub")
-_COMMENT_WORD = re.compile(r"(?i)passw|pwd|kennwort|token|secret|\bkey\b|api.?key|\bauth|cred|geheim|contraseñ|\bclave|mot de passe|login|パスワード|鍵|トークン|秘密")
+_COMMENT_WORD = re.compile(r"(?i)passw|pwd|kennwort|token|secret|\bkey\b|api.?key|\bauth|cred|geheim|contraseñ|\bclave|mot de passe|login|\bpins?\b|pass ?phrase|パスワード|鍵|トークン|秘密")
 
 #: Values that are none (fixed values).
 _NOTHING = re.compile(
@@ -101,12 +104,13 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     for m in _HEADER.finditer(text):
         if _works(m["v"]) and unnatural(m["v"]) and _mixed(m["v"]):
             found.append((*m.span("v"), "header"))
-    for m in _OPTION.finditer(text):
+    for m in (*_OPTION.finditer(text), *_USER.finditer(text)):
         if _works(m["v"]) and _mixed(m["v"]):
             found.append((*m.span("v"), "command"))
     for m in _CALL.finditer(text):
         strings = list(_STRING.finditer(m["a"]))
-        if len(strings) >= 2:
+        named = _LOGIN.search(m["f"]) and len(strings) >= 2
+        if named or len(strings) >= 3 and _HOST.match(strings[0][1] or strings[0][2] or ""):
             last = strings[-1]
             value = last[1] or last[2] or last[3] or ""
             if _named_value(value, "pass"):
