@@ -279,8 +279,11 @@ def grammar(language: str) -> Grammar:
 
 def check(language: str, text: str) -> tuple[str, int, Tokens]:
     """Verdict (``ok``, ``error`` or ``truncated``), index of the failing token, and the tokens."""
+    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     found = tokens(language, text)
     verdict, at = grammar(language).parse(found[0])
+    if verdict == "error" and found[0][at] != "BAD" and not text[found[1][at] :].strip():
+        verdict = "truncated"  # the failing token is the end of the last line
     return verdict, at, found
 
 
