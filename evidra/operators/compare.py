@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_COLUMNS = ["id", "rule_id", "path", "fingerprint", "symbols", "severity", "category", "confidence", "ord"]
+_COLUMNS = ["pair", "id", "rule_id", "path", "fingerprint", "symbols", "severity", "category", "confidence", "ord"]
 
 
 def _greedy(current: pd.DataFrame, previous: pd.DataFrame) -> pd.DataFrame:
@@ -28,24 +28,26 @@ def _greedy(current: pd.DataFrame, previous: pd.DataFrame) -> pd.DataFrame:
         keys = [*keys, ("p", row.path), *[("s", s) for s in (row.symbols if row.symbols is not None else ())]]
         hit = next((i for k in keys for i in by.get(k, ()) if i not in used), None)
         if hit is None:
-            out.append((row.rule_id, row.id, None, "new"))
+            out.append((row.pair, row.rule_id, row.id, None, "new"))
             continue
         used.add(hit)
         old = previous.iloc[hit]
         same = (row.severity, row.category, row.confidence) == (old.severity, old.category, old.confidence)
-        out.append((row.rule_id, row.id, old.id, "unchanged" if same else "modified"))
-    out.extend((r.rule_id, None, r.id, "resolved") for i, r in enumerate(previous.itertuples()) if i not in used)
-    return pd.DataFrame(out, columns=["rule_id", "current_id", "previous_id", "status"])
+        out.append((row.pair, row.rule_id, row.id, old.id, "unchanged" if same else "modified"))
+    out.extend((r.pair, r.rule_id, None, r.id, "resolved") for i, r in enumerate(previous.itertuples()) if i not in used)
+    return pd.DataFrame(out, columns=["pair", "rule_id", "current_id", "previous_id", "status"])
 
 
 def compare_exact(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Greedy matching in input order within a rule: fingerprint, then path, then each symbol.
+    """Greedy matching in input order within a pair of runs and a rule: fingerprint, then path, then each symbol.
 
-    Both sides need the columns id, rule_id, path, fingerprint, symbols, severity, category,
-    confidence, ord. The order of rows decides, so the rows of one rule are matched in one task.
+    Both sides need the columns pair (what is compared with what), id, rule_id, path,
+    fingerprint, symbols, severity, category, confidence, ord. The order of rows decides, so
+    the rows of one rule in one pair of runs are matched in one task; other rows never meet there.
     """
-    left, right = (d.select(*_COLUMNS).groupBy("rule_id") for d in (current, previous))
-    return left.cogroup(right).applyInPandas(_greedy, "rule_id string, current_id string, previous_id string, status string")
+    # aliases, since both sides may stem from one table
+    left, right = (d.select(*[F.col(c).alias(c) for c in _COLUMNS]).groupBy("pair", "rule_id") for d in (current, previous))
+    return left.cogroup(right).applyInPandas(_greedy, "pair string, rule_id string, current_id string, previous_id string, status string")
 
 
 def compare_staged(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -53,22 +55,30 @@ def compare_staged(current: DataFrame, previous: DataFrame) -> DataFrame:
 
     A different semantics from ``compare_exact`` where keys disagree with each other.
     """
+    keep = ["pair", "rule_id"]
 
-    def pair(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord", "id"))
-        a = left.where(F.col(keys[-1]).isNotNull()).withColumn("_n", rank)
-        b = right.where(F.col(keys[-1]).isNotNull()).withColumn("_n", rank)
-        b = b.select(*keys, "_n", *[F.col(c).alias("p_" + c) for c in ("id", "severity", "category", "confidence")])
-        return a.join(b, [*keys, "_n"]).drop("_n")
-
-    first = pair(current, previous, ["rule_id", "fingerprint"])
-    rest_c = current.join(first.select("id"), "id", "left_anti")
-    rest_p = previous.join(first.select(F.col("p_id").alias("id")), "id", "left_anti")
-    second = pair(rest_c, rest_p, ["rule_id", "path"])
-    same = F.col("severity").eqNullSafe(F.col("p_severity"))
-    same = same & F.col("category").eqNullSafe(F.col("p_category")) & F.col("confidence").eqNullSafe(F.col("p_confidence"))
-    matched = first.select("rule_id", "id", "p_id", same.alias("same")).unionByName(second.select("rule_id", "id", "p_id", same.alias("same")))
-    done = matched.select("rule_id", F.col("id").alias("current_id"), F.col("p_id").alias("previous_id"), F.when(F.col("same"), "unchanged").otherwise("modified").alias("status"))
-    new = rest_c.join(second.select("id"), "id", "left_anti").select("rule_id", F.col("id").alias("current_id"), F.lit(None).cast("string").alias("previous_id"), F.lit("new").alias("status"))
-    gone = rest_p.join(second.select(F.col("p_id").alias("id")), "id", "left_anti").select("rule_id", F.lit(None).cast("string").alias("current_id"), F.col("id").alias("previous_id"), F.lit("resolved").alias("status"))
+    def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*keep, key).orderBy("ord", "id"))
+        a = left.where(F.col(key).isNotNull()).withColumn("_n", rank)
+        b = right.where(F.col(key).isNotNull()).withColumn("_n", rank)
+        b = b.select(*keep, key, "_n", *[F.col(c).alias("p_" + c) for c in ("id", "severity", "category", "confidence")])
+        same = F.lit(True)
+        for c in ("severity", "category", "confidence"):
+            same = same & F.col(c).eqNullSafe(F.col("p_" + c))
+        return a.join(b, [*keep, key, "_n"]).select(*keep, "id", "p_id", same.alias("same"))
+
+    def without(df: DataFrame, found: DataFrame, column: str) -> DataFrame:
+        # a row stands in one pair on a side, the same row in another pair is another case
+        return df.join(found.select("pair", F.col(column).alias("id")), ["pair", "id"], "left_anti")
+
+    def case(df: DataFrame, now: str | None, then: str | None, status: Column) -> DataFrame:
+        pick = lambda c, name: (F.col(c) if c else F.lit(None).cast("string")).alias(name)
+        return df.select(*keep, pick(now, "current_id"), pick(then, "previous_id"), status.alias("status"))
+
+    first = matched(current, previous, "fingerprint")
+    rest_c, rest_p = without(current, first, "id"), without(previous, first, "p_id")
+    second = matched(rest_c, rest_p, "path")
+    done = case(first.unionByName(second), "id", "p_id", F.when(F.col("same"), "unchanged").otherwise("modified"))
+    new = case(without(rest_c, second, "id"), "id", None, F.lit("new"))
+    gone = case(without(rest_p, second, "p_id"), None, "id", F.lit("resolved"))
     return done.unionByName(new).unionByName(gone)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
-from evidra.operators import compare, diffs, exports, gate, graph, matching, query_dsl, sql_inventory, text_rules
+from evidra.operators import compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, sql_inventory, text_rules
 from evidra.sources.tables import table
 from evidra.streaming import windows
 
@@ -164,10 +164,14 @@ def confidence_rate(spark, folder):
     )
 
 
-@query("select repo_root, substr(sha256(string_agg(hash, ',' order by hash)), 1, 64) as combined from (select distinct id, repo_root, hash from files) where hash is not null group by repo_root")
+@query("""with p as (select repo_root, substr(hash, 1, 3) as part, sha256(string_agg(hash, ',' order by hash)) as h from (select distinct id, repo_root, hash from files) where hash is not null group by all)
+select repo_root, sha256(string_agg(h, ',' order by part)) as combined from p group by repo_root""")
 def combined_file_hash(spark, folder):
-    """One hash per repo over the sorted hashes of its files."""
-    return _files(spark, folder, "repo_root", "hash").where("hash is not null").groupBy("repo_root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("combined"))
+    """One hash per repo over the sorted hashes of its files, in two levels: parts by prefix, then the parts."""
+    rows = _files(spark, folder, "repo_root", "hash").where("hash is not null")
+    parts = rows.groupBy("repo_root", F.substring("hash", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("h"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])  # at most 4096 parts
+    return parts.groupBy("repo_root").agg(F.sha2(F.array_join(whole, ","), 256).alias("combined"))
 
 
 # -- scalars and classifiers
@@ -284,37 +288,40 @@ def module_owner_rollup(spark, folder):
 
 
 # -- comparison of runs
-def _two_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The findings of each rule before and from July 2025, as two sides; fingerprint and symbols as delivered."""
-    rows = _with_path(spark, folder, "rule_id", "fingerprint", "affected_symbols", "severity", "category", "confidence", "generated_at", "run_id")
-    rows = rows.withColumn("symbols", F.coalesce("affected_symbols", F.array().cast("array<string>"))).withColumn("ord", F.unix_micros(F.col("generated_at").cast("timestamp")))
-    cut = F.lit("2025-04-15").cast("timestamp_ntz")
-    return rows.where(F.col("generated_at") >= cut), rows.where(F.col("generated_at") < cut)
+def _run_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of every run against those of the run before it of the same branch; ``pair`` is the later run."""
+    rows = _with_path(spark, folder, "rule_id", "fingerprint", "affected_symbols", "severity", "category", "confidence", "run_id")
+    rows = rows.withColumn("symbols", F.coalesce("affected_symbols", F.array().cast("array<string>"))).withColumn("ord", F.col("id"))
+    order = snapshot_diff.snapshot_order(table(spark, folder, "runs"), ["repo_root", "branch"], "run_id", "generated_at").select("run_id", "_seq", "_next")
+    known = rows.join(order, "run_id")
+    return known.where("_seq > 0").withColumn("pair", F.col("run_id")), known.where("_next is not null").withColumn("pair", F.col("_next"))
 
 
 @query()
 def compare_exact(spark, folder):
-    """Greedy one-to-one matching of later against earlier findings of each rule and repo."""
-    current, previous = _two_runs(spark, folder)
+    """Greedy one-to-one matching of each run's findings with those of the run before."""
+    current, previous = _run_pairs(spark, folder)
     return compare.compare_exact(current, previous)
 
 
-_SIDES = """s as (select id, rule_id, fingerprint, coalesce(evidence[1].path, '') as path, severity, category, confidence, epoch_us(generated_at) as ord, generated_at >= timestamp '2025-04-15' as cur from f),
-a as (select *, row_number() over (partition by rule_id, fingerprint, cur order by ord, id) as n from s where fingerprint is not null),
-m1 as (select c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from a c join a p on c.rule_id = p.rule_id and c.fingerprint = p.fingerprint and c.n = p.n and c.cur and not p.cur),
-r as (select * from s where not exists (select 1 from m1 where cid = s.id or pid = s.id)),
-b as (select *, row_number() over (partition by rule_id, path, cur order by ord, id) as n from r),
-m2 as (select c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from b c join b p on c.rule_id = p.rule_id and c.path = p.path and c.n = p.n and c.cur and not p.cur),
+_SIDES = """o as (select run_id, lag(run_id) over w as before, lead(run_id) over w as after from (select distinct run_id, repo_root, branch, generated_at from runs) window w as (partition by repo_root, branch order by generated_at, run_id)),
+k as (select id, run_id, rule_id, fingerprint, coalesce(evidence[1].path, '') as path, severity, category, confidence, id as ord from f),
+s as (select k.*, k.run_id as pair, true as cur from k join o using (run_id) where before is not null union all select k.*, o.after, false from k join o using (run_id) where after is not null),
+a as (select *, row_number() over (partition by pair, rule_id, fingerprint, cur order by ord, id) as n from s where fingerprint is not null),
+m1 as (select c.pair, c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from a c join a p on c.pair = p.pair and c.rule_id = p.rule_id and c.fingerprint = p.fingerprint and c.n = p.n and c.cur and not p.cur),
+r as (select * from s where not exists (select 1 from m1 where m1.pair = s.pair and ((s.cur and cid = s.id) or (not s.cur and pid = s.id)))),
+b as (select *, row_number() over (partition by pair, rule_id, path, cur order by ord, id) as n from r),
+m2 as (select c.pair, c.rule_id, c.id as cid, p.id as pid, (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) as same from b c join b p on c.pair = p.pair and c.rule_id = p.rule_id and c.path = p.path and c.n = p.n and c.cur and not p.cur),
 m as (select * from m1 union all select * from m2)
-select rule_id, cid as current_id, pid as previous_id, case when same then 'unchanged' else 'modified' end as status from m
-union all select rule_id, id, null, 'new' from s where cur and not exists (select 1 from m where cid = s.id)
-union all select rule_id, null, id, 'resolved' from s where not cur and not exists (select 1 from m where pid = s.id)"""
+select pair, rule_id, cid as current_id, pid as previous_id, case when same then 'unchanged' else 'modified' end as status from m
+union all select pair, rule_id, id, null, 'new' from s where cur and not exists (select 1 from m where m.pair = s.pair and cid = s.id)
+union all select pair, rule_id, null, id, 'resolved' from s where not cur and not exists (select 1 from m where m.pair = s.pair and pid = s.id)"""
 
 
 @query(_F + _SIDES)
 def compare_staged(spark, folder):
     """Set-based matching: fingerprints first, then rule and path."""
-    current, previous = _two_runs(spark, folder)
+    current, previous = _run_pairs(spark, folder)
     return compare.compare_staged(current, previous)
 
 

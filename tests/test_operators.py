@@ -50,11 +50,11 @@ def test_longest_prefix(spark):
     assert got == {("r", "a/b/c.ts"): "a/b", ("r", "ab/c.ts"): ".", ("r", "c.ts"): ".", ("s", "a/b/c.ts"): "."}
 
 
-SIDE = "id string, rule_id string, path string, fingerprint string, symbols array<string>, severity string, category string, confidence double, ord bigint"
+SIDE = "pair string, id string, rule_id string, path string, fingerprint string, symbols array<string>, severity string, category string, confidence double, ord bigint"
 
 
 def test_compare_exact_is_greedy(spark):
-    row = lambda i, fp, path, symbols=(), sev="low", o=0: (i, "R", path, fp, list(symbols), sev, "c", 0.5, o)
+    row = lambda i, fp, path, symbols=(), sev="low", o=0: ("x", i, "R", path, fp, list(symbols), sev, "c", 0.5, o)
     current = spark.createDataFrame([row("c1", None, "p", o=1), row("c2", "f", "q", o=2), row("c3", None, "z", ["s"], "high", o=3), row("c4", "g", "n", o=4)], SIDE)
     previous = spark.createDataFrame([row("p1", "f", "p", o=1), row("p2", None, "y", ["s"], o=2), row("p3", None, "w", o=3)], SIDE)
     got = sorted((r.current_id or "", r.previous_id or "", r.status) for r in compare.compare_exact(current, previous).collect())
