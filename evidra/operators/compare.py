@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,29 +10,31 @@ from pyspark.sql import functions as F
 _COLUMNS = ["pair", "id", "rule_id", "path", "fingerprint", "symbols", "severity", "category", "confidence", "ord"]
 
 
+def _keys(row: tuple) -> list[tuple]:
+    """Keys under which a row is looked for, in order of preference."""
+    head = (row.pair, row.rule_id)
+    keys = [(*head, "f", row.fingerprint)] if isinstance(row.fingerprint, str) else []
+    return [*keys, (*head, "p", row.path), *[(*head, "s", x) for x in (row.symbols if row.symbols is not None else ())]]
+
+
 def _greedy(current: pd.DataFrame, previous: pd.DataFrame) -> pd.DataFrame:
     by: dict[tuple, list[int]] = {}
-    previous = previous.sort_values("ord", kind="stable").reset_index(drop=True)
-    for i, row in enumerate(previous.itertuples()):
-        if isinstance(row.fingerprint, str):
-            by.setdefault(("f", row.fingerprint), []).append(i)
-        by.setdefault(("p", row.path), []).append(i)
-        for symbol in row.symbols if row.symbols is not None else ():
-            by.setdefault(("s", symbol), []).append(i)
-    used: set[int] = set()
+    old = list(previous.sort_values("ord", kind="stable").itertuples())
+    for i, row in enumerate(old):
+        for key in _keys(row):
+            by.setdefault(key, []).append(i)
+    used = [False] * len(old)
     out = []
     for row in current.sort_values("ord", kind="stable").itertuples():
-        keys: Iterable[tuple] = [("f", row.fingerprint)] if isinstance(row.fingerprint, str) else []
-        keys = [*keys, ("p", row.path), *[("s", s) for s in (row.symbols if row.symbols is not None else ())]]
-        hit = next((i for k in keys for i in by.get(k, ()) if i not in used), None)
+        hit = next((i for k in _keys(row) for i in by.get(k, ()) if not used[i]), None)
         if hit is None:
             out.append((row.pair, row.rule_id, row.id, None, "new"))
             continue
-        used.add(hit)
-        old = previous.iloc[hit]
-        same = (row.severity, row.category, row.confidence) == (old.severity, old.category, old.confidence)
-        out.append((row.pair, row.rule_id, row.id, old.id, "unchanged" if same else "modified"))
-    out.extend((r.pair, r.rule_id, None, r.id, "resolved") for i, r in enumerate(previous.itertuples()) if i not in used)
+        used[hit] = True
+        then = old[hit]
+        same = (row.severity, row.category, row.confidence) == (then.severity, then.category, then.confidence)
+        out.append((row.pair, row.rule_id, row.id, then.id, "unchanged" if same else "modified"))
+    out.extend((r.pair, r.rule_id, None, r.id, "resolved") for r, taken in zip(old, used, strict=True) if not taken)
     return pd.DataFrame(out, columns=["pair", "rule_id", "current_id", "previous_id", "status"])
 
 
@@ -43,10 +43,13 @@ def compare_exact(current: DataFrame, previous: DataFrame) -> DataFrame:
 
     Both sides need the columns pair (what is compared with what), id, rule_id, path,
     fingerprint, symbols, severity, category, confidence, ord. The order of rows decides, so
-    the rows of one rule in one pair of runs are matched in one task; other rows never meet there.
+    the rows of one rule in one pair of runs are matched in one task. Many such groups share a
+    bucket; there are as many buckets as shuffle partitions, so buckets shrink as a cluster is set up for more data.
     """
+    buckets = int(current.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("pair", "rule_id"), F.lit(buckets)).alias("_bucket")
     # aliases, since both sides may stem from one table
-    left, right = (d.select(*[F.col(c).alias(c) for c in _COLUMNS]).groupBy("pair", "rule_id") for d in (current, previous))
+    left, right = (d.select(*[F.col(c).alias(c) for c in _COLUMNS], bucket).groupBy("_bucket") for d in (current, previous))
     return left.cogroup(right).applyInPandas(_greedy, "pair string, rule_id string, current_id string, previous_id string, status string")
 
 
