@@ -32,7 +32,8 @@ def _greedy(current: pd.DataFrame, previous: pd.DataFrame) -> pd.DataFrame:
             continue
         used[hit] = True
         then = old[hit]
-        same = (row.severity, row.category, row.confidence) == (then.severity, then.category, then.confidence)
+        values = zip((row.severity, row.category, row.confidence), (then.severity, then.category, then.confidence), strict=True)
+        same = all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in values)
         out.append((row.pair, row.rule_id, row.id, then.id, "unchanged" if same else "modified"))
     out.extend((r.pair, r.rule_id, None, r.id, "resolved") for r, taken in zip(old, used, strict=True) if not taken)
     return pd.DataFrame(out, columns=["pair", "rule_id", "current_id", "previous_id", "status"])

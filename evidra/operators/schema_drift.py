@@ -97,7 +97,7 @@ def flatten_lines(df: DataFrame, payload: str = "payload") -> DataFrame:
 
     Null, empty or broken payloads and payloads that aren't objects give a null map.
     """
-    keep = [c for c in df.columns if c not in (payload, "_leaves")]
+    keep = [c for c in df.columns if c not in (payload, "_leaves", "_rescued", "_parsed")]
     df = df.select(*keep, payload)
     schema = df.select(*keep, F.lit(None).cast("map<string,string>").alias("_leaves")).schema
 
