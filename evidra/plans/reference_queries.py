@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
-from evidra.operators import compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, sql_inventory, text_rules
+from evidra.operators import code_symbols, compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, sql_inventory, text_rules
 from evidra.sources.tables import table
 from evidra.streaming import windows
 
@@ -662,3 +662,37 @@ def fact_dimension_join(spark, folder):
     lines = table(spark, folder, "lineitem").where(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
     joined = lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
+
+
+# -- symbols of sources
+def _symbol_sql() -> str:
+    parts = []
+    for name, patterns in code_symbols.PATTERNS.items():
+        for kind, pattern in patterns.items():
+            text = pattern.replace("'", "''")
+            parts.append(f"select id, '{kind}' as kind, unnest(list_distinct(regexp_extract_all(content, '{text}', 1))) as name from fi where content <> '' and language = '{name}'")
+    return _FILES + "q as (" + " union ".join(parts) + ") select * from q"
+
+
+@query(_symbol_sql())
+def symbol_extraction(spark, folder):
+    """Functions, classes, variables and interfaces of each file by the patterns of its language."""
+    return code_symbols.symbols(_files(spark, folder, "language", "content"), F.col("language"))
+
+
+@query()
+def import_resolution(spark, folder):
+    """Relative imports that name a file of the same repo."""
+    files = _files(spark, folder, "repo_root", "path", "content").where(F.col("path").rlike(r"\.(ts|js|mjs)$"))
+    found = files.select("id", "repo_root", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))).alias("specifier"))
+    return code_symbols.resolve_imports(found, _files(spark, folder, "repo_root", "path"))
+
+
+@query(_FILES + """s as (select distinct lower(trim(file_id)) as fid, name, kind from symbols where deleted_at is null), x as (select lower(trim(fi.id)) as fid, count(*) as n_symbols, count(*) filter (s.kind = 'function') as n_functions from fi join s on s.fid = lower(trim(fi.id)) group by 1)
+select n_symbols, count(*) as n_files, cast(sum(n_functions) as bigint) as n_functions from x group by n_symbols""")
+def symbols_per_file(spark, folder):
+    """How many symbols files have."""
+    found = table(spark, folder, "symbols").where("deleted_at is null").select(F.lower(F.trim("file_id")).alias("fid"), "name", "kind").distinct()
+    files = _files(spark, folder).select(F.lower(F.trim("id")).alias("fid"))
+    per = files.join(found, "fid").groupBy("fid").agg(F.count("*").alias("n_symbols"), F.count_if(F.col("kind") == "function").alias("n_functions"))
+    return per.groupBy("n_symbols").agg(F.count("*").alias("n_files"), F.sum("n_functions").alias("n_functions"))

@@ -134,3 +134,53 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
         assert got.items() <= want.items() and got
         if name == "t":
             assert got == want
+
+
+def test_folders(spark, tmp_path):
+    from evidra.sources import filesystem
+
+    for name, text in {"a/x.json": '{"generated_at": "2025-01-02T00:00:00Z"}', "b/x.json": "{", "c/y.txt": "yy", "node_modules/z.json": "{}", "a/b/c/d.txt": "dddd"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = filesystem.scan(spark, str(tmp_path))
+    assert {r.path for r in files.select("path").collect()} == {"a/x.json", "b/x.json", "c/y.txt", "a/b/c/d.txt"}
+    limits = {r.path: r.skipped for r in filesystem.bounded(files, 10, 5, 9, 3).collect()}
+    assert limits == {"a/x.json": "file_bytes", "b/x.json": None, "c/y.txt": None, "a/b/c/d.txt": "depth"}
+    assert [r.path for r in filesystem.json_artifacts(spark, str(tmp_path)).orderBy("path").collect()] == ["a/x.json", "node_modules/z.json"]
+    assert [(r.run, r.generated_at is None) for r in filesystem.discover_runs(spark, str(tmp_path), "x.json").collect()] == [("a", False), ("b", True)]
+
+
+def test_imports_resolve(spark):
+    from evidra.operators import code_symbols
+
+    files = spark.createDataFrame([("r", "src/a.ts"), ("r", "src/lib/index.js"), ("r", "src/b.js"), ("r", "src/b.ts"), ("s", "src/c.ts")], "repo_root string, path string")
+    imports = spark.createDataFrame(
+        [(s, "r", "src/x/y.ts", s) for s in ("../a", "../lib", "./../b", "./c", "../../src/a.ts", "react", "../../../../src/a")], "id string, repo_root string, path string, specifier string")
+    got = {r.specifier: r.target for r in code_symbols.resolve_imports(imports, files).collect()}
+    assert got == {"../a": "src/a.ts", "../lib": "src/lib/index.js", "./../b": "src/b.ts", "../../src/a.ts": "src/a.ts", "../../../../src/a": "src/a.ts"}
+
+
+def test_gate_precedence(spark):
+    from evidra.operators import gate
+
+    rows = [("a", "critical", "x", "R", 0.9, True), ("b", "critical", "x", "R", 0.1, False), ("c", "critical", "x", "R", None, None), ("d", "low", "hold", "R", 0.9, False), ("e", None, None, None, 0.9, False), ("f", "low", "hold", "R", 0.99, False)]
+    df = spark.createDataFrame(rows, "id string, severity string, category string, rule_id string, confidence double, off boolean")
+    rules = [(F.col("confidence") > 0.95, "allow"), (F.col("category") == "hold", "hold")]
+    got = gate.bucket(df, ["critical"], [], [], 0.3, rules, F.col("off"))
+    assert {r.id: r.bucket for r in got.collect()} == {"a": "suppressed", "b": "low_confidence", "c": "blocked", "d": "held", "e": "passed", "f": "passed"}
+    assert gate.status(got, ["rule_id"], {"low": 1}).where("rule_id = 'R'").first().status == "blocked"
+
+
+def test_file_differences(spark):
+    from evidra.operators import diffs
+
+    old = spark.createDataFrame([("a", "1", "x\ny\ny"), ("b", "2", "k"), ("c", None, None)], "path string, hash string, content string").withColumn("r", F.lit("r"))
+    new = spark.createDataFrame([("a", "9", "x\ny\nz"), ("d", "2", "k"), ("c", None, None)], "path string, hash string, content string").withColumn("r", F.lit("r"))
+    changes = diffs.changed_files(old, new, ["r", "path"])
+    assert sorted((r.path, r.status) for r in changes.collect()) == [("a", "M"), ("b", "D"), ("d", "A")]
+    assert [(r.old_name, r.new_name) for r in diffs.renames(changes, old, new, "r", "path").collect()] == [("b", "d")]
+    lines = {r.path: (r.added, r.removed) for r in diffs.line_changes(old, new, ["path"]).collect()}
+    assert lines["a"] == (1, 1) and "c" not in lines
+    diff = "--- a\n+++ b\n@@ -1,2 +3 @@ f\n-x\n+y\n+z\n same\n@@ -9 +12,4 @@\n+q\n"
+    hunks = diffs.hunks(spark.createDataFrame([("1", diff), ("2", None), ("3", "")], "id string, diff string"))
+    assert sorted((r.hunk, r.new_start, r.added, r.removed) for r in hunks.collect()) == [(0, 3, 2, 1), (1, 12, 1, 0)]
