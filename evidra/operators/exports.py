@@ -32,8 +32,8 @@ def verdicts(findings: DataFrame, by: str) -> DataFrame:
 
 
 def manifest(artifacts: DataFrame, name: str, content: str) -> DataFrame:
-    """``name, sha256, n_bytes`` of each artifact."""
-    return artifacts.select(F.col(name).alias("name"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(content).alias("n_bytes"))
+    """``name, sha256, n_bytes`` of each artifact; without content the hash is null and the size 0."""
+    return artifacts.select(F.col(name).alias("name"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.coalesce(F.octet_length(content), F.lit(0)).alias("n_bytes"))
 
 
 def check_manifest(listed: DataFrame, actual: DataFrame) -> DataFrame:

@@ -325,12 +325,14 @@ def compare_staged(spark, folder):
     return compare.compare_staged(current, previous)
 
 
-@query("with r as (select distinct run_id, repo_root, branch, generated_at, finding_count from runs) select run_id, lag(run_id) over w as previous_run, finding_count - lag(finding_count) over w as delta from r window w as (partition by repo_root, branch order by generated_at, run_id)")
+@query("with r as (select distinct run_id, repo_root, branch, generated_at, finding_count from runs) select run_id, coalesce(lag(run_id) over w, '') as previous_run, coalesce(finding_count - lag(finding_count) over w, 0) as delta from r window w as (partition by repo_root, branch order by generated_at, run_id)")
 def previous_run_lag(spark, folder):
-    """The run before each run of a branch and the change of its count."""
+    """The run before each run of a branch ('' for the first) and the change of its count."""
     w = W.partitionBy("repo_root", "branch").orderBy("generated_at", "run_id")
     runs = table(spark, folder, "runs").select("run_id", "repo_root", "branch", "generated_at", "finding_count").distinct()
-    return runs.select("run_id", F.lag("run_id").over(w).alias("previous_run"), (F.col("finding_count") - F.lag("finding_count").over(w)).alias("delta"))
+    return runs.select(
+        "run_id", F.coalesce(F.lag("run_id").over(w), F.lit("")).alias("previous_run"), F.coalesce(F.col("finding_count") - F.lag("finding_count").over(w), F.lit(0)).alias("delta")
+    )
 
 
 @query(_F + f"q as (select run_id, sum(case {_RANK} when 4 then 10 when 3 then 5 when 2 then 2 when 1 then 1 else 0 end) as score, count(*) as n from f group by run_id) select run_id, cast(score as bigint) as score, n from q")
@@ -571,7 +573,7 @@ def renamed_files(spark, folder):
     return diffs.renames(diffs.changed_files(old, new, ["repo_root", "path"]), old, new, "repo_root", "path")
 
 
-@query(_FILES + "q as (select id as name, sha256(content) as sha256, octet_length(encode(content)) as n_bytes from fi) select * from q")
+@query(_FILES + "q as (select id as name, sha256(content) as sha256, coalesce(octet_length(encode(content)), 0) as n_bytes from fi) select * from q")
 def bundle_manifest(spark, folder):
     """Hash and size of every file."""
     return exports.manifest(_files(spark, folder, "content"), "id", "content")
