@@ -3,8 +3,8 @@
 Each file's tokens are compressed by Re-Pair twice: over token classes, where a
 small grammar means that few shapes are repeated again and again (generated
 members, tables, minified bundles), and over the tokens themselves, whose rules
-identify copies: rules shared with files of third-party folders or notices of
-other repositories flag vendoring. Long literals that a tokenizer can't compress
+identify copies: rules shared with files of third-party folders or notices, or
+by many repositories, flag vendoring. Long literals that a tokenizer can't compress
 flag blobs. Paths and leading notices decide where they are plain.
 """
 
@@ -51,8 +51,10 @@ _KEYWORDS = frozenset(
 FEW_SHAPES = 0.18
 #: Files with fewer tokens aren't judged by their grammars.
 LEAST_TOKENS = 120
-#: Share of a file's rules that must stand in third-party files for it to count as a copy.
+#: Share of a file's rules that must be third-party rules for it to count as a copy.
 COPIED = 0.85
+#: A rule that stands in so many repositories is a third-party rule; copies of hand-written files reach fewer.
+SHARED_REPOS = 10
 #: Rules shorter than this, in tokens, are phrases of the language and identify nothing.
 LEAST_RULE = 12
 
@@ -150,17 +152,16 @@ def rule_hashes(rules: list[tuple[int, int]], final: list[int], terminals: list[
     return [x - (1 << 64) if x >= 1 << 63 else x for x in dict.fromkeys(out)]
 
 
+_LEADING = re.compile(r"\s*(?:(?://|#|--|;;)[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|(?P<q>'''|\"\"\")[\s\S]*?(?:(?P=q)|\Z))")
+
+
 def leading_comment(text: str) -> str:
-    """The comment lines at the top of a file."""
-    lines = []
-    for line in text.lstrip("﻿ \t\r\n").splitlines()[:40]:
-        bare = line.strip()
-        if not bare:
-            continue
-        if not re.match(r"//|#|/\*|\*|--|;;|<!--|'''|\"\"\"", bare):
-            break
-        lines.append(bare)
-    return "\n".join(lines)
+    """The whole comment at the top of a file: lines, blocks and a text in triple quotes."""
+    text, parts, at = text.lstrip("﻿ \t\r\n"), [], 0
+    while found := _LEADING.match(text, at):
+        parts.append(found[0])
+        at = found.end()
+    return "\n".join(line.strip() for line in "\n".join(parts).splitlines() if line.strip())
 
 
 def literal_blob(text: str) -> bool:
@@ -173,7 +174,7 @@ def literal_blob(text: str) -> bool:
     return len(joined) / max(1, len(encoder(VOCABULARY).encode_ordinary(joined))) < 2.2
 
 
-#: Extensions of source code; other files are judged by path and notice alone.
+#: Extensions of source code; other files are judged by path, notice and copies alone.
 CODE = r"(?i)\.(?:ts|tsx|js|jsx|mjs|cjs|py|go|java|rb)$"
 _CODE, _VENDOR, _OUTPUT, _NAME = (re.compile(x) for x in (CODE, VENDOR_FOLDER, OUTPUT_FOLDER, OUTPUT_NAME))
 
@@ -189,11 +190,11 @@ def judge(path: str, text: str) -> tuple[str | None, list[int]]:
         head = leading_comment(text)
         if head and not _HAND.search(head):
             kind = "vendored" if _VENDORED.search(head) or _BANNER.search(head) else "generated" if _GENERATED.search(head) else None
-    if not _CODE.search(path) or kind == "generated" or not text:
+    if kind == "generated" or not text:
         return kind, []
     raw, classes = tokens(text)
     n = len(raw)
-    if kind is None:
+    if kind is None and _CODE.search(path):
         code = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("//", "/*", "#"))]
         width = sum(map(len, code)) / max(1, len(code))
         blanks = sum(text.count(c) for c in " \n\t\r")
@@ -205,7 +206,7 @@ def judge(path: str, text: str) -> tuple[str | None, list[int]]:
             rules, final, _ = re_pair(classes)
             if len(rules) + len(final) < FEW_SHAPES * n:
                 return "data", []
-    return kind, rule_hashes(*re_pair(raw)) if n >= 20 else []
+    return kind, rule_hashes(*re_pair(raw)) if n >= LEAST_RULE else []
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +227,16 @@ def classify(files: DataFrame) -> DataFrame:
 
     Kinds: ``vendored``, ``generated``, ``minified``, ``data``. Null and empty contents are
     judged by their path alone. JSON and other configuration isn't code, so only its
-    path and notice count. Redelivered rows count once.
+    path, its notice and copies count. Redelivered rows count once.
     """
     judged = files.select("id", "repo_root", "path", "content").mapInArrow(_judged, "id string, repo_root string, path string, kind string, rules array<long>")
     judged = saved(judged.dropDuplicates(["id"]))  # grammars are inferred once and read several times
-    # rules of third-party files, one row each, against the rules of files that look hand-written
-    rules = judged.select("id", "kind", F.explode("rules").alias("rule"))
-    theirs = rules.where("kind = 'vendored'").groupBy("rule").agg(F.lit(True).alias("theirs"))
+    # third-party rules, one row each, against the rules of files that look hand-written
+    rules = judged.select("id", "repo_root", "kind", F.explode("rules").alias("rule"))
+    # a rule is counted once per repository first, so a hot one is combined before it is shuffled
+    reach = rules.groupBy("rule", "repo_root").agg(F.max(F.coalesce(F.col("kind") == "vendored", F.lit(False))).alias("marked"))
+    reach = reach.groupBy("rule").agg(F.max("marked").alias("marked"), F.count("repo_root").alias("repos"))
+    theirs = reach.where(F.col("marked") | (F.col("repos") >= SHARED_REPOS)).select("rule", F.lit(True).alias("theirs"))
     # files by hand whose rules are mostly third-party rules are copies of them
     mine = salted_left_join(rules.where("kind is null").select("id", "rule"), theirs, "rule")
     copies = mine.groupBy("id").agg((F.count("theirs") / F.count("*")).alias("share")).where(F.col("share") >= COPIED).select("id", F.lit("vendored").alias("copied"))

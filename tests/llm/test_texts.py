@@ -136,6 +136,20 @@ def test_provenance(spark):
     assert sorted((r.path, r.known, r.kind) for r in provenance.walked(walks, files).collect()) == [("dist/x.js", False, "generated"), ("src/d.py", True, "hand-written")]
 
 
+def test_copies_without_notice(spark):
+    other = HAND.replace("pick", "choose").replace("Store", "Shop").replace("total", "sum").replace("limit", "most")
+    config = '{"name": "x", "rules": {"a": 1, "b": [2, 3], "c": "d"}, "more": {"e": 5, "f": [6, 7]}}\n'
+    short = "export const area = (w, h) => w * h + 17;\n"
+    rows = [(f"spread{i}", f"r{i}", f"src/p{i}/a.js", f"// own note {i}\n" + HAND) for i in range(provenance.SHARED_REPOS)]
+    rows += [(f"hand{i}", f"r{i}", f"src/h{i}.js", other) for i in range(provenance.SHARED_REPOS - 1)]
+    rows += [(f"one{i}", "r0", f"src/o{i}.js", other.replace("sum", "all")) for i in range(provenance.SHARED_REPOS)]
+    rows += [("v1", "r0", "vendor/x.json", config), ("c1", "r1", "config/own.json", config), ("v2", "r0", "vendor/s.js", short), ("c2", "r1", "src/s.js", short)]
+    rows += [("far", "r0", "src/far.py", "#\n" * 60 + "# Code generated by x. DO NOT EDIT.\nx = 1\n"), ("block", "r0", "src/block.js", "/*\n  Tables of the parser.\n  Code generated by x.\n*/\nlet x = 1\n"), ("below", "r0", "src/below.js", "/* own */\nlet x = '/* Code generated by x. */'\n")]
+    kinds = {r.id: r.kind for r in provenance.classify(spark.createDataFrame(rows, "id string, repo_root string, path string, content string")).collect()}
+    flagged = {i: k for i, k in kinds.items() if k}
+    assert flagged == {f"spread{i}": "vendored" for i in range(provenance.SHARED_REPOS)} | {"v1": "vendored", "c1": "vendored", "v2": "vendored", "c2": "vendored", "far": "generated", "block": "generated"}
+
+
 TEXTS = [None, "", " ", "\n\n  x", "it's <|endoftext|> 12345 ünï 日本語テスト 🙂🙂", "a" * 5000, " " * 300 + "z", "x\r\n\ty\u00a0\u3000z\u0085q", "\u0000\u0001", "same same same", "same same same", "\U0001fae8 new"]
 
 
