@@ -48,7 +48,7 @@ _SECRET_NAME = re.compile(
     r"secret|passw|passphrase|pwd|(?:smtp|db|user|mail|ftp|ldap|redis|admin|login|service|root)pass|^pass$|token|api_?key|(?:encryption|signing|access|private|master|service|account|secret|hmac|shared|auth|crypt)key|hmac|credential|^cred|authorization$|^auth$|kennwort|contrasena|motdepasse"
 )
 _OTHER_NAME = re.compile(r"public|primary|partition|cache|sort|foreign|hint|label|field|csrf|placeholder|length|policy|count|type|(?:ttl|file|path|id|name|url|hash|digest)$|checksum|tokeniz|expir")
-#: No name of a secret lacks all of these; texts without them need no look at their names.
+#: No name of a secret and no option lacks all of these; texts without them need no look at either.
 _NAME_HINT = re.compile(r"(?i)secret|pass|pwd|token|key|hmac|cred|auth|kennwort|contrasena")
 _DATA_NAME = re.compile(r"sha\d|md5|integrity|commit|revision|digest|fingerprint|etag|pixel|image|icon|data|payload|trace|request|session|build|version|uuid|guid|nonce|salt|seed|cert|pub")
 _COMMENT_WORD = re.compile(r"(?i)passw|pwd|kennwort|token|secret|\bkey\b|api.?key|\bauth|cred|geheim|contraseñ|\bclave|mot de passe|login|\bpins?\b|pass ?phrase|パスワード|鍵|トークン|秘密")
@@ -95,6 +95,8 @@ def _named_value(value: str, name: str) -> bool:
 def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     """Begin, end and kind of each credential; overlapping finds are joined to the first."""
     found: list[tuple[int, int, str]] = []
+    # names are compared without their separators
+    hinted = _NAME_HINT.search(text) or _NAME_HINT.search(text.replace("_", "").replace("-", ""))
     for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         found.append((m.start(), m.end(), "private_key"))
     for m in _FORMAT.finditer(text):
@@ -106,7 +108,9 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     for m in _HEADER.finditer(text):
         if _works(m["v"]) and unnatural(m["v"]) and _mixed(m["v"]):
             found.append((*m.span("v"), "header"))
-    for m in (*_OPTION.finditer(text), *_USER.finditer(text)) if "--" in text or "-p" in text or "-u" in text else ():
+    options = _OPTION.finditer(text) if "-" in text and hinted else ()
+    users = _USER.finditer(text) if "--" in text or "-u" in text else ()
+    for m in (*options, *users):
         if _works(m["v"]) and _mixed(m["v"]):
             found.append((*m.span("v"), "command"))
     for m in _CALL.finditer(text):
@@ -118,7 +122,7 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
             if _named_value(value, "pass"):
                 low = m.start("a") + last.start() + 1
                 found.append((low, low + len(value), "call"))
-    for m in _NAMED.finditer(text) if extension in ("env", "sh") or _NAME_HINT.search(text) else ():
+    for m in _NAMED.finditer(text) if extension in ("env", "sh") or hinted else ():
         name = m["n"].rsplit(".", 1)[-1]
         # a name may end in a tag of its own
         plain, short = (re.sub(r"[_.-]", "", x).lower() for x in (name, re.sub(r"_[A-Za-z0-9]{2,6}$", "", name)))
