@@ -47,7 +47,13 @@ _COMMENT = re.compile(r"(?:^|[\s;])(?://|#|/\*|\*|<!--|--\s)(?P<v>[^\n]*)", re.M
 _SECRET_NAME = re.compile(
     r"secret|passw|passphrase|pwd|(?:smtp|db|user|mail|ftp|ldap|redis|admin|login|service|root)pass|^pass$|token|api_?key|(?:encryption|signing|access|private|master|service|account|secret|hmac|shared|auth|crypt)key|hmac|credential|^cred|authorization$|^auth$|kennwort|contrasena|motdepasse"
 )
-_OTHER_NAME = re.compile(r"public|primary|partition|cache|sort|foreign|hint|label|field|csrf|placeholder|length|policy|count|type|(?:ttl|file|path|id|name|url|hash|digest)$|checksum|tokeniz|expir")
+#: Words that make a name no secret's: whole segments of the name, or written together with words of secrets only.
+_PART = r"(?:secret|password|passwd|passphrase|pass|pwd|token|api|key|hmac|credential|cred|authorization|auth|access|private|signing|encryption|user|admin|login|root|client)s?"
+_OTHER_PART = re.compile(
+    rf"(?:{_PART})*(?:public|primary|partition(?:s|ed)?|cache[ds]?|caching|sort(?:s|ed|ing)?|foreign|(?:hint|label|field|count|placeholder|length|(?:sub|data|content)?type)(?:s|ed|er)?|csrf|polic(?:y|ies)|checksums?|tokeniz\w*|expir\w*)(?:{_PART})*\d*"
+)
+_OTHER_END = re.compile(rf"(?:{_PART})*(?:ttl|file|path|uuid|guid|id|name|url|hash|digest)+\d*")
+_SEGMENT = re.compile(r"[A-Z]+(?![a-z])\d*|[A-Z]?[^\W\d_A-Z]+\d*|\d+")
 #: No name of a secret and no option lacks all of these; texts without them need no look at either.
 _NAME_HINT = re.compile(r"(?i)secret|pass|pwd|token|key|hmac|cred|auth|kennwort|contrasena")
 _DATA_NAME = re.compile(r"sha\d|md5|integrity|commit|revision|digest|fingerprint|etag|pixel|image|icon|data|payload|trace|request|session|build|version|uuid|guid|nonce|salt|seed|cert|pub")
@@ -92,6 +98,16 @@ def _named_value(value: str, name: str) -> bool:
     return unnatural(value) or _mixed(value) and any(not c.isalnum() for c in value) or _mixed(value) and "pass" in name or "pwd" in name and _mixed(value)
 
 
+@lru_cache(maxsize=50_000)
+def _other_name(name: str) -> bool:
+    """Whether a name, with or without a tag of its own, says that its value is no secret."""
+    for x in (name, re.sub(r"_[A-Za-z0-9]{2,6}$", "", name)):
+        parts = [p.lower() for p in _SEGMENT.findall(x)]
+        if any(map(_OTHER_PART.fullmatch, parts)) or parts and _OTHER_END.fullmatch(parts[-1]):
+            return True
+    return False
+
+
 def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     """Begin, end and kind of each credential; overlapping finds are joined to the first."""
     found: list[tuple[int, int, str]] = []
@@ -126,7 +142,7 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
         name = m["n"].rsplit(".", 1)[-1]
         # a name may end in a tag of its own
         plain, short = (re.sub(r"[_.-]", "", x).lower() for x in (name, re.sub(r"_[A-Za-z0-9]{2,6}$", "", name)))
-        other = _OTHER_NAME.search(plain) or _OTHER_NAME.search(short)
+        other = _other_name(name)
         if other or not (_SECRET_NAME.search(plain) or _SECRET_NAME.search(short)):
             # an environment variable that says nothing about itself, with a value like a key
             if extension in ("env", "sh") and m["op"] == "=" and not other and not _DATA_NAME.search(plain):
