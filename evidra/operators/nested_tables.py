@@ -122,8 +122,8 @@ def _unescape(names: pa.Array) -> pa.Array:
     return pa.array([x.encode("utf-8", "replace").decode() for x in fixed], pa.large_string())
 
 
-def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray) -> tuple[list[pa.Array], tuple | None]:
-    """Objects of one round of texts, and the texts of the next round.
+def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray, items: bool = False) -> tuple[list[pa.Array], tuple | None]:
+    """Objects of one round of texts (``items``: scalar items of arrays instead), and the texts of the next round.
 
     ``heads``: path at which each text stands ("" for a payload); ``up``: path of the
     nearest object around it; ``lone``: the text stands for an array member, so an
@@ -189,11 +189,12 @@ def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lon
     stops = np.flatnonzero(np.isin(data, np.frombuffer(b",}] \t\r\n", np.uint8)))
     ends[~is_str] = stops[np.searchsorted(stops, value_at[~is_str])] if (~is_str).any() else 0
     values = s.slices(value_at, ends)
-    # strings in arrays that may hold JSON
+    # items of arrays; strings among them may hold JSON
     arr_open = np.flatnonzero(~s.is_obj)
     item_at = np.concatenate([s.start[arr_open] + 1, s.commas[~s.is_obj[s.comma_holder]] + 1]) if n else np.zeros(0, np.int64)
     item_holder = np.concatenate([arr_open, s.comma_holder[~s.is_obj[s.comma_holder]]]) if n else np.zeros(0, np.int64)
     item_at = first_solid(item_at) if len(item_at) else item_at
+    plain_at, plain_holder = item_at, item_holder
     keep = data[item_at] == 0x22
     item_at, item_holder = item_at[keep], item_holder[keep]
     item_ends = s.close_quotes[np.searchsorted(s.open_quotes, item_at)] + 1 if len(item_at) else item_at
@@ -215,11 +216,34 @@ def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lon
     held = {x[5] for x in again}
     is_i = np.flatnonzero(inner(item_at, item_ends)) if len(item_at) else item_at
     spots = s.place(item_holder[is_i], item_at[is_i]) if len(is_i) else []
+    held_items: list[int] = []
     for i, spot in zip(is_i, spots, strict=True):
         text = json.loads(bytes(data[item_at[i] : item_ends[i]]).decode())
         if _is_json(text):
             h = item_holder[i]
             again.append((text, s.row[h], f"{path[h]}[{spot}]", (path[h] or "$") if s.is_obj[h] else around[h], False, -1))
+            held_items.append(item_at[i])
+
+    following = None if not again else (
+        pa.array([x[0] for x in again], pa.large_string()), rows[np.array([x[1] for x in again], np.int64)],
+        pa.array([x[2] for x in again], pa.large_string()), pa.array([x[3] for x in again], pa.large_string()),
+        np.array([x[4] for x in again], bool),
+    )
+    if items:
+        # (nulls are no items but keep their place, and a bracket ends an empty array)
+        keep = ~np.isin(data[plain_at], np.frombuffer(b"{[]n", np.uint8)) & ~np.isin(plain_at, held_items)
+        at, h = plain_at[keep], plain_holder[keep]
+        ends = np.empty(len(at), np.int64)
+        text = data[at] == 0x22
+        ends[text] = s.close_quotes[np.searchsorted(s.open_quotes, at[text])] + 1
+        ends[~text] = stops[np.searchsorted(stops, at[~text])] if (~text).any() else 0
+        spots = s.place(h, at) if len(at) else np.zeros(0, np.int64)
+        paths = [f"{path[a]}[{k}]" for a, k in zip(h, spots, strict=True)]
+        out = [
+            pa.array(rows[s.row[h]], pa.int64()), pa.array(around[h], pa.string()), pa.array(paths, pa.string()),
+            pa.array(spots, pa.int32()), s.slices(at, ends).cast(pa.string()),
+        ]
+        return out, following
 
     # members of each object, in order of the holder
     keep = np.ones(len(holder), bool)
@@ -248,24 +272,21 @@ def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lon
         pa.array(rows[s.row[objects]], pa.int64()), pa.array(around[objects], pa.string()), pa.array(path[objects], pa.string()),
         pa.array(shown_ord, pa.int32()), members,
     ]
-    if not again:
-        return out, None
-    return out, (
-        pa.array([x[0] for x in again], pa.large_string()), rows[np.array([x[1] for x in again], np.int64)],
-        pa.array([x[2] for x in again], pa.large_string()), pa.array([x[3] for x in again], pa.large_string()),
-        np.array([x[4] for x in again], bool),
-    )
+    return out, following
 
 
-def objects_of(texts: list[str | None], rows: np.ndarray) -> Iterator[list[pa.Array]]:
-    """Row, parent path, path, place and members of the objects below the tops of the texts, round by round."""
+def objects_of(texts: list[str | None], rows: np.ndarray, items: bool = False) -> Iterator[list[pa.Array]]:
+    """Row, parent path, path, place and members of the objects below the tops of the texts, round by round.
+
+    With ``items``, the scalar items of arrays with their JSON text instead.
+    """
     kept = [i for i, x in enumerate(texts) if x and _is_json(x)]
     todo = (
         pa.array([texts[i] for i in kept], pa.large_string()), rows[kept], pa.array([""] * len(kept), pa.large_string()),
         pa.array(["$"] * len(kept), pa.large_string()), np.zeros(len(kept), bool),
     )
     while todo is not None and len(todo[1]):
-        out, todo = _round(*todo)
+        out, todo = _round(*todo, items)
         yield out
 
 
@@ -277,10 +298,26 @@ def nested_objects(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     Null, empty and broken payloads give no rows. A payload that holds a string
     holding JSON counts as what the string holds. Duplicated names keep the last value.
     """
+    return _nested(df, payload, keep, False)
+
+
+def scalar_items(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """Every scalar item of an array in a payload: ``keep``, ``parent_path`` (of the nearest object),
+    ``child_path``, ``ord`` (place in the array), ``value`` and ``table_path``.
+
+    Strings come without their quotes. Null items give no rows but keep their places;
+    strings that hold JSON count as what they hold.
+    """
+    text = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"]
+    return _nested(df, payload, keep, True).withColumn("value", text)
+
+
+def _nested(df: DataFrame, payload: str, keep: list[str], items: bool) -> DataFrame:
     source = df.select(*keep, F.col(payload).alias("_payload"))
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
     schema = source.select(
-        *keep, null("parent_path", "string"), null("child_path", "string"), null("ord", "int"), null("members", "map<string,string>")
+        *keep, null("parent_path", "string"), null("child_path", "string"), null("ord", "int"),
+        null("value", "string") if items else null("members", "map<string,string>"),
     ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +326,7 @@ def nested_objects(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
             payloads = batch.column(at)
             for low in range(0, batch.num_rows, 512):
                 part = payloads.slice(low, 512).to_pylist()
-                for row, *rest in objects_of(part, np.arange(low, low + len(part))):
+                for row, *rest in objects_of(part, np.arange(low, low + len(part)), items):
                     kept = [batch.column(i).take(row) for i in range(batch.num_columns) if i != at]
                     yield pa.RecordBatch.from_arrays([*kept, *rest], schema.names)
 

@@ -97,7 +97,40 @@ def p6_hunks(spark: SparkSession, folder: str) -> DataFrame:
     return nested_tables.child_table(_objects(spark, folder), "changed_files.hunks", ["record_id"], columns).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_table, p4_found, p4_counts, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks)}
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of scalar items of arrays (tags, affected symbols and files), linked to the object around them."""
+    rows = nested_tables.scalar_items(table(spark, folder, "nested_artifacts"), "payload", ["record_id"])
+    return rows.select("record_id", "table_path", "parent_path", "child_path", "ord", "value").distinct()
+
+
+#: The other objects of the payloads: the path of each flat table and the types of its members.
+_FLAT = {
+    "p6_changed_files": ("changed_files", {"path": "string", "status": "string", "additions": "int", "deletions": "int"}),
+    "p6_contents": ("contents", {"name": "string", "path": "string", "type": "string", "size_bytes": "long", "hash_sha256": "string"}),
+    "p6_external_refs": ("findings.evidence.externalRef", {"tool": "string", "ruleId": "string", "url": "string"}),
+    "p6_upstreams": ("findings.upstream", {"tool": "string", "ruleId": "string"}),
+    "p6_repos": ("repo", {"root": "string", "revision": "string", "base_ref": "string", "head_ref": "string"}),
+    "p6_sources": ("source", {"repo_root": "string", "branch": "string", "run_id": "string", "policy_id": "string", "tool_version": "string"}),
+    "p6_tools": ("tool", {"name": "string", "version": "string"}),
+    "p6_plugin_versions": ("tool.plugin_versions", {"name": "string", "version": "string", "visibility": "string"}),
+    "p6_signatures": ("signature", {"algorithm": "string"}),
+    "p6_signers": ("signature.signer", {"team": "string", "role": "string"}),
+    "p6_blast_radius": ("blast_radius", {}),
+    "p6_diff_findings": ("diff_findings", {}),
+}
+
+
+def _flat(name: str):
+    path, columns = _FLAT[name]
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return nested_tables.child_table(_objects(spark, folder), path, ["record_id"], columns).distinct()
+
+    query.__name__, query.__doc__ = name, f"The flat table of ``{path}``, linked to the object around it by ``parent_path``."
+    return query
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_table, p4_found, p4_counts, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks, p6_items, *map(_flat, _FLAT))}
 
 _ID = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 _P4_JUDGED = f"""

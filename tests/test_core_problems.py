@@ -93,6 +93,45 @@ def test_nested_members_and_child_table(spark):
     assert nested_tables.nested_objects(df.limit(0), "p", ["k"]).count() == 0
 
 
+def test_scalar_items_equal_brute_force(spark):
+    def items(value, path, around):
+        if isinstance(value, str) and value[:1] in ("{", "["):
+            value = json.loads(value)
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from items(v, (f"{path}.{k}" if path else k) + ("[0]" if k in NAMED and isinstance(v, dict) else ""), path or "$") if isinstance(v, dict | list | str) and (not isinstance(v, str) or v[:1] in ("{", "[")) else ()
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                if isinstance(v, dict | list) or isinstance(v, str) and v[:1] in ("{", "["):
+                    yield from items(v, f"{path}[{i}]", around)
+                elif v is not None:
+                    yield around, f"{path}[{i}]", i, v if isinstance(v, str) else json.dumps(v)
+
+    def owner(value):
+        return [(a, b, c, d) for a, b, c, d in items(value, "", "$")]
+
+    payloads = [
+        {"findings": [{"tags": ["a", None, "né\n", "x,]"], "affectedSymbols": []}, {"n": [1, -2.5, True, False, [3, ["q"]], {"k": [" "]}]}]},
+        {"deep": [[["z"]], "[7, {\"m\": [8]}]", "plain"], "e": [[], {}, None]}, ["top", 1], {"x": "[9]"},
+    ]
+    df = spark.createDataFrame([(f"r{i}", json.dumps(p, ensure_ascii=i % 2 == 0, indent=[None, 2][i % 2])) for i, p in enumerate(payloads)] + [("b", "{"), ("n", None)], "k string, p string")
+    got = sorted((r.k, r.child_path, r.ord, r.value) for r in nested_tables.scalar_items(df, "p", ["k"]).collect())
+    assert got == sorted((f"r{i}", b, c, d) for i, p in enumerate(payloads) for _, b, c, d in owner(p)) and len(got) == 17
+    first = {r.child_path: r for r in nested_tables.scalar_items(df, "p", ["k"]).where("k = 'r0'").collect()}
+    assert first["findings[0].tags[2]"].parent_path == "findings[0]" and first["findings[0].tags[2]"].table_path == "findings.tags" and first["findings[1].n[5].k[0]"].parent_path == "findings[1].n[5]"
+    assert nested_tables.scalar_items(df.limit(0), "p", ["k"]).count() == 0
+
+
+def test_every_path_of_the_payloads_has_a_flat_table(spark):
+    from evidra.plans import core_problems
+
+    folder = "/root/testdata/sf0.01"
+    paths = {r[0] for r in core_problems._objects(spark, folder).select("table_path").distinct().collect()}
+    assert paths <= {"findings", "findings.evidence", "changed_files.hunks"} | {p for p, _ in core_problems._FLAT.values()}
+    assert {r[0] for r in core_problems.p6_items(spark, folder).select("table_path").distinct().collect()} >= {"findings.tags", "findings.affectedSymbols"}
+    assert core_problems.QUERIES["p6_changed_files"](spark, folder).where("path is not null").count() > 0
+
+
 def drift(spark, files):
     rows = []
     for i, lines in enumerate(files):
