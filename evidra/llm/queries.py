@@ -72,9 +72,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file with content as redacted text, with the number of credentials in it."""
-    rows = credentials.scan_files(table(spark, folder, "files"))
-    return rows.select("record_id", F.size("hits").alias("n_credentials"), "redacted").distinct()
+    """Every file with content and every pattern of a config as redacted text, with the number of credentials in it.
+
+    ``place`` is the number of the pattern from 1, and 0 for a file.
+    """
+    scans = {"files": credentials.scan_files(table(spark, folder, "files")), "redaction_configs": credentials.scan_configs(table(spark, folder, "redaction_configs"))}
+    rows = [
+        df.select(F.lit(name).alias("table_name"), "record_id", F.coalesce("place", F.lit(0)).alias("place"), F.size("hits").alias("n_credentials"), "redacted")
+        for name, df in scans.items()
+    ]
+    return rows[0].unionByName(rows[1]).distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -119,6 +119,15 @@ def test_redaction_keeps_everything_else(spark):
     assert sorted((r.table_name, r.record_id, r.line_no) for r in rows) == [("files", "f", 2), ("files", "f", 3), ("redaction_configs", "c", 2)]
 
 
+def test_configs_come_out_redacted(spark, tmp_path):
+    from evidra.llm import queries
+
+    spark.createDataFrame([("f", "a.py", "x = 1\n")], "id string, path string, content string").write.parquet(str(tmp_path / "files.parquet"))
+    spark.createDataFrame([("c", ["(?i)secret", "password=Kalina#2031xo", None, ""]), ("d", None)], "config_id string, patterns array<string>").write.parquet(str(tmp_path / "redaction_configs.parquet"))
+    rows = sorted(map(tuple, queries.p2_redacted(spark, str(tmp_path)).collect()))
+    assert rows == [("files", "f", 0, 0, "x = 1\n"), ("redaction_configs", "c", 1, 0, "(?i)secret"), ("redaction_configs", "c", 2, 1, "password=" + "*" * len("Kalina#2031xo"))]
+
+
 def test_re_pair_is_lossless():
     rng = random.Random(1)
     for n in (0, 1, 2, 3, 50, 400):
