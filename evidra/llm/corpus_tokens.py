@@ -162,7 +162,8 @@ def _encode_words(vocabulary: str):
             for word in batch.column(2).to_pylist():
                 found = known.get(word)
                 if found is None:
-                    found = enc.encode_ordinary(word) if len(word) > 32 else enc._encode_single_piece(word)
+                    # a text that wasn't split holds several words; it isn't ASCII, since the JVM knows all of that
+                    found = enc._encode_single_piece(word) if len(word) <= 32 and word.isascii() else enc.encode_ordinary(word)
                     if len(known) < 2_000_000:  # a cache only: words beyond it are encoded anew
                         known[word] = found
                 lists.append(found)

@@ -194,6 +194,14 @@ def test_corpus_ids_equal_the_encoder(spark, monkeypatch):
     assert corpus_tokens.encode(df.limit(0)).count() == 0
 
 
+def test_short_texts_with_new_code_points_are_split(spark):
+    texts = ["here re\n\nthe \U0001fae0", "x...'sdre\U0001fae0", "a\n\nb \U0001fae8", "\U0001fae0", "it's 1234 \U0001fae0\n\n x", "é's\n\nü \U0001fae0"]
+    enc = corpus_tokens.encoder(corpus_tokens.VOCABULARY)
+    assert any(enc._encode_single_piece(t) != enc.encode_ordinary(t) for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.ids for r in corpus_tokens.encode(df).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_mix_reaches_shares_and_caps(spark):
     rng = random.Random(4)
     rows = [(i, ["big", "small", "tiny", None, "other"][min(4, int(rng.expovariate(0.8)))], rng.randrange(0, 50)) for i in range(4000)]
