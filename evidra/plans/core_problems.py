@@ -23,13 +23,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent table of all lines: typed columns and what was rescued (as sorted JSON paths)."""
+    """The consistent table of all lines: typed columns and what was rescued (paths, and an object of their JSON texts, both sorted)."""
     raw = table(spark, folder, "artifact_records").dropDuplicates(["file_id", "line_no"])
     lines = schema_drift.ingest(raw.drop("received_at"))
     rescued = F.array_sort(F.map_keys("_rescued"))
+    values = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("_rescued"))))
     return lines.select(
         "stream_id", "file_id", "line_no", "record_key", *[schema_drift.column_of(p) for p in schema_drift.TARGETS],
         F.coalesce(F.array_join(rescued, ","), F.lit("")).alias("rescued_paths"), F.coalesce(F.size(rescued), F.lit(0)).alias("n_rescued"),
+        F.coalesce(values, F.lit("{}")).alias("rescued"),
     )
 
 

@@ -132,6 +132,19 @@ def test_every_path_of_the_payloads_has_a_flat_table(spark):
     assert core_problems.QUERIES["p6_changed_files"](spark, folder).where("path is not null").count() > 0
 
 
+def test_table_of_all_lines_holds_the_rescued_values(spark, tmp_path):
+    from evidra.plans import core_problems
+
+    payloads = ['{"version": 2, "status": "ok", "errors": ["a", {"b": "\\"q"}], "new": {"x": 1.0, "y": null}}', '{"version": "1"}', "{", None]
+    rows = [("s", "f", f"k{i}", i, datetime(2025, 1, 1), datetime(2025, 1, 1), p) for i, p in enumerate(payloads)]
+    df = spark.createDataFrame(rows, "stream_id string, file_id string, record_key string, line_no int, written_at timestamp, received_at timestamp, payload string")
+    df.write.parquet(str(tmp_path / "artifact_records.parquet"))
+    got = {r.line_no: r for r in core_problems.p3_table(spark, str(tmp_path)).collect()}
+    values = json.loads(got[0].rescued)
+    assert {k: json.loads(v) for k, v in values.items()} == {"version": 2, "errors": ["a", {"b": '"q'}], "new.x": 1, "new.y": None}
+    assert list(values) == sorted(values) == got[0].rescued_paths.split(",") and [got[i].rescued for i in (1, 2, 3)] == ["{}"] * 3
+
+
 def drift(spark, files):
     rows = []
     for i, lines in enumerate(files):
