@@ -85,5 +85,9 @@ def predicate(df: DataFrame, query: Query) -> Column:
 
 def run(df: DataFrame, text: str, by: list[str], order: list[str]) -> DataFrame:
     """Rows of ``df`` that answer the query, with ``locator``: their place among the answers of each ``by`` group."""
-    hits = df.where(predicate(df, parse(text)))
+    return located(df.where(predicate(df, parse(text))), by, order)
+
+
+def located(hits: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``hits`` with ``locator``: the place of each row in its ``by`` group, from 0."""
     return hits.withColumn("locator", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)

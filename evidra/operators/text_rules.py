@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def split_lines(content: Column | str) -> Column:
+    """The lines of a text whatever its line ends, as one array; null stays null."""
+    return F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n")
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """``id, path, language, line_no, line, around``: lines with the array of all lines (one copy per file row until exploded)."""
     parts = F.split(F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), "\n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,13 +29,29 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-def _findings(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Findings, redelivered rows once, with only the columns that are needed."""
-    return table(spark, folder, "findings").select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"])
+def _rows(spark: SparkSession, folder: str, name: str, columns: tuple, where: Column | str | None) -> DataFrame:
+    rows = table(spark, folder, name)
+    return (rows if where is None else rows.where(where)).select("id", *[c for c in columns if not isinstance(c, str) or c != "id"])
 
 
-def _files(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "files").select("id", *[c for c in columns if c != "id"]).dropDuplicates(["id"])
+def _findings(spark: SparkSession, folder: str, *columns: Column | str, where: Column | str | None = None) -> DataFrame:
+    """Findings, redelivered rows once, with only the columns and expressions that are needed.
+
+    Redelivered rows are equal, so rows are filtered and expressions taken first: filters reach the
+    scan, and the shuffle behind the removal of repeats holds small results only.
+    """
+    return _rows(spark, folder, "findings", columns, where).dropDuplicates(["id"])
+
+
+def _files(spark: SparkSession, folder: str, *columns: Column | str, where: Column | str | None = None) -> DataFrame:
+    """The same for files."""
+    return _rows(spark, folder, "files", columns, where).dropDuplicates(["id"])
+
+
+def _asked(spark: SparkSession, folder: str, text: str, *columns: Column | str) -> DataFrame:
+    """Findings that answer a query, each once, with the given columns."""
+    rows = table(spark, folder, "findings")
+    return rows.where(query_dsl.predicate(rows, query_dsl.parse(text))).select("id", *columns).dropDuplicates(["id"])
 
 
 #: Findings and files once each, for SQL.
@@ -48,36 +64,32 @@ _RANK = "case lower(trim(severity)) when 'info' then 0 when 'low' then 1 when 'm
 @query(_F + f"q as (select id, run_id, rule_id, severity from f where coalesce({_RANK} >= 3, false)) select * from q")
 def query_severity_ge(spark, folder):
     """``finding where severity >= high``."""
-    rows = _findings(spark, folder, "run_id", "rule_id", "severity")
-    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where severity >= high")))
+    return _asked(spark, folder, "finding where severity >= high", "run_id", "rule_id", "severity")
 
 
 @query(_F + "q as (select id, category, confidence from f where coalesce(confidence < 0.35, false)) select * from q")
 def query_confidence_lt(spark, folder):
     """``finding where confidence < 0.35``."""
-    rows = _findings(spark, folder, "category", "confidence")
-    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where confidence < 0.35")))
+    return _asked(spark, folder, "finding where confidence < 0.35", "category", "confidence")
 
 
 @query(_F + "q as (select id, fingerprint from f where fingerprint is distinct from 'none') select * from q")
 def query_field_ne_null_safe(spark, folder):
     """``!=`` holds for missing values."""
-    rows = _findings(spark, folder, "fingerprint")
-    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where fingerprint != 'none'")))
+    return _asked(spark, folder, "finding where fingerprint != 'none'", "fingerprint")
 
 
 @query(_F + "q as (select id, evidence[1].kind as kind from f where coalesce(evidence[1].kind = 'ast', false)) select * from q")
 def query_dotted_path(spark, folder):
     """A dotted path through an array: ``evidence.0.kind = ast``."""
-    rows = _findings(spark, folder, "evidence")
-    return rows.where(query_dsl.predicate(rows, query_dsl.parse("finding where evidence.0.kind = ast"))).select("id", F.get("evidence", F.lit(0))["kind"].alias("kind"))
+    return _asked(spark, folder, "finding where evidence.0.kind = ast", F.get("evidence", F.lit(0))["kind"].alias("kind"))
 
 
 @query(_F + f"q as (select id, run_id, row_number() over (partition by run_id order by id) - 1 as locator from f where coalesce({_RANK} >= 3, false)) select * from q")
 def query_locator_index(spark, folder):
     """The place of each answer among the answers of its run."""
-    rows = _findings(spark, folder, "run_id", "severity")
-    return query_dsl.run(rows, "finding where severity >= high", ["run_id"], ["id"]).select("id", "run_id", "locator")
+    hits = _asked(spark, folder, "finding where severity >= high", "run_id")
+    return query_dsl.located(hits, ["run_id"], ["id"]).select("id", "run_id", "locator")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where coalesce(cast(json_extract_string(props, '$.k') as bigint) >= 90, false)")
@@ -90,8 +102,7 @@ def query_nested_json_field(spark, folder):
 @query(_F + "q as (select id, title from f where contains(lower(coalesce(title,'') || ' ' || coalesce(summary,'') || ' ' || coalesce(rule_id,'') || ' ' || coalesce(category,'')), 'release')) select * from q")
 def text_search(spark, folder):
     """Case-insensitive search over several columns."""
-    rows = _findings(spark, folder, "title", "summary", "rule_id", "category")
-    return rows.where(F.contains(F.lower(F.concat_ws(" ", "title", "summary", "rule_id", "category")), F.lit("release"))).select("id", "title")
+    return _findings(spark, folder, "title", where=F.contains(F.lower(F.concat_ws(" ", "title", "summary", "rule_id", "category")), F.lit("release")))
 
 
 # -- aggregations
@@ -124,7 +135,7 @@ def severity_category_pivot(spark, folder):
 @query(_F + "q as (select run_id, count(*) as n_high from f where severity in ('high', 'critical') group by run_id having count(*) > 2) select * from q")
 def count_threshold_having(spark, folder):
     """Runs with more severe findings than a threshold allows."""
-    return _findings(spark, folder, "run_id", "severity").where(F.col("severity").isin("high", "critical")).groupBy("run_id").agg(F.count("*").alias("n_high")).where("n_high > 2")
+    return _findings(spark, folder, "run_id", where=F.col("severity").isin("high", "critical")).groupBy("run_id").agg(F.count("*").alias("n_high")).where("n_high > 2")
 
 
 @query(_F + "c as (select repo_root, category, count(*) as n from f group by all) select repo_root, category, n, row_number() over (partition by repo_root order by n desc, category) as place from c qualify place <= 3")
@@ -137,7 +148,7 @@ def top3_categories(spark, folder):
 @query(_F + f"q as (select id, rule_id, {_RANK} as rank, confidence from f where confidence >= 0.6 order by rank desc nulls last, rule_id, id limit 500) select * from q")
 def sort_severity_topk(spark, folder):
     """The 500 most severe confident findings: severity down, then rule and id."""
-    rows = _findings(spark, folder, "rule_id", "severity", "confidence").where("confidence >= 0.6").withColumn("rank", S.severity_rank("severity"))
+    rows = _findings(spark, folder, "rule_id", S.severity_rank("severity").alias("rank"), "confidence", where="confidence >= 0.6")
     return rows.orderBy(F.desc_nulls_last("rank"), "rule_id", "id").limit(500).select("id", "rule_id", "rank", "confidence")
 
 
@@ -152,7 +163,7 @@ def drift_recurrence_having(spark, folder):
 @query(_F + "p as (select coalesce(nullif(regexp_extract(coalesce(evidence[1].path, ''), '^(packages/[^/]+)/', 1), ''), '.') as package, severity from f) select package, count(*) as n_findings, count(*) filter (severity = 'critical') as n_critical from p group by package")
 def package_summary(spark, folder):
     """Findings per package folder."""
-    rows = _findings(spark, folder, "evidence", "severity").select(S.package_of(S.primary_path()).alias("package"), "severity")
+    rows = _findings(spark, folder, S.package_of(S.primary_path()).alias("package"), "severity")
     return rows.groupBy("package").agg(F.count("*").alias("n_findings"), F.count_if(F.col("severity") == "critical").alias("n_critical"))
 
 
@@ -168,7 +179,7 @@ def confidence_rate(spark, folder):
 select repo_root, sha256(string_agg(h, ',' order by part)) as combined from p group by repo_root""")
 def combined_file_hash(spark, folder):
     """One hash per repo over the sorted hashes of its files, in two levels: parts by prefix, then the parts."""
-    rows = _files(spark, folder, "repo_root", "hash").where("hash is not null")
+    rows = _files(spark, folder, "repo_root", "hash", where="hash is not null")
     parts = rows.groupBy("repo_root", F.substring("hash", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("h"))
     whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])  # at most 4096 parts
     return parts.groupBy("repo_root").agg(F.sha2(F.array_join(whole, ","), 256).alias("combined"))
@@ -179,8 +190,8 @@ _FP = "substr(sha256('rule:' || rule_id || case when len(coalesce(affected_symbo
 
 
 def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _findings(spark, folder, "run_id", "rule_id", "affected_symbols", "evidence").where("rule_id is not null")
-    return rows.select("id", "run_id", S.fingerprint(F.col("rule_id"), F.col("affected_symbols"), F.get("evidence", F.lit(0))["excerpt_hash"], S.primary_path()).alias("fp"))
+    fp = S.fingerprint(F.col("rule_id"), F.col("affected_symbols"), F.get("evidence", F.lit(0))["excerpt_hash"], S.primary_path())
+    return _findings(spark, folder, "run_id", fp.alias("fp"), where="rule_id is not null")
 
 
 @query(_F + f"q as (select id, run_id, {_FP} as fp from f where rule_id is not null) select * from q")
@@ -210,7 +221,7 @@ def classify_files(spark, folder):
  regexp_replace(regexp_replace(upper(rule_id), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as rule_key from f where title is not null and rule_id is not null) select * from q""")
 def normalised_keys(spark, folder):
     """Normalised titles and rule ids."""
-    return _findings(spark, folder, "title", "rule_id").where("title is not null and rule_id is not null").select("id", S.title_key("title").alias("title_key"), S.rule_key("rule_id").alias("rule_key"))
+    return _findings(spark, folder, S.title_key("title").alias("title_key"), S.rule_key("rule_id").alias("rule_key"), where="title is not null and rule_id is not null")
 
 
 # -- pattern joins
@@ -248,8 +259,7 @@ def _suppression_case(skip: bool, what: str) -> str:
 
 
 def _with_path(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    rows = _findings(spark, folder, "evidence", *columns)
-    return rows.withColumn("path", S.primary_path()).drop("evidence")
+    return _findings(spark, folder, S.primary_path().alias("path"), *columns)
 
 
 @query(_F + "q as (" + _SUPPRESS_SQL.format(_suppression_case(False, "reason"), _suppression_case(False, "status")) + ") select * from q")
@@ -347,23 +357,24 @@ def trend_points(spark, folder):
 @query(_FILES + r"l as (select id, unnest(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10))) as line from fi where content is not null) select id, marker, count(*) as n from (select id, case when regexp_matches(line, '\bFIXME\b') then 'FIXME' when regexp_matches(line, '\bTODO\b') then 'TODO' when regexp_matches(line, '\bkeep\b') then 'keep' when regexp_matches(line, '\bdrop\b') then 'drop' end as marker from l) where marker is not null group by all")
 def debt_marker_first_wins(spark, folder):
     """Lines with a marker, counted by the first of the ordered list."""
-    lines = text_rules.lines_of(_files(spark, folder, "path", "language", "content"))
-    marker = text_rules.first_marker(F.col("line"), ["FIXME", "TODO", "keep", "drop"])
-    return lines.select("id", marker.alias("marker")).where("marker is not null").groupBy("id", "marker").agg(F.count("*").alias("n"))
+    markers = ["FIXME", "TODO", "keep", "drop"]
+    found = F.filter(F.transform(text_rules.split_lines("content"), lambda x: text_rules.first_marker(x, markers)), lambda m: m.isNotNull())
+    rows = _files(spark, folder, found.alias("found"), where=F.col("content").rlike("|".join(markers)))
+    return rows.select("id", F.explode("found").alias("marker")).groupBy("id", "marker").agg(F.count("*").alias("n"))
 
 
 @query(_FILES + r"l as (select id, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) as ls from fi where content is not null), x as (select id, ls, unnest(range(1, len(ls) + 1)) as line_no from l) select id, cast(line_no as int) as line_no from x where regexp_matches(ls[line_no], 'return') and not regexp_matches(array_to_string(ls[greatest(line_no - 3, 1):line_no + 1], chr(10)), 'null|nil|None')")
 def line_window_veto(spark, folder):
     """Lines with a pattern and without a veto word in the lines around."""
-    return text_rules.hits_with_veto(_files(spark, folder, "content"), "return", "null|nil|None", 3, 1)
+    return text_rules.hits_with_veto(table(spark, folder, "files"), "return", "null|nil|None", 3, 1).dropDuplicates(["id", "line_no"])
 
 
 @query(_FILES + r"q as (select id, len(string_split(content, chr(10))) as n_lines, len(regexp_extract_all(content, '\bfunction\b|\bdef\b|\bfunc\b')) as n_functions from fi where content <> '') select * from q where n_lines > 40 or n_functions > 5")
 def large_module(spark, folder):
     """Files with many lines or functions."""
-    rows = _files(spark, folder, "content").where("content != ''")
-    rows = rows.select("id", F.size(F.split("content", "\n")).alias("n_lines"), F.regexp_count("content", F.lit(r"\bfunction\b|\bdef\b|\bfunc\b")).alias("n_functions"))
-    return rows.where("n_lines > 40 or n_functions > 5")
+    counts = [F.size(F.split("content", "\n")).alias("n_lines"), F.regexp_count("content", F.lit(r"\bfunction\b|\bdef\b|\bfunc\b")).alias("n_functions")]
+    rows = table(spark, folder, "files").where("content != ''").select("id", *counts)
+    return rows.where("n_lines > 40 or n_functions > 5").dropDuplicates(["id"])
 
 
 _IMPORT = r"""(?:from|require\(|import)\s*\(?["']([^"']+)["']"""
@@ -372,15 +383,16 @@ _IMPORT = r"""(?:from|require\(|import)\s*\(?["']([^"']+)["']"""
 @query(_FILES + r"q as (select id, unnest(list_distinct(regexp_extract_all(content, '" + _IMPORT.replace("'", "''") + "', 1))) as target from fi where content is not null and regexp_matches(path, '\\.(ts|js|mjs)$')) select * from q")
 def import_extraction(spark, folder):
     """Distinct import specifiers of each script."""
-    rows = _files(spark, folder, "path", "content").where(F.col("path").rlike(r"\.(ts|js|mjs)$"))
-    return rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))).alias("target"))
+    targets = F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))
+    rows = _files(spark, folder, targets.alias("targets"), where=F.col("path").rlike(r"\.(ts|js|mjs)$"))
+    return rows.select("id", F.explode("targets").alias("target"))
 
 
 # -- joins without a match
 @query(_FILES + "n as (select repo_root, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') as key, path, regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/') as is_test from fi where regexp_matches(path, '\\.(ts|js|mjs|py|go|java|rb)$')) select distinct repo_root, path from n where not is_test and not exists (select 1 from n t where t.is_test and t.repo_root = n.repo_root and split_part(t.key, '_', 1) = split_part(n.key, '_', 1))")
 def untested_antijoin(spark, folder):
     """Source files without a test file whose name begins alike in the same repo."""
-    rows = _files(spark, folder, "repo_root", "path").where(F.col("path").rlike(r"\.(ts|js|mjs|py|go|java|rb)$"))
+    rows = table(spark, folder, "files").where(F.col("path").rlike(r"\.(ts|js|mjs|py|go|java|rb)$"))
     rows = rows.select("repo_root", "path", F.split_part(F.regexp_replace(S.basename("path"), r"\.[^.]*$", ""), F.lit("_"), F.lit(1)).alias("key"), F.lower("path").rlike(r"(^|/)(tests?|__tests__|spec)/").alias("is_test"))
     tests = rows.where("is_test").select("repo_root", "key").distinct()
     return rows.where("not is_test").join(tests, ["repo_root", "key"], "left_anti").select("repo_root", "path").distinct()
@@ -389,7 +401,8 @@ def untested_antijoin(spark, folder):
 @query(_F + "e as (select f.id, f.repo_root, unnest(f.evidence, max_depth := 2) from (select id, repo_root, evidence from f) f), p as (select distinct repo_root, path, max(line_count) over (partition by repo_root, path) as lines from files) select reason, count(*) as n from (select case when e.path is null or e.path = '' then 'missing' when p.path is null then 'path_not_found' when e.start_line < 1 or e.end_line < e.start_line then 'invalid_lines' else 'ok' end as reason from e left join p on p.repo_root = e.repo_root and p.path = e.path) group by reason")
 def evidence_validity(spark, folder):
     """Evidence by the first reason why it is invalid."""
-    rows = _findings(spark, folder, "repo_root", "evidence").select("repo_root", F.explode("evidence").alias("e")).select("repo_root", "e.path", "e.start_line", "e.end_line")
+    places = F.transform("evidence", lambda e: F.struct(e["path"].alias("path"), e["start_line"].alias("start_line"), e["end_line"].alias("end_line")))
+    rows = _findings(spark, folder, "repo_root", places.alias("places")).select("repo_root", F.explode("places").alias("e")).select("repo_root", "e.path", "e.start_line", "e.end_line")
     known = table(spark, folder, "files").select("repo_root", "path").distinct().withColumn("known", F.lit(True))
     reason = (
         F.when(F.coalesce("path", F.lit("")) == "", "missing").when(F.col("known").isNull(), "path_not_found")
@@ -461,9 +474,9 @@ def hub_targets(spark, folder):
 @query(_F + "n as (select 'run:' || run_id as id, 'run' as kind from runs union select 'finding:' || id, 'finding' from f union select 'file:' || e.path, 'file' from (select unnest(evidence) as e from f) where e.path is not null) select kind, count(*) as n from n group by kind")
 def evidence_dag_nodes(spark, folder):
     """Nodes of the evidence graph by kind, each once."""
-    found = _findings(spark, folder, "evidence")
+    found = _findings(spark, folder, "evidence.path")
     node = lambda df, kind, col: df.select(F.concat(F.lit(kind + ":"), col).alias("id"), F.lit(kind).alias("kind"))
-    files = found.select(F.explode("evidence.path").alias("p")).where("p is not null")
+    files = found.select(F.explode("path").alias("p")).where("p is not null")
     nodes = node(table(spark, folder, "runs"), "run", F.col("run_id")).unionByName(node(found, "finding", F.col("id"))).unionByName(node(files, "file", F.col("p")))
     return nodes.distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -471,9 +484,9 @@ def evidence_dag_nodes(spark, folder):
 @query(_F + "e as (select distinct run_id as source, 'contains' as kind, id as target from f union select distinct id, 'located_in', e.path from (select id, unnest(evidence) as e from f) where e.path is not null union select distinct id, 'affects', s from (select id, unnest(affected_symbols) as s from f) where s is not null) select * from e")
 def evidence_dag_edges(spark, folder):
     """Edges of the evidence graph, each once."""
-    found = _findings(spark, folder, "run_id", "evidence", "affected_symbols")
+    found = _findings(spark, folder, "run_id", "evidence.path", "affected_symbols")
     runs = found.select(F.col("run_id").alias("source"), F.lit("contains").alias("kind"), F.col("id").alias("target"))
-    files = found.select(F.col("id").alias("source"), F.lit("located_in").alias("kind"), F.explode("evidence.path").alias("target"))
+    files = found.select(F.col("id").alias("source"), F.lit("located_in").alias("kind"), F.explode("path").alias("target"))
     symbols = found.select(F.col("id").alias("source"), F.lit("affects").alias("kind"), F.explode("affected_symbols").alias("target"))
     return runs.unionByName(files).unionByName(symbols).where("target is not null").distinct()
 
@@ -491,7 +504,7 @@ def schema_drift_except(spark, folder):
 def invariant_kinds(spark, folder):
     """Findings that become invariants, numbered per run and kind."""
     kind = F.when(F.col("category").isin("auth", "security"), "security").when(F.col("category").isin("validation", "data"), "data").when(F.col("category").isin("testing", "maintainability", "config"), "technical").otherwise("other")
-    rows = _findings(spark, folder, "run_id", "category", "severity", "confidence").where("severity in ('critical', 'high') or confidence >= 0.7").withColumn("kind", kind)
+    rows = _findings(spark, folder, "run_id", kind.alias("kind"), where="severity in ('critical', 'high') or confidence >= 0.7")
     return rows.select("id", "kind", F.row_number().over(W.partitionBy("run_id", "kind").orderBy("id")).alias("number"))
 
 
@@ -511,7 +524,7 @@ def stream_sessions(spark, folder):
 def ddl_operations(spark, folder):
     """Schema operations in all texts and sources that hold SQL definitions."""
     texts = table(spark, folder, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    files = _files(spark, folder, "path", "content").select("path", "content")
+    files = table(spark, folder, "files").select("path", "content")
     return sql_inventory.inventory(texts.unionByName(files).where(F.col("content").rlike(r"(?i)\b(create|drop|alter)\s+(unique\s+|temporary\s+)?(table|index)\b")))
 
 
@@ -576,15 +589,15 @@ def renamed_files(spark, folder):
 @query(_FILES + "q as (select id as name, sha256(content) as sha256, coalesce(octet_length(encode(content)), 0) as n_bytes from fi) select * from q")
 def bundle_manifest(spark, folder):
     """Hash and size of every file."""
-    return exports.manifest(_files(spark, folder, "content"), "id", "content")
+    return exports.manifest(table(spark, folder, "files"), "id", "content").dropDuplicates(["name"])
 
 
 @query(_FILES + "q as (select id as name, case when hash is null and content is null then 'ok' when hash = sha256(content) then 'ok' else 'changed' end as state from fi) select state, count(*) as n from q group by state")
 def bundle_validate(spark, folder):
     """Files against the hashes they were delivered with."""
-    files = _files(spark, folder, "content", "hash")
-    listed = files.select(F.col("id").alias("name"), F.col("hash").alias("sha256"))
-    return exports.check_manifest(listed, exports.manifest(files, "id", "content")).groupBy("state").agg(F.count("*").alias("n"))
+    files = table(spark, folder, "files")
+    listed = files.select(F.col("id").alias("name"), F.col("hash").alias("sha256")).dropDuplicates(["name"])
+    return exports.check_manifest(listed, exports.manifest(files, "id", "content").dropDuplicates(["name"])).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query(_F + """q as (select run_id, case when count(*) filter (lower(trim(severity)) = 'critical') > 0 then 'blocked_input' when count(*) filter (lower(trim(severity)) = 'high') > 0 then 'hold' else 'passed' end as verdict, count(*) as n_signals from f group by run_id) select * from q""")
@@ -596,7 +609,7 @@ def export_verdicts(spark, folder):
 @query(_F + """q as (select id, run_id, rule_id, case when lower(trim(severity)) in ('critical', 'high') then 'error' when lower(trim(severity)) = 'medium' then 'warning' else 'note' end as level, coalesce(title, '') as message, coalesce(evidence[1].path, '') as uri, coalesce(evidence[1].start_line, 1) as start_line from f) select * from q""")
 def sarif_results(spark, folder):
     """Findings as SARIF results, read back from their JSON."""
-    rows = exports.sarif_rows(_findings(spark, folder, "run_id", "rule_id", "severity", "title", "evidence"))
+    rows = exports.sarif_rows(table(spark, folder, "findings")).dropDuplicates(["id"])
     member = lambda path: F.get_json_object("result", path)
     place = "$.locations[0].physicalLocation"
     return rows.select(
@@ -623,8 +636,7 @@ def test_seeds(spark, folder):
 @query(_F + """q as (select 'security' as source, id, generated_at + interval 3 day as due_at from f where category = 'security' and severity in ('high', 'critical') union all select 'uncertain', id, generated_at + interval 7 day from f where confidence < 0.3 union all select 'unlocated', id, generated_at + interval 7 day from f where coalesce(len(evidence), 0) = 0) select * from q""")
 def review_queue_union(spark, folder):
     """What people have to look at, from several sources, with due dates."""
-    rows = _findings(spark, folder, "category", "severity", "confidence", "evidence", "generated_at")
-    part = lambda name, test, days: rows.where(test).select(F.lit(name).alias("source"), "id", (F.col("generated_at") + F.expr(f"interval {days} day")).alias("due_at"))
+    part = lambda name, test, days: _findings(spark, folder, F.lit(name).alias("source"), (F.col("generated_at") + F.expr(f"interval {days} day")).alias("due_at"), where=test).select("source", "id", "due_at")
     return part("security", "category = 'security' and severity in ('high', 'critical')", 3).unionByName(part("uncertain", "confidence < 0.3", 7)).unionByName(part("unlocated", "coalesce(size(evidence), 0) <= 0", 7))
 
 
@@ -633,7 +645,7 @@ def review_queue_union(spark, folder):
 def risk_without_test(spark, folder):
     """Symbols of severe findings that no test relation names."""
     tests = table(spark, folder, "relations").where("kind = 'tests'").select(F.lower(F.trim("from_id")).alias("test"), F.lower(F.trim("to_id")).alias("symbol")).where("test != '' and symbol != ''")
-    rows = _findings(spark, folder, "severity", "affected_symbols").where("severity in ('critical', 'high')").select("id", F.explode("affected_symbols").alias("s")).select("id", F.lower(F.trim("s")).alias("symbol")).where("symbol != ''").distinct()
+    rows = table(spark, folder, "findings").where("severity in ('critical', 'high')").select("id", F.explode("affected_symbols").alias("s")).select("id", F.lower(F.trim("s")).alias("symbol")).where("symbol != ''").distinct()
     return rows.join(tests.select("symbol").distinct(), "symbol", "left_anti").select("id", "symbol")
 
 
@@ -679,7 +691,7 @@ def _symbol_sql() -> str:
 @query(_symbol_sql())
 def symbol_extraction(spark, folder):
     """Functions, classes, variables and interfaces of each file by the patterns of its language."""
-    return code_symbols.symbols(_files(spark, folder, "language", "content"), F.col("language"))
+    return code_symbols.symbols(table(spark, folder, "files"), F.col("language")).dropDuplicates()
 
 
 @query()

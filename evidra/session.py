@@ -20,6 +20,7 @@ def build_session(app: str = "evidra", master: str = "local[8]", shuffle_partiti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EVIDRA_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -27,13 +28,16 @@ def build_session(app: str = "evidra", master: str = "local[8]", shuffle_partiti
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session has
-    none (tests, a laptop) a temporary local folder is set.
+    The folder comes from ``spark.checkpoint.dir``. Only a session with a local master
+    (tests, a laptop) that names none gets a temporary folder; on a cluster that is an
+    error, since a folder of one machine is lost with it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidra-ckpt-"))
 
 
