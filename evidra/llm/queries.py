@@ -90,8 +90,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file with its kind."""
-    return provenance.classify(table(spark, folder, "files")).select("id", F.coalesce("kind", F.lit("hand-written")).alias("kind"))
+    """Every file with its kind and the evidence for it (``none`` if there is none)."""
+    files = provenance.classify(table(spark, folder, "files"))
+    return files.select("id", F.coalesce("kind", F.lit("hand-written")).alias("kind"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
 def p7_walked(spark: SparkSession, folder: str) -> DataFrame:

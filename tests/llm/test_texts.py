@@ -4,10 +4,11 @@ import ast
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.llm import corpus_tokens, credentials, mixing, provenance, shared_spans, syntax
+from evidra.llm import corpus_tokens, credentials, mixing, provenance, repair, shared_spans, syntax
 from evidra.llm.grammars import check
 
 GOOD = {
@@ -129,20 +130,37 @@ def test_configs_come_out_redacted(spark, tmp_path):
 
 
 def test_re_pair_is_lossless():
-    rng = random.Random(1)
-    for n in (0, 1, 2, 3, 50, 400):
-        sequence = [rng.choice("abcd") for _ in range(n)]
-        rules, final, terminals = provenance.re_pair(sequence)
-
-        def expand(symbol, rules=rules, terminals=terminals):
-            if symbol < len(terminals):
-                return terminals[symbol]
-            a, b = rules[symbol - len(terminals)]
-            return expand(a) + expand(b)
-
-        assert "".join(map(expand, final)) == "".join(sequence)
-    rules, final, _ = provenance.re_pair(list("ab" * 512))
-    assert len(rules) + len(final) < 20
+    rng = random.Random(3)
+    sequences = ["".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["ab" * 512, "a" * 1000, "", "x"]
+    alone = [g for s in sequences for _, _, g in provenance.grammars([s])]
+    for sequence, g in zip(sequences, alone, strict=True):
+        # the final symbols stand for the text, and no pair of them stands twice
+        ends = np.cumsum(g.final_size)
+        assert g.final_size.sum() == len(sequence)
+        total = 0
+        for h, size in zip(g.final_hash.tolist(), g.final_size.tolist(), strict=True):
+            total = (total * pow(int(repair.BASE), size, 1 << 64) + h) % (1 << 64)
+        assert total == int(g.whole_hash[0])
+        pieces = [sequence[e - n : e] for e, n in zip(ends, g.final_size, strict=True)]
+        pairs = [(i, pair) for i, pair in enumerate(zip(pieces, pieces[1:], strict=False))]
+        assert len(pairs) > 200 or all(abs(i - j) == 1 for i, p in pairs for j, q in pairs if i != j and p == q)
+    assert alone[300].size(1)[0] < 20 and alone[301].size(1)[0] < 25
+    # a sequence has the same grammar in any company
+    together = provenance.grammar_sizes(sequences)
+    assert together.tolist() == [int(g.size(1)[0]) for g in alone]
+
+
+def test_equal_long_texts_have_equal_hashes():
+    words = [f"word{i % 700}" for i in range(3000)]
+    for front in ([], ["word1", "word2"] * 9, ["z"] * 5):
+        (_, _, g), = provenance.grammars([front + words + words])
+        assert int(repair.whole_hashes(np.array([h for h in map(_hash, words)], np.uint64), np.array([len(words)]))[0]) in {int(x) for x in g.rule_hash} | {int(x) for x in g.final_hash}
+
+
+def _hash(word):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word)
 
 
 HAND = "import { a } from './b';\n\nexport function pick(rows, limit = 3) {\n  let total = 0;\n  for (const row of rows) {\n    if (row > limit) {\n      continue;\n    }\n    total += row * 7;\n  }\n  return total;\n}\n\nexport class Store {\n  constructor(limit) {\n    this.limit = limit;\n  }\n  check(x) {\n    return x.length > this.limit && !x.startsWith('k');\n  }\n}\n"
