@@ -3,8 +3,10 @@
 A string is *unnatural* when a public tokenizer needs many tokens for few of its
 characters. Context rules say where a credential may stand (a known format, an
 address, a header, a command, a named value, a login call, a comment) and which
-values are none (placeholders, masks, references, patterns). Most rules need
-both; redaction covers exactly the characters of the value.
+values are none (placeholders, masks, references, patterns). Every find needs
+both: the clearer the context, the more natural a value may look. Redaction
+covers exactly the characters of the value. The rules take time in proportion
+to a text, whether it has one line or many.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from evidra.llm.corpus_tokens import VOCABULARY, encoder
 
 #: Characters per token below which a string isn't language.
 UNNATURAL = 2.35
+#: The same for values whose place says that a credential stands there: only plain words are above it.
+UNNATURAL_IN_PLACE = 5.0
+#: Least length of the value of a variable whose name says nothing.
+BARE_VALUE = 20
 
 #: Formats that are credentials wherever they stand (fixed values: prefixes that issuers publish, and the like).
 _FORMAT = re.compile(
@@ -40,7 +46,7 @@ _LOGIN = re.compile(r"(?i)(?:authenticate|login|log_in|sign_?in|connect|session|
 _HOST = re.compile(r"^[\w-]+(?:\.[\w-]+)+(?::\d+)?$")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n$]*)`")
 _NAMED = re.compile(
-    r"(?<![\w$])(?P<q>\\?[\"']|)(?P<n>[A-Za-z_][\w.-]*)(?P=q)(?:\s*:\s*(?:[A-Za-z]+\b)(?=\s*=)|\s+(?:string|String)(?=\s*=))?\s*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?=(?P<v>[^\n]*))"
+    r"(?<![\w$])(?P<q>\\?[\"']|)(?P<n>[A-Za-z_][\w.-]*)(?P=q)(?:\s*:\s*(?:[A-Za-z]+\b)(?=\s*=)|\s+(?:string|String)(?=\s*=))?\s*(?P<op>:=|=>|=(?!=)|:(?!:))"
 )
 _COMMENT = re.compile(r"(?:^|[\s;])(?://|#|/\*|\*|<!--|--\s)(?P<v>[^\n]*)", re.M)
 
@@ -75,6 +81,11 @@ def characters_per_token(text: str) -> float:
     return len(text) / max(1, len(encoder(VOCABULARY).encode_ordinary(text)))
 
 
+def _out_of_place(text: str) -> bool:
+    """Whether a string is no plain word or words, however short."""
+    return characters_per_token(text) < UNNATURAL_IN_PLACE
+
+
 def unnatural(text: str) -> bool:
     """Whether the string is long enough and costs too many tokens for its characters."""
     return len(text) >= 12 and characters_per_token(text) < UNNATURAL
@@ -91,11 +102,12 @@ def _works(value: str) -> bool:
 
 def _named_value(value: str, name: str) -> bool:
     """Whether the value of a secret's name is a working credential."""
-    if not _works(value) or any(c.isspace() for c in value) or len(value) < 8 or len(value) > 4096:
+    if not _works(value) or any(c.isspace() for c in value) or len(value) < 8:
         return False
     if not value.isascii() or re.fullmatch(r"[a-z]+(?::[a-z]+)+", value) or "(" in value:
         return False
-    return unnatural(value) or _mixed(value) and any(not c.isalnum() for c in value) or _mixed(value) and "pass" in name or "pwd" in name and _mixed(value)
+    telling = any(not c.isalnum() for c in value) or "pass" in name or "pwd" in name
+    return unnatural(value) or _mixed(value) and telling and _out_of_place(value)
 
 
 @lru_cache(maxsize=50_000)
@@ -119,7 +131,8 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
         if _works(m[0]) and unnatural(m[0]):
             found.append((m.start(), m.end(), "format"))
     for m in _ADDRESS.finditer(text) if "://" in text and "@" in text else ():
-        if _works(m["v"]) or len(m["v"]) >= 4 and _mixed(m["v"]) and not _NOTHING.search(m["v"]):
+        works = _works(m["v"]) or len(m["v"]) >= 4 and _mixed(m["v"]) and not _NOTHING.search(m["v"])
+        if works and _out_of_place(m["v"]):
             found.append((*m.span("v"), "address"))
     for m in _HEADER.finditer(text):
         if _works(m["v"]) and unnatural(m["v"]) and _mixed(m["v"]):
@@ -127,7 +140,7 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     options = _OPTION.finditer(text) if "-" in text and hinted else ()
     users = _USER.finditer(text) if "--" in text or "-u" in text else ()
     for m in (*options, *users):
-        if _works(m["v"]) and _mixed(m["v"]):
+        if _works(m["v"]) and _mixed(m["v"]) and _out_of_place(m["v"]):
             found.append((*m.span("v"), "command"))
     for m in _CALL.finditer(text):
         strings = list(_STRING.finditer(m["a"]))
@@ -138,7 +151,10 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
             if _named_value(value, "pass"):
                 low = m.start("a") + last.start() + 1
                 found.append((low, low + len(value), "call"))
+    until = 0
     for m in _NAMED.finditer(text) if extension in ("env", "sh") or hinted else ():
+        if m.start() < until:  # part of a value without quotes that was looked at
+            continue
         name = m["n"].rsplit(".", 1)[-1]
         # a name may end in a tag of its own
         plain, short = (re.sub(r"[_.-]", "", x).lower() for x in (name, re.sub(r"_[A-Za-z0-9]{2,6}$", "", name)))
@@ -146,12 +162,14 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
         if other or not (_SECRET_NAME.search(plain) or _SECRET_NAME.search(short)):
             # an environment variable that says nothing about itself, with a value like a key
             if extension in ("env", "sh") and m["op"] == "=" and not other and not _DATA_NAME.search(plain):
-                hit = _value_at(text, m.start("v"), m["v"], extension, "=")
-                if hit and 20 <= len(hit[1]) <= 64 and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", hit[1]) and _works(hit[1]) and _mixed(hit[1]) and unnatural(hit[1]):
+                hit = _value_at(text, m.end(), extension, "=")
+                until = hit[2] if hit else 0
+                if hit and hit[1] and len(hit[1]) >= BARE_VALUE and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", hit[1]) and _works(hit[1]) and _mixed(hit[1]) and unnatural(hit[1]):
                     found.append((hit[0], hit[0] + len(hit[1]), "variable"))
             continue
-        hit = _value_at(text, m.start("v"), m["v"], extension, m["op"])
-        if hit and _named_value(hit[1], plain):
+        hit = _value_at(text, m.end(), extension, m["op"])
+        until = hit[2] if hit else 0
+        if hit and hit[1] and _named_value(hit[1], plain):
             found.append((hit[0], hit[0] + len(hit[1]), "named"))
     for m in _COMMENT.finditer(text):
         words = _COMMENT_WORD.search(m["v"])
@@ -176,38 +194,42 @@ def spans(text: str, extension: str = "") -> list[tuple[int, int, str]]:
     return out
 
 
-def _value_at(text: str, at: int, rest: str, extension: str, op: str) -> tuple[int, str] | None:
-    """Begin and text of the value behind a name; a value may begin on the next line."""
-    lead = len(rest) - len(rest.lstrip(" \t("))
-    body = rest[lead:]
-    start = at + lead
-    if body.rstrip() in ("", "|", ">", "|-", ">-", "\\", "+"):
-        if not body.strip() and "(" not in rest and op != "=" and extension not in ("yaml", "yml"):
-            return None
-        following = re.compile(r"[^\n]*\n[ \t]*").match(text, start)
-        if not following:
+_LEAD = re.compile(r"[ \t(]*")
+#: Nothing but a sign that the value goes on behind it stands on the rest of a line.
+_CONTINUED = re.compile(r"(?P<sign>[|>]-?|\\|\+)?[ \t\r\f\v]*(?:\n[ \t]*|\Z)")
+_MEMBER = re.compile(r"[\w\"'.-]+\s*[:=]\s")
+_TRIPLE = re.compile(r"[A-Za-z]*(\"\"\"|''')([^\n]*?)(?:\1|\n|\Z)")
+_ESCAPED = re.compile(r"\\([\"'])([^\"'\\\n]*)\\\1")
+_QUOTED = re.compile(r"[rbfRBF]?(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)")
+#: A value without quotes ends the line, but for a comment; in commands other signs end it too.
+_BARE = re.compile(r"(?![\"'\[{&*])(\S++)(\s#|[ \t]*(?:[\r\n]|\Z))?")
+_BARE_COMMAND = re.compile(r"(?![\"'\[{&*])([^\s;&|]++)(\s#|[ \t]*(?:[\r\n;&|]|\Z))?")
+
+
+def _value_at(text: str, at: int, extension: str, op: str) -> tuple[int, str | None, int] | None:
+    """Begin and text of the value behind a name, and the end of what was read without quotes (or 0).
+
+    A value may begin on the next line. The text is null if what stands there is no value.
+    """
+    start = _LEAD.match(text, at).end()
+    following = _CONTINUED.match(text, start)
+    if following:
+        if not following["sign"] and "(" not in text[at:start] and op != "=" and extension not in ("yaml", "yml"):
             return None
         start = following.end()
-        end = text.find("\n", start)
-        body = text[start : len(text) if end < 0 else end]
-        if re.match(r"[\w\"'.-]+\s*[:=]\s", body):
+        if start == len(text) or _MEMBER.match(text, start):
             return None
-    triple = re.match(r"[A-Za-z]*(\"\"\"|''')", body)
-    if triple:
-        start, body = start + triple.end(), body[triple.end() :].split(triple[1])[0]
-        return start, body.strip()
-    escaped = re.match(r"\\([\"'])([^\"'\\\n]*)\\\1", body)
-    if escaped:
-        return (start + escaped.start(2), escaped[2]) if escaped[2] else None
-    quoted = re.match(r"[rbfRBF]?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)", body)
-    if quoted:
-        value = quoted[1] or quoted[2] or quoted[3] or ""
-        group = 1 if quoted[1] is not None else 2 if quoted[2] is not None else 3
-        # (a name in quotes that is itself followed by a value is a member, not a value)
-        return (start + quoted.start(group), value) if value else None
-    if extension in _CONFIG_EXT and body[:1] not in "\"'[{&*":
-        value = re.split(r"\s#|\r", body)[0].strip()
-        return (start, value) if value else None
+    if triple := _TRIPLE.match(text, start):
+        value = triple[2].strip()
+        return triple.start(2) + len(triple[2]) - len(triple[2].lstrip()), value, 0
+    if escaped := _ESCAPED.match(text, start):
+        return (escaped.start(2), escaped[2], 0) if escaped[2] else None
+    if quoted := _QUOTED.match(text, start):
+        return (quoted.start(quoted.lastindex), quoted[quoted.lastindex], 0) if quoted[quoted.lastindex] else None
+    # (a value without quotes in JSON is a number or a constant)
+    if extension in _CONFIG_EXT and extension != "json":
+        bare = (_BARE_COMMAND if extension in ("sh", "") else _BARE).match(text, start)
+        return (start, bare[1] if bare[2] is not None else None, bare.end(1)) if bare else None
     return None
 
 

@@ -309,3 +309,27 @@ def test_deep_nesting_stays_cheap(language):
         state = grammar(language).move(state, token)
         most = max(most, len(state))
     assert most <= 64, most
+
+
+def test_values_of_any_length_are_found():
+    rng = random.Random(5)
+    long = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(9000))
+    assert [(x[1] - x[0], x[2]) for x in credentials.spans(f'api_key = "{long}"\n', "py")] == [(9000, "named")]
+    assert [x[2] for x in credentials.spans(f"DEPLOY={long[:90]}\n", "env")] == ["variable"]
+    assert credentials.spans("run tool -secret f8Kq29xLmZ7tR4wV\n", "md") and credentials.spans("tool -Password x8Kq29xLmZ\n", "md")
+    # plain words are no credentials even where one may stand
+    assert not credentials.spans('password = "administrator2"\n', "py") and credentials.spans('password = "kQ9-zz2-Lw"\n', "py")
+
+
+def test_one_line_files_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "".join(f'"k{i}_token":"v{i}x",' for i in range(n))
+        begin = time.process_time()
+        credentials.spans(text, "js")
+        credentials.spans(text.replace('"', ""), "env")
+        return time.process_time() - begin
+
+    took(500)
+    assert took(32000) < 20 * max(took(4000), 0.02)
