@@ -3,11 +3,14 @@
 1. *Anchors*: winnowing picks characters-grams of every document so that two
    documents with a common span of the wanted length have at least one anchor in
    common. Only anchors (a hash, a document, no text) are shuffled.
-2. Documents that share an anchor become reference and streamed document of a
-   shard. The suffix automaton of the reference is built over words, and the
-   other document is streamed through it: its matching statistics give the
-   maximal common runs of words, which are extended by characters to both sides.
-   Spans are compared as text, so hashes only propose and never decide.
+2. Documents with a rare anchor in common are proposed as pairs; those around a
+   common anchor are put in classes by hashes of whole windows, so that a class
+   has one row per member, whatever its size.
+3. The first document of a pair or class is the reference. Its suffix automaton,
+   built over words, goes to the tasks to which its documents come, and they are
+   streamed through it: matching statistics give the maximal common runs of
+   words, which are extended by characters to both sides and compared as text.
+   Hashes only propose and never decide.
 
 A word longer than ``LONG_WORD`` is taken as single characters; thus every span
 of the wanted length holds whole words of both texts.
@@ -21,18 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.session import hot_keys, saved
+from evidra.session import HOT_SALTS, HOT_SHARE, hot_keys, saved
 
 #: Length of a span that counts, in Unicode characters.
 MIN_SPAN = 300
 #: Words beyond this length are split into characters.
 LONG_WORD = 40
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -41,12 +42,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each ``gram`` consecutive code points."""
+def _gram_hashes(data: np.ndarray, gram: int, other: int = 0) -> np.ndarray:
+    """A hash of each ``gram`` consecutive code points; ``other`` picks one of two independent ones."""
     n = len(data)
+    if n < gram:
+        return np.zeros(0, np.uint64)
+    base = _BASES[other]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
-    hashes = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, n), dtype=np.uint64, out=sums[1:])
+    hashes = (sums[gram:] - sums[:-gram]) * _powers(pow(base, -1, 1 << 64), n - gram + 1)
     hashes ^= hashes >> np.uint64(32)
     hashes *= np.uint64(0xD6E8FEB86659FD93)
     hashes ^= hashes >> np.uint64(32)
@@ -125,101 +129,70 @@ def _anchors(span: int):
     return run
 
 
-#: Anchors in more documents than this aren't paired: their documents are compared by whole spans.
-COMMON_ANCHOR = 64
-
-
-def _pairs(limit: int):
-    """Pairs of documents with a common key, within one partition of keys.
-
-    A key in more than ``limit`` documents gives its rows instead (``b`` is then the place).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        if not tables:
-            return
-        key, doc, place = (np.concatenate(x) for x in zip(*tables, strict=True))
-        order = np.lexsort((place, doc, key))
-        key, doc, place = key[order], doc[order], place[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.add.reduceat(fresh, first) if len(first) else first  # documents of each key
-        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else first
-
-        def batch(a: np.ndarray, b: np.ndarray, paired: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int64)), pa.array(np.full(len(a), paired))], ["a", "b", "paired"])
-
-        common = size[group] > limit if limit else np.zeros(len(key), bool)
-        if common.any():
-            yield batch(doc[common], place[common], False)
-        keep = fresh & ~common
-        doc, group = doc[keep], group[keep]
-        last = np.searchsorted(group, group, side="right")  # end of the group of each row
-        row = np.arange(len(doc))
-        seen: list[np.ndarray] = []
-        step = 1
-        while True:  # each row with the row ``step`` further on in its group
-            row = row[row + step < last[row]]
-            if not len(row):
-                break
-            seen.append(np.stack([doc[row], doc[row + step]], 1))
-            step += 1
-            if sum(map(len, seen)) > 1_000_000:
-                some = np.unique(np.concatenate(seen), axis=0)
-                yield batch(some[:, 0], some[:, 1], True)
-                seen = []
-        if seen:
-            some = np.unique(np.concatenate(seen), axis=0)
-            yield batch(some[:, 0], some[:, 1], True)
-
-    return run
+#: Anchors that stand more often than this give classes of documents by whole spans instead of pairs.
+COMMON_ANCHOR = 16
+#: Members of a class are paired in blocks of about so many.
+BLOCK = 512
 
 
 def _windows(span: int):
-    """Hashes of all windows of ``span`` characters around the given places of a text."""
+    """Hashes (two, independent) and places of all windows of ``span`` characters around the given places of a text."""
     gram = max(span // 2, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hashes = _gram_hashes(_points([text]), span)
+                hashes, other = _gram_hashes(_points([text]), span), _gram_hashes(_points([text]), span, 1)
                 wanted = np.zeros(len(hashes), bool)
                 for place in places:
                     wanted[max(0, place + gram - span) : place + 1] = True
-                found = np.unique(hashes[wanted])
+                at = np.flatnonzero(wanted)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(np.full(len(found), doc)), pa.array(np.zeros(len(found), np.int32))], ["anchor", "doc_id", "place"]
+                    [pa.array(hashes[at].view(np.int64)), pa.array(other[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))],
+                    ["window", "other", "doc_id", "place"],
                 )
 
     return run
 
 
-_KEYS = "anchor long, doc_id long, place int"
-_FOUND = "a long, b long, paired boolean"
+def _long(documents: DataFrame, span: int) -> DataFrame:
+    return documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
-def candidates(documents: DataFrame, span: int = MIN_SPAN) -> DataFrame:
-    """``a, b`` (a < b): documents that probably share a span; holds every pair that does.
+def shared_anchors(documents: DataFrame, span: int = MIN_SPAN) -> DataFrame:
+    """``anchor, doc_id, place, n``: the anchors that stand in more than one document, ``n`` times in all.
 
-    Anchors that stand in many documents (phrases of the trade, copied passages) don't
-    pair their documents: those are compared by the hashes of all windows of the whole
-    span around the anchor, so the pairs that come out share such a window. Anchors that
-    hold a share of all rows go there without being grouped first.
+    Counts are combined before they are shuffled. An anchor that holds a share of all rows is
+    looked up in a broadcast table of at most ``1 / HOT_SHARE`` rows and never meets in one task.
     """
-    long = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    anchors = saved(long.mapInArrow(_anchors(span), _KEYS))
-    hot = F.broadcast(hot_keys(anchors, "anchor"))  # at most 1 / HOT_SHARE rows
-    found = saved(anchors.join(hot, "anchor", "left_anti").repartition("anchor").mapInArrow(_pairs(COMMON_ANCHOR), _FOUND))
-    places = anchors.join(hot, "anchor", "left_semi").select("doc_id", "place").unionByName(
-        found.where("not paired").select(F.col("a").alias("doc_id"), F.col("b").cast("int").alias("place"))
-    )
-    # at most one place per character of a document
-    places = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    common = long.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(span), _KEYS)
-    whole = common.repartition("anchor").mapInArrow(_pairs(0), _FOUND)
-    return found.where("paired").unionByName(whole).select("a", "b").distinct()
+    anchors = saved(_long(documents, span).mapInArrow(_anchors(span), "anchor long, doc_id long, place int"))
+    reach = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
+    reach = saved(reach.where("_a < _b").select("anchor", "n"))
+    least = F.lit(HOT_SHARE) * anchors.agg(F.count("*").alias("_all")).scalar() + 100
+    hot = F.broadcast(reach.where(F.col("n") > least))
+    return anchors.join(hot, "anchor").unionByName(anchors.join(reach.where(F.col("n") <= least), "anchor"))
+
+
+def _around(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
+    """``window, other, doc_id, place``: the windows around the places (``doc_id, place``) of the documents."""
+    places = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # at most one per character
+    rows = _long(documents, span).join(places, "doc_id").select("doc_id", "text", "places")
+    return rows.mapInArrow(_windows(span), "window long, other long, doc_id long, place int")
+
+
+def _classes(windows: DataFrame) -> DataFrame:
+    """``class, ref, doc_id, n``: documents that have a window in common, with the first of them as reference.
+
+    Windows with the same documents are one class. No group is gathered: counts, least ids and
+    sums are combined on the map side, and a hot window meets its one row by a broadcast.
+    """
+    once = saved(windows.select("window", "doc_id").distinct())
+    signed = once.groupBy("window").agg(F.min("doc_id").alias("ref"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("sign"))
+    kept = saved(signed.where("n > 1").groupBy("ref", "n", "sign").agg(F.min("window").alias("window")).select("window", "ref", "n"))
+    least = F.lit(HOT_SHARE) * once.agg(F.count("*").alias("_all")).scalar() + 100
+    hot = F.broadcast(kept.where(F.col("n") > least))  # at most 1 / HOT_SHARE rows
+    rows = once.join(hot, "window").unionByName(once.join(kept.where(F.col("n") <= least), "window"))
+    return rows.select(F.col("window").alias("class"), "ref", "doc_id", "n")
 
 
 _WORDS = re.compile(r"\w+|\s+|[^\w\s]+")
@@ -330,60 +303,127 @@ class Reference:
         return found
 
 
-def _verify(span: int):
+def _stream(span: int):
+    """Streams documents through the automaton of the reference before them (rows are sorted so).
+
+    Gives the documents that share a span with their reference and, where classes are
+    asked for, the windows of them that stand in both texts.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reference = None, None
+        spots: dict[int, int] = {}
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            rows = []
-            for i, j, s, t in zip(a, b, left, right, strict=True):
-                if name != i or reference is None:
-                    name, reference = i, Reference(s)
-                rows.extend((i, j, low, high) for low, high in reference.common(t, span))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
-                ["a", "b", "low", "high"],
-            )
+            rows: list[tuple[int, int, int | None]] = []
+            for ref, kind, doc, text, classes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if kind == 0:
+                    name, reference, spots = ref, Reference(text), {}
+                    continue
+                assert ref == name  # each reference comes before its documents
+                if not reference.common(text, span):
+                    continue
+                if classes is None:
+                    rows.append((ref, doc, None))
+                    continue
+                if not spots:
+                    hashes = _gram_hashes(_points([reference.text]), span).view(np.int64)
+                    spots = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+                for c in classes:
+                    at = spots.get(c)
+                    if at is not None and reference.text[at : at + span] in text:
+                        rows.append((ref, doc, c))
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ref", "doc_id", "class"])
 
     return run
 
 
-def common_spans(documents: DataFrame, pairs: DataFrame, span: int = MIN_SPAN) -> DataFrame:
-    """``a, b, low, high``: spans of document b (from ``low`` to before ``high``) that stand in document a."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = saved(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"))
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb")
+def _confirmed(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
+    """``ref, doc_id, class`` of the rows (``ref, doc_id, classes``) whose texts really have spans in common.
+
+    A reference is sent once to each task that streams documents of it; those of a reference
+    with a share of all rows spread over salts.
+    """
+    rows = saved(rows)
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = texts.where(F.length("text") >= span)
+    hot = F.broadcast(hot_keys(rows, "ref").withColumn("_hot", F.lit(True)))  # at most 1 / HOT_SHARE rows
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS))).otherwise(0).cast("int").alias("salt")
+    salted = rows.join(hot, "ref", "left").select("ref", salt, "doc_id", "classes")
+    refs = salted.select("ref", "salt").distinct()
+    both = salted.join(texts, "doc_id").select("ref", "salt", F.lit(1).alias("kind"), "doc_id", "text", "classes").unionByName(
+        refs.join(texts.withColumnRenamed("doc_id", "ref"), "ref").select("ref", "salt", F.lit(0).alias("kind"), F.col("ref").alias("doc_id"), "text", F.lit(None).cast("array<long>").alias("classes"))
     )
-    return both.mapInArrow(_verify(span), "a long, b long, low int, high int")
+    ordered = both.repartition("ref", "salt").sortWithinPartitions("ref", "salt", "kind", "doc_id").select("ref", "kind", "doc_id", "text", "classes")
+    return ordered.mapInArrow(_stream(span), "ref long, doc_id long, class long")
+
+
+def sharing_classes(documents: DataFrame, anchors: DataFrame, span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame]:
+    """Pairs and classes of documents with a common span: ``ref, doc_id`` and ``class, doc_id, n``.
+
+    Rare anchors give pairs, at most ``COMMON_ANCHOR`` squared a anchor. Common anchors give classes by whole
+    windows around them, one row per document and class, whose documents all hold one window. Every pair that
+    shares a span stands in one of the two.
+    """
+    rare = anchors.where(F.col("n") <= COMMON_ANCHOR).select("anchor", "doc_id")
+    pairs = rare.withColumnRenamed("doc_id", "ref").join(rare, "anchor").where("ref < doc_id").select("ref", "doc_id").distinct()
+    common = anchors.where(F.col("n") > COMMON_ANCHOR)
+    classes = saved(_classes(_around(documents, common, span)))
+    members = classes.where("doc_id != ref").groupBy("ref", "doc_id").agg(F.collect_set("class").alias("classes"))
+    asked = pairs.withColumn("classes", F.lit(None).cast("array<long>")).unionByName(members)
+    found = saved(_confirmed(documents, asked, span))
+    sizes = classes.where("doc_id = ref").select("class", "ref", "n")
+    held = found.where("class is not null").select("class", "doc_id").unionByName(sizes.select("class", F.col("ref").alias("doc_id")))
+    return found.where("class is null").select("ref", "doc_id"), held.join(sizes.select("class", "n"), "class")
+
+
+def _pairs_of(classes: DataFrame) -> DataFrame:
+    """All pairs of the members of each class (``class, doc_id, n``), in blocks: no class is one task."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = classes.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
+    left = rows.select("class", F.col("doc_id").alias("a"), "_i", F.explode(F.sequence(F.col("_i"), F.col("_k") - 1)).alias("_j"))
+    right = rows.select("class", F.col("doc_id").alias("b"), F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_i"))).alias("_i"))
+    met = left.join(right, ["class", "_i", "_j"]).where("(_i < _j or a < b) and a != b")
+    return met.select(F.least("a", "b").alias("ref"), F.greatest("a", "b").alias("doc_id"))
 
 
 def sharing_pairs(documents: DataFrame, span: int = MIN_SPAN) -> DataFrame:
-    """``doc_id_a < doc_id_b``: documents that share a verbatim span of at least ``span`` characters."""
-    spans = common_spans(documents, saved(candidates(documents, span)), span)
-    return spans.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    """``doc_id_a < doc_id_b``: documents that share a verbatim span of at least ``span`` characters.
+
+    Null and shorter texts share nothing. The work is linear in documents; only the rows of the
+    result are pairs, which a passage in n documents has n(n-1)/2 of by definition.
+    """
+    pairs, classes = sharing_classes(documents, shared_anchors(documents, span), span)
+    both = pairs.unionByName(_pairs_of(classes))
+    return both.select(F.col("ref").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")).distinct()
+
+
+def _cover(span: int):
+    """Length of the union of the spans that begin at the given places of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [int(np.minimum(np.diff(np.sort(np.array(p, np.int64))), span).sum()) + span for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "shared_chars", "most_copies"])
+
+    return run
 
 
 def shared_parts(documents: DataFrame, span: int = MIN_SPAN) -> DataFrame:
-    """Per document: its characters, how many of them lie in spans that also stand elsewhere, and with how many documents.
+    """Per document: its characters, how many lie in spans that also stand elsewhere, and in how many documents the commonest of them stands.
 
-    Documents without such spans, null and empty ones too, have zero.
+    Windows of ``span`` characters around shared anchors are counted over all documents by two
+    independent 64-bit hashes; no pairs are made. Documents without such spans, null and empty
+    ones too, have zero.
     """
-    pairs = candidates(documents, span)
-    both = saved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    spans = saved(common_spans(documents, both, span))
-    # lengths of unions of intervals: what each adds beyond the furthest end before it
-    before = F.max("high").over(W.partitionBy("b").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1))
-    added = F.greatest(F.col("high") - F.greatest(F.col("low"), F.coalesce(before, F.lit(0))), F.lit(0))
-    sums = spans.select("b", "low", "high").distinct().withColumn("added", added).groupBy("b").agg(F.sum("added").alias("shared_chars"))
-    partners = spans.groupBy("b").agg(F.count_distinct("a").alias("n_partners"))
+    windows = saved(_around(documents, shared_anchors(documents, span), span))
+    counts = windows.select("window", "other", "doc_id").distinct().groupBy("window", "other").agg(F.count("*").alias("n")).where("n > 1")
+    counts = saved(counts)
+    least = F.lit(HOT_SHARE) * windows.agg(F.count("*").alias("_all")).scalar() + 100
+    hot = F.broadcast(counts.where(F.col("n") > least))  # at most 1 / HOT_SHARE rows
+    met = windows.join(hot, ["window", "other"]).unionByName(windows.join(counts.where(F.col("n") <= least), ["window", "other"]))
+    own = met.groupBy("doc_id").agg(F.collect_set("place").alias("places"), F.max("n").alias("n"))  # at most one place per character
+    sums = own.mapInArrow(_cover(span), "doc_id long, shared_chars long, most_copies long")
     sizes = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return (
-        sizes.join(sums.withColumnRenamed("b", "doc_id"), "doc_id", "left").join(partners.withColumnRenamed("b", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_chars", zero("shared_chars"), zero("n_partners"))
-    )
+    return sizes.join(sums, "doc_id", "left").select("doc_id", "n_chars", zero("shared_chars"), zero("most_copies"))
