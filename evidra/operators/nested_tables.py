@@ -1,11 +1,12 @@
 """Nested JSON records as flat tables that keep their parent links.
 
-Whole Arrow batches of payloads are taken apart at once: structural characters
-are found in the shared UTF-8 buffer with numpy, container nesting becomes a
-parent index, array places come from offsets of the commas, and keys and paths
-are propagated from parents to children level by level with vectorised takes.
-No payload is walked in Python. Strings that hold JSON themselves form the next
-round of buffers, below the place where they stand.
+Whole Arrow batches of payloads are taken apart at once: ``json_structure`` finds
+containers, parents and places in the shared UTF-8 buffer and says which
+payloads are JSON; keys and paths are propagated from parents to children level
+by level with Arrow's take and join kernels. No payload is parsed or walked by
+itself. Strings that hold JSON themselves form the next round of buffers, below
+the place where they stand. Depth has no limit; paths of a payload with n levels
+have a length of n, so they take room of n squared in all.
 """
 
 from __future__ import annotations
@@ -19,236 +20,139 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.json_structure import Structure, unescape
+
 #: Members that are arrays by the schema: a lone object in their place is their item 0 (fixed values of the data model).
 ARRAY_MEMBERS = ("findings", "evidence", "changed_files", "hunks", "contents", "plugin_versions")
 
-_OPEN_OBJ, _OPEN_ARR, _CLOSE_OBJ, _CLOSE_ARR, _COMMA, _COLON = (ord(c) for c in "{[}],:")
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def _is_json(text: str) -> bool:
-    """Whether the text is a JSON object or array, by the strict syntax."""
-    if text.lstrip(" \t\r\n")[:1] not in ("{", "["):
-        return False
-    try:
-        json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
-def _outside_strings(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the quotes that delimit strings, and a mask of bytes outside strings."""
-    at = np.arange(len(data))
-    last_other = np.maximum.accumulate(np.where(data != 0x5C, at, -1))
-    quotes = np.flatnonzero(data == 0x22)
-    run = np.where(quotes > 0, quotes - 1 - last_other[np.maximum(quotes - 1, 0)], 0)
-    quotes = quotes[run % 2 == 0]
-    parity = np.zeros(len(data), np.int8)
-    parity[quotes] = 1
-    inside = np.cumsum(parity, dtype=np.int64) % 2 == 1
-    return quotes, ~inside
-
-
-class Structure:
-    """Containers, members and items of a buffer of JSON texts that lie one after the other."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
-        self.data = data
-        quotes, outside = _outside_strings(data)
-        self.open_quotes, self.close_quotes = quotes[0::2], quotes[1::2]
-        structural = np.flatnonzero(outside & np.isin(data, np.frombuffer(b"{}[],:", np.uint8)))
-        kind = data[structural]
-        opens = (kind == _OPEN_OBJ) | (kind == _OPEN_ARR)
-        closes = (kind == _CLOSE_OBJ) | (kind == _CLOSE_ARR)
-        depth = np.cumsum(opens.astype(np.int64) - closes)  # depth after the character
-        level = np.where(opens, depth, np.where(closes, depth + 1, depth))  # the container it belongs to
-        # number of the container in which each structural character stands: the last one opened at its level
-        number = np.cumsum(opens) - 1
-        holder = np.empty(len(structural), np.int64)
-        by_level = np.lexsort((np.arange(len(structural)), level))
-        if len(by_level):  # each level begins with an opening one
-            last_open = np.maximum.accumulate(np.where(opens[by_level], np.arange(len(by_level)), -1))
-            holder[by_level] = number[by_level[last_open]]
-        self.start = structural[opens]
-        self.is_obj = kind[opens] == _OPEN_OBJ
-        self.end = np.empty(len(self.start), np.int64)
-        self.end[holder[closes]] = structural[closes]
-        self.level = depth[opens]
-        # a container stands in the last one opened one level up
-        self.parent = np.full(len(self.start), -1, np.int64)
-        self.row = np.searchsorted(starts, self.start, side="right") - 1
-        for lv in range(2, int(self.level.max(initial=0)) + 1):
-            own, up = np.flatnonzero(self.level == lv), np.flatnonzero(self.level == lv - 1)
-            self.parent[own] = up[np.searchsorted(up, own) - 1]
-        # values of members start behind a colon, items behind a comma or the bracket
-        self.colons = structural[kind == _COLON]
-        self.colon_holder = holder[kind == _COLON]
-        commas, comma_holder = structural[kind == _COMMA], holder[kind == _COMMA]
-        order = np.lexsort((commas, comma_holder))
-        self.commas, self.comma_holder = commas[order], comma_holder[order]
-        self.comma_first = np.searchsorted(self.comma_holder, np.arange(len(self.start) + 1))
-
-    def place(self, holder: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Index of the item at byte ``at`` of each array: the commas of the array before it."""
-        span = np.int64(len(self.data) + 1)
-        key = self.comma_holder * span + self.commas
-        return np.searchsorted(key, holder * span + at) - self.comma_first[holder]
-
-    def name_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the name of the member whose value starts at ``at``."""
-        colon = self.colons[np.searchsorted(self.colons, at) - 1]
-        q = np.searchsorted(self.close_quotes, colon) - 1
-        return self.open_quotes[q] + 1, self.close_quotes[q]
-
-    def slices(self, low: np.ndarray, high: np.ndarray) -> pa.Array:
-        """The texts of the spans, gathered in one buffer."""
-        size = np.maximum(high - low, 0)
-        offsets = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=offsets[1:])
-        take = np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])
-        return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.data[take].tobytes()))
-
-
-def _unescape(names: pa.Array) -> pa.Array:
-    """Raw JSON strings without their escapes; only those with a backslash are decoded."""
-    escaped = pc.match_substring(names, "\\")
-    if not pc.any(escaped).as_py():
-        return names
-    fixed = [json.loads(f'"{x}"') if "\\" in x else x for x in names.to_pylist()]
-    return pa.array([x.encode("utf-8", "replace").decode() for x in fixed], pa.large_string())
-
-
-def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray, items: bool = False) -> tuple[list[pa.Array], tuple | None]:
+_OPENING = np.frombuffer(b"{[", np.uint8)
+_ARRAY_NAMES = pa.array(ARRAY_MEMBERS, pa.large_string())
+
+
+_EMPTY, _DOT, _ZERO, _TOP, _LEFT, _RIGHT = (pa.scalar(x, pa.large_string()) for x in ("", ".", "[0]", "$", "[", "]"))
+
+
+def _joined(*parts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, _EMPTY)
+
+
+def _index(place: np.ndarray) -> pa.Array:
+    """Places as they stand in paths."""
+    return _joined(_LEFT, pc.cast(pa.array(place, pa.int64()), pa.large_string()), _RIGHT)
+
+
+def _at(places: np.ndarray) -> pa.Array:
+    return pa.array(places, pa.int64())
+
+
+def _paths(s: Structure, heads: pa.Array, up: pa.Array, lone: np.ndarray, names: pa.Array, place: np.ndarray, in_obj: np.ndarray, lone_obj: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Path of every container and of the nearest object around it, level by level: each level takes from the one above."""
+    n = len(s.start)
+    local = np.zeros(n, np.int64)  # place of a container in its level
+    paths, arounds, order = [], [], []
+    for level, own in enumerate(s.by_level):
+        local[own] = np.arange(len(own))
+        if not level:
+            row = _at(s.row[own])
+            path = _joined(heads.take(row), pc.if_else(pa.array(lone[s.row[own]] & s.is_obj[own]), _ZERO, _EMPTY))
+            around = up.take(row)
+        else:
+            parent = s.parent[own]
+            at = _at(local[parent])
+            above, over = paths[-1].take(at), arounds[-1].take(at)
+            top = pc.equal(above, _EMPTY)
+            index = _index(place[own])
+            member = _joined(pc.if_else(top, _EMPTY, _DOT), names.take(_at(own)), pc.if_else(pa.array(lone_obj[own]), _ZERO, _EMPTY))
+            path = _joined(above, pc.if_else(pa.array(in_obj[own]), member, index))
+            around = pc.if_else(pa.array(s.is_obj[parent]), pc.if_else(top, _TOP, above), over)
+        paths.append(path.cast(pa.large_string()))
+        arounds.append(around.cast(pa.large_string()))
+        order.append(own)
+    if not n:
+        return pa.array([], pa.large_string()), pa.array([], pa.large_string())
+    back = np.empty(n, np.int64)
+    back[np.concatenate(order)] = np.arange(n)
+    whole = lambda parts: pa.concat_arrays(parts).take(_at(back))
+    return whole(paths), whole(arounds)
+
+
+def _round(s: Structure, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray, items: bool = False) -> tuple[list[pa.Array], tuple | None]:
     """Objects of one round of texts (``items``: scalar items of arrays instead), and the texts of the next round.
 
-    ``heads``: path at which each text stands ("" for a payload); ``up``: path of the
+    ``s``: the structure of the texts. ``heads``: path at which each text stands ("" for a payload); ``up``: path of the
     nearest object around it; ``lone``: the text stands for an array member, so an
     object at its top is item 0.
     """
-    texts = texts.cast(pa.large_string())
-    encoded = [len(x) for x in texts.cast(pa.large_binary()).to_pylist()]
-    starts = np.zeros(len(encoded) + 1, np.int64)
-    np.cumsum(encoded, out=starts[1:])
-    data = np.frombuffer(b"".join(x for x in texts.cast(pa.large_binary()).to_pylist()), np.uint8)
-    s = Structure(data, starts[:-1])
     n = len(s.start)
-    nested = ~pc.equal(heads, "").to_numpy(zero_copy_only=False)
-    names = pa.array([""] * n, pa.large_string())
-    place = np.zeros(n, np.int64)
+    data = s.data
     has = s.parent >= 0
     in_obj = np.zeros(n, bool)
     in_obj[has] = s.is_obj[s.parent[has]]
     in_arr = has & ~in_obj
+    place = np.zeros(n, np.int64)
     place[in_arr] = s.place(s.parent[in_arr], s.start[in_arr])
     low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if in_obj.any():
-        low[in_obj], high[in_obj] = s.name_at(s.start[in_obj])
-    names = _unescape(s.slices(low, high))
-    array_member = pc.is_in(names, pa.array(ARRAY_MEMBERS, pa.large_string())).to_numpy(zero_copy_only=False)
-    lone_obj = in_obj & s.is_obj & array_member
-    index_text = pa.array([f"[{i}]" for i in place], pa.large_string())
-
-    path = np.empty(n, object)  # filled level by level from the parents
-    around = np.empty(n, object)
-    head_list, up_list, name_list, index_list = heads.to_pylist(), up.to_pylist(), names.to_pylist(), index_text.to_pylist()
-    name_arr, index_arr = np.array(name_list, object), np.array(index_list, object)
-    top = np.flatnonzero(~has)
-    head_arr, up_arr = np.array(head_list, object), np.array(up_list, object)
-    row_of_top = s.row[top]
-    path[top] = head_arr[row_of_top]
-    top_lone = lone[row_of_top] & s.is_obj[top]
-    path[top[top_lone]] = path[top[top_lone]] + "[0]"
-    around[top] = up_arr[row_of_top]
-    for lv in range(2, int(s.level.max(initial=0)) + 1):
-        own = np.flatnonzero(s.level == lv)
-        par = s.parent[own]
-        dot = np.where(path[par].astype(bool), ".", "")
-        member = path[par] + np.asarray(dot, object) + name_arr[own]
-        member = np.where(lone_obj[own], member + "[0]", member)
-        path[own] = np.where(in_obj[own], member, path[par] + index_arr[own])
-        shown = np.where(path[par] == "", "$", path[par])
-        around[own] = np.where(s.is_obj[par], shown, around[par])
+    low[in_obj], high[in_obj] = s.name_at(s.start[in_obj])
+    names = unescape(s.slices(low, high))
+    lone_obj = in_obj & s.is_obj & pc.is_in(names, _ARRAY_NAMES).to_numpy(zero_copy_only=False)
+    path, around = _paths(s, heads, up, lone, names, place, in_obj, lone_obj)
 
     # scalars: members behind colons, items of arrays
-    skip = np.array([0x20, 0x09, 0x0A, 0x0D], np.uint8)
-    solid = np.flatnonzero(~np.isin(data, skip))
-    first_solid = lambda at: solid[np.searchsorted(solid, at)]
-    value_at = first_solid(s.colons + 1) if len(s.colons) else s.colons
-    scalar = ~np.isin(data[value_at], np.frombuffer(b"{[", np.uint8))
+    value_at = s.solid(s.colons + 1)
+    scalar = ~np.isin(data[value_at], _OPENING)
     holder, value_at, colon = s.colon_holder[scalar], value_at[scalar], s.colons[scalar]
-    q = np.searchsorted(s.close_quotes, colon) - 1
-    m_names = _unescape(s.slices(s.open_quotes[q] + 1, s.close_quotes[q])) if len(q) else pa.array([], pa.large_string())
+    m_names = unescape(s.slices(*s.name_before(colon)))
     is_str = data[value_at] == 0x22
-    ends = np.empty(len(value_at), np.int64)
-    q = np.searchsorted(s.open_quotes, value_at)
-    ends[is_str] = s.close_quotes[q[is_str]] + 1
-    stops = np.flatnonzero(np.isin(data, np.frombuffer(b",}] \t\r\n", np.uint8)))
-    ends[~is_str] = stops[np.searchsorted(stops, value_at[~is_str])] if (~is_str).any() else 0
+    ends = s.value_ends(value_at)
     values = s.slices(value_at, ends)
     # items of arrays; strings among them may hold JSON
     arr_open = np.flatnonzero(~s.is_obj)
-    item_at = np.concatenate([s.start[arr_open] + 1, s.commas[~s.is_obj[s.comma_holder]] + 1]) if n else np.zeros(0, np.int64)
-    item_holder = np.concatenate([arr_open, s.comma_holder[~s.is_obj[s.comma_holder]]]) if n else np.zeros(0, np.int64)
-    item_at = first_solid(item_at) if len(item_at) else item_at
+    in_list = ~s.is_obj[s.comma_holder] if n else np.zeros(0, bool)
+    item_at = s.solid(np.concatenate([s.start[arr_open] + 1, s.commas[in_list] + 1]))
+    item_holder = np.concatenate([arr_open, s.comma_holder[in_list]])
     plain_at, plain_holder = item_at, item_holder
     keep = data[item_at] == 0x22
     item_at, item_holder = item_at[keep], item_holder[keep]
-    item_ends = s.close_quotes[np.searchsorted(s.open_quotes, item_at)] + 1 if len(item_at) else item_at
+    item_ends = s.value_ends(item_at)
 
     # the next round: strings that hold an object or array
     def inner(at: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = s.slices(at + 1, end - 1)
         return pc.match_substring_regex(raw, r"^(?:[ ]|\\[tnr]|\\u00(?:20|09|0[aAdD]))*(?:[{\[]|\\u00(?:7[bB]|5[bB]))").to_numpy(zero_copy_only=False)
 
-    again: list[tuple] = []
-    is_m = np.flatnonzero(is_str)
-    is_m = is_m[inner(value_at[is_m], ends[is_m])] if len(is_m) else is_m
-    m_name_arr = np.array(m_names.to_pylist(), object)
-    for i in is_m:
-        text = json.loads(bytes(data[value_at[i] : ends[i]]).decode())
-        if _is_json(text):
-            h = holder[i]
-            again.append((text, s.row[h], (path[h] + "." if path[h] else "") + m_name_arr[i], path[h] or "$", m_name_arr[i] in ARRAY_MEMBERS, i))
-    held = {x[5] for x in again}
-    is_i = np.flatnonzero(inner(item_at, item_ends)) if len(item_at) else item_at
-    spots = s.place(item_holder[is_i], item_at[is_i]) if len(is_i) else []
-    held_items: list[int] = []
-    for i, spot in zip(is_i, spots, strict=True):
-        text = json.loads(bytes(data[item_at[i] : item_ends[i]]).decode())
-        if _is_json(text):
-            h = item_holder[i]
-            again.append((text, s.row[h], f"{path[h]}[{spot}]", (path[h] or "$") if s.is_obj[h] else around[h], False, -1))
-            held_items.append(item_at[i])
-
-    following = None if not again else (
-        pa.array([x[0] for x in again], pa.large_string()), rows[np.array([x[1] for x in again], np.int64)],
-        pa.array([x[2] for x in again], pa.large_string()), pa.array([x[3] for x in again], pa.large_string()),
-        np.array([x[4] for x in again], bool),
-    )
+    spots = s.place(item_holder, item_at)
+    m = np.flatnonzero(is_str)
+    m = m[inner(value_at[m], ends[m])]
+    i = np.flatnonzero(inner(item_at, item_ends))
+    begin, end = np.concatenate([value_at[m], item_at[i]]), np.concatenate([ends[m], item_ends[i]])
+    inner_texts = pa.array([json.loads(x).encode("utf-8", "replace").decode() for x in s.slices(begin, end).to_pylist()], pa.large_string())
+    structure = Structure(inner_texts)
+    h = np.concatenate([holder[m], item_holder[i]])
+    member = np.arange(len(h)) < len(m)
+    above = path.take(_at(h))
+    top = pc.equal(above, _EMPTY)
+    name = m_names.take(_at(np.concatenate([m, np.zeros(len(i), np.int64)]))) if len(m_names) else pa.array([""] * len(h), pa.large_string())
+    index = _index(np.concatenate([np.zeros(len(m), np.int64), spots[i]]))
+    head = _joined(above, pc.if_else(pa.array(member), _joined(pc.if_else(top, _EMPTY, _DOT), name), index))
+    over = pc.if_else(pa.array(member | s.is_obj[h]), pc.if_else(top, _TOP, above), around.take(_at(h)))
+    alone = member & pc.is_in(name, _ARRAY_NAMES).to_numpy(zero_copy_only=False)
+    following = None if not structure.valid.any() else (structure, rows[s.row[h]], head.cast(pa.large_string()), over.cast(pa.large_string()), alone)
+    held, held_items = m[structure.valid[: len(m)]], item_at[i[structure.valid[len(m) :]]]
     if items:
         # (nulls are no items but keep their place, and a bracket ends an empty array)
         keep = ~np.isin(data[plain_at], np.frombuffer(b"{[]n", np.uint8)) & ~np.isin(plain_at, held_items)
         at, h = plain_at[keep], plain_holder[keep]
-        ends = np.empty(len(at), np.int64)
-        text = data[at] == 0x22
-        ends[text] = s.close_quotes[np.searchsorted(s.open_quotes, at[text])] + 1
-        ends[~text] = stops[np.searchsorted(stops, at[~text])] if (~text).any() else 0
-        spots = s.place(h, at) if len(at) else np.zeros(0, np.int64)
-        paths = [f"{path[a]}[{k}]" for a, k in zip(h, spots, strict=True)]
+        spots = s.place(h, at)
         out = [
-            pa.array(rows[s.row[h]], pa.int64()), pa.array(around[h], pa.string()), pa.array(paths, pa.string()),
-            pa.array(spots, pa.int32()), s.slices(at, ends).cast(pa.string()),
+            pa.array(rows[s.row[h]], pa.int64()), around.take(_at(h)).cast(pa.string()), _joined(path.take(_at(h)), _index(spots)).cast(pa.string()),
+            pa.array(spots, pa.int32()), s.slices(at, s.value_ends(at)).cast(pa.string()),
         ]
         return out, following
 
     # members of each object, in order of the holder
     keep = np.ones(len(holder), bool)
-    keep[list(held)] = False
-    kept = np.flatnonzero(keep & s.is_obj[holder]) if len(holder) else np.zeros(0, np.int64)
+    keep[held] = False
+    kept = np.flatnonzero(keep)
     # a name that is given twice keeps its last value
     rank = np.array(m_names.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.int64) if len(m_names) else np.zeros(0, np.int64)
     order = kept[np.lexsort((value_at[kept], rank[kept], holder[kept]))] if len(kept) else kept
@@ -256,7 +160,7 @@ def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lon
         final = np.ones(len(order), bool)
         final[:-1] = (holder[order][1:] != holder[order][:-1]) | (rank[order][1:] != rank[order][:-1])
         order = order[final]
-    objects = np.flatnonzero(s.is_obj & ((path != "") if n else np.zeros(0, bool)))
+    objects = np.flatnonzero(s.is_obj & ~pc.equal(path, _EMPTY).to_numpy(zero_copy_only=False))
     firsts = np.searchsorted(holder[order], objects)
     lasts = np.searchsorted(holder[order], objects, side="right")
     size = lasts - firsts
@@ -269,23 +173,21 @@ def _round(texts: pa.Array, rows: np.ndarray, heads: pa.Array, up: pa.Array, lon
     )
     shown_ord = np.where(in_arr[objects], place[objects], np.where(lone_obj[objects], 0, -1))
     out = [
-        pa.array(rows[s.row[objects]], pa.int64()), pa.array(around[objects], pa.string()), pa.array(path[objects], pa.string()),
+        pa.array(rows[s.row[objects]], pa.int64()), around.take(_at(objects)).cast(pa.string()), path.take(_at(objects)).cast(pa.string()),
         pa.array(shown_ord, pa.int32()), members,
     ]
     return out, following
 
 
-def objects_of(texts: list[str | None], rows: np.ndarray, items: bool = False) -> Iterator[list[pa.Array]]:
+def objects_of(texts: pa.Array, rows: np.ndarray, items: bool = False) -> Iterator[list[pa.Array]]:
     """Row, parent path, path, place and members of the objects below the tops of the texts, round by round.
 
     With ``items``, the scalar items of arrays with their JSON text instead.
     """
-    kept = [i for i, x in enumerate(texts) if x and _is_json(x)]
-    todo = (
-        pa.array([texts[i] for i in kept], pa.large_string()), rows[kept], pa.array([""] * len(kept), pa.large_string()),
-        pa.array(["$"] * len(kept), pa.large_string()), np.zeros(len(kept), bool),
-    )
-    while todo is not None and len(todo[1]):
+    n = len(texts)
+    plain = lambda value: pa.array([value] * n, pa.large_string())
+    todo = (Structure(pc.fill_null(texts.cast(pa.large_string()), "")), rows, plain(""), plain("$"), np.zeros(n, bool))
+    while todo is not None:
         out, todo = _round(*todo, items)
         yield out
 
@@ -325,7 +227,7 @@ def _nested(df: DataFrame, payload: str, keep: list[str], items: bool) -> DataFr
             at = batch.schema.get_field_index("_payload")
             payloads = batch.column(at)
             for low in range(0, batch.num_rows, 512):
-                part = payloads.slice(low, 512).to_pylist()
+                part = payloads.slice(low, 512)
                 for row, *rest in objects_of(part, np.arange(low, low + len(part)), items):
                     kept = [batch.column(i).take(row) for i in range(batch.num_columns) if i != at]
                     yield pa.RecordBatch.from_arrays([*kept, *rest], schema.names)

@@ -4,20 +4,24 @@
 type goes to its typed column, every other leaf (unknown, of another type, or
 an explicit null) stays as JSON text in ``_rescued``. ``promote`` adds approved
 fields to the target and replays the rescued values into the new columns.
-No value is lost at any step, hence ``leaves`` gives back every field of a line
+No value is lost at any step, hence ``fields_of`` gives back every field of a line
 and ``changes`` is computed from what was ingested.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidra.operators.json_structure import Structure, unescape
 from evidra.session import saved
 
 #: Type of a typed column -> type of the JSON value it takes.
@@ -41,18 +45,25 @@ TARGETS = {
 }
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
+_NUMBER = re.compile(r"(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$")
+_PLAIN_ARRAY = re.compile(r'\[(?:"[^"\\]*"(?:,"[^"\\]*")*)?\]$')
 
 
 def _number(text: str) -> str:
-    """One spelling per value, so that 1, 1.0 and 1e0 are equal."""
-    if text.lstrip("-").isdigit():
-        return str(int(text)) if len(text) < 4000 else text
-    value = float(text)
-    if value != value or value in (float("inf"), float("-inf")):
-        return text
-    return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
+    """One spelling per value, so that 10, 10.0 and 1e1 are equal; digits are exact."""
+    sign, whole, part, power = _NUMBER.match(text).groups()
+    digits = (whole + (part or "")).lstrip("0")
+    exponent = int(power or 0) - len(part or "")
+    short = digits.rstrip("0")
+    exponent += len(digits) - len(short)
+    if not short:
+        return "0"
+    if 0 <= exponent <= 20:
+        return sign + short + "0" * exponent
+    if -20 <= exponent < 0:
+        padded = short.rjust(1 - exponent, "0")
+        return f"{sign}{padded[:exponent]}.{padded[exponent:]}"
+    return f"{sign}{short}e{exponent}"
 
 
 class _Num(str):
@@ -69,50 +80,113 @@ def _canonical(value: object) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def _leaves(text: str | None) -> list[tuple[str, str]] | None:
-    """Dotted path and canonical JSON of every value that isn't an object; None if it isn't a JSON object."""
-    if not text:
-        return None
+def _same_spelling(raw: str) -> str:
+    """The canonical text of one scalar or array (an array too deep for the parser keeps its own spelling)."""
+    if raw[0] in "-0123456789":
+        return _number(raw)
+    number = lambda x: _Num(_number(x))
     try:
-        top = json.loads(text, parse_int=lambda x: _Num(_number(x)), parse_float=lambda x: _Num(_number(x)), parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(top, dict):
-        return None
-    out: dict[str, str] = {}
-    stack = [("", top)]
-    while stack:
-        head, node = stack.pop()
-        for key, value in node.items():
-            path = f"{head}.{key}" if head else key
-            if isinstance(value, dict):
-                stack.append((path, value))
-            else:
-                out[path] = _canonical(value)
-    return list(out.items())
+        return _canonical(json.loads(raw, parse_int=number, parse_float=number)).encode("utf-8", "replace").decode()
+    except RecursionError:
+        return raw
+
+
+def leaf_maps(texts: pa.Array) -> pa.Array:
+    """A map per text: dotted path and canonical JSON of every value that isn't an object; null if the text is no JSON object.
+
+    Dots and backslashes of names are escaped by a backslash, so no two fields of a text
+    have one path. Of equal names the last counts.
+    """
+    n = len(texts)
+    s = Structure(pc.fill_null(texts.cast(pa.large_string()), ""))
+    top = np.zeros(n, bool)
+    first = s.level == 1
+    top[s.row[first]] = s.is_obj[first]
+    value_at = s.solid(s.colons + 1)
+    names = unescape(s.slices(*s.name_before(s.colons)))
+    names = pc.replace_substring_regex(names, r"([\\.])", r"\\\1")
+    holder = s.colon_holder
+    code = names.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+    order = np.lexsort((s.colons, code, holder))
+    counts = np.ones(len(order), bool)  # the last member of its name
+    again = (holder[order][1:] == holder[order][:-1]) & (code[order][1:] == code[order][:-1])
+    counts[order[:-1][again]] = False
+    box = np.searchsorted(s.start, value_at)
+    is_box = (box < len(s.start)) & (s.start[np.minimum(box, max(len(s.start) - 1, 0))] == value_at) if len(s.start) else np.zeros(0, bool)
+    member_of = np.full(len(s.start), -1, np.int64)
+    member_of[box[is_box]] = np.flatnonzero(is_box)
+    # paths of objects, level by level
+    alive = np.zeros(len(s.start), bool)
+    local = np.zeros(len(s.start), np.int64)
+    paths: list[pa.Array] = []
+    empty, dot = pa.scalar("", pa.large_string()), pa.scalar(".", pa.large_string())
+    under = lambda above, name: pc.binary_join_element_wise(above, pc.if_else(pc.equal(above, empty), empty, dot), name, empty)
+    taken: list[np.ndarray] = []
+    for level, own in enumerate(s.by_level):
+        own = own[s.is_obj[own]]
+        if level:
+            m = member_of[own]
+            own = own[(m >= 0) & counts[np.maximum(m, 0)] & alive[s.parent[own]]]
+        alive[own] = True
+        local[own] = np.arange(len(own))
+        if not len(own):
+            break
+        taken.append(own)
+        if level:
+            path = under(paths[-1].take(pa.array(local[s.parent[own]])), names.take(pa.array(member_of[own])))
+        else:
+            path = pa.array([""] * len(own), pa.large_string())
+        paths.append(path.cast(pa.large_string()))
+    leaf = np.flatnonzero(counts & alive[holder] & (s.data[value_at] != 0x7B)) if len(holder) else np.zeros(0, np.int64)
+    leaf = leaf[np.argsort(s.row[holder[leaf]], kind="stable")]
+    at = value_at[leaf]
+    ends = np.empty(len(leaf), np.int64)
+    ends[is_box[leaf]] = s.end[box[leaf][is_box[leaf]]] + 1
+    ends[~is_box[leaf]] = s.value_ends(at[~is_box[leaf]])
+    values = s.slices(at, ends)
+    odd = pc.match_substring_regex(values, r'^(?:\[|"[^\\]*\\|-?[0-9]+[.eE]|-0|-?[0-9]{20})').to_numpy(zero_copy_only=False)
+    if odd.any():
+        fixed = values.to_pylist()
+        for i in np.flatnonzero(odd):
+            if not _PLAIN_ARRAY.match(fixed[i]):
+                fixed[i] = _same_spelling(fixed[i])
+        values = pa.array(fixed, pa.large_string())
+    number = np.full(len(s.start), -1, np.int64)
+    if taken:
+        number[np.concatenate(taken)] = np.arange(sum(map(len, taken)))
+    keys = under(pa.concat_arrays(paths).take(pa.array(number[holder[leaf]])), names.take(pa.array(leaf))) if len(leaf) else names.slice(0, 0)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(s.row[holder[leaf]], minlength=n) if len(leaf) else np.zeros(n, np.int64))]).astype(np.int32)
+    offsets = pa.array(edges, pa.int32(), mask=np.concatenate([~top, [False]]))
+    return pa.MapArray.from_arrays(offsets, keys.cast(pa.string()), values.cast(pa.string()))
 
 
 def flatten_lines(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """``df`` with ``_leaves`` (map of dotted path to JSON text) in place of ``payload``.
+    """``df`` with ``_leaves`` (map of dotted path to JSON text, see ``leaf_maps``) in place of ``payload``.
 
-    Null, empty or broken payloads and payloads that aren't objects give a null map.
+    Null, empty or broken payloads and payloads that aren't objects give a null map. Whole
+    Arrow batches are taken apart at once.
     """
     keep = [c for c in df.columns if c not in (payload, "_leaves", "_rescued", "_parsed")]
     df = df.select(*keep, payload)
     schema = df.select(*keep, F.lit(None).cast("map<string,string>").alias("_leaves")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
             at = batch.schema.get_field_index(payload)
-            found = pa.array([_leaves(x) for x in batch.column(at).to_pylist()], kind)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [n for n in batch.schema.names if n != payload]
-            yield pa.RecordBatch.from_arrays([*columns, found], [*names, "_leaves"])
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                columns = [part.column(i) for i in range(part.num_columns) if i != at]
+                names = [n for n in batch.schema.names if n != payload]
+                yield pa.RecordBatch.from_arrays([*columns, leaf_maps(part.column(at))], [*names, "_leaves"])
 
     return df.mapInArrow(run, schema)
 
 
+def shown(path: Column | str) -> Column:
+    """A path as it is reported: without escapes."""
+    return F.regexp_replace(path, r"\\(.)", "$1")
+
+
 def json_kind(text: Column) -> Column:
     """The JSON type of a canonical JSON text; null for the JSON null."""
     first = F.substring(text, 1, 1)
@@ -129,11 +203,26 @@ def _typed(text: Column, kind: str) -> Column:
     """The value as ``kind``, or null if the JSON type is another or it doesn't fit."""
     fits = json_kind(text) == JSON_KIND[kind]
     if kind == "string":
-        # from_json takes escapes apart; the text is one JSON string
-        return F.when(fits, F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"])
+            return F.when(fits, _text_of(text))
+    if kind == "double":
+        fits = fits & text.rlike(EXACT)
     return F.when(fits, text.try_cast(kind))
 
 
+#: Numbers that a double holds exactly enough to tell all of them apart: at most 15 digits. Others stay as text.
+EXACT = r"^-?(?:[0-9]{1,15}|(?=[0-9.]{3,16}$)[0-9]+\.[0-9]+)$"
+
+
+def _text_of(text: Column) -> Column:
+    """The value of one JSON string; only those with escapes are parsed."""
+    parsed = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]
+    return F.when(F.contains(text, F.lit("\\")), parsed).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+
+
+def _number_hash(text: Column) -> Column:
+    return F.when(text.rlike(EXACT), F.xxhash64(F.lit("number"), text.try_cast("double"))).otherwise(F.xxhash64(F.lit("exact"), text))
+
+
 def column_of(path: str) -> str:
     """The typed column of a field path."""
     return "f_" + path.replace(".", "__")
@@ -164,42 +253,30 @@ def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     ).drop("_taken")
 
 
-def leaves(table: DataFrame, targets: dict[str, str], keep: list[str]) -> DataFrame:
-    """Every field of every line again: ``keep``, ``path``, ``kind`` and ``value`` (a hash).
+def fields_of(targets: dict[str, str]) -> Column:
+    """Every field of an ingested line again, as an array of ``path``, ``kind`` and ``value`` (a hash).
 
-    Explicit nulls have a null kind; they show that the field is there.
+    Explicit nulls have a null kind; they show that the field is there. A typed value and
+    a rescued one of the same JSON type and text have the same hash.
     """
-    typed = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(column_of(p)).isNotNull(),
-                    F.struct(
-                        F.lit(p).alias("path"),
-                        F.lit(JSON_KIND[k]).alias("kind"),
-                        F.xxhash64(F.lit(JSON_KIND[k]), F.col(column_of(p))).alias("value"),
-                    ),
-                )
-                for p, k in targets.items()
-            ]
-        )
-    )
 
-    # a rescued value of a type that some typed column takes must hash as that column does
+    def typed(path: str, kind: str) -> Column:
+        col = F.col(column_of(path))
+        own = {"double": F.xxhash64(F.lit("number"), col), "bigint": _number_hash(col.cast("string")), "boolean": F.xxhash64(F.lit("boolean"), col.cast("string"))}
+        value = own.get(kind, F.xxhash64(F.lit(JSON_KIND[kind]), col))
+        return F.when(col.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(JSON_KIND[kind]).alias("kind"), value.alias("value")))
+
     def rescued(entry: Column) -> Column:
         kind = json_kind(entry["value"])
-        text = F.from_json(F.concat(F.lit('{"v":'), entry["value"], F.lit("}")), "v string")["v"]
         value = (
-            F.when(kind == "string", F.xxhash64(F.lit("string"), text))
-            .when(kind == "number", F.xxhash64(F.lit("number"), entry["value"].try_cast("double")))
+            F.when(kind == "string", F.xxhash64(F.lit("string"), _text_of(entry["value"])))
+            .when(kind == "number", _number_hash(entry["value"]))
             .otherwise(F.xxhash64(F.coalesce(kind, F.lit("null")), entry["value"]))
         )
         return F.struct(entry["key"].alias("path"), kind.alias("kind"), value.alias("value"))
 
     rest = F.transform(F.map_entries(F.coalesce("_rescued", F.create_map().cast("map<string,string>"))), rescued)
-    return table.select(*keep, F.explode(F.concat(typed, rest)).alias("_f")).select(
-        *keep, F.col("_f.path").alias("path"), F.col("_f.kind").alias("kind"), F.col("_f.value").alias("value")
-    )
+    return F.concat(F.array_compact(F.array(*[typed(p, k) for p, k in targets.items()])), rest)
 
 
 #: One bit per JSON type: sets of types are compared as integers.
@@ -209,62 +286,47 @@ KIND_BIT = {"string": 1, "number": 2, "boolean": 4, "array": 8}
 def changes(lines: DataFrame) -> DataFrame:
     """What each file of a stream changed against the one before it by ``written_at``.
 
-    ``lines``: ``stream_id, file_id, written_at, record_key, path, kind, value``,
-    one row per field of a line (``leaves``). Gives ``file_id, field_path,
-    change_kind, new_path``. The first file of a stream changes nothing; ties of
-    ``written_at`` go by ``file_id``. A file is taken as present when any of its
-    lines has a field.
+    ``lines``: ``stream_id, file_id, written_at, record_key, fields``, one row per parsed line, with
+    the array of ``fields_of``. Gives ``file_id, field_path, change_kind, new_path``. The first
+    file of a stream changes nothing; ties of ``written_at`` go by ``file_id``. A file is
+    taken as present when any of its lines is a JSON object. Repeated lines make no difference.
+
+    A field that goes and one that comes are one renamed field if some record has both
+    values and none has different ones; that is counted per record with partial aggregates, so the
+    records of a large file never meet in one task.
     """
     files = lines.groupBy("stream_id", "file_id").agg(F.min("written_at").alias("written_at"))
     order = W.partitionBy("stream_id").orderBy("written_at", "file_id")
     pairs = files.select("file_id", F.lag("file_id").over(order).alias("before"), F.lead("file_id").over(order).alias("after"))
+    cells = lines.select("file_id", "record_key", F.explode("fields").alias("f")).select("file_id", "record_key", "f.*")
     bit = F.lit(0)
     for kind, n in KIND_BIT.items():
         bit = F.when(F.col("kind") == kind, n).otherwise(bit)
-    fields = lines.groupBy("file_id", "path").agg(F.bit_or(bit).alias("kinds"))
+    fields = cells.groupBy("file_id", "path").agg(F.bit_or(bit).alias("kinds"))
     # each field stands in its own file (new side) and in the file after it (old side)
-    sides = fields.join(pairs, "file_id").select(
-        "path",
-        "kinds",
-        F.explode(
-            F.array(
-                F.struct(F.when(F.col("before").isNotNull(), F.col("file_id")).alias("later"), F.lit(1).alias("new")),
-                F.struct(F.col("after").alias("later"), F.lit(0).alias("new")),
-            )
-        ).alias("s"),
-    ).select("path", "kinds", "s.*").where("later is not null")
-    compared = sides.groupBy("later", "path").agg(
-        F.max(F.when(F.col("new") == 1, F.col("kinds"))).alias("new_kinds"),
-        F.max(F.when(F.col("new") == 0, F.col("kinds"))).alias("old_kinds"),
+    side = lambda new, later, before: F.when(later.isNotNull() & before.isNotNull(), F.struct(later.alias("later"), before.alias("before"), F.lit(new).alias("new")))
+    own, after = side(1, F.col("file_id"), F.col("before")), side(0, F.col("after"), F.col("file_id"))
+    sides = fields.join(pairs, "file_id").select("path", "kinds", F.explode(F.array_compact(F.array(own, after))).alias("s")).select("path", "kinds", "s.*")
+    compared = sides.groupBy("later", "before", "path").agg(
+        F.max(F.when(F.col("new") == 1, F.col("kinds"))).alias("new_kinds"), F.max(F.when(F.col("new") == 0, F.col("kinds"))).alias("old_kinds")
     ).where("not (new_kinds <=> old_kinds)")
     compared = saved(compared)
     both = compared.where("new_kinds is not null and old_kinds is not null").select(
         F.col("later").alias("file_id"), F.col("path").alias("field_path"), F.lit("type_changed").alias("change_kind"), F.lit("").alias("new_path")
     )
-    one = compared.where("new_kinds is null or old_kinds is null").select("later", "path", F.col("old_kinds").isNull().alias("added"))
-    # values of fields that come or go, by record
-    owner = pairs.select("file_id", "before", "after")
-    cells = lines.where("kind is not null and record_key is not null").join(owner, "file_id")
-    gone = (
-        cells.select(F.col("after").alias("later"), "path", "record_key", "value")
-        .join(one.where("not added").select("later", "path"), ["later", "path"], "left_semi").distinct()
-    )
-    come = (
-        cells.select(F.when(F.col("before").isNotNull(), F.col("file_id")).alias("later"), "path", "record_key", "value")
-        .join(one.where("added").select("later", "path"), ["later", "path"], "left_semi").distinct()
+    one = compared.where("new_kinds is null or old_kinds is null").select("later", "before", "path", F.col("old_kinds").isNull().alias("added"))
+    # values of the fields that come or go, by record
+    marks = one.select(F.when(F.col("added"), F.col("later")).otherwise(F.col("before")).alias("file_id"), "path", "later", "added")
+    values = saved(cells.where("kind is not null and record_key is not null").join(marks, ["file_id", "path"]).select("later", "added", "path", "record_key", "value"))
+    gone = values.where("not added").select("later", "record_key", F.col("path").alias("old_path"), F.col("value").alias("v1"))
+    come = values.where("added").select("later", "record_key", F.col("path").alias("new_path"), F.col("value").alias("v2"))
+    renamed = saved(
+        gone.join(come, ["later", "record_key"]).groupBy("later", "old_path", "new_path").agg(F.bool_and(F.col("v1") == F.col("v2")).alias("same"))
+        .where("same").select("later", "old_path", "new_path")
     )
-    gone, come = saved(gone.withColumnRenamed("path", "old_path")), saved(come.withColumnRenamed("path", "new_path"))
-    # candidates have an equal value for some record; then no record may have two different ones
-    candidates = gone.join(come, ["later", "record_key", "value"]).select("later", "old_path", "new_path").distinct()
-    differing = (
-        candidates.join(gone.withColumnRenamed("value", "v1"), ["later", "old_path"])
-        .join(come.withColumnRenamed("value", "v2"), ["later", "new_path", "record_key"])
-        .where("v1 != v2").select("later", "old_path", "new_path").distinct()
-    )
-    renamed = saved(candidates.join(differing, ["later", "old_path", "new_path"], "left_anti"))
     used = renamed.select("later", F.col("old_path").alias("path"), F.lit(False).alias("added")).unionByName(
         renamed.select("later", F.col("new_path").alias("path"), F.lit(True).alias("added"))
-    ).distinct()
+    )
     rest = one.join(used, ["later", "path", "added"], "left_anti").select(
         F.col("later").alias("file_id"), F.col("path").alias("field_path"),
         F.when(F.col("added"), "added").otherwise("removed").alias("change_kind"), F.lit("").alias("new_path"),
@@ -272,4 +334,5 @@ def changes(lines: DataFrame) -> DataFrame:
     named = renamed.select(
         F.col("later").alias("file_id"), F.col("old_path").alias("field_path"), F.lit("renamed").alias("change_kind"), "new_path"
     )
-    return both.unionByName(rest).unionByName(named)
+    out = both.unionByName(rest).unionByName(named)
+    return out.withColumn("field_path", shown("field_path")).withColumn("new_path", shown("new_path")).distinct()

@@ -10,16 +10,12 @@ from evidra.session import saved
 from evidra.sources.tables import table
 
 
-def _drift_lines(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "artifact_records").select("stream_id", "file_id", "record_key", "line_no", "written_at", "payload")
-    lines = schema_drift.ingest(raw)
-    keep = ["stream_id", "file_id", "written_at", "record_key"]
-    return saved(schema_drift.leaves(lines, schema_drift.TARGETS, keep).distinct())
-
-
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of fields between consecutive files of a stream."""
-    return schema_drift.changes(_drift_lines(spark, folder)).distinct()
+    raw = table(spark, folder, "artifact_records").select("stream_id", "file_id", "record_key", "written_at", "payload")
+    lines = schema_drift.ingest(raw).where("_parsed")
+    fields = schema_drift.fields_of(schema_drift.TARGETS).alias("fields")
+    return schema_drift.changes(saved(lines.select("stream_id", "file_id", "record_key", "written_at", fields)))
 
 
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +31,20 @@ def p3_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Fields that came with the drift and were approved later: path -> type.
+APPROVED = {"updatedAt": "string", "owner_team": "string", "branch": "string", "retry": "double", "exitCode": "double"}
+
+
+def p3_promoted(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent table after fields were approved: what ingestion had rescued of them is replayed into typed columns."""
+    raw = table(spark, folder, "artifact_records").select("file_id", "line_no", "payload")
+    ingested = schema_drift.ingest(raw)
+    lines = schema_drift.promote(ingested, APPROVED)
+    columns = [schema_drift.column_of(p) for p in APPROVED]
+    rows = lines.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    return rows.select("file_id", "line_no", *columns).dropDuplicates(["file_id", "line_no"])
+
+
 def _references(spark: SparkSession, folder: str) -> DataFrame:
     symbols, relations, findings = (table(spark, folder, n) for n in ("symbols", "relations", "findings"))
     return (
@@ -132,7 +142,7 @@ def _flat(name: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_table, p4_found, p4_counts, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks, p6_items, *map(_flat, _FLAT))}
+QUERIES = {f.__name__: f for f in (p3_found, p3_table, p3_promoted, p4_found, p4_counts, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks, p6_items, *map(_flat, _FLAT))}
 
 _ID = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 _P4_JUDGED = f"""
@@ -210,7 +220,18 @@ union select file_id, old_path, 'renamed', new_path from renamed
 union select file_id, path, 'type_changed', '' from sides where new_kinds is not null and old_kinds is not null and new_kinds <> old_kinds
 """
 
+def _promoted_sql() -> str:
+    parts = []
+    for path, kind in APPROVED.items():
+        types, cast = ("'VARCHAR'", "varchar") if kind == "string" else ("'BIGINT', 'UBIGINT', 'DOUBLE'", "double")
+        parts.append(f"case when json_type(payload, '$.{path}') in ({types}) then cast(json_extract_string(payload, '$.{path}') as {cast}) end as {schema_drift.column_of(path)}")
+    columns = [schema_drift.column_of(p) for p in APPROVED]
+    some = " or ".join(f"{c} is not null" for c in columns)
+    return f"select distinct file_id, line_no, {', '.join(columns)} from (select file_id, line_no, {', '.join(parts)} from artifact_records where json_valid(payload)) where {some}"
+
+
 ORACLES = {
+    "p3_promoted": _promoted_sql(),
     "p3_found": _P3_CASES,
     "p4_found": _P4_JUDGED + "select distinct table_name, record_id, field_name, target_id, reason from judged where reason is not null",
     "p4_counts": _P4_JUDGED

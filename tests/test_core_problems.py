@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 
 from evidra.operators import nested_tables, orphans, schema_drift, snapshot_diff
@@ -153,7 +154,7 @@ def drift(spark, files):
     df = spark.createDataFrame(rows, "stream_id string, file_id string, written_at timestamp, record_key string, payload string")
     targets = {"version": "string", "n": "double"}
     table = schema_drift.ingest(df, targets)
-    lines = schema_drift.leaves(table, targets, ["stream_id", "file_id", "written_at", "record_key"])
+    lines = table.where("_parsed").select("stream_id", "file_id", "written_at", "record_key", schema_drift.fields_of(targets).alias("fields"))
     return sorted(tuple(r) for r in schema_drift.changes(lines).collect())
 
 
@@ -250,3 +251,47 @@ def test_hot_keys_stay_few(spark, share):
 
     df = spark.range(30000).selectExpr("case when id % 3 = 0 then 'hot' else cast(id as string) end as k")
     assert [r.k for r in hot_keys(df, "k", share).collect()] == ["hot"]
+
+
+def test_deep_and_dotted_payloads_lose_nothing(spark):
+    deep = '{"a":' * 3000 + '{"x":1}' + "}" * 3000
+    table = schema_drift.ingest(spark.createDataFrame([(1, deep), (2, '{"a.b":1,"a":{"b":"x"}}'), (3, "{}"), (4, "[1]"), (5, None)], "n int, payload string"), {})
+    rows = {r.n: r for r in table.collect()}
+    assert list(rows[1]._rescued) == [".".join(["a"] * 3000 + ["x"])]
+    assert rows[2]._rescued == {"a\\.b": "1", "a.b": '"x"'}
+    assert rows[3]._rescued == {} and rows[3]._parsed and rows[4]._rescued is None and not rows[5]._parsed
+    nested = spark.createDataFrame([("d", deep)], "record_id string, payload string")
+    assert nested_tables.nested_objects(nested, "payload", ["record_id"]).count() == 3000
+    assert drift(spark, [[{"a.b": 1, "a": {"b": "x"}}], [{"a": {"b": "x"}}]]) == [("f1", "a.b", "removed", "")]
+
+
+def test_numbers_are_told_apart_exactly(spark):
+    assert drift(spark, [[{"p": 9007199254740993}], [{"q": 9007199254740992}]]) == [("f1", "p", "removed", ""), ("f1", "q", "added", "")]
+    assert drift(spark, [[{"p": 9007199254740993, "n": 1e2}], ['{"q": 9007199254740993.0, "r": 100}']]) == [("f1", "n", "renamed", "r"), ("f1", "p", "renamed", "q")]
+    assert [schema_drift._number(x) for x in ("10", "10.0", "1e1", "-0", "0.50", "1e400", "12345678901234567890123")] == ["10", "10", "10", "0", "0.5", "1e400", "12345678901234567890123"]
+
+
+def test_leaf_maps_equal_a_walk():
+    import random
+
+    rng = random.Random(4)
+
+    def value(d):
+        k = rng.randrange(8)
+        if d > 4 or k < 3:
+            return rng.choice([1, -2.5, 0, True, None, "a", "", 'x"y', "\u00e9\\", 3.0])
+        return {rng.choice(["a", "b", "c.d", 'q"', "e"]): value(d + 1) for _ in range(rng.randrange(4))} if k < 6 else [value(d + 1) for _ in range(rng.randrange(3))]
+
+    def walk(head, node, out):
+        for key, v in node.items():
+            path = (head + "." if head else "") + key.replace("\\", "\\\\").replace(".", "\\.")
+            walk(path, v, out) if isinstance(v, dict) else out.__setitem__(path, v)
+        return out
+
+    tops = [value(0) for _ in range(3000)]
+    texts = [json.dumps(t, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for t in tops]
+    for top, found in zip(tops, schema_drift.leaf_maps(pa.array(texts)).to_pylist(), strict=True):
+        if not isinstance(top, dict):
+            assert found is None
+        else:
+            assert {k: json.loads(v) for k, v in found} == walk("", top, {})
