@@ -51,15 +51,21 @@ def _references(spark: SparkSession, folder: str) -> DataFrame:
         orphans.references(symbols, "symbols", "id", "file_id", "observed_at")
         .unionByName(orphans.references(relations, "relations", "id", "from_id", "observed_at"))
         .unionByName(orphans.references(relations, "relations", "id", "to_id", "observed_at"))
-        .unionByName(orphans.references(findings, "findings", "id", "affected_symbols", "generated_at", many=True))
+        .unionByName(orphans.references(findings, "findings", "id", "affected_symbols", "generated_at", many=True, arrived="loaded_at"))
     )
 
 
+#: The history is replayed in so many batches of about equally many relations.
+BATCHES = 3
+
+
 def _orphan_state(spark: SparkSession, folder: str) -> orphans.OrphanState:
-    files, symbols = (orphans.parents_of(table(spark, folder, n)) for n in ("files", "symbols"))
-    span = table(spark, folder, "relations").agg(F.percentile_approx(F.unix_timestamp(F.col("observed_at").cast("timestamp")), 0.5, 100).alias("m")).first()
-    cuts = [] if span["m"] is None else [F.timestamp_seconds(F.lit(int(span["m"]))).cast("timestamp_ntz")]
-    return orphans.replay(_references(spark, folder), files.unionByName(symbols), cuts)
+    lives = orphans.lives_of(table(spark, folder, "files")).unionByName(orphans.lives_of(table(spark, folder, "symbols")))
+    seconds = F.unix_timestamp(F.col("observed_at").cast("timestamp"))
+    shares = [i / BATCHES for i in range(1, BATCHES)]
+    at = table(spark, folder, "relations").agg(F.percentile_approx(seconds, shares, 100).alias("m")).first()["m"]  # a fixed number of values
+    cuts = [F.timestamp_seconds(F.lit(int(x))).cast("timestamp_ntz") for x in dict.fromkeys(at or [])]
+    return orphans.replay(_references(spark, folder), lives, cuts)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +78,11 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _orphan_state(spark, folder).counts()
 
 
+def p4_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans per table, field and reason after each batch, with what the batch changed."""
+    return _orphan_state(spark, folder).snapshots()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """What changed between consecutive runs of a branch."""
     return snapshot_diff.finding_changes(table(spark, folder, "findings"), table(spark, folder, "runs"))
@@ -142,7 +153,7 @@ def _flat(name: str):
     return query
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_table, p3_promoted, p4_found, p4_counts, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks, p6_items, *map(_flat, _FLAT))}
+QUERIES = {f.__name__: f for f in (p3_found, p3_table, p3_promoted, p4_found, p4_counts, p4_snapshots, p5_found, p5_ratchet_counts, p6_found, p6_findings, p6_evidence, p6_hunks, p6_items, *map(_flat, _FLAT))}
 
 _ID = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 _P4_JUDGED = f"""
