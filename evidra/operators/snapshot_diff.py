@@ -38,25 +38,31 @@ def snapshot_order(snapshots: DataFrame, series: list[str], snapshot: str, at: s
     )
 
 
+_ARRAYS = ("here", "there", "here2", "there2", "value", "first", "last")
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set differences of one partition from its arrays (here, there, value, first, last)."""
-    parts: dict[str, list[np.ndarray]] = {n: [] for n in ("here", "there", "value", "first", "last")}
+    """Set differences of one partition from its arrays (two hashes here and there, value, first, last)."""
+    parts: dict[str, list[np.ndarray]] = {n: [] for n in _ARRAYS}
     for batch in batches:
         for name, own in parts.items():
             own.append(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
     if not parts["here"]:
         return
-    here, there, value, first, last = (np.concatenate(parts[n]) for n in ("here", "there", "value", "first", "last"))
-    order = np.lexsort((value, here))
-    here, there, value, first, last = here[order], there[order], value[order], first[order], last[order]
+    here, there, here2, there2, value, first, last = (np.concatenate(parts[n]) for n in _ARRAYS)
+    order = np.lexsort((value, here2, here))
     # a key that stands several times in a snapshot counts by its first value
     lead = np.ones(len(here), bool)
-    lead[1:] = here[1:] != here[:-1]
-    here, there, value, first, last = here[lead], there[lead], value[lead], first[lead], last[lead]
-
-    # rows whose key isn't in the next snapshot
-    at = np.searchsorted(here, there)
-    found = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == there)
+    lead[1:] = (here[order][1:] != here[order][:-1]) | (here2[order][1:] != here2[order][:-1])
+    order = order[lead]
+    here, there, here2, there2, value, first, last = (x[order] for x in (here, there, here2, there2, value, first, last))
+
+    # rows whose key isn't in the next snapshot; where first hashes collide, the second finds the row among its neighbours
+    end = len(here) - 1
+    at = np.minimum(np.searchsorted(here, there), end)
+    while (astray := (here[at] == there) & (here2[at] != there2) & (at < end) & (here[np.minimum(at + 1, end)] == there)).any():
+        at = at + astray
+    found = (here[at] == there) & (here2[at] == there2)
     removed = ~found & ~last
     # rows that some row of the snapshot before leads to
     met = np.zeros(len(here), bool)
@@ -66,13 +72,15 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     src, dst = np.flatnonzero(found), at[found]
     modified[dst[value[src] != value[dst]]] = True
     old = np.zeros(len(here), np.int64)
-    old[dst] = here[src]
+    old[dst] = src
     for mask, kind in ((added, ADDED), (removed, REMOVED), (modified, MODIFIED)):
         at = np.flatnonzero(mask)
         for low in range(0, len(at), 65536):
             some = at[low : low + 65536]
+            before = old[some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(here[some]), pa.array(old[some]), pa.array(np.full(len(some), kind, np.int32))], ["here", "old", "kind"]
+                [pa.array(here[some]), pa.array(here2[some]), pa.array(here[before]), pa.array(here2[before]), pa.array(np.full(len(some), kind, np.int32))],
+                ["here", "here2", "old", "old2", "kind"],
             )
 
 
@@ -80,17 +88,18 @@ def snapshot_differences(rows: DataFrame, order: DataFrame, series: list[str], s
     """The differing keys and the rows they stand for.
 
     ``rows`` belong to snapshots of ``order`` (others are ignored). Gives
-    ``(differences, hashed)``: ``differences`` has ``here`` (hash of snapshot and
-    key of the row), ``old`` (that of the row before, for modified keys) and
-    ``kind``; ``hashed`` is ``rows`` with ``here``, ``_next``.
+    ``(differences, hashed)``: ``differences`` has ``here, here2`` (hashes of snapshot and
+    key of the row, 96 bits in all), ``old, old2`` (those of the row before, for modified keys) and
+    ``kind``; ``hashed`` is ``rows`` with ``here, here2, _next``.
     """
     numbered = rows.join(order.select(*series, snapshot, "_seq", "_next"), [*series, snapshot] if set(series) <= set(rows.columns) else snapshot)
-    hashed = numbered.withColumn("here", F.xxhash64(*series, "_seq", key)).withColumn("there", F.xxhash64(*series, F.col("_seq") + 1, key))
+    following = F.col("_seq") + 1
+    hashed = numbered.withColumns({"here": F.xxhash64(*series, "_seq", key), "there": F.xxhash64(*series, following, key), "here2": F.hash(*series, "_seq", key), "there2": F.hash(*series, following, key)})
     compact = hashed.select(
-        "here", "there", value.alias("value"), (F.col("_seq") == 0).alias("first"), F.col("_next").isNull().alias("last"),
+        "here", "there", "here2", "there2", value.alias("value"), (F.col("_seq") == 0).alias("first"), F.col("_next").isNull().alias("last"),
         F.pmod(F.xxhash64(*series, key), F.lit(1 << 30)).alias("_bucket"),
     )
-    differences = compact.repartition("_bucket").drop("_bucket").mapInArrow(_differences, "here long, old long, kind int")
+    differences = compact.repartition("_bucket").drop("_bucket").mapInArrow(_differences, "here long, here2 int, old long, old2 int, kind int")
     return differences, hashed
 
 
@@ -136,11 +145,12 @@ def finding_changes(findings: DataFrame, runs: DataFrame) -> DataFrame:
     differences, hashed = snapshot_differences(rows, order, ["repo_root", "branch"], "run_id", F.col("finding_key"), F.col("value"))
     differences = saved(differences)
     # full values of differing keys only: those of the row itself, and of the row before for modified ones
-    sides = differences.select(F.col("here").alias("at"), "kind", F.col("here").alias("case"), F.lit(True).alias("own")).unionByName(
-        differences.where(F.col("kind") == MODIFIED).select(F.col("old").alias("at"), "kind", F.col("here").alias("case"), F.lit(False).alias("own"))
+    case = F.struct("here", "here2").alias("case")
+    sides = differences.select(F.col("here").alias("at"), F.col("here2").alias("at2"), "kind", case, F.lit(True).alias("own")).unionByName(
+        differences.where(F.col("kind") == MODIFIED).select(F.col("old").alias("at"), F.col("old2").alias("at2"), "kind", case, F.lit(False).alias("own"))
     )
-    full = hashed.select("repo_root", "branch", "run_id", "finding_key", "rank", "_next", "value", F.col("here").alias("at"))
-    cases = sides.join(full, "at").groupBy("case", "kind").agg(
+    full = hashed.select("repo_root", "branch", "run_id", "finding_key", "rank", "_next", "value", F.col("here").alias("at"), F.col("here2").alias("at2"))
+    cases = sides.join(full, ["at", "at2"]).groupBy("case", "kind").agg(
         F.min_by(F.struct("repo_root", "branch", "run_id", "finding_key", "rank", "_next"), F.when(F.col("own"), F.col("value"))).alias("n"),
         F.min_by("rank", F.when(~F.col("own"), F.col("value"))).alias("before"),
     )
