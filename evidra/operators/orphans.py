@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidra.session import salted_left_join, saved
+from evidra.session import hot_keys, salted_left_join, saved
 from evidra.sources.tables import blankless
 
 REF = ["table_name", "record_id", "field_name", "target_id", "at"]
@@ -76,7 +76,7 @@ def parent_index(lives: DataFrame) -> DataFrame:
     )
 
 
-def judge(refs: DataFrame, lives: DataFrame) -> DataFrame:
+def judge(refs: DataFrame, lives: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``refs`` with ``reason``: ``missing``, ``late``, ``deleted`` or null if the target is there.
 
     A reference without a time can't be answered by time: its reason is
@@ -90,7 +90,7 @@ def judge(refs: DataFrame, lives: DataFrame) -> DataFrame:
         .when(F.col("first_at") > at, "late")
         .otherwise("deleted")
     )
-    joined = salted_left_join(refs, parent_index(lives), "target_id")
+    joined = salted_left_join(refs, parent_index(lives), "target_id", hot)
     return joined.select(*refs.columns, reason.alias("reason"))
 
 
@@ -105,6 +105,7 @@ class OrphanState:
 
     refs: DataFrame
     lives: DataFrame
+    hot: DataFrame
     batch: int = 0
 
     @classmethod
@@ -113,12 +114,11 @@ class OrphanState:
         return cls(
             spark.createDataFrame([], "table_name string, record_id string, field_name string, target_id string, at timestamp_ntz, reason string, prior string, batch int"),
             spark.createDataFrame([], "target_id string, life long, observed_at timestamp_ntz, deleted_at timestamp_ntz"),
+            spark.createDataFrame([], "target_id string"),
         )
 
     def current(self) -> DataFrame:
         """The references with their reason now, one row each."""
-        if self.batch <= 1:
-            return self.refs.select(*REF, "reason")
         return self.refs.groupBy(*REF).agg(F.max_by("reason", "batch").alias("reason"))
 
     def apply(self, new_refs: DataFrame, new_lives: DataFrame, keep: bool = True) -> OrphanState:
@@ -128,23 +128,25 @@ class OrphanState:
         again. Repeated references and references that are known already change nothing.
         """
         number = self.batch + 1
-        fresh = new_refs.select(*REF, F.lit(None).cast("string").alias("prior"), F.lit(True).alias("fresh"))
-        lives = new_lives
+        # at most 1 / HOT_SHARE ids a batch
+        hot = saved(hot_keys(new_refs, "target_id").unionByName(self.hot).distinct())
+        asked, lives = new_refs.select(*REF, F.lit(None).cast("string").alias("prior"), F.lit(True).alias("fresh")), new_lives
         if self.batch:
             moved = new_lives.select("target_id").distinct()
-            touched = self.current().join(moved, "target_id", "left_semi").select(*REF, F.col("reason").alias("prior"), F.lit(False).alias("fresh"))
-            fresh = fresh.unionByName(touched)
+            known = self.refs.join(moved, "target_id", "left_semi")
+            known = known if self.batch == 1 else known.groupBy(*REF).agg(F.max_by("reason", "batch").alias("reason"))
+            asked = asked.unionByName(known.select(*REF, F.col("reason").alias("prior"), F.lit(False).alias("fresh")))
             lives = self.lives.unionByName(new_lives)
-        once = fresh.groupBy(*REF).agg(F.max("prior").alias("prior"), F.min("fresh").alias("fresh"))
-        judged = judge(once, lives)
+        judged = judge(asked, lives, hot)
         changed = judged.where("fresh or not (reason <=> prior)").select(*REF, "reason", "prior", F.lit(number).alias("batch"))
         if keep:
             changed, new_lives = saved(changed), saved(new_lives)
-        return OrphanState(self.refs.unionByName(changed) if self.batch else changed, self.lives.unionByName(new_lives) if self.batch else new_lives, number)
+        return OrphanState(self.refs.unionByName(changed) if self.batch else changed, self.lives.unionByName(new_lives) if self.batch else new_lives, hot, number)
 
     def orphans(self) -> DataFrame:
-        """The references that are orphans now, one row each."""
-        return self.current().where("reason is not null").select("table_name", "record_id", "field_name", "target_id", "reason", "at")
+        """The references that are orphans now, one row each. References that never were any aren't shuffled."""
+        ever = self.refs.where("reason is not null or prior is not null").groupBy(*REF).agg(F.max_by("reason", "batch").alias("reason"))
+        return ever.where("reason is not null").select("table_name", "record_id", "field_name", "target_id", "reason", "at")
 
     def counts(self) -> DataFrame:
         """A snapshot: orphans per table, field, reason and month of the reference."""
@@ -157,7 +159,8 @@ class OrphanState:
         moves = F.array_compact(F.array(
             F.when(F.col("reason").isNotNull(), F.struct("reason", F.lit(1).alias("n"))), F.when(F.col("prior").isNotNull(), F.struct(F.col("prior").alias("reason"), F.lit(-1).alias("n"))),
         ))
-        steps = self.refs.select("table_name", "field_name", "batch", F.explode(moves).alias("m")).groupBy("table_name", "field_name", "m.reason", "batch").agg(F.sum("m.n").alias("n"))
+        once = self.refs.where("reason is not null or prior is not null").groupBy(*REF, "batch").agg(F.max("prior").alias("prior"), F.max("reason").alias("reason"))
+        steps = once.where("not (reason <=> prior)").select("table_name", "field_name", "batch", F.explode(moves).alias("m")).groupBy("table_name", "field_name", "m.reason", "batch").agg(F.sum("m.n").alias("n"))
         running = F.sum("n").over(W.partitionBy("table_name", "field_name", "reason").orderBy("batch"))
         return steps.select("table_name", "field_name", "reason", "batch", F.col("n").alias("change"), running.alias("n_orphans"))
 

@@ -64,13 +64,14 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counts.where(F.col("_n") > total.scalar() * F.lit(share) + 100).select(key)
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Left join on ``key`` that spreads the hot keys of ``left`` over salts.
 
     ``right`` must be unique on ``key``; only its rows for hot keys are repeated,
-    ``HOT_SALTS`` times each. The broadcast table has at most ``1 / HOT_SHARE`` rows.
+    ``HOT_SALTS`` times each. The broadcast table has at most ``1 / HOT_SHARE`` rows; the caller may give it
+    (as ``hot_keys`` gives it, of the rows that make ``left``) where counting ``left`` would compute it twice.
     """
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast((hot_keys(left, key) if hot is None else hot).withColumn("_hot", F.lit(True)))
     salts = F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))
     other = [c for c in left.columns if c != key]
     left = left.join(hot, key, "left").withColumn(
