@@ -36,6 +36,19 @@ def dirname(path: Column | str) -> Column:
     return F.when(head == "", ".").otherwise(head)
 
 
+def posix(path: Column | str) -> Column:
+    """A path with slashes only."""
+    return F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))
+
+
+def normal_path(path: Column | str) -> Column:
+    """A path with slashes, without empty and ``.`` segments; ``..`` takes the segment before it back (at the top, nothing)."""
+    plain = F.filter(F.split(posix(path), "/"), lambda x: ~x.isin("", "."))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    folded = F.aggregate(plain, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.array_join(folded, "/")
+
+
 def package_of(path: Column | str) -> Column:
     """``packages/x`` for paths below it, else ``.``."""
     found = F.regexp_extract(path, r"^(packages/[^/]+)/", 1)
@@ -71,30 +84,81 @@ def rule_key(rule: Column | str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("UNKNOWN"))
 
 
-def glob_regex(glob: str) -> str:
-    """A glob as an anchored regular expression: ``**`` crosses folders, ``*`` and ``?`` don't."""
+def _brace_choices(glob: str) -> list[str]:
+    """The globs that a glob with ``{a,b}`` stands for."""
+    depth, low, commas = 0, -1, []
+    for at, char in enumerate(glob):
+        if char == "{":
+            low, commas = (at, [at]) if depth == 0 else (low, commas)
+            depth += 1
+        elif char == "," and depth == 1:
+            commas.append(at)
+        elif char == "}" and depth:
+            depth -= 1
+            if depth == 0 and len(commas) > 1:
+                edges = [*commas, at]
+                middles = [glob[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
+                return [x for m in middles for x in _brace_choices(glob[:low] + m + glob[at + 1 :])]
+    return [glob]
+
+
+_SEGMENT_PART = re.compile(r"\*+|\?|\[[!^]?\]?[^\]/]*\]|[^*?\[]+|\[")
+
+
+def _segment_regex(segment: str) -> str:
+    """One segment of a glob. A wildcard at its begin doesn't stand for a dot; ``*`` alone stands for at least one character."""
+    if segment.strip("*") == "" and segment:
+        return r"(?!\.)[^/]+"
     out = []
-    at = 0
-    while at < len(glob):
-        if glob.startswith("**/", at):
-            out.append("(?:.*/)?")
-            at += 3
-        elif glob.startswith("**", at):
-            out.append(".*")
-            at += 2
+    for part in _SEGMENT_PART.findall(segment):
+        if part[0] == "*":
+            out.append("[^/]*")
+        elif part == "?":
+            out.append("[^/]")
+        elif part[0] == "[" and len(part) > 2:
+            body = part[1:-1]
+            negated = body[0] in "!^"
+            out.append(("[^/" if negated else "[") + re.sub(r"([\[\]\\&~^])", r"\\\1", body[negated:]) + "]")
         else:
-            char = glob[at]
-            out.append("[^/]*" if char == "*" else "[^/]" if char == "?" else re.escape(char))
-            at += 1
-    return "^" + "".join(out) + "$"
+            out.append(re.escape(part))
+    return (r"(?!\.)" if segment[:1] in ("*", "?", "[") else "") + "".join(out)
+
+
+def glob_regex(glob: str) -> str:
+    """A glob as an anchored regular expression.
+
+    ``**`` as a whole segment stands for any folders (at the end, for at least one segment), ``*`` and ``?`` stay in a segment,
+    ``[a-z]``, ``[!a]`` and ``{a,b}`` are choices; wildcards don't stand for names that begin with a dot.
+    """
+    choices = []
+    for choice in _brace_choices(glob):
+        segments = choice.split("/")
+        out = ""
+        for at, segment in enumerate(segments):
+            last = at == len(segments) - 1
+            if segment == "**":
+                out += r"(?!\.)[^/]+(?:/(?!\.)[^/]+)*" if last else r"(?:(?!\.)[^/]+/)*"
+            else:
+                out += _segment_regex(segment) + ("" if last else "/")
+        choices.append(out)
+    return "^(?:" + "|".join(choices) + ")$"
+
+
+def _owner_glob(glob: str) -> str:
+    """An ownership glob: ``**`` is anything, ``*`` and ``?`` stay in a segment, all else is plain."""
+    parts = re.split(r"(\*\*|\*|\?)", glob)
+    return "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts)
 
 
 def owner_regex(pattern: str) -> str:
-    """An ownership pattern: ``/x`` is anchored, ``x/`` a folder, a bare name matches at any depth."""
-    anchored = pattern.startswith("/") or "/" in pattern.rstrip("/")
-    body = pattern.strip("/") + ("/**" if pattern.endswith("/") else "")
-    regex = glob_regex(body)
-    return regex if anchored else "^(?:.*/)?" + regex[1:]
+    """An ownership pattern: ``/x`` is anchored at the top, ``x/`` is a folder by its plain name; others match at any depth."""
+    anchored, folder = pattern.startswith("/"), pattern.endswith("/")
+    body = pattern.removeprefix("/").removesuffix("/")
+    if not body:
+        return "(?!)"
+    if folder:
+        return f"^{re.escape(body)}(?:/|$)" if anchored else f"(?:^|/){re.escape(body)}/"
+    return ("^" if anchored and "/" in body else "(?:^|/)" if "/" in body else r"(?:^|/)(?=[^/]*$)") + _owner_glob(body) + "$"
 
 
 #: Extension -> language (fixed values).

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.scalars import dirname, normal_path
+
 #: Language -> kind -> pattern whose first group is the name. Patterns hold no lookaround, so other engines can run them too.
 PATTERNS = {
     "ts": {
@@ -40,20 +42,19 @@ def symbols(files: DataFrame, language: Column) -> DataFrame:
     return rows.select("id", "s.kind", "s.name")
 
 
+#: What a relative specifier may stand for, in order (fixed values).
+IMPORT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``id, specifier, target``: relative imports (``id, repo_root, path, specifier``) that name a file of the same repo.
+    """``id, specifier, target``: imports (``id, repo_root, path, specifier``) that name a file of the same repo.
 
-    ``.`` and ``..`` are resolved against the importing file; a specifier stands for nine candidates
-    (itself, five extensions, three index files), the first that exists wins.
+    A relative specifier is taken from the folder of the importing file and stands for the nine candidates
+    of ``IMPORT_ENDINGS``, the first that exists wins; any other stands for itself. Each candidate is a row of an equi-join.
     """
-    parts = F.concat(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), F.split("specifier", "/"))
-    # fold the segments: "." goes, ".." takes back one
-    folded = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
-    )
-    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js", "/index.tsx"]
-    rows = imports.where(F.col("specifier").startswith(".")).select("id", "repo_root", "specifier", F.array_join(folded, "/").alias("base"))
-    rows = rows.select("id", "repo_root", "specifier", F.posexplode(F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat("base", e))).alias("place", "target"))
+    relative = F.col("specifier").startswith(".")
+    base = normal_path(F.concat(dirname("path"), F.lit("/"), F.replace("specifier", F.lit("\\"), F.lit("/"))))
+    candidates = F.when(relative, F.transform(F.array(*map(F.lit, IMPORT_ENDINGS)), lambda e: F.concat(base, e))).otherwise(F.array("specifier"))
+    rows = imports.select("id", "repo_root", "specifier", F.posexplode(candidates).alias("place", "target"))
     hits = rows.join(files.select("repo_root", F.col("path").alias("target")).distinct(), ["repo_root", "target"])
     return hits.groupBy("id", "specifier").agg(F.min_by("target", "place").alias("target"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
 from evidra.operators import code_symbols, compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, sql_inventory, text_rules
+from evidra.session import saved
 from evidra.sources.tables import table
 from evidra.streaming import windows
 
@@ -281,7 +282,7 @@ def suppression_audit(spark, folder):
 
 
 _OWNERS = [("*.ts", "web"), ("src/", "core"), ("/src/api/", "api"), ("**/tests/**", "qa"), ("*.py", "data")]
-_OWNER_SQL = r"case when regexp_matches(path, '\.py$') then 'data' when regexp_matches(path, '(^|/)tests/') then 'qa' when regexp_matches(path, '^src/api/') then 'api' when regexp_matches(path, '(^|/)src/') then 'core' when regexp_matches(path, '\.ts$') then 'web' end"
+_OWNER_SQL = r"case when regexp_matches(path, '\.py$') then 'data' when regexp_matches(path, '/tests/') then 'qa' when regexp_matches(path, '^src/api/') then 'api' when regexp_matches(path, '(^|/)src/') then 'core' when regexp_matches(path, '\.ts$') then 'web' end"
 
 
 @query(_FILES + f"q as (select id, path, {_OWNER_SQL} as owner from fi) select * from q")
@@ -298,22 +299,150 @@ def module_owner_rollup(spark, folder):
 
 
 # -- comparison of runs
-def _run_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _run_pairs(spark: SparkSession, folder: str, *more: str) -> tuple[DataFrame, DataFrame]:
     """Findings of every run against those of the run before it of the same branch; ``pair`` is the later run."""
-    rows = _with_path(spark, folder, "rule_id", "fingerprint", "affected_symbols", "severity", "category", "confidence", "run_id")
+    rows = _with_path(spark, folder, "rule_id", "fingerprint", "affected_symbols", "severity", "category", "confidence", "run_id", *more)
     rows = rows.withColumn("symbols", F.coalesce("affected_symbols", F.array().cast("array<string>"))).withColumn("ord", F.col("id"))
     order = snapshot_diff.snapshot_order(table(spark, folder, "runs"), ["repo_root", "branch"], "run_id", "generated_at").select("run_id", "_seq", "_next")
     known = rows.join(order, "run_id")
     return known.where("_seq > 0").withColumn("pair", F.col("run_id")), known.where("_next is not null").withColumn("pair", F.col("_next"))
 
 
-@query()
+#: The greedy match as a recursion over the current findings of each run, which carries the ids that are taken.
+_GREEDY = _F.replace("with ", "with recursive ") + """o as (select run_id, lag(run_id) over w as before, lead(run_id) over w as after from (select distinct run_id, repo_root, branch, generated_at from runs) window w as (partition by repo_root, branch order by generated_at, run_id)),
+k as (select id, run_id, rule_id, fingerprint, coalesce(evidence[1].path, '') as path, coalesce(affected_symbols, []) as symbols, severity, category, confidence from f),
+cu as (select k.*, k.run_id as pair, row_number() over (partition by k.run_id order by k.id) as n from k join o using (run_id) where before is not null),
+pr as (select k.*, o.after as pair from k join o using (run_id) where after is not null),
+opt as (select c.pair, c.n, c.id as cid, p.id as pid, p.id as ord, 0 as stage, 0 as place from cu c join pr p on c.pair = p.pair and c.fingerprint = p.fingerprint and c.fingerprint <> ''
+ union all select c.pair, c.n, c.id, p.id, p.id, 1, 0 from cu c join pr p on c.pair = p.pair and c.rule_id = p.rule_id and c.path = p.path
+ union all select c.pair, c.n, c.id, p.id, p.id, 2, c.at from (select *, unnest(range(1, len(symbols) + 1)) as at from cu) c join pr p on c.pair = p.pair and c.rule_id = p.rule_id and list_contains(p.symbols, c.symbols[c.at])),
+cand as (select c.pair, c.n, c.id as cid, coalesce(l.pids, []) as pids, coalesce(l.stages, []) as stages from cu c left join (select pair, n, list(pid order by stage, place, ord) as pids, list(stage order by stage, place, ord) as stages from opt group by pair, n) l using (pair, n)),
+st as (select distinct pair, 0::bigint as n, []::varchar[] as used, null::varchar as cid, null::varchar as pid, null::int as stage from cu
+ union all select s.pair, c.n, case when x.at is null then s.used else list_append(s.used, c.pids[x.at]) end, c.cid, c.pids[x.at], c.stages[x.at] from st s join cand c on c.pair = s.pair and c.n = s.n + 1,
+  lateral (select list_filter(range(1, len(c.pids) + 1), lambda i: not list_contains(s.used, c.pids[i]))[1] as at) x),
+m as (select * from st where n > 0),
+cmp as (select m.pair, c.rule_id, m.cid as current_id, m.pid as previous_id, case when m.pid is null then 'new' when (c.severity, c.category, c.confidence) is not distinct from (p.severity, p.category, p.confidence) then 'unchanged' else 'modified' end as status,
+ case when m.pid is null then 'none' else (['fingerprint', 'path', 'symbol'])[m.stage + 1] end as matched_on, c.path, c.severity, c.category, p.severity as old_severity
+ from m join cu c on c.pair = m.pair and c.id = m.cid left join pr p on p.pair = m.pair and p.id = m.pid
+ union all select p.pair, p.rule_id, null, p.id, 'resolved', 'none', p.path, p.severity, p.category, p.severity from pr p where not exists (select 1 from m where m.pair = p.pair and m.pid = p.id)), """
+
+
+@query(_GREEDY + "q as (select pair, rule_id, current_id, previous_id, status, matched_on from cmp) select * from q")
 def compare_exact(spark, folder):
     """Greedy one-to-one matching of each run's findings with those of the run before."""
     current, previous = _run_pairs(spark, folder)
     return compare.compare_exact(current, previous)
 
 
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact matches of all runs with the values that reports need, written once."""
+    current, previous = _run_pairs(spark, folder)
+    return saved(compare.with_values(compare.compare_exact(current, previous), current, previous))
+
+
+_SEVERITIES = ["critical", "high", "medium", "low"]
+
+
+def _summary_sql(dimension: str, values: list[str]) -> str:
+    cells = ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("new", "resolved", "unchanged"))
+    listed = ", ".join(f"'{v}'" for v in values)
+    zero = ", ".join(f'coalesce({s}, 0) as "{s}"' for s in ("new", "resolved", "unchanged"))
+    return _GREEDY + f"g as (select pair, unnest([{listed}]) as {dimension} from (select distinct pair from cmp)), x as (select pair, {dimension}, {cells} from cmp group by all) select pair, {dimension}, {zero} from g left join x using (pair, {dimension})"
+
+
+@query(_summary_sql("severity", _SEVERITIES))
+def comparison_by_severity(spark, folder):
+    """New, resolved and unchanged findings of each run by severity, dense."""
+    return compare.summary(_compared(spark, folder), "severity", _SEVERITIES)
+
+
+_CATEGORIES = ["auth", "payment", "validation", "data", "config", "maintainability", "testing", "compatibility", "release-risk", "security"]
+
+
+@query(_summary_sql("category", _CATEGORIES))
+def comparison_by_category(spark, folder):
+    """The same by category."""
+    return compare.summary(_compared(spark, folder), "category", _CATEGORIES)
+
+
+@query(_GREEDY + """t as (select pair, count(*) filter (previous_id is not null) as nb, count(*) filter (status = 'resolved') - count(*) filter (status = 'new') as d,
+ count(*) filter (status = 'resolved' and severity = 'critical') - count(*) filter (status = 'new' and severity = 'critical') as dc, count(*) filter (status = 'resolved' and severity = 'high') - count(*) filter (status = 'new' and severity = 'high') as dh,
+ sum((case severity when 'critical' then 10 when 'high' then 5 when 'medium' then 2 when 'low' then 1 else 0 end) * (case status when 'new' then 1 when 'resolved' then -1 else 0 end)) as risk from cmp group by pair),
+ u as (select *, case when nb > 0 then (d + dc * 0.3::double + dh * 0.2::double) / nb else 0.0 end as s from t)
+ select pair, round(s, 6) as score, case when s > 0.1 then 'improving' when s < -0.1 then 'degrading' else 'stable' end as direction, case when dc > 0 then 'decreasing' when dc < 0 then 'increasing' else 'stable' end as critical_trend,
+ case when dh > 0 then 'decreasing' when dh < 0 then 'increasing' else 'stable' end as high_trend, cast(risk as bigint) as risk_change from u""")
+def risk_trends(spark, folder):
+    """Trend score, directions and change of the risk score of each run."""
+    return compare.trends(_compared(spark, folder))
+
+
+_SQL_RANK = "case lower(trim({0})) when 'info' then 0 when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 end"
+_REGRESSED = _GREEDY + f"""reg as (select c.*, 'reintroduced' as reason from cmp c where status = 'new' and {_SQL_RANK.format('severity')} >= 2 and exists (select 1 from cmp r where r.pair = c.pair and r.rule_id = c.rule_id and r.path = c.path and r.status = 'resolved')
+ union all select c.*, 'listed_rule' from cmp c where status = 'new' and rule_id = 'RAW_SQL' union all select c.*, 'escalated' from cmp c where status in ('unchanged', 'modified') and {_SQL_RANK.format('severity')} > {_SQL_RANK.format('old_severity')}), """
+
+
+@query(_REGRESSED + "q as (select pair, rule_id, current_id, status, reason from reg) select * from q")
+def regressions(spark, folder):
+    """Findings that came back, rose, or are of a listed rule."""
+    return compare.regressions(_compared(spark, folder), rules=("RAW_SQL",)).select("pair", "rule_id", "current_id", "status", "reason")
+
+
+@query(_REGRESSED + """q as (select pair, rule_id, current_id from cmp c where status = 'new' and exists (select 1 from cmp r where r.pair = c.pair and r.rule_id = c.rule_id and r.status = 'resolved')
+ and not exists (select 1 from reg where reg.pair = c.pair and reg.current_id = c.current_id)) select * from q""")
+def potential_regressions(spark, folder):
+    """New findings of rules that also have resolved ones."""
+    matches = _compared(spark, folder)
+    return compare.potential_regressions(matches, compare.regressions(matches, rules=("RAW_SQL",))).select("pair", "rule_id", "current_id")
+
+
+@query(_REGRESSED + f"""q as (select rule_id, count(*) as n, coalesce(array_to_string(list_sort(list(distinct path)), ','), '') as paths, coalesce(array_to_string(list_sort(list(distinct severity)), ','), '') as severities,
+ cast(sum(case severity when 'critical' then 20 when 'high' then 10 when 'medium' then 5 when 'low' then 2 else 0 end) as bigint) as risk_score, bool_or(coalesce({_SQL_RANK.format('severity')} >= 3, false)) as blocks from reg group by rule_id) select * from q""")
+def regression_by_rule(spark, folder):
+    """Regressions per rule with their paths, severities, risk score and whether one blocks."""
+    return compare.regression_summary(compare.regressions(_compared(spark, folder), rules=("RAW_SQL",)), ["rule_id"])
+
+
+@query(_REGRESSED + """t as (select pair, greatest(count(*) filter (status = 'new' and severity in ('critical', 'high')) - count(*) filter (status = 'resolved' and severity in ('critical', 'high')), 0) as net_severe,
+ count(*) filter (severity = 'high' and status in ('new', 'unchanged')) as a, count(*) filter (severity = 'high' and status in ('resolved', 'unchanged')) as b from cmp group by pair),
+ bl as (select pair, count(*) filter (severity in ('critical', 'high')) as blockers from reg group by pair),
+ u as (select t.pair, coalesce(blockers, 0) as blockers, net_severe, case when b > 0 then (a - b) / b::double when a > 0 then 1.0 else 0.0 end as r from t left join bl using (pair))
+ select pair, blockers, net_severe, round(r, 4) as high_rate, case when blockers > 0 then 'breached' when net_severe > 0 or r > 0.25 then 'at_risk' else 'met' end as status from u""")
+def quality_slo(spark, folder):
+    """Indicators of quality of each run with their status."""
+    matches = _compared(spark, folder)
+    return compare.slo(matches, compare.regressions(matches, rules=("RAW_SQL",)))
+
+
+@query(_F + """c as (select r.run_id, r.repo_root, r.branch, r.generated_at, count(f.id) filter (f.severity = 'critical') as critical, count(f.id) filter (f.severity = 'high') as high, count(f.id) as total from (select distinct run_id, repo_root, branch, generated_at from runs) r left join f using (run_id) group by all),
+ s as (select *, case when critical > 1 then 'failed' when critical > 0 then 'blocked_input' when high > 0 then 'needs_review' when total > 0 then 'passed_with_risk' else 'passed' end as status from c),
+ w as (select *, lag(run_id) over x as previous_run, lag(critical) over x as critical_before, lag(high) over x as high_before, lag(status) over x as sb from s window x as (partition by repo_root, branch order by generated_at, run_id)),
+ v as (select *, list_position(['passed', 'passed_with_risk', 'needs_review', 'blocked_input', 'failed'], status) as a, list_position(['passed', 'passed_with_risk', 'needs_review', 'blocked_input', 'failed'], sb) as b from w where previous_run is not null)
+ select run_id, previous_run, critical, critical_before, critical - critical_before as critical_change, high, high_before, high - high_before as high_change, status, a < b as improved, a > b as degraded from v""")
+def readiness_deltas(spark, folder):
+    """Counts and status of each run beside those of the run before."""
+    runs = table(spark, folder, "runs").select("run_id", "repo_root", "branch", "generated_at").distinct()
+    counts = _findings(spark, folder, "run_id", "severity").groupBy("run_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.count("*").alias("total"))
+    status = F.when(F.col("critical") > 1, "failed").when(F.col("critical") > 0, "blocked_input").when(F.col("high") > 0, "needs_review").when(F.col("total") > 0, "passed_with_risk").otherwise("passed")
+    metrics = runs.select("run_id").join(counts, "run_id", "left").na.fill(0, ["critical", "high", "total"]).withColumn("status", status).drop("total")
+    order = snapshot_diff.snapshot_order(runs, ["repo_root", "branch"], "run_id", "generated_at").select(F.col("_next").alias("run_id"), F.col("run_id").alias("previous_run")).where("run_id is not null")
+    return compare.metric_deltas(order, metrics, ["critical", "high"], "status")
+
+
+@query(_F + r"""o as (select run_id, lag(run_id) over w as before from (select distinct run_id, repo_root, branch, generated_at from runs) window w as (partition by repo_root, branch order by generated_at, run_id)),
+ x as (select run_id, rule_id, severity, confidence, id, coalesce(affected_symbols, []) as sources, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) as key, case when confidence >= 0.7 then 'high' else 'low' end as likelihood from f),
+ ps as (select o.run_id as pair, s as source, max_by(x, x.id) as r from o join x on x.run_id = o.before, unnest(x.sources) as u(s) where o.before is not null and s is not null group by 1, 2),
+ pt as (select o.run_id as pair, key, max_by(x, x.id) as r from o join x on x.run_id = o.before where o.before is not null group by 1, 2),
+ cs as (select x.run_id as pair, x.id, min_by(ps.r, u.at) as r from (select *, unnest(range(1, len(sources) + 1)) as at from x) u join x on x.id = u.id join ps on ps.pair = x.run_id and ps.source = u.sources[u.at] group by 1, 2),
+ m as (select x.run_id as pair, x.id as current_id, coalesce(cs.r, pt.r).id as previous_id, case when coalesce(cs.r, pt.r) is null then 'new' when (x.severity, x.likelihood) is not distinct from (coalesce(cs.r, pt.r).severity, coalesce(cs.r, pt.r).likelihood) then 'unchanged' else 'evolved' end as status,
+  case when cs.r is not null then 'source' when pt.r is not null then 'title' else 'none' end as matched_on from x join o on o.run_id = x.run_id and o.before is not null left join cs on cs.pair = x.run_id and cs.id = x.id left join pt on pt.pair = x.run_id and pt.key = x.key)
+ select * from m union all select o.run_id, null, x.id, 'resolved', 'none' from o join x on x.run_id = o.before where not exists (select 1 from m where m.pair = o.run_id and m.previous_id = x.id)""")
+def risk_comparison(spark, folder):
+    """Risks (findings, with their symbols as sources) of each run against those of the run before."""
+    risk = lambda d: d.select("pair", "id", F.coalesce("title", F.lit("")).alias("title"), "severity", F.when(F.col("confidence") >= 0.7, "high").otherwise("low").alias("likelihood"), F.col("symbols").alias("sources"), "ord")
+    current, previous = _run_pairs(spark, folder, "title")
+    return compare.compare_risks(risk(current), risk(previous))
+
+
 _SIDES = """o as (select run_id, lag(run_id) over w as before, lead(run_id) over w as after from (select distinct run_id, repo_root, branch, generated_at from runs) window w as (partition by repo_root, branch order by generated_at, run_id)),
 k as (select id, run_id, rule_id, fingerprint, coalesce(evidence[1].path, '') as path, severity, category, confidence, id as ord from f),
 s as (select k.*, k.run_id as pair, true as cur from k join o using (run_id) where before is not null union all select k.*, o.after, false from k join o using (run_id) where after is not null),
@@ -694,12 +823,18 @@ def symbol_extraction(spark, folder):
     return code_symbols.symbols(table(spark, folder, "files"), F.col("language")).dropDuplicates()
 
 
-@query()
+@query(_FILES + r"""a as (select id, repo_root, path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, regexp_extract(path, '([^/]*)$', 1) as base, regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '([^/]*)$', 1) as folder from fi where path like '%/%'),
+ s as (select id, repo_root, dir, './' || base as specifier, path as target from a union all select id, repo_root, dir, './' || regexp_replace(base, '\.[^.]*$', ''), null from a union all select id, repo_root, dir, '../' || folder || '/./' || base, path from a where folder <> ''),
+ e as (select id, repo_root, specifier, case when starts_with(specifier, '../') then dir || '/' || regexp_extract(specifier, '([^/]*)$', 1) else dir || substr(specifier, 2) end as b from s),
+ c as (select e.id, e.specifier, e.b || x.ending as target, x.place, e.repo_root from e, (values ('', 0), ('.ts', 1), ('.tsx', 2), ('.js', 3), ('.jsx', 4), ('/index.ts', 5), ('/index.tsx', 6), ('/index.js', 7), ('/index.jsx', 8)) x(ending, place))
+ select c.id, c.specifier, min_by(c.target, c.place) as target from c join (select distinct repo_root, path from fi) t on t.repo_root = c.repo_root and t.path = c.target group by all""")
 def import_resolution(spark, folder):
-    """Relative imports that name a file of the same repo."""
-    files = _files(spark, folder, "repo_root", "path", "content").where(F.col("path").rlike(r"\.(ts|js|mjs)$"))
-    found = files.select("id", "repo_root", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))).alias("specifier"))
-    return code_symbols.resolve_imports(found, _files(spark, folder, "repo_root", "path"))
+    """What relative imports resolve to: of each file, one with and one without its extension, and one through the folder above."""
+    files = _files(spark, folder, "repo_root", "path", where="path like '%/%'")
+    base, above = S.basename("path"), S.basename(S.dirname("path"))
+    own = F.array(F.concat(F.lit("./"), base), F.concat(F.lit("./"), F.regexp_replace(base, r"\.[^.]*$", "")), F.when(above != "", F.concat(F.lit("../"), above, F.lit("/./"), base)))
+    found = files.select("id", "repo_root", "path", F.explode(F.array_compact(own)).alias("specifier"))
+    return code_symbols.resolve_imports(found, table(spark, folder, "files"))
 
 
 @query(_FILES + """s as (select distinct lower(trim(file_id)) as fid, name, kind from symbols where deleted_at is null), x as (select lower(trim(fi.id)) as fid, count(*) as n_symbols, count(*) filter (s.kind = 'function') as n_functions from fi join s on s.fid = lower(trim(fi.id)) group by 1)

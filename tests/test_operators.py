@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars
-from evidra.operators import compare, graph, matching, query_dsl, sql_inventory, text_rules
+from evidra.operators import code_symbols, compare, graph, matching, query_dsl, sql_inventory, text_rules
 from evidra.sources import reports
 from evidra.streaming import windows
 
@@ -99,17 +99,64 @@ def test_sql_operations(spark):
 def test_reports(spark):
     one = lambda x: spark.createDataFrame([(json.dumps(x),), ("{",), (None,)], "report string")
     lint = reports.lint(one([{"filePath": "a.ts", "messages": [{"ruleId": "r", "severity": 2, "message": "m", "line": 3}, {"ruleId": None, "severity": 1, "line": 1}]}]))
-    assert sorted((r.rule_id, r.severity, r.end_line) for r in lint.collect()) == [("r", "high", 3), ("unknown", "medium", 1)]
-    sast = reports.sast(one({"results": [{"check_id": "x.y", "path": "../b.py", "start": {"line": 2}, "end": {"line": 4}, "extra": {"message": "m", "severity": "WARNING"}}]}))
-    assert [(r.severity, r.start_line, r.end_line) for r in sast.collect()] == [("high", 2, 4)]
-    place = lambda uri, line: [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line}}}]
-    sarif = reports.sarif(one({"runs": [{"tool": {"driver": {"rules": [{"id": "R0"}]}}, "results": [
-        {"ruleIndex": 0, "level": "error", "message": {"text": "t"}, "locations": place("c.go", 5)}, {"ruleId": "z", "locations": place("c.go", 0)}, {"ruleId": "z"}]}]}))
-    assert [(r.rule_id, r.severity, r.path) for r in sarif.collect()] == [("R0", "high", "c.go")]
+    assert sorted((r.rule_id, r.severity, r.evidence[0].end_line) for r in lint.collect()) == [("ESLINT_R", "high", 3), ("ESLINT_UNKNOWN", "medium", 1)]
+    sast = reports.sast(one({"results": [{"check_id": "x.sql-y", "path": "../b.py", "start": {"line": 2}, "end": {"line": 4}, "extra": {"message": "m", "severity": "WARNING", "metadata": {"owasp": "A1"}}}]}))
+    assert [(r.severity, r.rule_id, r.category, r.tags, r.evidence[0].start_line) for r in sast.collect()] == [("high", "SEMGREP_X.SQL_Y", "data", ["owasp-A1"], 2)]
+    place = lambda uri, line: [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line, "endLine": 1}}}]
+    sarif = reports.sarif(one({"runs": [{"tool": {"driver": {"rules": [{"id": "R0", "name": "n", "properties": {"security-severity": "9.1", "tags": ["CWE-1", ""]}}]}}, "results": [
+        {"ruleIndex": 0, "level": "note", "locations": place("c.go", 5)}, {"ruleId": "z", "locations": place("c.go", 0)}, {"ruleId": "z"}]}]}))
+    (r,) = sarif.collect()
+    assert (r.rule_id, r.severity, r.category, r.title, r.summary, r.tags, r.evidence[0].end_line) == ("SARIF_R0", "critical", "security", "n", "sarif result R0", ["CWE-1"], 5)
     both = reports.merged([lint, sast, sarif, sarif])
-    assert {r.path for r in both.collect()} == {"a.ts", "c.go"} and both.count() == 3
-    cov = reports.coverage(one({"total": {"lines": {"total": 1, "covered": 0}}, "a": {"lines": {"total": 10, "covered": 4}, "branches": {"total": 0, "covered": 0}}, "b": {"lines": {"total": 2, "covered": 1}, "branches": {"total": 4, "covered": 1}}}))
-    assert sorted((r.path, r.rule_id, r.rate) for r in cov.collect()) == [("a", "LOW_LINE_COVERAGE", 0.4), ("b", "LOW_BRANCH_COVERAGE", 0.25)]
+    assert {r.evidence[0].path for r in both.collect()} == {"a.ts", "c.go"} and both.count() == 3
+    _, bad = reports.normalise(lint.unionByName(sarif).unionByName(sarif).unionByName(sast), ["title"], most=1)
+    assert sorted(r.diagnostic for r in bad.collect()) == ["duplicate_id", "over_limit", "over_limit", "path_outside"]
+    parts = lambda a, b, c, d: {"lines": {"total": a, "covered": b}, "functions": {"total": c, "covered": d}}
+    plain = {"total": parts(1, 0, 1, 0), "a": parts(10, 4, 0, 0), "b": parts(2, 1, 4, 1), "c": parts(10, 2, 10, 4)}
+    wanted = [("a", "COVERAGE_LOW_LINE_COVERAGE", "medium"), ("b", "COVERAGE_LOW_FUNCTION_COVERAGE", "medium"), ("c", "COVERAGE_LOW_FUNCTION_COVERAGE", "low"), ("c", "COVERAGE_LOW_LINE_COVERAGE", "high")]
+    for shape in (plain, {"coverageMap": {k: v for k, v in plain.items() if k != "total"}}):
+        assert sorted((r.evidence[0].path, r.rule_id, r.severity) for r in reports.coverage(one(shape)).collect()) == wanted
+    chain = {"code": 7, "category": 1, "messageText": {"messageText": "a\n", "next": [{"messageText": "b"}]}, "file": "x.ts"}
+    for shape in ([chain, {"code": 8}], {"diagnostics": [chain]}):
+        (r,) = reports.compiler(one(shape)).collect()
+        assert (r.rule_id, r.severity, r.summary, r.evidence[0].start_line) == ("TSC_TS7", "high", "a\n b", 1)
+    audit = {"vulnerabilities": {"p": {"via": ["q", {"title": "t", "severity": "moderate", "url": "u", "cwe": ["C2", "C1"]}]}, "q": {"severity": "high", "isDirect": True, "range": "<1"}}}
+    rows = sorted((r.rule_id, r.severity, r.summary, r.tags, r.evidence[0].external_ref.url) for r in reports.audit(one(audit)).collect())
+    assert rows == [("NPM_AUDIT_P", "medium", "t", ["C1", "C2", "transitive-dependency"], "u"), ("NPM_AUDIT_Q", "high", "npm audit reported high severity for q (<1)", ["direct-dependency"], None)]
+    rows = reports.tests(one([{"status": "error", "line": 0}, {"status": "passed"}, {"status": "failed", "path": "p", "line": 3, "error": "e", "name": "n"}])).collect()
+    assert sorted((r.evidence[0].path, r.evidence[0].start_line, r.title, r.summary) for r in rows) == [("p", 3, "n", "e"), ("unknown", 1, "Failed test", "Test failed")]
+    for importer in reports.IMPORTERS.values():
+        assert importer(one([]).limit(0)).count() == 0
+
+
+def test_globs():
+    import re
+
+    def hits(glob, *paths):
+        return [p for p in paths if re.search(scalars.glob_regex(glob), p)]
+
+    assert hits("src/**", "src", "src/a", "src/a/b.ts", "src/.x", "x/src/a") == ["src/a", "src/a/b.ts"]
+    assert hits("**/*.ts", "a.ts", "a/b.ts", ".a.ts", ".d/a.ts", "a/.b.ts") == ["a.ts", "a/b.ts"]
+    assert hits("a/*/c.{js,ts}", "a/b/c.js", "a/b/c.ts", "a/b/b/c.ts", "a/.b/c.ts") == ["a/b/c.js", "a/b/c.ts"]
+    assert hits("[a-c]?.x[!1]", "bb.x2", "bb.x1", "db.x2") == ["bb.x2"] and hits("a/**/b", "a/b", "a/x/y/b") == ["a/b", "a/x/y/b"]
+    assert hits("a.b+(c)", "a.b+(c)", "axb+(c)") == ["a.b+(c)"] and hits("{a,{b,c}}", "a", "b", "c", "d") == ["a", "b", "c"]
+
+
+def test_owner_patterns_and_paths():
+    import re
+
+    hit = lambda p, path: re.search(scalars.owner_regex(p), path) is not None
+    assert hit("docs/*.md", "a/docs/x.md") and hit("docs/api/", "pkg/docs/api/x.md") and not hit("**/tests/**", "tests/x.ts") and hit("**/tests/**", "a/tests/x.ts")
+    assert hit("*.js", "a/b.js") and not hit("*.js", "a.js/b") and hit("/docs/", "docs") and hit("/docs/", "docs/x") and not hit("/docs/", "a/docs/x") and not hit("/", "a")
+    assert hit("/src/*.ts", "src/a.ts") and not hit("/src/*.ts", "x/src/a.ts") and not hit("docs/", "docs")
+
+
+def test_import_resolution(spark):
+    files = spark.createDataFrame([("r", p) for p in ("src/a.ts", "src/lib/index.tsx", "src/lib/index.js", "b.js", "pkg", "src/a.js")] + [("q", "src/c.ts")], "repo_root string, path string")
+    asked = [("r", "src/x.ts", "./a", "src/a.ts"), ("r", "src/x.ts", "./lib", "src/lib/index.tsx"), ("r", "src/lib/y.ts", "../../b.js", "b.js"), ("r", "z.ts", "pkg", "pkg"), ("r", "src/x.ts", "./c", None), ("r", "src/x.ts", "..\\b", "b.js")]
+    rows = [(str(i), *x[:3]) for i, x in enumerate(asked)]
+    got = {r.id: r.target for r in code_symbols.resolve_imports(spark.createDataFrame(rows, "id string, repo_root string, path string, specifier string"), files).collect()}
+    assert got == {str(i): x[3] for i, x in enumerate(asked) if x[3]}
 
 
 def test_scalars(spark):
