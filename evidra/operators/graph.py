@@ -23,7 +23,7 @@ def reach(graph: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     frontier ends the search.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = graph.select(F.col(a).alias("node"), F.col(b).alias("to")).where("node != to")
+    step = saved(graph.select(F.col(a).alias("node"), F.col(b).alias("to")).where("node != to"))  # read again in every round
     seen = saved(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for i in range(1, depth + 1):
@@ -38,7 +38,7 @@ def reach(graph: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
 
 def chains(graph: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``seed, node, depth``: what each seed reaches, at its least depth, up to ``depth`` hops."""
-    step = graph.select(F.col("src").alias("node"), F.col("dst").alias("to")).where("node != to")
+    step = saved(graph.select(F.col("src").alias("node"), F.col("dst").alias("to")).where("node != to"))
     seen = saved(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for i in range(1, depth + 1):
@@ -50,11 +50,131 @@ def chains(graph: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def short_cycles(graph: DataFrame) -> DataFrame:
-    """Cycles of two or three nodes, each once, from its least node on: ``a, b, c`` (c is null for two)."""
-    e = graph.where("src != dst").select("src", "dst")
-    two = e.alias("x").join(e.alias("y"), F.expr("x.dst = y.src and x.src = y.dst")).where("x.src < x.dst").select(F.col("x.src").alias("a"), F.col("x.dst").alias("b"))
-    low = e.where("src < dst")
-    path = low.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("a < c and b != c")
-    three = path.join(e.select(F.col("src").alias("c"), F.col("dst").alias("a")), ["c", "a"], "left_semi")
-    return two.withColumn("c", F.lit(None).cast("string")).unionByName(three.select("a", "b", "c"))
+def neighbours(graph: DataFrame, nodes: DataFrame, reverse: bool = False) -> DataFrame:
+    """``node, to``: what each node points to, or with ``reverse`` what points to it."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return nodes.select("node").distinct().join(graph.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").distinct()
+
+
+def call_paths(graph: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFrame:
+    """``seed, node, depth, path``: the shortest way from each seed to all it reaches, as an array of nodes from the seed on.
+
+    Of several shortest ways the least by its nodes is taken. Edges are written once; each round joins the
+    frontier with them and keeps what is new.
+    """
+    step = saved(graph.where("src != dst").select(F.col("src").alias("node"), F.col("dst").alias("to")))
+    seen = saved(seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).alias("depth"), F.array("node").alias("path")))
+    frontier = seen
+    for i in range(1, hops + 1):
+        found = frontier.join(step, "node").select("seed", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
+        found = found.groupBy("seed", "node").agg(F.min("path").alias("path"))
+        frontier = saved(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(i).alias("depth"), "path"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0")
+
+
+def flows(graph: DataFrame, sources: DataFrame, sinks: DataFrame, hops: int = 10) -> DataFrame:
+    """``seed, node, depth, path``: shortest ways from each source to each sink that it reaches; a source that is a sink needs a way of its own."""
+    return call_paths(graph, sources, hops).join(sinks.select("node").distinct(), "node", "left_semi")
+
+
+def reaches(graph: DataFrame, seeds: DataFrame, targets: DataFrame, hops: int = 10) -> DataFrame:
+    """``node, reaches``: whether each seed is a target or reaches one within ``hops``; searched backwards from the targets, so hubs are met once."""
+    found = reach(graph, targets, hops, reverse=True).select("node", F.lit(True).alias("_r"))
+    return seeds.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("_r", F.lit(False)).alias("reaches"))
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or out are taken away again and again: all cycles lie in them."""
+    edges = saved(edges)
+    size = edges.count()
+    while size:
+        less = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = saved(less)
+        now = edges.count()
+        if now == size:
+            break
+        size = now
+    return edges
+
+
+def _spread(edges: DataFrame, labels: DataFrame, a: str, b: str) -> DataFrame:
+    """The greatest label that reaches each node along the edges (from ``a`` to ``b``), in rounds until nothing changes."""
+    while True:
+        came = edges.join(labels.select(F.col("node").alias(a), F.col("label").alias("_l")), a).groupBy(F.col(b).alias("node")).agg(F.max("_l").alias("_l"))
+        joined = labels.join(came, "node", "left")
+        labels = saved(joined.select("node", F.greatest("label", "_l").alias("label"), (F.col("_l") > F.col("label")).alias("moved")))
+        if labels.where("moved").isEmpty():
+            return labels.select("node", "label")
+
+
+def cycle_groups(graph: DataFrame) -> DataFrame:
+    """``node, grp, size``: nodes that lie on a cycle of two or more, of any length, and the strongly connected group of each, named by its greatest node.
+
+    Edges outside all cycles are taken away first. Then each round gives every node the greatest node that reaches it and the
+    greatest that it reaches; nodes for which both are one are a finished group, and edges between nodes
+    that differ can't lie on a cycle. All rounds are joins cut by checkpoints.
+    """
+    edges = _core(graph.where("src != dst").select("src", "dst").distinct())
+    out = None
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+        start = saved(nodes.select("node", F.col("node").alias("label")))
+        down, up = _spread(edges, start, "src", "dst"), _spread(edges, start, "dst", "src")
+        both = saved(down.join(up.withColumnRenamed("label", "other"), "node"))
+        done = both.where("label = other").select("node", F.col("label").alias("grp"))
+        out = done if out is None else out.unionByName(done)
+        key = F.struct("label", "other")
+        rest = both.where("label != other").select("node", key.alias("k"))
+        inner = edges.join(rest.select(F.col("node").alias("src"), F.col("k").alias("_a")), "src").join(rest.select(F.col("node").alias("dst"), F.col("k").alias("_b")), "dst")
+        edges = _core(inner.where("_a = _b").select("src", "dst"))
+    if out is None:
+        return graph.select(F.col("src").alias("node"), F.col("src").alias("grp"), F.lit(0).cast("bigint").alias("size")).limit(0)
+    return out.join(out.groupBy("grp").agg(F.count("*").alias("size")), "grp").where("size > 1").select("node", "grp", "size")
+
+
+def cycles(graph: DataFrame, longest: int) -> DataFrame:
+    """``path, length``: every elementary cycle of at most ``longest`` nodes, once, from its least node on.
+
+    Ways grow only inside strongly connected groups and over nodes greater than their first. The number of longer
+    cycles of a group has no useful bound: ``cycle_groups`` tells what lies on cycles of any length.
+    """
+    groups = saved(cycle_groups(graph))
+    inside = graph.where("src != dst").select("src", "dst").distinct().join(groups.select(F.col("node").alias("src"), F.col("grp").alias("_a")), "src").join(
+        groups.select(F.col("node").alias("dst"), F.col("grp").alias("_b")), "dst"
+    ).where("_a = _b").select("src", "dst")
+    step = saved(inside)
+    ways = saved(step.where("src < dst").select(F.col("src").alias("first"), F.array("src", "dst").alias("path"), F.col("dst").alias("node")))
+    found = None
+    for length in range(2, longest + 1):
+        closed = ways.join(step.select(F.col("src").alias("node"), F.col("dst").alias("first")), ["node", "first"], "left_semi").select("path", F.lit(length).alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        if length == longest or ways.isEmpty():
+            break
+        grown = ways.join(step.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node").where((F.col("to") > F.col("first")) & ~F.array_contains("path", F.col("to")))
+        ways = saved(grown.select("first", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("node")))
+    return found
+
+
+def dataflow(relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``src, dst, kind, confidence``: data flows against calls and along references, between symbols that are known.
+
+    A call gives a flow from the callee to the caller (0.7), a reference one from its target (0.6), an access one to it (0.8).
+    """
+    norm = lambda c: F.lower(F.trim(c))
+    ends = relations.where(F.col("kind").isin("calls", "references", "accesses")).select(norm("from_id").alias("a"), norm("to_id").alias("b"), "kind").distinct()
+    known = symbols.select(norm("id").alias("node")).where("node != ''").distinct()
+    ends = ends.join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    forward = F.col("kind") == "accesses"
+    confidence = F.when(F.col("kind") == "calls", 0.7).when(forward, 0.8).otherwise(0.6)
+    return ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), "kind", confidence.alias("confidence"))
+
+
+def cross_file_flows(flows_: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Flows whose ends lie in different files, with the files: ``src, dst, from_file, to_file``."""
+    norm = lambda c: F.lower(F.trim(c))
+    place = symbols.select(norm("id").alias("node"), norm("file_id").alias("file")).where("node != '' and file != ''").groupBy("node").agg(F.min("file").alias("file"))
+    rows = flows_.select("src", "dst").distinct().join(place.select(F.col("node").alias("src"), F.col("file").alias("from_file")), "src")
+    return rows.join(place.select(F.col("node").alias("dst"), F.col("file").alias("to_file")), "dst").where("from_file != to_file").select("src", "dst", "from_file", "to_file")

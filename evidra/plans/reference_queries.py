@@ -580,17 +580,90 @@ def blast_radius_depth3(spark, folder):
     return graph.reach(graph.edges(table(spark, folder, "relations")), seeds, 3, reverse=True)
 
 
-@query(_EDGES + "r(seed, node, depth) as (select distinct lower(trim(id)), lower(trim(id)), 0 from symbols where kind = 'route' union select seed, e.dst, depth + 1 from r join e on e.src = r.node where depth < 3) select seed, node, min(depth) as depth from r where node <> seed group by seed, node")
+@query(_EDGES + "r(seed, node, depth) as (select distinct lower(trim(id)), lower(trim(id)), 0 from symbols where kind = 'route' union select seed, e.dst, depth + 1 from r join e on e.src = r.node where depth < 5) select seed, node, min(depth) as depth from r where node <> seed group by seed, node")
 def call_chains(spark, folder):
-    """What each route reaches within three hops, by the shortest way."""
+    """What each route reaches within five hops."""
     seeds = table(spark, folder, "symbols").where("kind = 'route'").select(F.lower(F.trim("id")).alias("node"))
-    return graph.chains(graph.edges(table(spark, folder, "relations")), seeds, 3)
+    return graph.chains(graph.edges(table(spark, folder, "relations")), seeds, 5)
 
 
-@query(_EDGES.replace("recursive ", "") + "g as (select * from e where src <> dst) select x.src as a, x.dst as b, null as c from g x join g y on x.dst = y.src and x.src = y.dst where x.src < x.dst union all select x.src, x.dst, y.dst from g x join g y on x.dst = y.src join g z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst and y.dst <> x.dst")
+_IMPORTS = _EDGES.replace("from relations where", "from relations where kind in ('imports', 'depends_on') and")
+#: Cycles are listed up to this length; what lies on longer ones is in ``cycle_groups``.
+CYCLE_LENGTH = 5
+
+
+@query(_IMPORTS + f"""w(first, path, node, n) as (select src, [src, dst], dst, 2 from e where src < dst union all select w.first, list_append(w.path, e.dst), e.dst, n + 1 from w join e on e.src = w.node where n < {CYCLE_LENGTH} and e.dst > w.first and not list_contains(w.path, e.dst))
+ select array_to_string(path, '>') as cycle, n as length from w join e on e.src = w.node and e.dst = w.first""")
 def cycles(spark, folder):
-    """Cycles of two or three nodes."""
-    return graph.short_cycles(graph.edges(table(spark, folder, "relations")))
+    """Elementary cycles of imports, each once from its least node on, up to ``CYCLE_LENGTH`` nodes."""
+    found = graph.cycles(graph.edges(table(spark, folder, "relations"), ["imports", "depends_on"]), CYCLE_LENGTH)
+    return found.select(F.array_join("path", ">").alias("cycle"), "length")
+
+
+@query(_EDGES + """r(a, b) as (select src, dst from e where src <> dst union select r.a, e.dst from r join e on e.src = r.b where e.src <> e.dst),
+ s as (select x.a as node, x.b as other from r x join r y on x.a = y.b and x.b = y.a), g as (select node, max(greatest(node, other)) as grp from s group by node) select node, grp, count(*) over (partition by grp) as size from g where node in (select node from s where node <> other)""")
+def cycle_groups(spark, folder):
+    """What lies on a cycle of any length over all kinds of relations, by strongly connected group."""
+    return graph.cycle_groups(graph.edges(table(spark, folder, "relations")))
+
+
+_CHAIN = "r(seed, node, depth, path) as (select distinct lower(trim(id)), lower(trim(id)), 0, [lower(trim(id))] from symbols where kind = 'route' union all select seed, e.dst, depth + 1, list_append(path, e.dst) from r join e on e.src = r.node where depth < 5 and e.src <> e.dst and not list_contains(path, e.dst))"
+
+
+@query(_EDGES.replace("from relations where", "from relations where kind = 'calls' and") + _CHAIN + ", q as (select seed, node, min((depth, path)) as m from r where depth > 0 group by seed, node) select seed, node, m[1] as depth, array_to_string(m[2], '>') as path from q")
+def call_paths(spark, folder):
+    """The shortest chain of calls from each route to all it reaches within five hops."""
+    seeds = table(spark, folder, "symbols").where("kind = 'route'").select(F.lower(F.trim("id")).alias("node"))
+    found = graph.call_paths(graph.edges(table(spark, folder, "relations"), ["calls"]), seeds, 5)
+    return found.select("seed", "node", "depth", F.array_join("path", ">").alias("path"))
+
+
+_SENSITIVE, _SINK = "password|token|secret|key|user|session", "send|save|log|write|store|publish|load"
+_FLOW = """k as (select distinct lower(trim(id)) as id, name from symbols where trim(id) <> ''), n as (select distinct id from k),
+e as (select distinct case kind when 'accesses' then a else b end as src, case kind when 'accesses' then b else a end as dst, kind, case kind when 'calls' then 0.7 when 'accesses' then 0.8 else 0.6 end::double as confidence
+ from (select distinct lower(trim(from_id)) as a, lower(trim(to_id)) as b, kind from relations where kind in ('calls', 'references', 'accesses')) where a in (select id from n) and b in (select id from n)), """
+
+
+@query("with " + _FLOW + "q as (select * from e) select * from q")
+def dataflow_graph(spark, folder):
+    """Data flows between known symbols."""
+    return graph.dataflow(table(spark, folder, "relations"), table(spark, folder, "symbols"))
+
+
+@query("with recursive " + _FLOW + f"""r(seed, node, depth, path) as (select distinct id, id, 0, [id] from k where regexp_matches(lower(name), '{_SENSITIVE}') union all select seed, e.dst, depth + 1, list_append(path, e.dst) from r join (select distinct src, dst from e where src <> dst) e on e.src = r.node where depth < 6 and not list_contains(path, e.dst)),
+ q as (select seed, node, min((depth, path)) as m from r where depth > 0 and node in (select id from k where regexp_matches(lower(name), '{_SINK}')) group by seed, node) select seed, node, m[1] as depth, array_to_string(m[2], '>') as path from q""")
+def sensitive_flows(spark, folder):
+    """Shortest flows from symbols with sensitive names to symbols that let data out."""
+    symbols = table(spark, folder, "symbols")
+    named = lambda p: symbols.where(F.lower("name").rlike(p)).select(F.lower(F.trim("id")).alias("node")).where("node != ''")
+    edges = graph.dataflow(table(spark, folder, "relations"), symbols).select("src", "dst").distinct()
+    return graph.flows(edges, named(_SENSITIVE), named(_SINK), 6).select("seed", "node", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query("with recursive " + _FLOW + """c as (select distinct lower(trim(from_id)) as src, lower(trim(to_id)) as dst from relations where kind = 'calls' and trim(from_id) <> '' and trim(to_id) <> ''),
+ v as (select distinct id from k where regexp_matches(lower(name), 'valid|check|verify')), r(node, depth) as (select id, 0 from v union select c.src, depth + 1 from r join c on c.dst = r.node where depth < 6)
+ select s.id as node, exists (select 1 from r where r.node = s.id) as reaches from (select distinct lower(trim(id)) as id from symbols where kind = 'route') s""")
+def validation_reachability(spark, folder):
+    """Whether each route calls anything that validates, within six hops."""
+    symbols = table(spark, folder, "symbols")
+    node = F.lower(F.trim("id")).alias("node")
+    checks = symbols.where(F.lower("name").rlike("valid|check|verify")).select(node).where("node != ''")
+    return graph.reaches(graph.edges(table(spark, folder, "relations"), ["calls"]), symbols.where("kind = 'route'").select(node), checks, 6)
+
+
+@query("with " + _FLOW + """p as (select lower(trim(id)) as id, min(lower(trim(file_id))) as file from symbols where trim(id) <> '' and trim(file_id) <> '' group by 1)
+ select distinct e.src, e.dst, a.file as from_file, b.file as to_file from e join p a on a.id = e.src join p b on b.id = e.dst where a.file <> b.file""")
+def cross_file_flows(spark, folder):
+    """Data flows between files."""
+    symbols = table(spark, folder, "symbols")
+    return graph.cross_file_flows(graph.dataflow(table(spark, folder, "relations"), symbols), symbols)
+
+
+@query("with t as (select distinct lower(trim(from_id)) as a, lower(trim(to_id)) as b from relations where kind = 'tests' and trim(from_id) <> '' and trim(to_id) <> ''), s as (select distinct lower(trim(id)) as node from symbols where exported) select s.node, t.a as \"to\" from s join t on t.b = s.node")
+def neighbours_by_kind(spark, folder):
+    """The tests of each exported symbol."""
+    nodes = table(spark, folder, "symbols").where("exported").select(F.lower(F.trim("id")).alias("node"))
+    return graph.neighbours(graph.edges(table(spark, folder, "relations"), ["tests"]), nodes, reverse=True)
 
 
 @query("with e as (select distinct id, kind, lower(trim(to_id)) as dst from relations where trim(to_id) <> '') select kind, dst, count(*) as n from e group by all having count(*) > 5")

@@ -76,7 +76,7 @@ def test_graph(spark):
     assert {(r.node, r.depth) for r in graph.reach(edges, seeds, 5).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert {(r.node, r.depth) for r in graph.reach(edges, seeds, 1, reverse=True).collect()} == {("a", 0), ("c", 1)}
     assert {(r.seed, r.node, r.depth) for r in graph.chains(edges, seeds, 2).collect()} == {("a", "b", 1), ("a", "c", 2)}
-    assert {(r.a, r.b, r.c) for r in graph.short_cycles(edges).collect()} == {("c", "d", None), ("a", "b", "c")}
+    assert {tuple(r.path) for r in graph.cycles(edges, 3).collect()} == {("c", "d"), ("a", "b", "c")}
     assert graph.reach(edges, seeds.limit(0), 3).count() == 0
 
 
@@ -159,6 +159,42 @@ def test_import_resolution(spark):
     assert got == {str(i): x[3] for i, x in enumerate(asked) if x[3]}
 
 
+def test_cycles_of_any_length(spark):
+    import random
+
+    rng = random.Random(8)
+    pairs = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(62)} | {(f"z{i:02}", f"z{(i + 1) % 9:02}") for i in range(9)}
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen and b != a or b == a and a not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    reach = {n: reached(n) for n in {x for p in pairs for x in p}}
+    group = {n: {m for m in reach[n] if n in reach[m]} | {n} for n in reach}
+    wanted = {n: (max(g), len(g)) for n, g in group.items() if len(g) > 1}
+    assert {r.node: (r.grp, r.size) for r in graph.cycle_groups(edges).collect()} == wanted and wanted["z00"] == ("z08", 9)
+    found = [tuple(r.path) for r in graph.cycles(edges, 6).collect()]
+
+    def ways(path):
+        for b in out.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                yield tuple(path)
+            if b > path[0] and b not in path and len(path) < 6:
+                yield from ways([*path, b])
+
+    assert sorted(found) == sorted(w for n in out for w in ways([n]))
+    assert graph.cycle_groups(edges.limit(0)).count() == 0 and graph.cycles(edges.limit(0), 4).count() == 0
+
+
 def test_scalars(spark):
     row = spark.createDataFrame([("a/b/c.test.TS", "c", " Critical")], "p string, q string, s string").select(
         scalars.extension("p").alias("e"), scalars.basename("p").alias("b"), scalars.dirname("p").alias("d"), scalars.dirname("q").alias("dq"), scalars.role_of("p").alias("r"),
