@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
-from evidra.operators import code_symbols, compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, sql_inventory, text_rules
+from evidra.operators import code_symbols, compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, text_rules
 from evidra.session import saved
 from evidra.sources.tables import table
 from evidra.streaming import windows
@@ -722,14 +722,6 @@ def stream_sessions(spark, folder):
     return windows.sessions(table(spark, folder, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
-@query()
-def ddl_operations(spark, folder):
-    """Schema operations in all texts and sources that hold SQL definitions."""
-    texts = table(spark, folder, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    files = table(spark, folder, "files").select("path", "content")
-    return sql_inventory.inventory(texts.unionByName(files).where(F.col("content").rlike(r"(?i)\b(create|drop|alter)\s+(unique\s+|temporary\s+)?(table|index)\b")))
-
-
 # -- gates
 _GATE_SQL = f"""g as (select id, run_id, severity, {_RANK} as rank,
   list_filter([case when lower(trim(severity)) = 'critical' then 'severity:critical' end, case when rule_id = 'RAW_SQL' and coalesce({_RANK} >= 3, false) then 'rule:RAW_SQL' end,

@@ -91,7 +91,8 @@ def test_line_rules(spark):
 def test_sql_operations(spark):
     sql = "-- DROP TABLE no;\nCREATE TABLE IF NOT EXISTS a.b (x int, y text);\nALTER TABLE t ADD COLUMN c int DEFAULT 1, DROP d, ALTER COLUMN e TYPE text;\ncreate unique index i on t (c);\nDROP TABLE IF EXISTS 'x';drop index i; select 1"
     assert sql_inventory.operations(sql) == [
-        ("create_table", "a.b", None), ("add_column", "t", "c"), ("drop_column", "t", "d"), ("alter_type", "t", "e"), ("add_index", "t", "i"), ("drop_table", "'x'", None), ("drop_index", None, "i")]
+        ("create_table", "a.b", None, None, False, False), ("add_column", "t", "c", None, False, True), ("drop_column", "t", "d", None, False, False), ("modify_column", "t", "e", "text", False, False),
+        ("add_index", "t", "i", None, False, False), ("drop_table", "'x'", None, None, False, False), ("drop_index", None, "i", None, False, False)]
     df = spark.createDataFrame([("m.sql", sql), ("n", None), ("e", "")], "path string, content string")
     assert sql_inventory.inventory(df).count() == 7
 
