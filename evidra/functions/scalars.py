@@ -163,7 +163,8 @@ def owner_regex(pattern: str) -> str:
 
 #: Extension -> language (fixed values).
 LANGUAGE_OF = {
-    "ts": "ts", "tsx": "ts", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "py", "go": "go", "java": "java", "rb": "rb", "rs": "rs", "php": "php", "cs": "cs",
+    "ts": "ts", "tsx": "tsx", "js": "js", "jsx": "jsx", "mjs": "js", "cjs": "js", "py": "py", "rb": "rb", "go": "go", "rs": "rs", "java": "java", "php": "php", "cs": "cs",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp",
 }
 
 
@@ -171,16 +172,3 @@ def language_of(path: Column | str) -> Column:
     """Language by extension, else ``unknown``."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])
     return F.coalesce(table[extension(path)], F.lit("unknown"))
-
-
-def role_of(path: Column | str) -> Column:
-    """Role by path: test, fixture, docs, config, generated or source; the first match wins."""
-    path = F.lower(F.col(path) if isinstance(path, str) else path)
-    return (
-        F.when(path.rlike(r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$|_test\.(go|py)$"), "test")
-        .when(path.rlike(r"(^|/)fixtures?/"), "fixture")
-        .when(path.rlike(r"(^|/)docs?/|\.(md|rst)$"), "docs")
-        .when(path.rlike(r"(^|/)(config|settings)/|\.(json|ya?ml|toml|ini|env|properties)$"), "config")
-        .when(path.rlike(r"(^|/)(dist|build|generated|__generated__)/|[.-]min\.m?js$"), "generated")
-        .otherwise("source")
-    )

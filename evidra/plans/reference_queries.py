@@ -209,13 +209,10 @@ def fingerprint_duplicates(spark, folder):
 
 @query(_FILES + r"""q as (select id, lower(regexp_extract(path, '\.([^./]+)$', 1)) as ext, regexp_extract(path, '([^/]*)$', 1) as base,
  case when position('/' in path) > 0 then regexp_extract(path, '^(.*)/[^/]*$', 1) else '.' end as dir,
- case lower(regexp_extract(path, '\.([^./]+)$', 1)) when 'ts' then 'ts' when 'js' then 'js' when 'mjs' then 'js' when 'py' then 'py' when 'go' then 'go' when 'java' then 'java' when 'rb' then 'rb' else 'unknown' end as language,
- case when regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$|_test\.(go|py)$') then 'test' when regexp_matches(lower(path), '(^|/)fixtures?/') then 'fixture'
- when regexp_matches(lower(path), '(^|/)docs?/|\.(md|rst)$') then 'docs' when regexp_matches(lower(path), '(^|/)(config|settings)/|\.(json|ya?ml|toml|ini|env|properties)$') then 'config'
- when regexp_matches(lower(path), '(^|/)(dist|build|generated|__generated__)/|[.-]min\.m?js$') then 'generated' else 'source' end as role from fi) select * from q""")
+ case lower(regexp_extract(path, '\.([^./]+)$', 1)) when 'ts' then 'ts' when 'js' then 'js' when 'mjs' then 'js' when 'py' then 'py' when 'go' then 'go' when 'java' then 'java' when 'rb' then 'rb' else 'unknown' end as language from fi) select * from q""")
 def classify_files(spark, folder):
-    """Extension, name, folder, language and role of each file by its path."""
-    return _files(spark, folder, "path").select("id", S.extension("path").alias("ext"), S.basename("path").alias("base"), S.dirname("path").alias("dir"), S.language_of("path").alias("language"), S.role_of("path").alias("role"))
+    """Extension, name, folder and language of each file by its path."""
+    return _files(spark, folder, "path").select("id", S.extension("path").alias("ext"), S.basename("path").alias("base"), S.dirname("path").alias("dir"), S.language_of("path").alias("language"))
 
 
 @query(_F + r"""q as (select id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) as title_key,

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.functions import scalars
+from evidra.functions import classify, scalars
 from evidra.operators import code_symbols, compare, graph, matching, query_dsl, sql_inventory, text_rules
 from evidra.sources import reports
 from evidra.streaming import windows
@@ -198,7 +198,7 @@ def test_cycles_of_any_length(spark):
 
 def test_scalars(spark):
     row = spark.createDataFrame([("a/b/c.test.TS", "c", " Critical")], "p string, q string, s string").select(
-        scalars.extension("p").alias("e"), scalars.basename("p").alias("b"), scalars.dirname("p").alias("d"), scalars.dirname("q").alias("dq"), scalars.role_of("p").alias("r"),
+        scalars.extension("p").alias("e"), scalars.basename("p").alias("b"), scalars.dirname("p").alias("d"), scalars.dirname("q").alias("dq"), classify.role_of("p").alias("r"),
         scalars.severity_rank("s").alias("k"), scalars.rule_key(F.lit("--a b!")).alias("rk"), scalars.rule_key(F.lit("!")).alias("ru"), scalars.title_key(F.lit(" A,  b! ")).alias("t")).first()
     assert tuple(row) == ("ts", "c.test.TS", "a/b", ".", "test", 4, "A_B", "UNKNOWN", "a b")
 
