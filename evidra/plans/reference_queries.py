@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import scalars as S
 from evidra.operators import code_symbols, compare, diffs, exports, gate, graph, matching, query_dsl, snapshot_diff, text_rules
-from evidra.session import saved
+from evidra.session import running_total, saved
 from evidra.sources.tables import table
 from evidra.streaming import windows
 
@@ -547,8 +547,8 @@ def walk_paths_missing(spark, folder):
 @query("with fi as (select distinct id, repo_root, path, size_bytes from files) select id, cast(total as bigint) as total from (select id, sum(coalesce(size_bytes, 0)) over (partition by repo_root order by path, id rows unbounded preceding) as total from fi) where total <= 8000")
 def scan_running_byte_cap(spark, folder):
     """The files of each repo that a scan with a limit on all bytes takes, in the order of paths."""
-    total = F.sum(F.coalesce("size_bytes", F.lit(0))).over(W.partitionBy("repo_root").orderBy("path", "id").rowsBetween(W.unboundedPreceding, 0))
-    return _files(spark, folder, "repo_root", "path", "size_bytes").select("id", total.alias("total")).where("total <= 8000")
+    files = _files(spark, folder, "repo_root", "path", F.coalesce("size_bytes", F.lit(0)).alias("n"))
+    return running_total(files, ["repo_root"], ["path", "id"], F.col("n"), "total").where("total <= 8000").select("id", "total")
 
 
 @query("with old as (select distinct path, hash from files where observed_at < timestamp '2025-06-01'), new as (select distinct repo_root, path, hash from files) select repo_root, path from new where hash is not null and not exists (select 1 from old where old.path = new.path and old.hash = new.hash)")

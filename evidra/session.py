@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -83,3 +84,19 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame
         .drop("_hot")
     )
     return left.drop("_hot").join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def running_total(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its ``by`` group up to it in ``order``.
+
+    Rows are split into ranges of the order, so a group of any size spreads over all tasks; each range adds the sum of
+    those before it, which are a row per group and range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_"))
+    keyed = df.withColumn("_k", key).withColumn("_v", value)
+    ranged = saved(keyed.repartitionByRange(parts, "_k", *order).withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy("_k").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("_k", "_part").agg(F.sum("_v").alias("_s")).select("_k", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    own = W.partitionBy("_k", "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(sums, ["_k", "_part"]).withColumn(name, F.col("_off") + F.sum("_v").over(own)).drop("_k", "_v", "_part", "_off")
