@@ -885,6 +885,41 @@ def symbol_extraction(spark, folder):
     return code_symbols.symbols(table(spark, folder, "files"), F.col("language")).dropDuplicates()
 
 
+_LINES = _FILES + "l as (select id, language, unnest(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10))) as text, generate_subscripts(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), 1) as line from fi where content <> ''), "
+
+
+def _parse_sql() -> str:
+    parts = []
+    for name, patterns in code_symbols.LINES.items():
+        for kind, pattern in patterns.items():
+            text = pattern.replace("'", "''")
+            groups = pattern.count("|^") + pattern.count(r"|\b") + 1
+            value = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{text}', {g}), '')" for g in range(1, groups + 1)) + ")"
+            parts.append(f"select id, '{kind}' as kind, {value} as name, line from l where language = '{name}'")
+    return "p as (select distinct id, kind, name, cast(line as int) as line from (" + " union all ".join(parts) + ") where name is not null), "
+
+
+@query(_LINES + _parse_sql() + "q as (select * from p) select * from q")
+def parsed_lines(spark, folder):
+    """Symbols, routes, tests and imports with their lines."""
+    return code_symbols.parse(table(spark, folder, "files"), F.col("language")).distinct()
+
+
+@query(_LINES + _parse_sql() + "d as (select id, line, min(name) as name from p where kind = 'function' group by id, line), j as (select l.id, l.line, l.text, d.name, coalesce(last_value(d.name ignore nulls) over (partition by l.id order by l.line), '') as caller from l left join d on d.id = l.id and d.line = l.line where l.language in ("
+       + ", ".join(f"'{x}'" for x in code_symbols.LINES) + ")), c as (select id, caller, name, cast(line as int) as line, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Za-z_]\\w*)\\s*\\(', 1))) as callee from j) select id, caller, callee, line, exists (select 1 from d where d.id = c.id and d.name = c.callee) as known from c where callee not in ("
+       + ", ".join(f"'{x}'" for x in code_symbols.NO_CALLS) + ") and callee is distinct from name")
+def code_calls(spark, folder):
+    """Calls in the functions of a file."""
+    return code_symbols.calls(table(spark, folder, "files"), F.col("language"))
+
+
+@query(_FILES + r"""p as (select id, content, regexp_replace(regexp_replace(content, '\\.', '', 'g'), '//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*|"[^"\n]*"|''[^''\n]*''|`[^`]*`', '', 'g') as t from fi where content is not null)
+ select id, 'EMPTY_FILE' as code from p where trim(content) = '' union all select id, 'UNBALANCED_BRACES' from p where length(replace(t, '{', '')) <> length(replace(t, '}', '')) union all select id, 'CONFLICT_MARKERS' from p where regexp_matches(content, '(?m)^(<<<<<<< |>>>>>>> )')""")
+def code_diagnostics(spark, folder):
+    """Files that can't be right at a glance."""
+    return code_symbols.diagnostics(table(spark, folder, "files")).distinct()
+
+
 @query(_FILES + r"""a as (select id, repo_root, path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, regexp_extract(path, '([^/]*)$', 1) as base, regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '([^/]*)$', 1) as folder from fi where path like '%/%'),
  s as (select id, repo_root, dir, './' || base as specifier, path as target from a union all select id, repo_root, dir, './' || regexp_replace(base, '\.[^.]*$', ''), null from a union all select id, repo_root, dir, '../' || folder || '/./' || base, path from a where folder <> ''),
  e as (select id, repo_root, specifier, case when starts_with(specifier, '../') then dir || '/' || regexp_extract(specifier, '([^/]*)$', 1) else dir || substr(specifier, 2) end as b from s),

@@ -158,7 +158,7 @@ def sarif(reports: DataFrame, tool: str = "sarif") -> DataFrame:
 
 def _message(text: Column) -> Column:
     """The text of a message, or of a chain of messages from its head on."""
-    parts = F.filter(F.regexp_extract_all(text, F.lit(r'"messageText"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda x: x != "")
+    parts = F.filter(F.regexp_extract_all(text, F.lit(r'"messageText"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), F.lit(1)), lambda x: x != "")
     plain = F.transform(parts, lambda x: F.from_json(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "v string")["v"])
     return F.when(text.startswith("{"), F.array_join(plain, " ")).otherwise(F.coalesce(text, F.lit("TypeScript compiler diagnostic")))
 

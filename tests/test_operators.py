@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import classify, scalars
 from evidra.operators import code_symbols, compare, graph, matching, query_dsl, sql_inventory, text_rules
-from evidra.sources import reports
+from evidra.sources import config, reports
 from evidra.streaming import windows
 
 
@@ -268,3 +268,52 @@ def test_file_differences(spark):
     diff = "--- a\n+++ b\n@@ -1,2 +3 @@ f\n-x\n+y\n+z\n same\n@@ -9 +12,4 @@\n+q\n"
     hunks = diffs.hunks(spark.createDataFrame([("1", diff), ("2", None), ("3", "")], "id string, diff string"))
     assert sorted((r.hunk, r.new_start, r.added, r.removed) for r in hunks.collect()) == [(0, 3, 2, 1), (1, 12, 1, 0)]
+
+
+CODE = {
+    "ts": "import { a } from './a';\nexport const f = async (x) => {\n  g(x);\n};\nfunction g(y) { return h(y) }\nabstract class C {}\ninterface I {}\napp.get('/x', f)\ntest('works', () => f())\n",
+    "py": "from a.b import c\nclass K:\n    async def m(self):\n        return helper(1)\n\ndef helper(x):\n    return len(x)\n@app.get('/p')\ndef test_it():\n    helper(2)\n",
+    "go": "package a\nimport \"fmt\"\ntype T struct {}\nfunc (t *T) Run() {\n\tHelp()\n}\nfunc Help() {}\n", "rs": "use std::io;\npub(crate) async fn run() {}\nstruct S;\ntrait Q {}\nmod m;\n",
+    "java": "import java.util.List;\npublic final class A {\n  public static int go(int x) {\n    return x;\n  }\n}\n", "php": "use App\\X;\nfinal class P {\n  public function q() {}\n}\n", "cs": "using System;\npublic class Z {\n  public async Task<int> W(int a)\n  {\n}}\n",
+    "cpp": "#include <vector>\nnamespace n {\nint Foo::bar(int x) {\n}\n}\n", "rb": "require 'x'\nmodule M\n  def self.go?\n  end\nend\n", "unknown": "def x(): pass",
+}
+
+
+def test_line_parsers(spark):
+    files = spark.createDataFrame([(k, k, v) for k, v in CODE.items()] + [("n", "py", None), ("e", "py", "")], "id string, language string, content string")
+    got = {}
+    for r in code_symbols.parse(files, F.col("language")).collect():
+        got.setdefault(r.id, set()).add((r.kind, r.name, r.line))
+    assert got["ts"] == {("import", "./a", 1), ("function", "f", 2), ("function", "g", 5), ("class", "C", 6), ("interface", "I", 7), ("route", "/x", 8), ("test", "works", 9)}
+    assert got["py"] == {("import", "a.b", 1), ("class", "K", 2), ("function", "m", 3), ("function", "helper", 6), ("route", "/p", 8), ("function", "test_it", 9), ("test", "test_it", 9)}
+    assert got["go"] == {("import", "fmt", 2), ("class", "T", 3), ("function", "Run", 4), ("function", "Help", 7)} and got["rs"] == {("import", "std::io", 1), ("function", "run", 2), ("class", "S", 3), ("interface", "Q", 4), ("module", "m", 5)}
+    assert got["java"] == {("import", "java.util.List", 1), ("class", "A", 2), ("function", "go", 3)} and got["php"] == {("import", "App\\X", 1), ("class", "P", 2), ("function", "q", 3)}
+    assert got["cs"] == {("import", "System", 1), ("class", "Z", 2), ("function", "W", 3)} and got["cpp"] == {("import", "vector", 1), ("module", "n", 2), ("function", "Foo::bar", 3)} and got["rb"] == {("import", "x", 1), ("module", "M", 2), ("function", "go?", 3)}
+    assert set(got) == set(CODE) - {"unknown"}
+    calls = {(r.id, r.caller, r.callee, r.known) for r in code_symbols.calls(files, F.col("language")).collect()}
+    assert {("ts", "f", "g", True), ("py", "m", "helper", True), ("py", "helper", "len", False), ("py", "test_it", "helper", True), ("go", "Run", "Help", True)} <= calls
+    odd = spark.createDataFrame([("a", "x = '{' // {\n"), ("b", "{ \"}\" "), ("c", " "), ("d", "<<<<<<< a\n"), ("e", '"' + "a" * 200000 + '"'), ("n", None)], "id string, content string")
+    assert {(r.id, r.code) for r in code_symbols.diagnostics(odd).collect()} == {("b", "UNBALANCED_BRACES"), ("c", "EMPTY_FILE"), ("d", "CONFLICT_MARKERS")}
+
+
+def test_configuration_sources(spark):
+    text = "version: 1\npolicy_id: 'p'  # own\nblocking:\n  severity:\n    critical: true\n    high: false\n  rules: [A, B]\nlist:\n  - ruleId: R\n    path: src/**\n    expiry: 2025-01-01\n  - plain\nextra: 1.5\n"
+    read, errors = config.policy(text)
+    assert read["blocking"] == {"severity": {"critical": True, "high": False}, "rules": ["A", "B"]} and read["list"] == [{"ruleId": "R", "path": "src/**", "expiry": "2025-01-01"}, "plain"] and read["extra"] == 1.5
+    assert errors == ["unknown member list", "unknown member extra"] and config.policy("[1]")[1] == ["policy is no mapping"] and config.policy("")[1] == ["missing version", "missing blocking"]
+    assert config.suppressions("suppressions:\n  - rule_id: R\n    path: a\n    reason: why\n") == [{"rule_id": "R", "path": "a", "reason": "why", "expiry": None, "author": None, "class": None}]
+    rows = config.risks(spark, '{"risks": [{"id": "x", "title": "t", "severity": "high", "sourceFindingIds": ["f"]}]}').collect()
+    assert [(r.id, r.sources, r.ord) for r in rows] == [("x", ["f"], 0)] and config.risks(spark, "").count() == 0
+    files = spark.createDataFrame([("r", "CODEOWNERS", "# c\n* @a\r\n!x @b\nsrc/\n"), ("r", "docs/CODEOWNERS", "* @z"), ("q", "x", "* @z")], "repo_root string, path string, content string")
+    rules, bad = config.owner_rules(files)
+    assert [(r.line, r.pattern, r.owners) for r in rules.collect()] == [(2, "*", ["@a"])] and sorted((r.line, r.code) for r in bad.collect()) == [(3, "UNSUPPORTED_PATTERN"), (4, "EMPTY_OWNERS")]
+
+
+def test_json_comparison_tells_null_from_missing(spark):
+    rows = ['{"n": null, "s": "High", "t": "7", "b": true, "e": "", "a": [{"x": 1}]}', "{}"]
+    df = spark.createDataFrame([(str(i), "h", r) for i, r in enumerate(rows)], "file string, hash string, document string").withColumn("document", F.parse_json("document"))
+    ask = lambda text: sorted(r.locator for r in query_dsl.artifact_matches(df, f"artifact where {text}").collect())
+    assert ask("n <= 0") == ["0"] and ask("n != 0") == ["1"] and ask("n = 'x'") == [] and ask("s >= medium") == ["0"] and ask("t > 6.5") == ["0"]
+    assert ask("b = true") == ["0"] and ask("b != true") == ["1"] and ask("b > 0") == [] and ask("b != 3") == ["0", "1"] and ask("e = 0") == ["0"] and ask("a.0.x = 1") == ["0"]
+    with pytest.raises(ValueError):
+        query_dsl.artifact_matches(df, "other where a = 1")
