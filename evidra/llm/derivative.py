@@ -198,6 +198,10 @@ class Grammar:
                 here = moves[state] = {}
             after = here.get(token)
             if after is None:
+                if self._count > 2 * MEMO_LIMIT:  # one file alone may fill the memo
+                    moves.clear()
+                    self._count = 0
+                    here = moves.setdefault(state, {})
                 after = here[token] = self.move(state, token)
             if not after:
                 return "error", i

@@ -47,7 +47,8 @@ forhead = '(' ( decl | expr )? ';' expr? ';' expr? ')' | '(' ( ( 'var' | 'let' |
 lhs = primary postfix*
 case = ( 'case' expr | 'default' ) ':' stmts
 catch = 'catch' ( '(' target{ann} ')' )? block ( 'finally' block )? | 'finally' block
-decl = ( 'var' | 'let' | 'const' ) binding ( ',' binding )*
+decl = ( 'var' | 'let' ) binding ( ',' binding )* | 'const' {t("( binding ( ',' binding )* | 'enum' id '{{' ( enumerator ( ',' enumerator )* ','? )? ';'? '}}' )", "bound ( ',' bound )*")}
+bound = target '=' assign
 binding = target{t(" '!'?")}{ann} ( '=' assign )?
 target = id | object | array
 func = 'async'? 'function' '*'? id?{t(" tparams?")} params{ann} block
@@ -192,7 +193,10 @@ id = ID | {_choice(_PY_SOFT)}
 stmt = simple ( ';' simple )* ';'? NEWLINE | compound
 simple = 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' ( test ( 'from' test )? )? | 'import' dotted ( 'as' id )? ( ',' dotted ( 'as' id )? )*
   | 'from' ( ( '.' | '...' )+ dotted? | dotted ) 'import' ( '*' | names | '(' names ','? ')' ) | ( 'global' | 'nonlocal' ) id ( ',' id )* | 'del' exprs | 'assert' test ( ',' test )? | 'type' id tparams? '=' test
-  | exprs ( ( '=' ( 'yield' yielded? | exprs ) )* | aug ( exprs | 'yield' yielded? ) | ':' test ( '=' ( exprs | 'yield' yielded? ) )? ) | 'yield' yielded?
+  | exprs | targets '=' assigned | place ( aug ( exprs | 'yield' yielded? ) | ':' test ( '=' ( exprs | 'yield' yielded? ) )? ) | 'yield' yielded?
+assigned = exprs | 'yield' yielded? | targets '=' assigned
+targets = '*'? place ( ',' '*'? place )* ','?
+place = id postfix* | ( NUM | STR+ | '{{' ( star ( ':' test pairs | for+ | ( ',' star )* ','? ) | '**' operand pairs )? '}}' ) postfix+ | '(' targets? ')' | '[' targets? ']' | ( '(' ( 'yield' yielded? | items )? ')' | '[' items? ']' ) postfix+
 aug = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 yielded = exprs | 'from' test
 dotted = id ( '.' id )*
@@ -206,8 +210,10 @@ tparams = '[' ( '*' | '**' )? id ( ':' test )? ( ',' ( '*' | '**' )? id ( ':' te
 item = test ( 'as' star )?
 pattern = exprs ( 'as' id )?
 suite = simple ( ';' simple )* ';'? NEWLINE | NEWLINE INDENT stmt+ DEDENT
-params = param ( ',' param )* ','?
-param = ( id | '*' id? | '**' id | '/' ) ( ':' star )? ( '=' test )?
+params = ( plain ( ',' plain )* ( ',' given ( ',' given )* )? ( ',' ptail )? | given ( ',' given )* ( ',' ptail )? | ptail ) ','?
+plain = id ( ':' star )? | '/'
+given = id ( ':' star )? '=' test | '/'
+ptail = ( '*' id? ( ':' star )? ( ',' id ( ':' star )? ( '=' test )? )* ( ',' '**' id ( ':' star )? )? ) | '**' id ( ':' star )?
 exprs = star ( ',' star )* ','?
 star = '*'? named
 named = test ( ':=' test )?
@@ -223,8 +229,9 @@ for = 'async'? 'for' exprs0 'in' or ( 'if' ( or | lambda ) )*
 exprs0 = target ( ',' target )* ','?
 target = '*'? primary postfix*
 postfix = '.' id | '(' args? ')' | '[' slice ( ',' slice )* ','? ']'
-args = arg ( ',' arg )* ','?
-arg = '*' test | '**' test | id '=' test | named for*
+args = ( parg ( ',' parg )* ( ',' karg ( ',' ( karg | '*' test ) )* )? | karg ( ',' ( karg | '*' test ) )* ) ','?
+parg = '*' test | named for*
+karg = id '=' test | '**' test
 slice = star ( ':' test? ( ':' test? )? )? | ':' test? ( ':' test? )?
 """
 

@@ -333,3 +333,17 @@ def test_one_line_files_take_time_in_proportion():
 
     took(500)
     assert took(32000) < 20 * max(took(4000), 0.02)
+
+
+@pytest.mark.parametrize("language, text", [
+    ("python", "1 = x\n"), ("python", "f(a=1, 2)\n"), ("python", "def f(a=1, b): pass\n"), ("python", "f() + 1 += 2\n"), ("javascript", "const x;\n"), ("javascript", "for (;;) { const y }\n"),
+])
+def test_what_languages_reject_is_broken(language, text):
+    assert check(language, text)[0] != "ok"
+
+
+@pytest.mark.parametrize("language, text", [
+    ("python", "f(*a, 1, b=2, *c, **d)\ndef f(a, /, b=1, *, c, d=2, **e): pass\nx, (y, *z) = [a.b, c[0]] = f().x = yield\n'x'.y += 1\nz: int\n"), ("javascript", "const a = 1, { b } = c;\nfor (const k of m) ;\nlet d, e;\n"),
+])
+def test_what_languages_accept_is_fine(language, text):
+    assert check(language, text)[0] == "ok"
