@@ -45,3 +45,16 @@ def hunks(diffs: DataFrame) -> DataFrame:
     rows = diffs.where(F.col("diff").isNotNull()).select("id", F.posexplode(parts).alias("hunk", "body"))
     count = lambda sign: F.size(F.filter(F.split("body", "\n"), lambda x: x.startswith(sign)))
     return rows.select("id", "hunk", F.regexp_extract("body", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("int").alias("new_start"), count("+").alias("added"), count("-").alias("removed"))
+
+
+def limited(files: DataFrame, by: str, order: list[str], most_files: int, most_bytes: int) -> DataFrame:
+    """Per group what a listing with limits gives: files taken, those that are too large, whether there were more, and a status."""
+    from pyspark.sql import Window as W
+
+    rows = files.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    taken = F.col("_n") <= most_files
+    large = F.coalesce(F.col("size_bytes") > most_bytes, F.lit(False))
+    more = F.max("_n") > most_files
+    return rows.groupBy(by).agg(
+        F.count_if(taken & ~large).alias("n_files"), F.count_if(taken & large).alias("n_too_large"), more.alias("truncated"), F.when(more, "limit_exceeded").otherwise("success").alias("status")
+    )
