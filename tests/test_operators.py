@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import classify, scalars
-from evidra.operators import code_symbols, compare, graph, matching, query_dsl, sql_inventory, text_rules
-from evidra.sources import config, reports
+from evidra.operators import code_symbols, compare, graph, matching, plugins, query_dsl, sql_inventory, text_rules
+from evidra.session import running_total
+from evidra.sources import config, filesystem, reports
 from evidra.streaming import windows
 
 
@@ -228,8 +229,13 @@ def test_folders(spark, tmp_path):
         (tmp_path / name).write_text(text)
     files = filesystem.scan(spark, str(tmp_path))
     assert {r.path for r in files.select("path").collect()} == {"a/x.json", "b/x.json", "c/y.txt", "a/b/c/d.txt"}
-    limits = {r.path: r.skipped for r in filesystem.bounded(files, 10, 5, 9, 3).collect()}
-    assert limits == {"a/x.json": "file_bytes", "b/x.json": None, "c/y.txt": None, "a/b/c/d.txt": "depth"}
+    limits = {r.path: r.skipped for r in filesystem.bounded(files, 10, 5, 9, 2).collect()}
+    assert limits == {"a/x.json": "MAX_FILE_SIZE_EXCEEDED", "b/x.json": None, "c/y.txt": None, "a/b/c/d.txt": "MAX_DEPTH_EXCEEDED"}
+    few = {r.path: r.skipped for r in filesystem.bounded(files, 100, 40, 3, 9, deadline=F.col("path") == "c/y.txt").collect()}
+    assert few == {"a/b/c/d.txt": None, "a/x.json": "MAX_TOTAL_BYTES_EXCEEDED", "b/x.json": "MAX_TOTAL_BYTES_EXCEEDED", "c/y.txt": "SCAN_DEADLINE_EXCEEDED"}
+    row = filesystem.walk_summary(filesystem.bounded(files, 10, 5, 9, 2).withColumn("r", F.lit(1)), ["r"]).first()
+    assert (row.partial_walk, row.reasons, row.visited_files, row.accepted_bytes, row.skipped_files) == (True, ["MAX_DEPTH_EXCEEDED", "MAX_FILE_SIZE_EXCEEDED"], 3, 3, 2)
+    assert filesystem.bounded(files.limit(0)).count() == 0
     assert [r.path for r in filesystem.json_artifacts(spark, str(tmp_path)).orderBy("path").collect()] == ["a/x.json", "node_modules/z.json"]
     assert [(r.run, r.generated_at is None) for r in filesystem.discover_runs(spark, str(tmp_path), "x.json").collect()] == [("a", False), ("b", True)]
 
@@ -317,3 +323,68 @@ def test_json_comparison_tells_null_from_missing(spark):
     assert ask("b = true") == ["0"] and ask("b != true") == ["1"] and ask("b > 0") == [] and ask("b != 3") == ["0", "1"] and ask("e = 0") == ["0"] and ask("a.0.x = 1") == ["0"]
     with pytest.raises(ValueError):
         query_dsl.artifact_matches(df, "other where a = 1")
+
+
+def test_baseline_is_found(spark):
+    docs = lambda *rows: spark.createDataFrame([(p, "h", json.dumps(d)) for p, d in rows], "path string, sha256 string, document string")
+    linked = ("release-readiness.json", {"artifactRefs": {"findings": "./old.json"}, "baseline": {"owner": "o", "expiresAt": "2026"}})
+    assert filesystem.baseline(docs(linked, ("old.json", {"findings": []}))).first().owner == "o"
+    assert filesystem.baseline(docs(linked, ("old.json", {"findings": []}), ("baseline-findings.json", {"findings": []}))).first().path == "baseline-findings.json"
+    assert filesystem.baseline(docs(linked)).count() == 0
+
+
+def test_running_total_over_ranges(spark):
+    rows = [("a" if i % 3 else None, i * 7 % 50, i, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, x int, y int, v int")
+    want = {}
+    for g in ("a", None):
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            total += r[3]
+            want[r[2]] = total
+    assert {r.y: r.t for r in running_total(df, ["g"], ["x", "y"], F.col("v"), "t").collect()} == want
+    assert running_total(df, [], ["x", "y"], F.col("v"), "t").agg({"t": "max"}).first()[0] == sum(r[3] for r in rows)
+
+
+def test_plugins_are_isolated(spark):
+    def rule(path, content):
+        if "boom" in content:
+            raise KeyError(path)
+        for i in range(content.count("x")):
+            yield {"rule_id": "X", "severity": "low", "title": "t", "lines": [i + 1]}
+        if "odd" in content:
+            yield {"rule_id": "", "severity": "huge", "title": "t", "lines": [0]}
+
+    found = plugins.run_fixture(spark, plugins.Plugin("p", rule), {"a.py": "xx", "b.py": "boom", "c.py": "x odd", "d.py": ""})
+    assert sorted((f["path"], f["lines"]) for f in found) == [("a.py", [1]), ("a.py", [2]), ("c.py", [1])]
+    df = spark.createDataFrame([("b", "b", "py", "boom"), ("c", "c", "py", "odd"), ("m", "m", "py", "x" * 1500), ("n", None, None, None)], "id string, path string, language string, content string")
+    bad = {(r.id, r.diagnostic) for r in plugins.run([plugins.Plugin("p", rule)], df).where("diagnostic is not null").collect()}
+    assert bad == {("b", "failed: KeyError"), ("c", "missing rule_id"), ("c", "unknown severity"), ("c", "lines are no line numbers"), ("m", "too many findings")}
+    assert plugins.run([plugins.Plugin("p", rule, languages=("go",))], df).count() == 0 and plugins.exit_code("failed") == 1
+
+
+def test_line_states(spark):
+    text = "a {\nif (x) {\n  y = z;\n} else if (q.r) {\n}\n}\n<<<<<<< o\nin\n>>>>>>> t\nout\nwhile (1) {\nreturn v\n"
+    files = spark.createDataFrame([("f", text), ("n", None), ("e", "")], "id string, content string")
+    ends = lambda p: sorted((r.start_line, r.end_line) for r in text_rules.branch_blocks(files, p).collect())
+    assert ends("if") == [(2, 5)] and ends("while") == [(11, 13)]
+    assert [(r.line_no, r.line) for r in text_rules.regions(files, "^<<<<<<<", "^>>>>>>>").collect()] == [(8, "in")]
+    nodes = {(r.kind, r.name, r.line_no) for r in text_rules.flow_nodes(files).collect()}
+    assert nodes == {("branch", "x", 2), ("assign", "y", 3), ("branch", "q.r", 4), ("return", "v", 12)}
+    assert text_rules.without_default(files, "return", "v").count() == 0 and text_rules.blocks(files, "^(if|while)").count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from evidra import session
+
+    class Context:
+        master = "spark://x:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.use_checkpoints(Session())
