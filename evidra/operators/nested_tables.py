@@ -76,12 +76,12 @@ def _paths(s: Structure, heads: pa.Array, up: pa.Array, lone: np.ndarray, names:
     return whole(paths), whole(arounds)
 
 
-def _round(s: Structure, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray, items: bool = False) -> tuple[list[pa.Array], tuple | None]:
+def _round(s: Structure, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone: np.ndarray, spot: np.ndarray, items: bool = False) -> tuple[list[pa.Array], tuple | None]:
     """Objects of one round of texts (``items``: scalar items of arrays instead), and the texts of the next round.
 
     ``s``: the structure of the texts. ``heads``: path at which each text stands ("" for a payload); ``up``: path of the
     nearest object around it; ``lone``: the text stands for an array member, so an
-    object at its top is item 0.
+    object at its top is item 0; ``spot``: its place if it is an item of an array, else -1.
     """
     n = len(s.start)
     data = s.data
@@ -136,7 +136,8 @@ def _round(s: Structure, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone:
     head = _joined(above, pc.if_else(pa.array(member), _joined(pc.if_else(top, _EMPTY, _DOT), name), index))
     over = pc.if_else(pa.array(member | s.is_obj[h]), pc.if_else(top, _TOP, above), around.take(_at(h)))
     alone = member & pc.is_in(name, _ARRAY_NAMES).to_numpy(zero_copy_only=False)
-    following = None if not structure.valid.any() else (structure, rows[s.row[h]], head.cast(pa.large_string()), over.cast(pa.large_string()), alone)
+    at_place = np.concatenate([np.full(len(m), -1), spots[i]])
+    following = None if not structure.valid.any() else (structure, rows[s.row[h]], head.cast(pa.large_string()), over.cast(pa.large_string()), alone, at_place)
     held, held_items = m[structure.valid[: len(m)]], item_at[i[structure.valid[len(m) :]]]
     if items:
         # (nulls are no items but keep their place, and a bracket ends an empty array)
@@ -171,7 +172,8 @@ def _round(s: Structure, rows: np.ndarray, heads: pa.Array, up: pa.Array, lone:
     members = pa.MapArray.from_arrays(
         pa.array(offsets.astype(np.int32)), m_names.take(picked).cast(pa.string()), values.take(picked).cast(pa.string())
     )
-    shown_ord = np.where(in_arr[objects], place[objects], np.where(lone_obj[objects], 0, -1))
+    tops = np.where(lone[s.row], 0, spot[s.row])
+    shown_ord = np.where(in_arr[objects], place[objects], np.where(lone_obj[objects], 0, np.where(has[objects], -1, tops[objects])))
     out = [
         pa.array(rows[s.row[objects]], pa.int64()), around.take(_at(objects)).cast(pa.string()), path.take(_at(objects)).cast(pa.string()),
         pa.array(shown_ord, pa.int32()), members,
@@ -186,7 +188,7 @@ def objects_of(texts: pa.Array, rows: np.ndarray, items: bool = False) -> Iterat
     """
     n = len(texts)
     plain = lambda value: pa.array([value] * n, pa.large_string())
-    todo = (Structure(pc.fill_null(texts.cast(pa.large_string()), "")), rows, plain(""), plain("$"), np.zeros(n, bool))
+    todo = (Structure(pc.fill_null(texts.cast(pa.large_string()), "")), rows, plain(""), plain("$"), np.zeros(n, bool), np.full(n, -1))
     while todo is not None:
         out, todo = _round(*todo, items)
         yield out

@@ -241,7 +241,76 @@ def _promoted_sql() -> str:
     return f"select distinct file_id, line_no, {', '.join(columns)} from (select file_id, line_no, {', '.join(parts)} from artifact_records where json_valid(payload)) where {some}"
 
 
+_ARRAYS = "(" + ", ".join(f"'{m}'" for m in nested_tables.ARRAY_MEMBERS) + ")"
+
+
+def _tree_sql(level: int, docs: str) -> str:
+    """Nodes of JSON documents (``rid, eid, head, up, lone, spot, doc``) with their paths, by a walk from parents to children."""
+    t, w = f"t{level}", f"w{level}"
+    path = f"case when w.type = 'ARRAY' then w.path || '[' || t.key || ']' else case when w.path = '' then '' else w.path || '.' end || t.key || case when t.type = 'OBJECT' and t.key in {_ARRAYS} then '[0]' else '' end end"
+    return f"""{t} as (select d.rid, d.eid, d.head, d.up, d.lone, d.spot, j.id, j.parent, cast(j.key as varchar) as key, j.type, j.atom from {docs} d, json_tree(d.doc) j),
+{w}(rid, eid, id, type, path, around, ord, key, atom, kind) as (select rid, eid, id, type, head || case when lone and type = 'OBJECT' then '[0]' else '' end, up, case when lone then 0 else spot end, cast(null as varchar), atom, 'top' from {t} where parent is null
+ union all select t.rid, t.eid, t.id, t.type, {path}, case when w.type = 'OBJECT' then case when w.path = '' then '$' else w.path end else w.around end,
+ case when w.type = 'ARRAY' then cast(t.key as int) when t.type = 'OBJECT' and t.key in {_ARRAYS} then 0 else -1 end, t.key, t.atom, case when w.type = 'ARRAY' then 'item' else 'member' end from {w} w join {t} t on t.rid = w.rid and t.eid = w.eid and t.parent = w.id),
+"""
+
+
+def _inner_sql(level: int) -> str:
+    """The strings among the nodes that hold an object or array, as documents of the next level."""
+    text = "(atom ->> '$')"
+    holds = f"type = 'VARCHAR' and json_valid({text}) and case when json_valid({text}) then json_type({text}) in ('OBJECT', 'ARRAY') end"
+    return f"d{level + 1} as (select rid, row_number() over () as eid, path as head, around as up, kind = 'member' and key in {_ARRAYS} as lone, case when kind = 'item' then ord else -1 end as spot, {text} as doc from w{level} where {holds}), "
+
+
+#: The nodes of all payloads, with two levels of strings that hold JSON.
+_P6 = (
+    "with recursive d0 as (select distinct record_id as rid, 0 as eid, '' as head, '$' as up, false as lone, -1 as spot, payload as doc from nested_artifacts where payload is not null and json_valid(payload) and json_type(payload) in ('OBJECT', 'ARRAY')), "
+    + _tree_sql(0, "d0") + _inner_sql(0) + _tree_sql(1, "d1") + _inner_sql(1) + _tree_sql(2, "d2")
+    + """n as (select 0 as lv, * from w0 union all select 1, * from w1 union all select 2, * from w2),
+o as (select *, regexp_replace(path, '\\[[0-9]+\\]', '', 'g') as table_path from n where type = 'OBJECT' and path <> ''), """
+)
+
+
+def _child_sql(path: str, columns: dict[str, str]) -> str:
+    kinds = {"string": "varchar", "int": "int", "long": "bigint", "double": "double"}
+    text = "m.atom ->> '$'"
+    plain = f"m.type in ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') and not (m.type = 'VARCHAR' and json_valid({text}) and case when json_valid({text}) then json_type({text}) in ('OBJECT', 'ARRAY') end)"
+    picks = "".join(f", try_cast(max(case when m.key = '{c}' and {plain} then {text} end) as {kinds[k]}) as \"{c}\"" for c, k in columns.items())
+    return _P6 + f"""c as (select o.rid as record_id, o.around as parent_path, o.path as child_path, o.ord as ord{picks} from o left join n m on m.rid = o.rid and m.lv = o.lv and m.eid = o.eid and m.kind = 'member' and m.around = o.path and m.path not like o.path || '%[%' where o.table_path = '{path}' group by o.rid, o.lv, o.eid, o.id, o.around, o.path, o.ord) select distinct * from c"""
+
+
+_P6_TABLES = {
+    "p6_findings": ("findings", {"id": "string", "ruleId": "string", "severity": "string", "confidence": "double", "title": "string"}),
+    "p6_evidence": ("findings.evidence", {"id": "string", "path": "string", "kind": "string", "startLine": "int"}),
+    "p6_hunks": ("changed_files.hunks", {"startLine": "int", "endLine": "int"}),
+} | _FLAT
+
+def _table_sql() -> str:
+    """The consistent table by a walk over the leaves of each line."""
+    picks, typed = [], []
+    for path, kind in schema_drift.TARGETS.items():
+        column = schema_drift.column_of(path)
+        if kind == "string":
+            test, value = "type = 'VARCHAR'", "atom ->> '$'"
+        else:
+            test, value = "type in ('BIGINT', 'UBIGINT', 'DOUBLE') and length(replace(replace(cast(atom as varchar), '-', ''), '.', '')) <= 15", "cast(atom as double)"
+        picks.append(f"max(case when path = '{path}' and {test} then {value} end) as {column}")
+        typed.append(f"(path = '{path}' and {test})")
+    plain = "path is not null and not coalesce(" + " or ".join(typed) + ", false)"
+    return f"""with r as (select distinct stream_id, file_id, line_no, record_key, case when json_valid(payload) then payload else '{{}}' end as payload from artifact_records),
+l as (select r.stream_id, r.file_id, r.line_no, r.record_key, replace(substr(j.fullkey, 3), '"', '') as path, j.type, j.atom, case j.type when 'VARCHAR' then cast(to_json(j.atom ->> '$') as varchar) when 'ARRAY' then cast(json(j.value) as varchar) when 'NULL' then 'null' else cast(j.atom as varchar) end as text
+ from r left join lateral (select * from json_tree(r.payload) where type <> 'OBJECT' and fullkey <> '$' and fullkey not like '%[%') j on true)
+select stream_id, file_id, line_no, record_key, {', '.join(picks)}, coalesce(string_agg(path, ',' order by path) filter ({plain}), '') as rescued_paths, cast(count(*) filter ({plain}) as int) as n_rescued,
+ '{{' || coalesce(string_agg(cast(to_json(path) as varchar) || ':' || cast(to_json(text) as varchar), ',' order by path) filter ({plain}), '') || '}}' as rescued from l group by stream_id, file_id, line_no, record_key"""
+
+
 ORACLES = {
+    "p3_table": _table_sql(),
+    "p6_found": _P6 + "q as (select distinct rid as record_id, around as parent_path, path as child_path from o) select * from q",
+    "p6_items": _P6
+    + """q as (select distinct rid as record_id, regexp_replace(path, '\\[[0-9]+\\]', '', 'g') as table_path, around as parent_path, path as child_path, ord, atom ->> '$' as value from n where kind = 'item' and type not in ('OBJECT', 'ARRAY', 'NULL')
+ and not (type = 'VARCHAR' and json_valid(atom ->> '$') and case when json_valid(atom ->> '$') then json_type(atom ->> '$') in ('OBJECT', 'ARRAY') end)) select * from q""",
+    **{name: _child_sql(*spec) for name, spec in _P6_TABLES.items()},
     "p3_promoted": _promoted_sql(),
     "p3_found": _P3_CASES,
     "p4_found": _P4_JUDGED + "select distinct table_name, record_id, field_name, target_id, reason from judged where reason is not null",
