@@ -262,11 +262,11 @@ def _inner_sql(level: int) -> str:
     return f"d{level + 1} as (select rid, row_number() over () as eid, path as head, around as up, kind = 'member' and key in {_ARRAYS} as lone, case when kind = 'item' then ord else -1 end as spot, {text} as doc from w{level} where {holds}), "
 
 
-#: The nodes of all payloads, with two levels of strings that hold JSON.
+#: The nodes of all payloads, with three levels of strings that hold JSON.
 _P6 = (
     "with recursive d0 as (select distinct record_id as rid, 0 as eid, '' as head, '$' as up, false as lone, -1 as spot, payload as doc from nested_artifacts where payload is not null and json_valid(payload) and json_type(payload) in ('OBJECT', 'ARRAY')), "
-    + _tree_sql(0, "d0") + _inner_sql(0) + _tree_sql(1, "d1") + _inner_sql(1) + _tree_sql(2, "d2")
-    + """n as (select 0 as lv, * from w0 union all select 1, * from w1 union all select 2, * from w2),
+    + _tree_sql(0, "d0") + _inner_sql(0) + _tree_sql(1, "d1") + _inner_sql(1) + _tree_sql(2, "d2") + _inner_sql(2) + _tree_sql(3, "d3")
+    + """n as (select 0 as lv, * from w0 union all select 1, * from w1 union all select 2, * from w2 union all select 3, * from w3),
 o as (select *, regexp_replace(path, '\\[[0-9]+\\]', '', 'g') as table_path from n where type = 'OBJECT' and path <> ''), """
 )
 
@@ -298,7 +298,7 @@ def _table_sql() -> str:
         typed.append(f"(path = '{path}' and {test})")
     plain = "path is not null and not coalesce(" + " or ".join(typed) + ", false)"
     return f"""with r as (select distinct stream_id, file_id, line_no, record_key, case when json_valid(payload) then payload else '{{}}' end as payload from artifact_records),
-l as (select r.stream_id, r.file_id, r.line_no, r.record_key, replace(substr(j.fullkey, 3), '"', '') as path, j.type, j.atom, case j.type when 'VARCHAR' then cast(to_json(j.atom ->> '$') as varchar) when 'ARRAY' then cast(json(j.value) as varchar) when 'NULL' then 'null' else cast(j.atom as varchar) end as text
+l as (select r.stream_id, r.file_id, r.line_no, r.record_key, replace(substr(j.fullkey, 3), '"', '') as path, j.type, j.atom, case j.type when 'VARCHAR' then cast(to_json(j.atom ->> '$') as varchar) when 'ARRAY' then regexp_replace(cast(json(j.value) as varchar), '([0-9])\\.0+([,\\]])', '\\1\\2', 'g') when 'NULL' then 'null' else cast(j.atom as varchar) end as text
  from r left join lateral (select * from json_tree(r.payload) where type <> 'OBJECT' and fullkey <> '$' and fullkey not like '%[%') j on true)
 select stream_id, file_id, line_no, record_key, {', '.join(picks)}, coalesce(string_agg(path, ',' order by path) filter ({plain}), '') as rescued_paths, cast(count(*) filter ({plain}) as int) as n_rescued,
  '{{' || coalesce(string_agg(cast(to_json(path) as varchar) || ':' || cast(to_json(text) as varchar), ',' order by path) filter ({plain}), '') || '}}' as rescued from l group by stream_id, file_id, line_no, record_key"""
