@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions.scalars import severity_rank, title_key
+from evidra.session import saved
 
 _COLUMNS = ["pair", "id", "rule_id", "path", "fingerprint", "symbols", "severity", "category", "confidence", "ord"]
 _MATCH = "pair string, rule_id string, current_id string, previous_id string, status string, matched_on string"
@@ -103,7 +104,7 @@ def compare_exact(current: DataFrame, previous: DataFrame) -> DataFrame:
     """
     # aliases, since both sides may stem from one table
     side = lambda d, now: d.select(*[F.col(c).alias(c) for c in _COLUMNS], F.lit(now).alias("cur"))
-    rows = side(previous, False).unionByName(side(current, True))
+    rows = saved(side(previous, False).unionByName(side(current, True)))  # read three times
     spread = rows.where("fingerprint != ''").groupBy("pair", "fingerprint").agg((F.min("rule_id") != F.max("rule_id")).alias("many")).where("many").select("pair", F.lit(True).alias("_many")).distinct()
     groups = rows.join(spread, "pair", "left").withColumn("grp", F.when(F.col("_many"), F.lit(None).cast("string")).otherwise(F.coalesce("rule_id", F.lit(""))))
     sides = groups.groupBy("pair", "grp").agg(F.max("cur").alias("_now"), F.min("cur").alias("_then"))
