@@ -121,15 +121,17 @@ class OrphanState:
         """The references with their reason now, one row each."""
         return self.refs.groupBy(*REF).agg(F.max_by("reason", "batch").alias("reason"))
 
-    def apply(self, new_refs: DataFrame, new_lives: DataFrame, keep: bool = True) -> OrphanState:
+    def apply(self, new_refs: DataFrame, new_lives: DataFrame, keep: bool = True, hot: DataFrame | None = None) -> OrphanState:
         """The state after a batch; with ``keep`` its delta is written to the checkpoint folder.
 
+        ``hot``: ids that many references name, if the caller knows them (at most ``1 / HOT_SHARE`` rows).
+
         New references probe the lives; references that name an id of the new lives are examined
         again. Repeated references and references that are known already change nothing.
         """
         number = self.batch + 1
-        # at most 1 / HOT_SHARE ids a batch
-        hot = saved(hot_keys(new_refs, "target_id").unionByName(self.hot).distinct())
+        if hot is None:  # at most 1 / HOT_SHARE ids a batch
+            hot = saved(hot_keys(new_refs, "target_id").unionByName(self.hot).distinct())
         asked, lives = new_refs.select(*REF, F.lit(None).cast("string").alias("prior"), F.lit(True).alias("fresh")), new_lives
         if self.batch:
             moved = new_lives.select("target_id").distinct()
@@ -176,6 +178,7 @@ def replay(refs: DataFrame, lives: DataFrame, cuts: list) -> OrphanState:
     state = OrphanState.empty(refs.sparkSession)
     if "arrived" not in refs.columns:
         refs = refs.withColumn("arrived", F.col("at"))
+    hot = saved(hot_keys(refs, "target_id"))
     bounds = [None, *cuts, None]
     spans = list(zip(bounds[:-1], bounds[1:], strict=True))
 
@@ -194,5 +197,5 @@ def replay(refs: DataFrame, lives: DataFrame, cuts: list) -> OrphanState:
             events = events.unionByName(ended.where(within("deleted_at", spans[i - 1])))
         if i == len(spans) - 1:
             events = events.unionByName(ended.where(within("deleted_at", span)))
-        state = state.apply(refs.where(within("arrived", span)), events, keep=i < len(spans) - 1)
+        state = state.apply(refs.where(within("arrived", span)), events, i < len(spans) - 1, hot)
     return state

@@ -12,5 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def blankless(col: Column | str) -> Column:
-    """The text without surrounding white space of any script (null stays null)."""
-    return F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+$", "")
+    """The text without surrounding white space of any script (null stays null).
+
+    Most texts begin and end with visible ASCII: they are taken as they are, without a pattern.
+    """
+    col = F.col(col) if isinstance(col, str) else col
+    visible = lambda c: c.between("!", "~")
+    plain = visible(F.substring(col, 1, 1)) & visible(F.substring(col, -1, 1))
+    return F.when(plain, col).otherwise(F.regexp_replace(col, r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+$", ""))
