@@ -172,3 +172,28 @@ def language_of(path: Column | str) -> Column:
     """Language by extension, else ``unknown``."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])
     return F.coalesce(table[extension(path)], F.lit("unknown"))
+
+
+def canonical_json(document: Column | str) -> Column:
+    """A JSON text with its members in the order of their names and without blanks; null if it isn't JSON."""
+    return F.to_json(F.try_parse_json(document))
+
+
+def canonical_digest(document: Column | str) -> Column:
+    """The SHA-256 of the canonical text."""
+    return F.sha2(canonical_json(document), 256)
+
+
+#: Lines of reports that differ from run to run (fixed values).
+VOLATILE = r"^(#\s*(Generated|Run ID):|\*\*(Generated|Run ID)\*\*:|(generated_at|run_id):\s*)"
+
+
+def stable_text(content: Column | str) -> Column:
+    """A report without the lines that differ from run to run."""
+    lines = F.split(F.regexp_replace(content, "\r\n", "\n"), "\n")
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(VOLATILE)), "\n")
+
+
+def combined_hash(hashes: Column) -> Column:
+    """One hash over the hashes of a group of files that fits a row, whatever their order."""
+    return F.sha2(F.array_join(F.array_sort(hashes), "|"), 256)

@@ -178,7 +178,7 @@ def confidence_rate(spark, folder):
 
 @query("""with p as (select repo_root, substr(hash, 1, 3) as part, sha256(string_agg(hash, ',' order by hash)) as h from (select distinct id, repo_root, hash from files) where hash is not null group by all)
 select repo_root, sha256(string_agg(h, ',' order by part)) as combined from p group by repo_root""")
-def combined_file_hash(spark, folder):
+def tree_hash(spark, folder):
     """One hash per repo over the sorted hashes of its files, in two levels: parts by prefix, then the parts."""
     rows = _files(spark, folder, "repo_root", "hash", where="hash is not null")
     parts = rows.groupBy("repo_root", F.substring("hash", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("h"))

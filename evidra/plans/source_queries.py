@@ -7,8 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidra.functions import scalars
 from evidra.operators import diffs, plugins, text_rules
+from evidra.plans import reference_queries, rules_queries
 from evidra.plans.registry import FILES_SQL, FINDINGS_SQL, Registry, rows_of
+from evidra.sources import sinks
 from evidra.sources.tables import table
 
 query = Registry()
@@ -188,3 +191,67 @@ def plugin_findings(spark, folder):
     found = plugins.run([plugins.Plugin("long", _long_lines), plugins.Plugin("failing", _failing, languages=("py",))], files)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return found.select("id", "plugin", text("rule_id"), text("title"), F.coalesce(F.get("lines", F.lit(0)), F.lit(0)).alias("line"), text("diagnostic")).distinct()
+
+
+# -- hashes, texts and review lists
+@query("with fi as (select distinct id, repo_root, split_part(path, '/', 1) as folder, hash from files where hash is not null and path is not null) select repo_root, folder, sha256(string_agg(hash, '|' order by hash)) as combined from fi group by repo_root, folder")
+def combined_file_hash(spark, folder):
+    """One hash over the files of each top folder, as a cache keeps it (``tree_hash`` is for groups of any size)."""
+    rows = rows_of(spark, folder, "files", "repo_root", F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "hash", where="hash is not null and path is not null")
+    return rows.groupBy("repo_root", "folder").agg(scalars.combined_hash(F.collect_list("hash")).alias("combined"))
+
+
+@query("""with r as (select distinct run_id, branch, finding_count from runs where branch is not null), q as (select run_id, '{"a":"' || branch || '","m":{"b":[1,"x"],"y":null},"z":' || finding_count || '}' as canonical from r) select run_id, canonical, sha256(canonical) as digest from q""")
+def canonical_documents(spark, folder):
+    """Documents with members in any order, as canonical text with its hash."""
+    text = F.concat(F.lit('{"z": '), F.col("finding_count").cast("string"), F.lit(', "m": {"y": null, "b": [1, "x"]}, "a": "'), "branch", F.lit('"}'))
+    rows = table(spark, folder, "runs").where("branch is not null").select("run_id", text.alias("t"), "branch", "finding_count").distinct()
+    return rows.select("run_id", scalars.canonical_json("t").alias("canonical"), scalars.canonical_digest("t").alias("digest"))
+
+
+@query("select distinct run_id, sha256('# Report' || chr(10) || 'findings: ' || finding_count || chr(10)) as stable from runs")
+def stable_reports(spark, folder):
+    """The hash of a report of each run without what differs from run to run."""
+    text = F.concat(F.lit("# Report\r\n# Generated: "), F.col("generated_at").cast("string"), F.lit("\ngenerated_at: x\nrun_id: "), "run_id", F.lit("\n**Run ID**: "), "run_id", F.lit("\nfindings: "), F.col("finding_count").cast("string"), F.lit("\n"))
+    return table(spark, folder, "runs").select("run_id", F.sha2(scalars.stable_text(text), 256).alias("stable")).distinct()
+
+
+@query(FINDINGS_SQL + r"""q as (select id, '| ' || id || ' | ' || regexp_replace(regexp_replace(coalesce(title, ''), '\|', '\\|', 'g'), '\r\n?|\n', ' ', 'g') || ' | ' || coalesce(severity, '') || ' |' as line, '- id: "' || id || '"' || chr(10) || '  severity: ' || case when severity is null then 'null' else '"' || severity || '"' end as item from f) select * from q""")
+def rendered_findings(spark, folder):
+    """Findings as rows of a markdown table and items of a YAML list."""
+    return rows_of(spark, folder, "findings", sinks.markdown_row("id", "title", "severity").alias("line"), sinks.yaml_item({"id": F.col("id"), "severity": F.col("severity")}).alias("item"))
+
+
+def _queue(spark, folder: str):
+    slo = reference_queries.quality_slo(spark, folder).where("status != 'met'")
+    late = rules_queries.expiry_warnings(spark, folder).where("status = 'expired'")
+    gaps = rules_queries.test_gaps(spark, folder)
+    drift = rules_queries.spec_drift(spark, folder).where("status = 'failed'")
+    recurring = reference_queries.drift_recurrence_having(spark, folder)
+    part = lambda df, kind, key, days: df.select(F.lit(kind).alias("type"), key.alias("key"), days.alias("days"))
+    return (
+        part(slo, "slo_breach", F.col("pair"), F.when(F.col("status") == "breached", 3).otherwise(7)).unionByName(part(late, "baseline_expiry", F.col("k").cast("string"), F.lit(3)))
+        .unionByName(part(gaps, "manual_oracle_gap", F.concat("repo_root", F.lit(":"), "path"), F.lit(7))).unionByName(part(drift, "spec_drift", F.col("check"), F.lit(7)))
+        .unionByName(part(recurring, "spec_drift_recurrence", F.col("rule_id"), F.lit(7)))
+    )
+
+
+def _queue_sql() -> str:
+    o = {**reference_queries.ORACLES, **rules_queries.ORACLES}
+    return (
+        f"select 'slo_breach' as type, pair as key, case when status = 'breached' then 3 else 7 end as days from ({o['quality_slo']}) a where status <> 'met' union all select 'baseline_expiry', k::varchar, 3 from ({o['expiry_warnings']}) b where status = 'expired'"
+        f" union all select 'manual_oracle_gap', repo_root || ':' || path, 7 from ({o['test_gaps']}) c union all select 'spec_drift', \"check\", 7 from ({o['spec_drift']}) d where status = 'failed' union all select 'spec_drift_recurrence', rule_id, 7 from ({o['drift_recurrence_having']}) e"
+    )
+
+
+@query("with q as (" + _queue_sql() + ") select type, key, strftime(date '2025-06-01' + days, '%Y-%m-%d') as due from q")
+def review_queue(spark, folder):
+    """What people have to look at, from five sources, with due dates."""
+    return _queue(spark, folder).select("type", "key", F.date_format(F.date_add(F.lit("2025-06-01").cast("date"), F.col("days")), "yyyy-MM-dd").alias("due"))
+
+
+@query("with q as (" + _queue_sql() + ") select count(*) as n, " + ", ".join(f"count(*) filter (type = '{t}') as n_{t}" for t in ("slo_breach", "baseline_expiry", "manual_oracle_gap", "spec_drift", "spec_drift_recurrence")) + " from q")
+def review_queue_counts(spark, folder):
+    """The queue by source, dense."""
+    kinds = ("slo_breach", "baseline_expiry", "manual_oracle_gap", "spec_drift", "spec_drift_recurrence")
+    return _queue(spark, folder).agg(F.count("*").alias("n"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidra.functions import classify, scalars
 from evidra.operators import code_symbols, compare, graph, matching, plugins, query_dsl, sql_inventory, text_rules
 from evidra.session import running_total
-from evidra.sources import config, filesystem, reports
+from evidra.sources import config, filesystem, reports, sinks
 from evidra.streaming import windows
 
 
@@ -388,3 +388,15 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.use_checkpoints(Session())
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", None, 'q"\n'), ("c", 1, None)], "x string, y int, z string")
+    sinks.write_json(df, str(tmp_path / "out"))
+    assert sorted(spark.read.json(str(tmp_path / "out")).select("x", "y").collect()) == [("a|b", None), ("c", 1)]
+    document = sinks.write_document(df.where("x = 'c'"), str(tmp_path / "one.json"))
+    assert document == json.loads((tmp_path / "one.json").read_text()) == {"x": "c", "y": 1} and [p.name for p in tmp_path.iterdir() if p.is_file()] == ["one.json"]
+    with pytest.raises(ValueError):
+        sinks.write_document(df, str(tmp_path / "two.json"))
+    rows = df.select(sinks.markdown_row("x", "y").alias("m"), sinks.yaml_item({"x": F.col("x"), "z": F.col("z")}).alias("i")).collect()
+    assert rows[0].m == "| a\\|b |  |" and rows[0].i == '- x: "a|b"\n  z: "q\\"\\n"' and rows[1].i == '- x: "c"\n  z: null'
