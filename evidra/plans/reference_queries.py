@@ -524,15 +524,15 @@ def untested_antijoin(spark, folder):
     return rows.where("not is_test").join(tests, ["repo_root", "key"], "left_anti").select("repo_root", "path").distinct()
 
 
-@query(_F + "e as (select f.id, f.repo_root, unnest(f.evidence, max_depth := 2) from (select id, repo_root, evidence from f) f), p as (select distinct repo_root, path, max(line_count) over (partition by repo_root, path) as lines from files) select reason, count(*) as n from (select case when e.path is null or e.path = '' then 'missing' when p.path is null then 'path_not_found' when e.start_line < 1 or e.end_line < e.start_line then 'invalid_lines' else 'ok' end as reason from e left join p on p.repo_root = e.repo_root and p.path = e.path) group by reason")
+@query(_F + "e as (select f.id, f.repo_root, unnest(f.evidence, max_depth := 2) from (select id, repo_root, evidence from f) f), p as (select distinct repo_root, path, max(line_count) over (partition by repo_root, path) as lines from files) select reason, count(*) as n from (select case when e.path is null or e.path = '' then 'missing' when p.path is null then 'path_not_found' when e.start_line < 1 or e.end_line < e.start_line or e.end_line > p.lines then 'invalid_lines' else 'ok' end as reason from e left join p on p.repo_root = e.repo_root and p.path = e.path) group by reason")
 def evidence_validity(spark, folder):
     """Evidence by the first reason why it is invalid."""
     places = F.transform("evidence", lambda e: F.struct(e["path"].alias("path"), e["start_line"].alias("start_line"), e["end_line"].alias("end_line")))
     rows = _findings(spark, folder, "repo_root", places.alias("places")).select("repo_root", F.explode("places").alias("e")).select("repo_root", "e.path", "e.start_line", "e.end_line")
-    known = table(spark, folder, "files").select("repo_root", "path").distinct().withColumn("known", F.lit(True))
+    known = table(spark, folder, "files").groupBy("repo_root", "path").agg(F.max("line_count").alias("lines"), F.lit(True).alias("known"))
     reason = (
         F.when(F.coalesce("path", F.lit("")) == "", "missing").when(F.col("known").isNull(), "path_not_found")
-        .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "invalid_lines").otherwise("ok")
+        .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")) | (F.col("end_line") > F.col("lines")), "invalid_lines").otherwise("ok")
     )
     return rows.join(known, ["repo_root", "path"], "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 

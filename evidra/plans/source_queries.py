@@ -8,10 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars
-from evidra.operators import diffs, plugins, text_rules
+from evidra.operators import diffs, plugins, rule_engine, text_rules
 from evidra.plans import reference_queries, rules_queries
 from evidra.plans.registry import FILES_SQL, FINDINGS_SQL, Registry, rows_of
-from evidra.sources import sinks
+from evidra.sources import artifacts, sinks
 from evidra.sources.tables import table
 
 query = Registry()
@@ -255,3 +255,43 @@ def review_queue_counts(spark, folder):
     """The queue by source, dense."""
     kinds = ("slo_breach", "baseline_expiry", "manual_oracle_gap", "spec_drift", "spec_drift_recurrence")
     return _queue(spark, folder).agg(F.count("*").alias("n"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds])
+
+
+# -- rules and their engine
+_RULES = [
+    rule_engine.LineRule("MARKER", "maintainability", "low", 0.6, r"TODO|FIXME"), rule_engine.LineRule("RETURNS", "data", "high", 0.8, "return", "null|nil|None", 2, 1, ("ts", "js")),
+    rule_engine.LineRule("LIMIT", "config", "medium", 0.9, r"limit = [0-9]+", None, 0, 0, ("py", "rb")),
+]
+_CLAIMS = FILES_SQL + r"""s as (select distinct repo_root, path, language, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) as ls from fi where content is not null), l as (select *, unnest(ls) as line, generate_subscripts(ls, 1) as i from s),
+ c as (select 0 as ord, 'MARKER' as rule_id, 'maintainability' as category, 'low' as severity, 0.6::double as confidence, repo_root, path, cast(i as int) as line, line as text from l where regexp_matches(line, 'TODO|FIXME')
+ union all select 1, 'RETURNS', 'data', 'high', 0.8, repo_root, path, i, line from l where language in ('ts', 'js') and regexp_matches(line, 'return') and not regexp_matches(array_to_string(ls[greatest(i - 2, 1):i + 1], chr(10)), 'null|nil|None')
+ union all select 2, 'LIMIT', 'config', 'medium', 0.9, repo_root, path, i, line from l where language in ('py', 'rb') and regexp_matches(line, 'limit = [0-9]+')), """
+
+
+@query(_CLAIMS + """g as (select *, row_number() over (order by ord, repo_root, path, line) as n from c) select 'finding-' || lpad(n::varchar, 8, '0') as id, rule_id, severity, repo_root, path, line as start_line, substr(sha256('rule:' || rule_id || '|excerpt:' || sha256(text)), 1, 16) as fingerprint from g""")
+def rule_findings(spark, folder):
+    """What line rules find in all files, through the engine: ids in order, fingerprints by excerpt."""
+    files = table(spark, folder, "files").where("path is not null and repo_root is not null")
+    good, _ = rule_engine.evaluate(rule_engine.claims(files, _RULES), files)
+    return good.select("id", "rule_id", "severity", "repo_root", "path", "start_line", "fingerprint")
+
+
+@query(FINDINGS_SQL + r"""k as (select repo_root, path, max(len(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)))) as n, bool_or(content is not null) as readable from files where path is not null group by all), c as (select f.id, f.repo_root, evidence[1].path as path, evidence[1].start_line as s, evidence[1].end_line as e from f),
+ j as (select c.id, case when coalesce(c.path, '') = '' then 'missing_evidence' when k.path is null then 'path_not_found' when not k.readable then 'unreadable' when s is null or e is null or s < 1 or e < s or e > k.n then 'invalid_range' else 'accepted' end as reason from c left join k on k.repo_root = c.repo_root and k.path = c.path) select reason, count(*) as n from j group by reason""")
+def claim_validation(spark, folder):
+    """Findings of the tables as claims: which the engine accepts, and why it rejects the others."""
+    first = F.get("evidence", F.lit(0))
+    rows = rows_of(spark, folder, "findings", F.lit(0).alias("ord"), "rule_id", "category", "severity", "confidence", "title", "repo_root", first["path"].alias("path"), first["start_line"].alias("start_line"), first["end_line"].alias("end_line"))
+    good, bad = rule_engine.evaluate(rows.drop("id"), table(spark, folder, "files").where("path is not null"))
+    return good.select(F.lit("accepted").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(FINDINGS_SQL + "q as (select run_id, id, rule_id, severity, confidence, coalesce(evidence[1].path, '') as path, coalesce(array_to_string(tags, ','), '') as tags, coalesce(upstream.tool, '') as tool from f) select * from q")
+def artifact_findings(spark, folder):
+    """Findings read from JSON artifacts, one a run."""
+    e = F.transform("evidence", lambda x: F.struct(x["path"].alias("path"), x["start_line"].alias("startLine")))
+    finding = F.struct("id", F.col("rule_id").alias("ruleId"), "severity", "confidence", "title", e.alias("evidence"), "tags", F.struct(F.col("upstream.tool").alias("tool")).alias("upstream"))
+    rows = rows_of(spark, folder, "findings", "run_id", finding.alias("f"))
+    made = rows.groupBy("run_id").agg(F.to_json(F.struct("run_id", F.collect_list("f").alias("findings"))).alias("document")).select(F.concat("run_id", F.lit(".json")).alias("path"), "document")
+    found = artifacts.findings(made)
+    return found.select("run_id", "id", "rule_id", "severity", "confidence", F.coalesce(F.get("evidence", F.lit(0))["path"], F.lit("")).alias("path"), F.coalesce(F.array_join("tags", ",", ""), F.lit("")).alias("tags"), F.coalesce("upstream.tool", F.lit("")).alias("tool"))

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import classify, scalars
-from evidra.operators import code_symbols, compare, graph, matching, plugins, query_dsl, sql_inventory, text_rules
+from evidra.operators import code_symbols, compare, rule_engine, graph, matching, plugins, query_dsl, sql_inventory, text_rules
 from evidra.session import running_total
-from evidra.sources import config, filesystem, reports, sinks
+from evidra.sources import artifacts, config, filesystem, reports, sinks
 from evidra.streaming import windows
 
 
@@ -400,3 +400,27 @@ def test_sinks(spark, tmp_path):
         sinks.write_document(df, str(tmp_path / "two.json"))
     rows = df.select(sinks.markdown_row("x", "y").alias("m"), sinks.yaml_item({"x": F.col("x"), "z": F.col("z")}).alias("i")).collect()
     assert rows[0].m == "| a\\|b |  |" and rows[0].i == '- x: "a|b"\n  z: "q\\"\\n"' and rows[1].i == '- x: "c"\n  z: null'
+
+
+def test_rule_engine(spark):
+    files = spark.createDataFrame([("r", "src/a.ts", "ts", "x\r\nbad\nfine\nbad\n"), ("r", "b.py", "py", "bad"), ("r", "c.ts", "ts", None), ("r", "c.ts", "ts", None)], "repo_root string, path string, language string, content string")
+    rules = [rule_engine.LineRule("A", "auth", "low", 0.6, "bad", "fine", 1, 1, ("ts",)), rule_engine.LineRule("B", "data", "high", 0.9, "^bad$")]
+    claimed = rule_engine.claims(files, rules)
+    assert sorted((r.ord, r.path, r.start_line) for r in claimed.collect()) == [(1, "b.py", 1), (1, "src/a.ts", 2), (1, "src/a.ts", 4)]
+    more = spark.createDataFrame(
+        [(0, "A", "auth", "low", 0.6, "t", "r", p, s, e) for p, s, e in [(None, 1, 1), ("gone", 1, 1), ("c.ts", 1, 1), ("b.py", 1, 2), ("b.py", None, 1), ("src/a.ts", 1, 2)]], claimed.schema)
+    good, bad = rule_engine.evaluate(claimed.unionByName(more), files)
+    rows = good.orderBy("id").collect()
+    assert [(r.id, r.rule_id, r.path, r.start_line) for r in rows] == [("finding-00000001", "A", "src/a.ts", 1), ("finding-00000002", "B", "b.py", 1), ("finding-00000003", "B", "src/a.ts", 2), ("finding-00000004", "B", "src/a.ts", 4)]
+    assert rows[0].tags == ["domain:auth", "fp-review", "fp-review:low-confidence"] and rows[1].fingerprint == rows[2].fingerprint != rows[0].fingerprint
+    assert sorted(r.reason for r in bad.collect()) == ["invalid_range", "invalid_range", "missing_evidence", "path_not_found", "unreadable"]
+    state = rule_engine.completeness(claimed.unionByName(more), bad, files).first()
+    assert (state.n_claims, state.n_rejected, state.completeness) == (9, 5, "partial")
+
+
+def test_artifacts(spark):
+    docs = spark.createDataFrame([("findings.json", '{"run_id": "r", "findings": [{"id": "a", "ruleId": "R", "evidence": [{"path": "p", "startLine": 2}]}, {}]}'), ("x.json", "{}"), ("y.json", "["), ("ready.json", '{"run_id": "r", "status": "passed", "counts": {"critical": 1}}')], "path string, document string")
+    rows = artifacts.findings(docs).collect()
+    assert [(r.ord, r.id, r.rule_id) for r in rows] == [(0, "a", "R"), (1, None, None)] and rows[0].evidence[0].start_line == 2
+    assert [(r.status, r.critical, r.high) for r in artifacts.readiness(docs).collect()] == [("passed", 1, None)]
+    assert artifacts.evidence_set(docs, ("findings.json", "a.json")).first().missing == ["a.json"] and artifacts.evidence_set(docs.limit(0), ()).first().complete
