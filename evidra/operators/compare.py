@@ -145,9 +145,10 @@ def compare_staged(current: DataFrame, previous: DataFrame) -> DataFrame:
         pick = lambda c, name: (F.col(c) if c else F.lit(None).cast("string")).alias(name)
         return df.select(*keep, pick(now, "current_id"), pick(then, "previous_id"), status.alias("status"))
 
-    first = matched(current, previous, "fingerprint")
+    current, previous = saved(current), saved(previous)  # each is read five times
+    first = saved(matched(current, previous, "fingerprint"))
     rest_c, rest_p = without(current, first, "id"), without(previous, first, "p_id")
-    second = matched(rest_c, rest_p, "path")
+    second = saved(matched(rest_c, rest_p, "path"))
     done = case(first.unionByName(second), "id", "p_id", F.when(F.col("same"), "unchanged").otherwise("modified"))
     new = case(without(rest_c, second, "id"), "id", None, F.lit("new"))
     gone = case(without(rest_p, second, "p_id"), None, "id", F.lit("resolved"))
