@@ -58,3 +58,10 @@ def limited(files: DataFrame, by: str, order: list[str], most_files: int, most_b
     return rows.groupBy(by).agg(
         F.count_if(taken & ~large).alias("n_files"), F.count_if(taken & large).alias("n_too_large"), more.alias("truncated"), F.when(more, "limit_exceeded").otherwise("success").alias("status")
     )
+
+
+def changed_with_stats(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, status, added, removed`` of files that differ by ``hash``; files without line statistics (no content) have 0 of both."""
+    stats = line_changes(old.where("content is not null"), new.where("content is not null"), keys)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return changed_files(old, new, keys).join(stats, keys, "left").select(*keys, "status", zero("added"), zero("removed"))

@@ -65,3 +65,28 @@ def status(buckets: DataFrame, by: list[str], limits: dict[str, int]) -> DataFra
         over = over | (F.col(f"_{name}") > most)
     value = F.when(F.col("n_blocked") > 0, "blocked").when(over, "over_limit").when(F.col("n_held") > 0, "held").otherwise("passed")
     return counts.withColumn("status", value).drop(*[f"_{s}" for s in limits])
+
+
+def condition(when: dict, baseline: Column | None = None, evidence: Column | None = None) -> Column:
+    """The condition of a rule as policies write it: all that is given must hold.
+
+    ``severity``, ``category`` and ``ruleId`` are a value or a list of values; ``baseline`` and ``manualEvidence`` ask whether the finding is known
+    there (the flags of the row, ``False`` if there are none). A rule without any test holds for every finding.
+    """
+    columns = {"severity": F.lower(F.trim("severity")), "category": F.col("category"), "ruleId": F.col("rule_id")}
+    flags = {"baseline": baseline, "manualEvidence": evidence}
+    out = F.lit(True)
+    for name, wanted in when.items():
+        if name in columns:
+            out = out & columns[name].isin(*(wanted if isinstance(wanted, list) else [wanted]))
+        elif name in flags:
+            known = F.lit(False) if flags[name] is None else F.coalesce(flags[name], F.lit(False))
+            out = out & (known == F.lit(bool(wanted)))
+        else:
+            raise ValueError(f"unknown test: {name}")
+    return F.coalesce(out, F.lit(False))
+
+
+def rules_of(policy: dict, baseline: Column | None = None, evidence: Column | None = None) -> list[tuple[Column, str]]:
+    """The ordered rules of a policy (``dsl.rules``) for ``ordered_rules``."""
+    return [(condition(r.get("when") or {}, baseline, evidence), r["action"]) for r in (policy.get("dsl") or {}).get("rules") or []]

@@ -295,3 +295,19 @@ def artifact_findings(spark, folder):
     made = rows.groupBy("run_id").agg(F.to_json(F.struct("run_id", F.collect_list("f").alias("findings"))).alias("document")).select(F.concat("run_id", F.lit(".json")).alias("path"), "document")
     found = artifacts.findings(made)
     return found.select("run_id", "id", "rule_id", "severity", "confidence", F.coalesce(F.get("evidence", F.lit(0))["path"], F.lit("")).alias("path"), F.coalesce(F.array_join("tags", ",", ""), F.lit("")).alias("tags"), F.coalesce("upstream.tool", F.lit("")).alias("tool"))
+
+
+@query(FILES_SQL + r"""o as (select id, hash, content from fi where observed_at < timestamp '2025-09-01'), n as (select id, case when length(id) % 2 = 0 then hash else coalesce(hash, '') || 'x' end as hash, case when length(id) % 2 = 0 then content else replace(content, 'return', 'retürn') end as content from fi where observed_at >= timestamp '2025-02-01'),
+ c as (select id, content, len(list_filter(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)), lambda x: contains(x, 'return'))) as r, len(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10))) as total from fi),
+ d as (select coalesce(o.id, n.id) as id, case when o.id is null then 'A' when n.id is null then 'D' when o.hash is distinct from n.hash then 'M' end as status from o full join n on o.id = n.id)
+ select d.id, d.status, case when c.content is null then 0 when d.status = 'A' then c.total when d.status = 'M' then c.r else 0 end as added, case when c.content is null then 0 when d.status = 'D' then c.total when d.status = 'M' then c.r else 0 end as removed from d join c using (id) where d.status is not null""")
+def changed_files_with_stats(spark, folder):
+    """Files that differ between two states (in the later one, every second id spells ``return`` another way), with lines added and removed."""
+    moment = lambda t: F.lit(t).cast("timestamp_ntz")
+    odd = F.length("id") % 2 != 0
+    old = rows_of(spark, folder, "files", "hash", "content", where=F.col("observed_at") < moment("2025-09-01"))
+    new = rows_of(
+        spark, folder, "files", F.when(odd, F.concat(F.coalesce("hash", F.lit("")), F.lit("x"))).otherwise(F.col("hash")).alias("hash"),
+        F.when(odd, F.replace("content", F.lit("return"), F.lit("retürn"))).otherwise(F.col("content")).alias("content"), where=F.col("observed_at") >= moment("2025-02-01"),
+    )
+    return diffs.changed_with_stats(old, new, ["id"])

@@ -48,3 +48,21 @@ def yaml_item(fields: dict[str, Column]) -> Column:
         lead = "- " if i == 0 else "  "
         parts.append(F.concat(F.lit(f"{lead}{name}: "), _quoted(col)))
     return F.concat_ws("\n", *parts)
+
+
+def write_bundle(artifacts: DataFrame, path: str) -> int:
+    """A ZIP with the artifacts (``name, content``) and a ``manifest.json`` of their hashes and sizes; gives the number of artifacts.
+
+    Rows are streamed to the one file partition by partition, so a bundle may be larger than the memory of the driver.
+    """
+    import hashlib
+    import zipfile
+
+    manifest = []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for row in artifacts.select("name", F.coalesce("content", F.lit("")).cast("binary").alias("content")).orderBy("name").toLocalIterator():
+            data = bytes(row.content)
+            out.writestr(row.name, data)
+            manifest.append({"name": row.name, "sha256": hashlib.sha256(data).hexdigest(), "n_bytes": len(data)})
+        out.writestr("manifest.json", json.dumps(manifest, indent=2))
+    return len(manifest)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import classify, scalars
-from evidra.operators import code_symbols, compare, rule_engine, graph, matching, plugins, query_dsl, sql_inventory, text_rules
+from evidra.operators import code_symbols, compare, exports, gate, graph, rule_engine, matching, plugins, query_dsl, sql_inventory, text_rules
 from evidra.session import running_total
 from evidra.sources import artifacts, config, filesystem, reports, sinks
 from evidra.streaming import windows
@@ -424,3 +424,21 @@ def test_artifacts(spark):
     assert [(r.ord, r.id, r.rule_id) for r in rows] == [(0, "a", "R"), (1, None, None)] and rows[0].evidence[0].start_line == 2
     assert [(r.status, r.critical, r.high) for r in artifacts.readiness(docs).collect()] == [("passed", 1, None)]
     assert artifacts.evidence_set(docs, ("findings.json", "a.json")).first().missing == ["a.json"] and artifacts.evidence_set(docs.limit(0), ()).first().complete
+
+
+def test_policy_rules_and_bundles(spark, tmp_path):
+    import zipfile
+
+    df = spark.createDataFrame([("a", "High ", "auth", "R", True), ("b", "low", "auth", "S", None), ("c", None, None, None, False)], "id string, severity string, category string, rule_id string, known boolean")
+    hit = lambda when: sorted(r.id for r in df.where(gate.condition(when, F.col("known"))).collect())
+    assert hit({"severity": ["high", "critical"]}) == ["a"] and hit({"category": "auth", "baseline": False}) == ["b"] and hit({}) == ["a", "b", "c"] and hit({"manualEvidence": True}) == []
+    rules = gate.rules_of({"dsl": {"rules": [{"when": {"ruleId": "R"}, "action": "allow"}, {"when": {"category": "auth"}, "action": "block"}]}})
+    assert {r.id: r.o for r in df.select("id", gate.ordered_rules(rules).alias("o")).collect()} == {"a": "allow", "b": "block", "c": None}
+    with pytest.raises(ValueError):
+        gate.condition({"price": 1})
+    files = spark.createDataFrame([("b.txt", "é"), ("a.json", None)], "name string, content string")
+    assert sinks.write_bundle(files, str(tmp_path / "x.zip")) == 2
+    with zipfile.ZipFile(tmp_path / "x.zip") as bundle:
+        assert bundle.namelist() == ["a.json", "b.txt", "manifest.json"] and bundle.read("b.txt").decode() == "é"
+        listed = spark.createDataFrame(json.loads(bundle.read("manifest.json")), "name string, sha256 string, n_bytes bigint")
+    assert {r.state for r in exports.check_manifest(listed, exports.manifest(files.na.fill(""), "name", "content")).collect()} == {"ok"}
