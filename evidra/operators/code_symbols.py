@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.scalars import dirname, normal_path
+from evidra.session import saved
 
 #: Language -> kind -> pattern whose first group is the name. Patterns hold no lookaround, so other engines can run them too.
 PATTERNS = {
@@ -110,11 +111,12 @@ def calls(files: DataFrame, language: Column) -> DataFrame:
     """``id, caller, callee, line, known``: calls by the function declared last before (empty at the top), and whether the same file declares the callee."""
     from pyspark.sql import Window as W
 
-    declared = parse(files, language).where("kind = 'function'").groupBy("id", "line").agg(F.min("name").alias("name")).distinct()
+    declared = saved(parse(files, language).where("kind = 'function'").groupBy("id", "line").agg(F.min("name").alias("name")))
     lines = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")
     rows = files.where(F.col("content") != "").select("id", language.alias("_l"), lines.alias("lines")).where(F.col("_l").isin(*LINES)).dropDuplicates(["id"])
     numbered = rows.select("id", F.posexplode("lines").alias("i", "text")).select("id", (F.col("i") + 1).alias("line"), "text")
     inside = numbered.join(declared, ["id", "line"], "left").withColumn("caller", F.last("name", ignorenulls=True).over(W.partitionBy("id").orderBy("line")))
+    inside = saved(inside.where(F.contains(F.col("text"), F.lit("("))))
     named = inside.select("id", "line", F.coalesce("caller", F.lit("")).alias("caller"), "name", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("callee"))
     named = named.where(~F.col("callee").isin(*NO_CALLS) & ~F.coalesce(F.col("callee") == F.col("name"), F.lit(False)))
     known = declared.select("id", F.col("name").alias("callee"), F.lit(True).alias("_k")).distinct()
