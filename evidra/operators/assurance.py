@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import classify
+from evidra.session import saved
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def related_tests(files: DataFrame) -> DataFrame:
     more than two characters) as a run of letters and digits between separators. Both are equi-joins: words of test paths are
     rows, so no file meets all tests.
     """
-    rows = files.select("repo_root", "path").distinct().withColumn("role", classify.role_of("path"))
+    rows = saved(files.select("repo_root", "path").distinct().withColumn("role", classify.role_of("path")))  # roles are long expressions, taken once
     tests = rows.where("role = 'test'").select("repo_root", F.col("path").alias("test"))
     sources = rows.where((F.col("role") == "source") & classify.extension("path").isin(*SOURCE_EXTENSIONS)).select("repo_root", "path")
     plain = classify.without_extension("path")
