@@ -442,3 +442,22 @@ def test_policy_rules_and_bundles(spark, tmp_path):
         assert bundle.namelist() == ["a.json", "b.txt", "manifest.json"] and bundle.read("b.txt").decode() == "é"
         listed = spark.createDataFrame(json.loads(bundle.read("manifest.json")), "name string, sha256 string, n_bytes bigint")
     assert {r.state for r in exports.check_manifest(listed, exports.manifest(files.na.fill(""), "name", "content")).collect()} == {"ok"}
+
+
+def test_cycle_groups_take_few_rounds(spark, monkeypatch):
+    import random
+
+    from evidra.session import saved
+
+    rounds = []
+    monkeypatch.setattr(graph, "saved", lambda df: rounds.append(1) or saved(df))
+    # 40 rings in a row, the greatest first: each used to take rounds of its own, and as many as it is long
+    rings = [(f"{40 - i:03}/{j:02}", f"{40 - i:03}/{(j + 1) % 20:02}") for i in range(40) for j in range(20)] + [(f"{40 - i:03}/00", f"{39 - i:03}/00") for i in range(39)]
+    found = {r.node: (r.grp, r.size) for r in graph.cycle_groups(spark.createDataFrame(rings, "src string, dst string")).collect()}
+    assert found == {f"{i:03}/{j:02}": (f"{i:03}/19", 20) for i in range(1, 41) for j in range(20)} and len(rounds) <= 3
+
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(60):02}é", f"n{rng.randrange(60):02}é") for _ in range(90)})
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    whole = sorted(graph.cycle_groups(edges).collect())
+    assert whole and all(sorted(graph.cycle_groups(edges, limit).collect()) == whole for limit in (2, 15, 50))  # the same through rounds of joins and many tasks
