@@ -477,3 +477,14 @@ def test_reviews_by_place_reach_all_findings(spark, tmp_path):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(wanted) and set(got) == wanted
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cycles_take_few_rounds(spark, monkeypatch):
+    from evidra.session import saved
+
+    rounds = []
+    monkeypatch.setattr(graph, "saved", lambda df: rounds.append(1) or saved(df))
+    # rings of two in a row, the greatest first, with edges back and forth inside: the search for their groups used to take rounds for each
+    rings = [x for i in range(30) for x in ((f"{30 - i:02}a", f"{30 - i:02}b"), (f"{30 - i:02}b", f"{30 - i:02}a"), (f"{30 - i:02}a", f"{29 - i:02}a"))]
+    found = [tuple(r.path) for r in graph.cycles(spark.createDataFrame(rings, "src string, dst string"), 3).collect()]
+    assert sorted(found) == [(f"{i:02}a", f"{i:02}b") for i in range(1, 31)] and len(rounds) <= 6
