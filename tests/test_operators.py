@@ -488,3 +488,27 @@ def test_cycles_take_few_rounds(spark, monkeypatch):
     rings = [x for i in range(30) for x in ((f"{30 - i:02}a", f"{30 - i:02}b"), (f"{30 - i:02}b", f"{30 - i:02}a"), (f"{30 - i:02}a", f"{29 - i:02}a"))]
     found = [tuple(r.path) for r in graph.cycles(spark.createDataFrame(rings, "src string, dst string"), 3).collect()]
     assert sorted(found) == [(f"{i:02}a", f"{i:02}b") for i in range(1, 31)] and len(rounds) <= 6
+
+
+def test_one_large_group_takes_few_rounds(spark, monkeypatch):
+    import random
+
+    from evidra.session import saved
+
+    rounds = []
+    monkeypatch.setattr(graph, "saved", lambda df: rounds.append(1) or saved(df))
+    # a ring with more edges than a task holds by name: its group used to take as many rounds as the ring is long
+    ring = [(f"n{i:02}", f"n{(i + 1) % 40:02}") for i in range(40)] + [("n05", "n04"), ("n00", "out"), ("in", "n00"), ("n09", "m"), ("m", "out"), ("n09", "z"), ("z", "y"), ("y", "out")]
+    edges = spark.createDataFrame(ring, "src string, dst string")
+    assert {(r.node, r.grp, r.size) for r in graph.cycle_groups(edges, 10).collect()} == {(f"n{i:02}", "n39", 40) for i in range(40)} and len(rounds) <= 5
+    rounds.clear()
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)
+    assert {(tuple(r.path), r.length) for r in graph.cycles(edges, 5).collect()} == {(("n04", "n05"), 2)} and len(rounds) <= 10
+
+    rng = random.Random(6)
+    pairs = sorted({(f"n{rng.randrange(60):02}é", f"n{rng.randrange(60):02}é") for _ in range(90)})
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    whole = sorted(graph.cycle_groups(edges, 1_000).collect())
+    # the same with numbers in one task, and through rounds of joins to many tasks with names or numbers
+    assert whole and all(sorted(graph.cycle_groups(edges, *limits).collect()) == whole for limits in ((2,), (2, 2), (2, 15), (15, 15), (15, 50)))
+    assert graph.cycle_groups(edges.where("src < dst"), 2).count() == 0
